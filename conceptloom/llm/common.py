@@ -188,3 +188,58 @@ def components(edges: DataFrame, tag: str) -> DataFrame:
         if now == signature:
             return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
         signature = now
+
+
+#: An id filter has at most so many bits (8 MB), whatever the number of ids.
+FILTER_BITS = 1 << 26
+
+
+class IdFilter:
+    """A bitmap of hashed ids of fixed greatest size: no id is missed; others may pass, which only costs work."""
+
+    def __init__(self, ids: DataFrame, column: str):
+        n = ids.count()
+        self.bits = min(FILTER_BITS, max(1 << 16, 1 << (16 * max(1, n) - 1).bit_length()))
+        at = self.bucket(column)
+        rows = ids.select(at.alias("b")).groupBy(F.shiftright("b", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(b & 63 as int)))").alias("m")).toArrow()
+        words = np.zeros(self.bits // 64, np.int64)
+        words[rows["w"].to_numpy()] = rows["m"].to_numpy()
+        self.words = ids.sparkSession.sparkContext.broadcast(words)
+
+    def bucket(self, column: str):
+        return F.pmod(F.xxhash64(F.col(column)), F.lit(self.bits))
+
+    def keep(self, docs: DataFrame, column: str) -> DataFrame:
+        """The rows of docs whose id may be among the ids, and a few more."""
+        words, names = self.words, docs.columns
+
+        def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                b = batch.column(batch.num_columns - 1).to_numpy()
+                ok = (words.value[b >> 6] >> (b & 63)) & 1 == 1
+                yield batch.select(names).filter(pa.array(ok))
+
+        return docs.select(*names, self.bucket(column).alias("_bucket")).mapInArrow(passing, docs.schema)
+
+
+def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Runs of rows with equal keys, from rows that are sorted by them."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(batch.schema.get_field_index(k)).to_numpy(zero_copy_only=False) for k in keys]
+        change = np.zeros(batch.num_rows - 1, bool)
+        for c in columns:
+            change |= c[1:] != c[:-1]
+        cuts = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            key = tuple(c[a] for c in columns)
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            last = key
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, packing, perplexity, quality_model, sharding, token_files
+from . import jaccard_join, language, packing, perplexity, quality_model, sharding, token_files
 from .common import read_table
 
 
@@ -28,6 +28,10 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_digest(read_table(spark, sf_dir, "documents"))
 
 
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(read_table(spark, sf_dir, "documents"))
+
+
 def op9_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perplexity.quality_rules(read_table(spark, sf_dir, "documents"))
 
@@ -42,6 +46,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
     "op3_packing": op3_packing,
     "op5_token_files": op5_token_files,
+    "op7_jaccard": op7_jaccard,
     "op9_perplexity": op9_perplexity,
     "op10_language": op10_language,
 }
