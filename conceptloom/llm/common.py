@@ -9,6 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -96,7 +97,7 @@ class Words(dict):
         sizes = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
         ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)])
         look = self.__getitem__
-        out = np.fromiter((i for words in lists for i in map(look, words)), dtype=np.int64, count=int(ends[-1]))
+        out = np.fromiter(map(look, chain.from_iterable(lists)), dtype=np.int64, count=int(ends[-1]))
         if self.new:
             fresh = self.describe(self.new)
             for name, values in fresh.items():

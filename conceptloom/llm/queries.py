@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, language, packing, perplexity, quality_model, sharding, token_files
+from . import jaccard_join, language, packing, perplexity, quality_model, sharding, surrogates, token_files
 from .common import read_table
 
 
@@ -32,6 +32,10 @@ def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(read_table(spark, sf_dir, "documents"))
 
 
+def op8_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.replace_personal_data(read_table(spark, sf_dir, "documents"))
+
+
 def op9_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perplexity.quality_rules(read_table(spark, sf_dir, "documents"))
 
@@ -47,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op5_token_files": op5_token_files,
     "op7_jaccard": op7_jaccard,
+    "op8_surrogates": op8_surrogates,
     "op9_perplexity": op9_perplexity,
     "op10_language": op10_language,
 }
