@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks, ranked, raw_texts, written
-from .tokens import END_ID, TextEncoder, tokenizer_path
+from .tokens import END_ID, encoder, tokenizer_path
 
 SEQUENCE = 2048
 
@@ -77,10 +77,10 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = SEQUEN
     types = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64())] + [("ids", pa.binary())] * with_ids
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = TextEncoder(path), np.array([END_ID], "<u4").tobytes()
+        coder, end = encoder(path), np.array([END_ID], "<u4").tobytes()
         for batch in chunks(batches):
             rows: list[tuple] = []
-            for key, ids in zip(batch.column(0).to_pylist(), encoder.encode(raw_texts(batch)), strict=True):
+            for key, ids in zip(batch.column(0).to_pylist(), coder.encode(raw_texts(batch)), strict=True):
                 ids += end
                 for at in range(0, len(ids), 4 * capacity):
                     part = ids[at : at + 4 * capacity]

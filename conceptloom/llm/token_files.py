@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import chunks, raw_texts, shared_dir
-from .tokens import END_ID, TextEncoder, tokenizer_path
+from .tokens import END_ID, encoder, tokenizer_path
 
 MAGIC, VERSION, HEAD = 0x3842534C54434F4E, 1, 7
 BLOCK = 4096
@@ -181,7 +181,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
     rows = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end, part = TextEncoder(where), np.array([END_ID], "<u4").tobytes(), TaskContext.get().partitionId()
+        coder, end, part = encoder(where), np.array([END_ID], "<u4").tobytes(), TaskContext.get().partitionId()
         keys: list[int] = []
         counts: list[int] = []
         held: list[bytes] = []
@@ -195,7 +195,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
             return out
 
         for batch in chunks(batches):
-            for key, ids in zip(batch.column(0).to_pylist(), encoder.encode(raw_texts(batch)), strict=True):
+            for key, ids in zip(batch.column(0).to_pylist(), coder.encode(raw_texts(batch)), strict=True):
                 keys.append(NO_ID if key is None else key)
                 counts.append(len(ids) // 4 + 1)
                 held += (ids, end)

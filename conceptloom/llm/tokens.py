@@ -1,9 +1,9 @@
 """Token ids of whole texts by a public tokenizer, through a cache of words.
 
 The tokenizer turns white space into word breaks before anything else, so the
-ids of a text are those of its space-separated words in turn. A word that
-ends in plain punctuation is split there first, which the tokenizer's own
-pattern does as well.
+ids of a text are those of its white-space-separated words in turn. A word of
+letters with plain marks at its end is split there first, which the tokenizer's
+own pattern does as well.
 """
 
 from __future__ import annotations
@@ -13,10 +13,13 @@ import re
 
 import numpy as np
 
+from .common import Words
+
 END_ID = 1
-CACHED_WORDS = 400_000
+CACHED_WORDS, CACHED_PARTS = 700_000, 500_000
 #: ASCII and Latin-1 letters, which lower-case alike everywhere, then plain marks.
 _PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,!?;:#*$%&|]*)")
+_ENCODERS: dict[str, "TextEncoder"] = {}
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -25,47 +28,58 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-class TextEncoder:
-    """ids(text bytes) -> little-endian uint32 ids without the end id."""
+def encoder(path: str) -> "TextEncoder":
+    """The worker's encoder, kept from task to task with its words."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = TextEncoder(path)
+    return _ENCODERS[path]
 
+
+class TextEncoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[bytes, bytes] = {}
+        self.words = Words(self._learn, CACHED_WORDS)
         self.parts: dict[bytes, bytes] = {}
+        self.ids = np.zeros(1 << 16, "<u4")
+        self.used = 0
 
-    def _encode(self, texts: list[bytes]) -> list[bytes]:
-        got = self.tokenizer.encode_batch_fast([x.decode("utf-8", "surrogatepass") for x in texts], add_special_tokens=False)
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in got]
-
-    def _learn(self, words: set[bytes]) -> None:
-        """Ids of words not met before; those of letters and then marks are put together from two parts."""
-        split, need = {}, set()
+    def _learn(self, words: list[bytes]) -> dict[str, np.ndarray]:
+        """Where the ids of new words are in self.ids."""
+        if not self.words.filled:
+            self.used = 0
+        if len(self.parts) > CACHED_PARTS:
+            self.parts.clear()
+        split, need = [], set()
         for w in words:
             m = _PLAIN.fullmatch(w)
-            split[w] = parts = [x for x in (m[1].decode().lower().encode(), m[2]) if x] if m else [w]
-            need.update(parts)
-        need -= self.parts.keys()
+            split.append([x for x in (m[1].decode().lower().encode(), m[2]) if x] if m else [w])
+            need.update(split[-1])
+        need = list(need - self.parts.keys())
         if need:
-            need = list(need)
-            self.parts.update(zip(need, self._encode(need), strict=True))
-        for w, parts in split.items():
-            self.words[w] = b"".join([self.parts[x] for x in parts])
+            got = self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in need], add_special_tokens=False)
+            self.parts.update((x, np.array(e.ids, dtype="<u4").tobytes()) for x, e in zip(need, got, strict=True))
+        coded = [b"".join([self.parts[x] for x in parts]) for parts in split]
+        count = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+        first = self.used + np.cumsum(count) - count
+        new = np.frombuffer(b"".join(coded), "<u4")
+        if self.used + len(new) > len(self.ids):
+            grown = np.zeros(2 * (self.used + len(new)), "<u4")
+            grown[: self.used] = self.ids[: self.used]
+            self.ids = grown
+        self.ids[self.used : self.used + len(new)] = new
+        self.used += len(new)
+        return {"first": first, "count": count}
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of each text as bytes of little-endian uint32."""
-        if len(self.words) > CACHED_WORDS:
-            self.words.clear()
-        if len(self.parts) > CACHED_WORDS:
-            self.parts.clear()
-        lists = [x.replace(b"\n", b" ").split(b" ") for x in texts]
-        seen: set[bytes] = set()
-        for x in lists:
-            seen.update(x)
-        seen -= self.words.keys()
-        if seen:
-            self._learn(seen)
-        look = self.words.__getitem__
-        return [b"".join(map(look, x)) for x in lists]
+        """The ids of each text, without an end id, as bytes of little-endian uint32."""
+        at, ends = self.words.indices([x.split() for x in texts])
+        if not len(at):
+            return [b""] * len(texts)
+        first, count = self.words.columns["first"][at], self.words.columns["count"][at]
+        stop = np.concatenate([np.zeros(1, np.int64), np.cumsum(count)])
+        raw = memoryview(self.ids[np.repeat(first - stop[:-1], count) + np.arange(stop[-1])].tobytes())
+        cuts = (4 * stop[ends]).tolist()
+        return [bytes(raw[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
