@@ -71,7 +71,7 @@ def norm_sql(v: str, kind: str) -> str:
 
 
 def _byte(h: str, i: str) -> str:
-    return f"cast(conv(substring({h}, pmod(2 * ({i}), 64) + 1, 2), 16, 10) as int)"
+    return f"cast(conv(substring({h}, pmod(2 * ({i}), 128) + 1, 2), 16, 10) as int)"
 
 
 def _like(text: str, h: str, start: int = 0) -> str:
@@ -94,8 +94,8 @@ def _luhn(digits: str) -> str:
 
 
 def _hash(key: str, kind: str, norm: str, attempt: str, digits: int) -> str:
-    h = f"sha2(concat_ws('|', {_quoted(key)}, {kind}, {norm}, cast({attempt} as string)), 256)"
-    return h if digits == 64 else f"repeat(substring({h}, 1, {digits}), {-(-64 // digits)})"
+    h = f"sha2(concat_ws('|', {_quoted(key)}, {kind}, {norm}, cast({attempt} as string)), 512)"
+    return h if digits == 128 else f"repeat(substring({h}, 1, {digits}), {-(-128 // digits)})"
 
 
 def _name_word(word: str, gender: str, key: str, attempt: str, digits: int) -> str:
@@ -113,7 +113,7 @@ def _name_word(word: str, gender: str, key: str, attempt: str, digits: int) -> s
     return f"transform(transform(array(named_struct('h', {h})), y -> named_struct('n', {made})), z -> {cased})[0]"
 
 
-def surrogate_sql(v: str, kind: str, norm: str, h: str, attempt: str, key: str, digits: int = 64) -> str:
+def surrogate_sql(v: str, kind: str, norm: str, h: str, attempt: str, key: str, digits: int = 128) -> str:
     """The surrogate of a mention with hash `h`, in the mention's own format. Cards that fail the Luhn check and impossible addresses stay."""
     local, domain = f"substring_index({v}, '@', 1)", f"substring_index({v}, '@', -1)"
     front = f"regexp_extract({domain}, '^(.*[.])?[^.]+[.][^.]+$', 1)"
@@ -143,7 +143,7 @@ def _mentions(text: str) -> str:
     return f"transform(transform({found}, v -> named_struct('v', v, 'kind', {kind_sql('v')})), x -> named_struct('v', x.v, 'kind', x.kind, 'norm', {norm_sql('x.v', 'x.kind')}))"
 
 
-def redraws(docs: DataFrame, key: str, text: str = "text", digits: int = 64) -> DataFrame:
+def redraws(docs: DataFrame, key: str, text: str = "text", digits: int = 128) -> DataFrame:
     """kind, norm, attempt of the entities whose first draws clash; others take attempt 0.
 
     Entities are distinct (kind, normal form) pairs, counted before they are
@@ -170,7 +170,7 @@ def redraws(docs: DataFrame, key: str, text: str = "text", digits: int = 64) ->
     return (moved if moved is not None else entities).where("attempt > 0").select("kind", "norm", "attempt")
 
 
-def pseudonymised(docs: DataFrame, key: str, text: str = "text", digits: int = 64) -> DataFrame:
+def pseudonymised(docs: DataFrame, key: str, text: str = "text", digits: int = 128) -> DataFrame:
     """docs with `text` replaced, and `_found`, an array of (kind, surrogate) in order of the text.
 
     Null and empty texts stay as they are; all other columns are kept.
