@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, language, packing, perplexity, quality_model, sharding, surrogates, token_files
+from . import decontamination, jaccard_join, language, packing, perplexity, quality_model, sharding, surrogates, token_files
 from .common import read_table
 
 
@@ -28,6 +28,10 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_digest(read_table(spark, sf_dir, "documents"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(read_table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
     "op3_packing": op3_packing,
     "op5_token_files": op5_token_files,
+    "op6_decontamination": op6_decontamination,
     "op7_jaccard": op7_jaccard,
     "op8_surrogates": op8_surrogates,
     "op9_perplexity": op9_perplexity,
