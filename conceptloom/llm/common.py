@@ -191,15 +191,16 @@ def components(edges: DataFrame, tag: str) -> DataFrame:
         signature = now
 
 
-#: An id filter has at most so many bits (8 MB), whatever the number of ids.
-FILTER_BITS = 1 << 26
+#: An id filter has at most so many bits (16 MB), whatever the number of ids.
+FILTER_BITS = 1 << 27
 
 
 class IdFilter:
     """A bitmap of hashed ids of fixed greatest size: no id is missed; others may pass, which only costs work."""
 
-    def __init__(self, ids: DataFrame, column: str):
-        n = ids.count()
+    def __init__(self, ids: DataFrame, column: str, raw: bool = False):
+        """raw: the ids are hashes already, and their low bits serve."""
+        self.raw, n = raw, ids.count()
         self.bits = min(FILTER_BITS, max(1 << 16, 1 << (16 * max(1, n) - 1).bit_length()))
         at = self.bucket(column)
         rows = ids.select(at.alias("b")).groupBy(F.shiftright("b", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(b & 63 as int)))").alias("m")).toArrow()
@@ -208,6 +209,8 @@ class IdFilter:
         self.words = ids.sparkSession.sparkContext.broadcast(words)
 
     def bucket(self, column: str):
+        if self.raw:
+            return F.col(column).bitwiseAND(F.lit(self.bits - 1).cast("long"))
         return F.pmod(F.xxhash64(F.col(column)), F.lit(self.bits))
 
     def keep(self, docs: DataFrame, column: str) -> DataFrame:

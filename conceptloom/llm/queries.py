@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard_join, language, packing, perplexity, quality_model, sharding, surrogates, token_files
+from . import decontamination, jaccard_join, language, packing, perplexity, quality_model, sharding, substring_dedup, surrogates, token_files
 from .common import read_table
 
 
@@ -24,6 +24,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_digest(read_table(spark, sf_dir, "documents"))
 
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_sharding": op2_sharding,
     "op3_packing": op3_packing,
+    "op4_substring": op4_substring,
     "op5_token_files": op5_token_files,
     "op6_decontamination": op6_decontamination,
     "op7_jaccard": op7_jaccard,
