@@ -1,8 +1,65 @@
-"""The corpus pipeline over `documents`."""
+"""The corpus pipeline over `documents`: rules, near duplicates, benchmark leaks, personal data, packing.
 
-STAGES = []
+Each stage takes what its predecessor kept. All but the last return the columns
+of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from conceptloom.llm.common import read_table, written
+from conceptloom.llm.decontamination import drop_contaminated
+from conceptloom.llm.jaccard_join import keep_one
+from conceptloom.llm.packing import pack_documents
+from conceptloom.llm.perplexity import keep_documents
+from conceptloom.llm.surrogates import replace_in_documents
+
+#: Near duplicates here: five words a shingle, a similarity of 0.8.
+SHINGLE_WORDS, SIMILARITY_PERCENT = 5, 80
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rules or lie outside their language's perplexity band go."""
+    return keep_documents(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays, the one with the smallest id."""
+    return keep_one(docs, SIMILARITY_PERCENT, SHINGLE_WORDS)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a passage of the benchmark go."""
+    return drop_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data and secrets get surrogates; every document stays."""
+    return replace_in_documents(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left is cut into pieces and packed into sequences."""
+    return pack_documents(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("personal_data", personal_data),
+    ("packing", packing),
+]
+
+#: Perplexity, latent retrieval and token ids have no SQL form; tests compare with a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = written(docs, name)
+    return docs
