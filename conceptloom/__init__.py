@@ -1,0 +1 @@
+"""Annotation linking and concept-hierarchy analytics on Spark DataFrames."""

@@ -1,10 +1,603 @@
-"""The registered queries over the driver's tables."""
+"""The registered queries over the driver's tables, each beside its SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import codes, text
+from ..operators import concepts, hierarchy, mentions, statistics
+from ..session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str):
+    def register(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def count(name: str = "n"):
+    return F.count("*").cast("long").alias(name)
+
+
+# Atoms, mentions and edges made of the star schema.
+
+ATOMS = """atoms AS (SELECT 'C' || lpad(CAST(p_partkey % 500 AS VARCHAR), 7, '0') AS cui, CASE WHEN p_partkey % 7 = 0 THEN 'FRE' ELSE 'ENG' END AS lat,
+  CASE WHEN p_size % 2 = 0 THEN 'Y' ELSE 'N' END AS ispref, p_brand AS sab, CASE p_type WHEN 'ECONOMY' THEN 'PT' WHEN 'STANDARD' THEN 'PN' ELSE p_type END AS tty,
+  CAST(p_partkey AS VARCHAR) AS code, p_name || ' ' || lower(p_type) AS str, p_partkey AS line_no FROM part)"""
+MENTIONS = """mentions AS (SELECT p_brand AS sab, CASE l_linenumber % 3 WHEN 0 THEN CAST(p_partkey AS VARCHAR) WHEN 1 THEN CAST(p_partkey + 900000 AS VARCHAR) ELSE '' END AS code,
+  CASE l_linenumber % 4 WHEN 0 THEN upper(p_name || ' ' || p_type) WHEN 1 THEN p_name WHEN 2 THEN 'zq ' || p_name ELSE '' END AS text,
+  l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem JOIN part ON l_partkey = p_partkey)"""
+
+
+def atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    return p.select(
+        F.concat(F.lit("C"), F.lpad((F.col("p_partkey") % 500).cast("string"), 7, "0")).alias("cui"),
+        F.when(F.col("p_partkey") % 7 == 0, "FRE").otherwise("ENG").alias("lat"),
+        F.when(F.col("p_size") % 2 == 0, "Y").otherwise("N").alias("ispref"),
+        F.col("p_brand").alias("sab"),
+        F.when(F.col("p_type") == "ECONOMY", "PT").when(F.col("p_type") == "STANDARD", "PN").otherwise(F.col("p_type")).alias("tty"),
+        F.col("p_partkey").cast("string").alias("code"),
+        F.concat("p_name", F.lit(" "), F.lower("p_type")).alias("str"),
+        F.col("p_partkey").alias("line_no"),
+    )
+
+
+def part_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    k = F.col("l_linenumber")
+    return rows.select(
+        F.col("p_brand").alias("sab"),
+        F.when(k % 3 == 0, F.col("p_partkey").cast("string")).when(k % 3 == 1, (F.col("p_partkey") + 900000).cast("string")).otherwise("").alias("code"),
+        F.when(k % 4 == 0, F.upper(F.concat("p_name", F.lit(" "), "p_type"))).when(k % 4 == 1, F.col("p_name")).when(k % 4 == 2, F.concat(F.lit("zq "), "p_name")).otherwise("").alias("text"),
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+    )
+
+
+# Linking.
+
+_NORM = "regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}]', '', 'g')"
+_TOKENS = "list_distinct(list_filter(string_split_regex(lower({0}), '[^a-z0-9]+'), lambda x: length(x) >= 3))"
+CASCADE = f"""{ATOMS}, {MENTIONS}, keys AS (SELECT DISTINCT sab, code, text FROM mentions),
+ native AS (SELECT k.sab, k.code, k.text, i.cui FROM keys k JOIN (SELECT sab, code, arg_min(cui, line_no) AS cui FROM atoms GROUP BY 1, 2) i ON k.sab = i.sab AND k.code = i.code WHERE k.code <> ''),
+ left1 AS (SELECT k.* FROM keys k LEFT JOIN native n ON k.sab = n.sab AND k.code = n.code AND k.text = n.text WHERE n.cui IS NULL),
+ names AS (SELECT lower(trim(str)) AS name, arg_min(cui, line_no) AS cui FROM atoms GROUP BY 1),
+ exact AS (SELECT k.sab, k.code, k.text, n.cui FROM left1 k JOIN names n ON lower(trim(k.text)) = n.name WHERE k.text <> ''),
+ left2 AS (SELECT k.* FROM left1 k LEFT JOIN exact n ON k.sab = n.sab AND k.code = n.code AND k.text = n.text WHERE n.cui IS NULL),
+ normed AS (SELECT n, arg_min(cui, line_no) AS cui, arg_min(str, line_no) AS str, min(line_no) AS line_no FROM (SELECT *, {_NORM.format('str')} AS n FROM atoms) GROUP BY n),
+ texts AS (SELECT *, {_NORM.format('text')} AS t FROM left2),
+ near AS (SELECT sab, code, text, cui FROM (SELECT x.sab, x.code, x.text, m.cui, row_number() OVER (PARTITION BY x.sab, x.code, x.text ORDER BY
+   len(list_intersect({_TOKENS.format('x.text')}, {_TOKENS.format('m.str')})) DESC, abs(length(m.n) - length(x.t)), CASE WHEN left(m.n, 2) = left(x.t, 2) THEN 0 ELSE 1 END, m.line_no) AS r
+   FROM texts x JOIN normed m ON left(x.t, 1) = left(m.n, 1) AND (contains(m.n, x.t) OR contains(x.t, m.n)) WHERE x.t <> '' AND m.n <> '') WHERE r = 1),
+ found AS (SELECT *, 'native_id_mapping' AS method FROM native UNION ALL SELECT *, 'exact_match' FROM exact UNION ALL SELECT *, 'semantic_containment' FROM near),
+ linked AS (SELECT m.*, f.cui, coalesce(f.method, 'no_mapping') AS method FROM mentions m LEFT JOIN found f ON m.sab = f.sab AND m.code = f.code AND m.text = f.text)"""
+
+
+@query(f"WITH {CASCADE} SELECT method, coalesce(cui, '') AS cui, count(*) AS n FROM linked GROUP BY 1, 2")
+def link_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = concepts.cascade(part_mentions(spark, sf_dir), atoms(spark, sf_dir))
+    return linked.groupBy("method", F.coalesce("cui", F.lit("")).alias("cui")).agg(count())
+
+
+@query("""WITH k AS (SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN 'MSH' WHEN 1 THEN 'SNOMEDCT_US' ELSE 'MDR' END AS sab,
+  CASE p_partkey % 3 WHEN 0 THEN 'D' || CAST(p_partkey AS VARCHAR) ELSE '00' || CAST(p_partkey AS VARCHAR) END AS code FROM part),
+  i AS (SELECT CASE p_partkey % 3 WHEN 0 THEN 'MSH' WHEN 1 THEN 'SNOMEDCT_US' ELSE 'MDR' END AS sab, CAST(p_partkey AS VARCHAR) AS code, p_name AS cui FROM part WHERE p_partkey % 5 <> 0),
+  t AS (SELECT id, sab, code, 0 AS prio FROM k UNION ALL SELECT id, sab, CASE sab WHEN 'MSH' THEN substr(code, 2) WHEN 'SNOMEDCT_US' THEN ltrim(code, '0') ELSE CAST(CAST(code AS BIGINT) AS VARCHAR) END, 1 FROM k)
+  SELECT t.id, arg_min(i.cui, prio) AS cui FROM t JOIN i ON t.sab = i.sab AND t.code = i.code GROUP BY t.id""")
+def link_retry_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    key = F.col("p_partkey").cast("string")
+    sab = F.when(F.col("p_partkey") % 3 == 0, "MSH").when(F.col("p_partkey") % 3 == 1, "SNOMEDCT_US").otherwise("MDR").alias("sab")
+    keys = p.select(F.col("p_partkey").alias("id"), sab, F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("D"), key)).otherwise(F.concat(F.lit("00"), key)).alias("code"))
+    index = p.where("p_partkey % 5 <> 0").select(sab, key.alias("code"), F.col("p_name").alias("cui"))
+    return concepts.link_codes(keys, index)
+
+
+@query("""WITH t AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, 0 AS prio, 'part' AS sab, CAST(l_partkey * 3 AS VARCHAR) AS code FROM lineitem
+  UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, 1, 'supplier', CAST(l_suppkey * 2 AS VARCHAR) FROM lineitem),
+  i AS (SELECT 'part' AS sab, CAST(p_partkey AS VARCHAR) AS code, p_name AS cui FROM part UNION ALL SELECT 'supplier', CAST(s_suppkey AS VARCHAR), s_name FROM supplier),
+  f AS (SELECT l_partkey, l_suppkey, arg_min(cui, prio) AS cui FROM t JOIN i ON t.sab = i.sab AND t.code = i.code GROUP BY l_partkey, l_suppkey)
+  SELECT cui, count(*) AS n FROM f GROUP BY cui""")
+def link_multi_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").distinct().withColumn("id", F.struct("l_partkey", "l_suppkey"))
+    tries = F.array(
+        F.struct(F.lit(0).alias("prio"), F.lit("part").alias("sab"), (F.col("l_partkey") * 3).cast("string").alias("code")),
+        F.struct(F.lit(1).alias("prio"), F.lit("supplier").alias("sab"), (F.col("l_suppkey") * 2).cast("string").alias("code")),
+    )
+    index = table(spark, sf_dir, "part").select(F.lit("part").alias("sab"), F.col("p_partkey").cast("string").alias("code"), F.col("p_name").alias("cui"))
+    index = index.unionByName(table(spark, sf_dir, "supplier").select(F.lit("supplier").alias("sab"), F.col("s_suppkey").cast("string").alias("code"), F.col("s_name").alias("cui")))
+    return concepts.link_codes(keys, index, tries).groupBy("cui").agg(count())
+
+
+@query("""WITH c AS (SELECT o_orderkey, 'C' || lpad(CAST(o_custkey * 2 AS VARCHAR), 7, '0') AS cui FROM orders), k AS (SELECT DISTINCT 'C' || lpad(CAST(c_custkey AS VARCHAR), 7, '0') AS cui FROM customer)
+  SELECT cui, count(*) AS n FROM c WHERE regexp_matches(cui, '^C[0-9]{7}$') AND cui IN (SELECT cui FROM k) GROUP BY cui""")
+def validate_semijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cui = lambda c: F.concat(F.lit("C"), F.lpad(c.cast("string"), 7, "0")).alias("cui")
+    used = table(spark, sf_dir, "orders").select(cui(F.col("o_custkey") * 2))
+    return concepts.valid_concepts(used, table(spark, sf_dir, "customer").select(cui(F.col("c_custkey")))).groupBy("cui").agg(count())
+
+
+_COMPOSITE = "CASE l_linenumber % 4 WHEN 0 THEN 'D' || l_partkey || '|' || 'd' || l_suppkey WHEN 1 THEN 'OMIM:' || l_partkey || '|' || l_suppkey WHEN 2 THEN 'D' || l_partkey || '+' || l_suppkey ELSE '-' END"
+_CLASS = "CASE WHEN t = '' OR t = '-' THEN NULL WHEN t LIKE 'OMIM:%' THEN 'OMIM ' || substr(t, 6) WHEN regexp_matches(t, '^[Dd][0-9]+$') THEN 'MSH ' || upper(t) WHEN regexp_matches(t, '^[0-9]+$') THEN 'OMIM ' || t ELSE 'MSH ' || t END"
+
+
+def _composites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, s, k = F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"), F.col("l_linenumber")
+    concept = F.when(k % 4 == 0, F.concat(F.lit("D"), p, F.lit("|d"), s)).when(k % 4 == 1, F.concat(F.lit("OMIM:"), p, F.lit("|"), s)).when(k % 4 == 2, F.concat(F.lit("D"), p, F.lit("+"), s)).otherwise("-")
+    return table(spark, sf_dir, "lineitem").select(concept.alias("concept"))
+
+
+@query(f"""WITH c AS (SELECT concept, count(*) AS m FROM (SELECT {_COMPOSITE} AS concept FROM lineitem) GROUP BY concept),
+  f AS (SELECT concept, m, list_filter(list_transform(string_split_regex(concept, '[|+]'), lambda t: {_CLASS}), lambda x: x IS NOT NULL) AS found FROM c),
+  g AS (SELECT concept, m, CASE WHEN NOT contains(concept, '+') AND len(found) = len(string_split(concept, '|')) AND len(list_distinct(list_transform(found, lambda x: string_split(x, ' ')[1]))) = 1 THEN found ELSE [array_to_string(found, ', ')] END AS parts FROM f),
+  h AS (SELECT concept, m, unnest(parts) AS candidates FROM g)
+  SELECT candidates, CAST(sum(m) AS BIGINT) AS n FROM h GROUP BY candidates""")
+def candidate_split_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mentions.split_policy(_composites(spark, sf_dir).groupBy("concept").agg(F.count("*").alias("m")))
+    shown = F.array_join(F.transform("candidates", lambda x: F.concat(x["sab"], F.lit(" "), x["code"])), ", ")
+    return rows.groupBy(shown.alias("candidates")).agg(F.sum("m").cast("long").alias("n"))
+
+
+@query(f"""WITH c AS (SELECT concept, count(*) AS m FROM (SELECT {_COMPOSITE} AS concept FROM lineitem) GROUP BY concept),
+  i AS (SELECT concept, m, list_filter(string_split(concept, '|'), lambda x: trim(x) <> '' AND trim(x) <> '-') AS ids FROM c)
+  SELECT native_id, CAST(sum(m) AS BIGINT) AS n FROM (SELECT m, unnest(CASE WHEN len(ids) > 0 THEN ids ELSE [concept] END) AS native_id FROM i) GROUP BY native_id""")
+def explode_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mentions.explode_ids(_composites(spark, sf_dir).groupBy("concept").agg(F.count("*").alias("m")))
+    return rows.groupBy("native_id").agg(F.sum("m").cast("long").alias("n"))
+
+
+# Indexes.
+
+
+@query(f"""WITH {ATOMS}, e AS (SELECT lower(trim(str)) AS name, list({{'line_no': line_no, 'cui': cui, 'y': ispref = 'Y', 'p': tty IN ('PT', 'PN', 'PF')}} ORDER BY line_no) AS a FROM atoms WHERE lat = 'ENG' GROUP BY 1)
+  SELECT name, list_reduce(a, lambda s, x: CASE WHEN (NOT s.y AND x.y) OR (NOT s.p AND x.p) THEN x ELSE s END).cui AS cui FROM e""")
+def name_index_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return concepts.name_index(atoms(spark, sf_dir))
+
+
+@query(f"WITH {ATOMS} SELECT cui, coalesce(arg_max(str, line_no) FILTER (WHERE lat = 'ENG' AND str <> ''), arg_min(str, line_no)) AS name FROM atoms GROUP BY cui")
+def preferred_name_lastwins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return concepts.preferred_names(atoms(spark, sf_dir))
+
+
+@query(f"WITH {ATOMS} SELECT sab, tty AS code, arg_min(cui, line_no) AS cui FROM atoms GROUP BY sab, tty")
+def code_index_firstwins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return concepts.code_index(atoms(spark, sf_dir).withColumn("code", F.col("tty")))
+
+
+_CROSSWALK = """x AS (SELECT cui, sab, string_agg(tty, '|' ORDER BY first_at) AS tty, arg_max(term, last_at) AS term FROM
+  (SELECT cui, sab, tty, min(line_no) AS first_at, max(line_no) AS last_at, arg_max(str, line_no) AS term FROM atoms GROUP BY 1, 2, 3) GROUP BY 1, 2)"""
+
+
+@query(f"WITH {ATOMS}, {_CROSSWALK} SELECT cui, sab, tty, term FROM x")
+def tty_set_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return concepts.term_types(atoms(spark, sf_dir), ("cui", "sab"))
+
+
+@query(f"""WITH {ATOMS}, {_CROSSWALK}, c AS (SELECT sab, t AS tty, count(*) AS n FROM (SELECT sab, unnest(string_split(tty, '|')) AS t FROM x) GROUP BY 1, 2),
+  r AS (SELECT *, row_number() OVER (PARTITION BY sab ORDER BY n DESC, tty) AS rank FROM c) SELECT sab, tty, n, rank FROM r WHERE rank <= 5""")
+def tty_stats_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return concepts.top_term_types(concepts.term_types(atoms(spark, sf_dir), ("cui", "sab"))).select("sab", "tty", "n", F.col("rank").cast("long").alias("rank"))
+
+
+def _synonyms(preferred_only: bool) -> str:
+    names = "SELECT cui, coalesce(arg_max(str, line_no) FILTER (WHERE lat = 'ENG' AND str <> ''), arg_min(str, line_no)) AS str, 0 AS line_no FROM atoms GROUP BY cui" if preferred_only else "SELECT cui, str, line_no FROM atoms"
+    return f"""WITH {ATOMS}, names AS ({names}), m AS (SELECT p_partkey AS id, 'C' || lpad(CAST(p_partkey % 500 AS VARCHAR), 7, '0') AS cui, CASE WHEN p_partkey % 2 = 0 THEN upper(p_name || ' ' || p_type) ELSE p_name END AS text FROM part),
+  r AS (SELECT m.id, n.str, row_number() OVER (PARTITION BY m.id ORDER BY CASE WHEN lower(trim(m.text)) = lower(trim(n.str)) THEN 0 ELSE 1 END, len(list_intersect({_TOKENS.format('m.text')}, {_TOKENS.format('n.str')})) DESC, abs(length(n.str) - length(m.text)), n.line_no, n.str) AS r FROM m JOIN names n ON m.cui = n.cui)
+  SELECT id, str AS name FROM r WHERE r = 1"""
+
+
+def _synonym_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    shown = F.when(F.col("p_partkey") % 2 == 0, F.upper(F.concat("p_name", F.lit(" "), "p_type"))).otherwise(F.col("p_name"))
+    return p.select(F.col("p_partkey").alias("id"), F.concat(F.lit("C"), F.lpad((F.col("p_partkey") % 500).cast("string"), 7, "0")).alias("cui"), shown.alias("text"))
+
+
+@query(_synonyms(False))
+def closest_synonym(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return concepts.closest_synonym(_synonym_mentions(spark, sf_dir), atoms(spark, sf_dir))
+
+
+@query(_synonyms(True))
+def closest_synonym_preferred(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return concepts.closest_synonym(_synonym_mentions(spark, sf_dir), atoms(spark, sf_dir), preferred_only=True)
+
+
+@query("WITH t AS (SELECT 'C' || lpad(CAST(p_partkey % 500 AS VARCHAR), 7, '0') AS cui, p_type AS tui, p_partkey AS pos FROM part) SELECT cui, arg_min(tui, pos) AS tui FROM t GROUP BY cui")
+def semantic_type_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return concepts.first_types(table(spark, sf_dir, "part").select(F.concat(F.lit("C"), F.lpad((F.col("p_partkey") % 500).cast("string"), 7, "0")).alias("cui"), F.col("p_type").alias("tui"), F.col("p_partkey").alias("pos")))
+
+
+# Documents and mentions.
+
+
+@query("SELECT l_orderkey AS doc_id, string_agg(CAST(l_linenumber AS VARCHAR) || ':' || CAST(l_partkey AS VARCHAR) || ':' || CAST(l_suppkey AS VARCHAR), ' ' ORDER BY l_linenumber, l_partkey, l_suppkey) AS mentions FROM lineitem GROUP BY 1")
+def group_to_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), "l_linenumber", "l_partkey", "l_suppkey")
+    docs = mentions.to_documents(rows, ["doc_id"], ["l_linenumber", "l_partkey", "l_suppkey"], ["l_linenumber", "l_partkey", "l_suppkey"])
+    return docs.select("doc_id", F.array_join(F.transform("mentions", lambda m: F.concat_ws(":", m["l_linenumber"].cast("string"), m["l_partkey"].cast("string"), m["l_suppkey"].cast("string"))), " ").alias("mentions"))
+
+
+@query("""WITH a AS (SELECT l_orderkey AS doc_id, l_linenumber AS start, max(l_partkey) AS first_id FROM lineitem WHERE l_returnflag <> 'R' GROUP BY 1, 2),
+  b AS (SELECT l_orderkey AS doc_id, l_linenumber AS start, max(l_partkey) AS second_id FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1, 2)
+  SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CAST(coalesce(a.start, b.start) AS BIGINT) AS start, first_id, second_id, coalesce(first_id, second_id) AS native_id FROM a FULL OUTER JOIN b ON a.doc_id = b.doc_id AND a.start = b.start""")
+def span_full_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("long").alias("start"), F.col("l_partkey").alias("native_id"), F.col("l_partkey").alias("pos"), "l_returnflag", "l_linestatus")
+    return mentions.merge_spans(rows.where("l_returnflag <> 'R'"), rows.where("l_linestatus = 'O'"), ("doc_id", "start"))
+
+
+@query("SELECT d.doc_id, l.quality, substr(d.text, CAST(d.doc_id % 50 AS INTEGER) + 1, 20) AS mention FROM labels l JOIN documents d ON l.doc_id = d.doc_id")
+def note_annotation_inner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    notes = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("note_id"), "text")
+    marks = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("note_id"), "quality", (F.col("doc_id") % 50).cast("int").alias("start")).withColumn("end", F.col("start") + 20)
+    return mentions.with_notes(marks, notes).select(F.col("note_id").alias("doc_id"), "quality", "mention")
+
+
+@query("""WITH m AS (SELECT doc_id, 'train' AS split, 0 AS prio FROM labels WHERE quality = 1 UNION ALL SELECT doc_id, 'dev', 1 FROM labels WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, 'test', 2 FROM labels WHERE toxic = 1),
+  f AS (SELECT doc_id, arg_min(split, prio) AS split FROM m GROUP BY doc_id) SELECT d.doc_id, coalesce(f.split, 'unknown') AS split FROM documents d LEFT JOIN f ON d.doc_id = f.doc_id""")
+def split_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marks = table(spark, sf_dir, "labels")
+    member = lambda cond, name, prio: marks.where(cond).select("doc_id", F.lit(name).alias("split"), F.lit(prio).alias("prio"))
+    members = member("quality = 1", "train", 0).unionByName(member("doc_id % 3 = 0", "dev", 1)).unionByName(member("toxic = 1", "test", 2))
+    return mentions.split_of(table(spark, sf_dir, "documents").select("doc_id"), members)
+
+
+@query("SELECT conv_id, turn, CAST(coalesce(sum(length(text) + 2) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM conversations")
+def section_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mentions.section_offsets(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text")
+    return rows.select("conv_id", "turn", F.col("offset").cast("long").alias("start"))
+
+
+@query("""WITH s AS (SELECT doc_id, text, CAST(doc_id % 40 AS INTEGER) AS a, CAST(doc_id % 40 + doc_id % 7 AS INTEGER) AS b FROM documents)
+  SELECT doc_id, a >= 0 AND a < b AND b <= length(text) AS in_range, (a >= 0 AND a < b AND b <= length(text)) AND substr(text, a + 1, b - a) = substr(text, 1, b - a) AS matches FROM s""")
+def span_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text", (F.col("doc_id") % 40).cast("int").alias("start"), (F.col("doc_id") % 40 + F.col("doc_id") % 7).cast("int").alias("end"))
+    rows = rows.withColumn("mention", F.substring(F.col("text"), F.lit(1), F.col("end") - F.col("start")))
+    return mentions.valid_spans(rows, "text").select("doc_id", "in_range", "matches")
+
+
+# Text.
+
+
+@query("""WITH s AS (SELECT doc_id, text, substr(text, CAST(floor(length(text) / 2) AS INTEGER), 6) AS term FROM documents)
+  SELECT doc_id, CAST(instr(lower(text), lower(term)) - 1 AS BIGINT) AS start FROM s WHERE term <> '' AND contains(lower(text), lower(term))""")
+def find_span_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text", F.substring(F.col("text"), F.expr("cast(floor(length(text) / 2) as int)"), F.lit(6)).alias("term")).where("term <> ''")
+    start, _ = text.find_ignoring_case(F.col("text"), F.col("term"))
+    return rows.where(F.contains(F.lower("text"), F.lower("term"))).select("doc_id", start.cast("long").alias("start"))
+
+
+@query("""WITH s AS (SELECT doc_id, text, CAST(doc_id % 60 AS INTEGER) AS a, CAST(doc_id % 60 + 5 AS INTEGER) AS b FROM documents)
+  SELECT doc_id, trim(regexp_extract(substr(text, 1, a), '([^.!?]*)$', 1) || regexp_extract(substr(text, a + 1), '^([^.!?]*[.!?]?)', 1), ' \n\t\r') AS sentence FROM s""")
+def sentence_of_span(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = (F.col("doc_id") % 60).cast("int")
+    return table(spark, sf_dir, "documents").select("doc_id", text.sentence_around(F.col("text"), a, a + 5).alias("sentence"))
+
+
+def _cleaner_sql(rules: list[tuple[str, str]], column: str) -> str:
+    for pattern, by in rules:
+        new = "chr(10)" + " || chr(10)" * (by.count("\n") - 1) if "\n" in by else "'" + by.replace("$", chr(92)) + "'"
+        column = f"regexp_replace({column}, '{pattern}', {new}, 'g')"
+    return column
+
+
+_NOISE = "replace(replace(text, '. ', ' .  ( '), ', ', ' ,, ____ )')"
+
+
+def _noisy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.expr(_NOISE).alias("text"))
+
+
+@query(f"SELECT conv_id, turn, trim({_cleaner_sql(text.LABEL_RULES, _NOISE)}) AS clean FROM conversations")
+def clean_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _noisy(spark, sf_dir).select("conv_id", "turn", text.clean_label(F.col("text")).alias("clean"))
+
+
+@query(f"SELECT conv_id, turn, trim({_cleaner_sql(text.NOTE_RULES, _NOISE)}) AS clean FROM conversations")
+def clean_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _noisy(spark, sf_dir).select("conv_id", "turn", text.clean_note(F.col("text")).alias("clean"))
+
+
+@query(f"SELECT conv_id, turn, trim({_cleaner_sql(text.REPORT_RULES, _NOISE)}) AS clean FROM conversations")
+def clean_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _noisy(spark, sf_dir).select("conv_id", "turn", text.clean_report(F.col("text")).alias("clean"))
+
+
+@query("SELECT page_id, regexp_extract(regexp_replace(url, '[?#].*$', ''), '([^/]+)/?$', 1) AS tail FROM pages")
+def uri_last_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", text.uri_tail(F.col("url")).alias("tail"))
+
+
+@query("SELECT k, count(*) AS n FROM (SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events) GROUP BY k")
+def json_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select(F.from_json("props", "k long")["k"].alias("k")).groupBy("k").agg(count())
+
+
+@query("""SELECT l_partkey, l_suppkey, substr(p_name, 1, 2) || substr(p_name, 4, 3) AS joined FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) JOIN part ON l_partkey = p_partkey""")
+def multi_part_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").distinct().join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    return rows.select("l_partkey", "l_suppkey", text.join_parts(F.col("p_name"), text.offset_parts(F.lit("0,3"), F.lit("2, 3"))).alias("joined"))
+
+
+@query("""WITH t(id, spans) AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN '1-5,7-9' WHEN 1 THEN CAST(p_partkey AS VARCHAR) || '-' || CAST(p_partkey + p_size AS VARCHAR) ELSE 'x-9,4-2' END FROM part),
+  e AS (SELECT id, unnest(string_split(spans, ',')) AS s FROM t), f AS (SELECT id, TRY_CAST(split_part(s, '-', 1) AS INTEGER) AS a, TRY_CAST(split_part(s, '-', 2) AS INTEGER) AS b FROM e)
+  SELECT id, CAST(a AS BIGINT) AS start, CAST(b AS BIGINT) AS stop FROM f WHERE a IS NOT NULL AND b > a""")
+def explode_span_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    spans = F.when(k % 3 == 0, "1-5,7-9").when(k % 3 == 1, F.concat(k.cast("string"), F.lit("-"), (k + F.col("p_size")).cast("string"))).otherwise("x-9,4-2")
+    return mentions.explode_spans(p.select(k.alias("id"), spans.alias("spans"))).select("id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("stop"))
+
+
+# Code formats.
+
+_CODES = """SELECT v.vocab, CASE v.k WHEN 0 THEN CAST(1000000 + p_partkey AS VARCHAR) WHEN 1 THEN 'D' || lpad(CAST(p_partkey AS VARCHAR), 6, '0') WHEN 2 THEN 'GO:' || lpad(CAST(p_partkey AS VARCHAR), 7, '0') WHEN 3 THEN CAST(p_partkey AS VARCHAR) || '.' || CAST(p_size AS VARCHAR)
+  WHEN 4 THEN CAST(p_partkey AS VARCHAR) || '-1' WHEN 5 THEN 'MTHU' || CAST(p_partkey AS VARCHAR) ELSE 'A' || lpad(CAST(p_partkey % 100 AS VARCHAR), 2, '0') || '.' || CAST(p_size AS VARCHAR) END AS code FROM part CROSS JOIN (SELECT * FROM (VALUES ('SNOMEDCT_US', 0), ('MSH', 1), ('GO', 2), ('ICD9CM', 3), ('LNC', 4), ('LNC', 5), ('ICD10CM', 6), ('HPO', 2)) AS w(vocab, k)) v"""
+
+
+def _codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("p_partkey").cast("string")
+    pad = lambda n: F.lpad(key, n, "0")
+    made = {
+        ("SNOMEDCT_US", 0): (F.col("p_partkey") + 1000000).cast("string"), ("MSH", 1): F.concat(F.lit("D"), pad(6)), ("GO", 2): F.concat(F.lit("GO:"), pad(7)), ("HPO", 2): F.concat(F.lit("GO:"), pad(7)),
+        ("ICD9CM", 3): F.concat(key, F.lit("."), F.col("p_size").cast("string")), ("LNC", 4): F.concat(key, F.lit("-1")), ("LNC", 5): F.concat(F.lit("MTHU"), key),
+        ("ICD10CM", 6): F.concat(F.lit("A"), F.lpad((F.col("p_partkey") % 100).cast("string"), 2, "0"), F.lit("."), F.col("p_size").cast("string")),
+    }
+    return table(spark, sf_dir, "part").select(F.explode(F.array(*[F.struct(F.lit(v).alias("vocab"), c.alias("code")) for (v, _), c in made.items()])).alias("x")).select("x.*")
+
+
+@query(f"WITH c AS ({_CODES}) SELECT vocab, code, CASE vocab " + " ".join(f"WHEN '{v}' THEN regexp_matches(code, '{r}')" for v, r in codes.FORMATS.items()) + " ELSE false END AS ok, starts_with(code, 'MTHU') AS skipped FROM c")
+def code_format_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _codes(spark, sf_dir).select("vocab", "code", codes.valid(F.col("vocab"), F.col("code")).alias("ok"), codes.loinc_skipped(F.col("code")).alias("skipped"))
+
+
+@query("""WITH c AS (SELECT DISTINCT CASE p_partkey % 4 WHEN 0 THEN CAST(p_size AS VARCHAR) WHEN 1 THEN lpad(CAST(p_size AS VARCHAR), 2, '0') || '.' || CAST(p_partkey % 100 AS VARCHAR) WHEN 2 THEN CAST(p_partkey AS VARCHAR) || '-' || CAST(p_partkey + 9 AS VARCHAR) || '.99' ELSE CAST(100 + p_size AS VARCHAR) || '.1' END AS code FROM part)
+  SELECT code FROM c WHERE NOT (regexp_matches(code, '^[0-9]{2}[.][0-9]{1,2}$') OR regexp_matches(code, '^[0-9]+-[0-9]+[.]99$') OR (regexp_matches(code, '^[0-9]{1,2}$') AND code NOT IN ('30', '50', '52', '53')))""")
+def icd_exclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, size = F.col("p_partkey"), F.col("p_size").cast("string")
+    code = F.when(k % 4 == 0, size).when(k % 4 == 1, F.concat(F.lpad(size, 2, "0"), F.lit("."), (k % 100).cast("string"))).when(k % 4 == 2, F.concat(k.cast("string"), F.lit("-"), (k + 9).cast("string"), F.lit(".99"))).otherwise(F.concat((F.col("p_size") + 100).cast("string"), F.lit(".1")))
+    return table(spark, sf_dir, "part").select(code.alias("code")).distinct().where(~codes.icd_excluded(F.col("code")))
+
+
+# Hierarchies.
+
+EDGES = """e AS (SELECT DISTINCT 'P' || l_partkey AS child, 'S' || l_suppkey AS parent FROM lineitem WHERE l_partkey % 10 = 0 UNION SELECT 'S' || s_suppkey, 'N' || s_nationkey FROM supplier UNION SELECT 'N' || n_nationkey, 'R' || n_regionkey FROM nation)"""
+_WALK = """r(code, node, path, depth) AS (SELECT DISTINCT child, child, child, 1 FROM e WHERE child LIKE 'P%' UNION ALL SELECT r.code, e.parent, e.parent || ' > ' || r.path, r.depth + 1 FROM r JOIN e ON e.child = r.node),
+  p AS (SELECT code, path, depth FROM r LEFT JOIN e ON e.child = r.node WHERE e.child IS NULL)"""
+
+
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
+    link = lambda df, a, b: df.select(a.alias("child"), b.alias("parent"))
+    return (
+        link(table(spark, sf_dir, "lineitem").where("l_partkey % 10 = 0"), name("P", "l_partkey"), name("S", "l_suppkey"))
+        .union(link(table(spark, sf_dir, "supplier"), name("S", "s_suppkey"), name("N", "s_nationkey")))
+        .union(link(table(spark, sf_dir, "nation"), name("N", "n_nationkey"), name("R", "n_regionkey")))
+        .distinct()
+    )
+
+
+def _part_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = _edges(spark, sf_dir)
+    return hierarchy.walk_up(edges.where("child like 'P%'").select(F.col("child").alias("code")), edges, guard=False)
+
+
+def shown(column: str = "path"):
+    return F.array_join(column, " > ").alias("path")
+
+
+@query(f"WITH RECURSIVE {EDGES}, {_WALK} SELECT code, path FROM p")
+def path_dag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _part_paths(spark, sf_dir).select("code", shown())
+
+
+_LOOP = "(VALUES ('a', 'b'), ('b', 'c'), ('c', 'a'), ('b', 'root'), ('d', 'd'), ('d', 'c'), ('x', 'y'), ('y', 'x'))"
+
+
+def _loop(spark: SparkSession) -> DataFrame:
+    return spark.sql(f"SELECT * FROM {_LOOP} AS e(child, parent)")
+
+
+@query(f"""WITH RECURSIVE e(child, parent) AS (SELECT * FROM {_LOOP} AS v(c, p)), r(code, node, path, seen) AS (SELECT DISTINCT child, child, child, '|' || child || '|' FROM e
+  UNION ALL SELECT r.code, e.parent, e.parent || ' > ' || r.path, r.seen || e.parent || '|' FROM r JOIN e ON e.child = r.node WHERE NOT contains(r.seen, '|' || e.parent || '|'))
+  SELECT code, path FROM r LEFT JOIN e ON e.child = r.node WHERE e.child IS NULL""")
+def path_cycle_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hierarchy.walk_up(_loop(spark).select(F.col("child").alias("code")), _loop(spark)).select("code", shown())
+
+
+@query(f"""WITH RECURSIVE e(child, parent) AS (SELECT * FROM {_LOOP} AS v(c, p)), r(code, node, path, seen) AS (SELECT DISTINCT child, child, child, '|' || child || '|' FROM e
+  UNION ALL SELECT r.code, e.parent, e.parent || ' > ' || r.path, r.seen || e.parent || '|' FROM r JOIN e ON e.child = r.node WHERE NOT contains(r.seen, '|' || e.parent || '|'))
+  SELECT code, path FROM r WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.child = r.node AND NOT contains(r.seen, '|' || e.parent || '|'))""")
+def path_root_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hierarchy.walk_up(_loop(spark).select(F.col("child").alias("code")), _loop(spark), root_fallback=True).select("code", shown())
+
+
+@query(f"""WITH RECURSIVE {EDGES}, c AS (SELECT DISTINCT 'P' || p_partkey AS code FROM part WHERE p_partkey % 5 = 0), {_WALK}
+  SELECT p.code, p.path FROM p JOIN c ON p.code = c.code UNION ALL SELECT code, 'Unknown: ' || code FROM c WHERE code NOT IN (SELECT child FROM e)""")
+def path_unknown_node(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = table(spark, sf_dir, "part").where("p_partkey % 5 = 0").select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("code"))
+    edges = _edges(spark, sf_dir)
+    return hierarchy.with_unknown(wanted, hierarchy.walk_up(wanted, edges, guard=False), edges).select("code", shown())
+
+
+@query("""SELECT 'O' || o_orderkey AS code, 'R' || n_regionkey || ' > N' || n_nationkey || ' > C' || c_custkey || ' > O' || o_orderkey AS path FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderkey % 3 = 0""")
+def path_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
+    link = lambda df, a, b, pos: df.select(a.alias("child"), b.alias("parent"), F.lit(pos).alias("pos"))
+    orders = table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0")
+    edges = link(orders, name("O", "o_orderkey"), name("C", "o_custkey"), 0).union(link(orders, name("O", "o_orderkey"), F.lit("other"), 1))
+    edges = edges.union(link(table(spark, sf_dir, "customer"), name("C", "c_custkey"), name("N", "c_nationkey"), 0)).union(link(table(spark, sf_dir, "nation"), name("N", "n_nationkey"), name("R", "n_regionkey"), 0))
+    return hierarchy.walk_up(orders.select(name("O", "o_orderkey").alias("code")), hierarchy.single_parent(edges)).select("code", shown())
+
+
+@query("""WITH t AS (SELECT page_id, 'A' || CAST(page_id % 90 AS VARCHAR) || '.' || CAST(page_id % 7 AS VARCHAR) || '.' || CAST(page_id AS VARCHAR) AS tree FROM pages)
+  SELECT page_id, left(tree, 1) || ' > ' || split_part(tree, '.', 1) || ' > ' || split_part(tree, '.', 1) || '.' || split_part(tree, '.', 2) || ' > ' || tree AS down, tree || ' > ' || split_part(tree, '.', 1) || '.' || split_part(tree, '.', 2) || ' > ' || split_part(tree, '.', 1) || ' > ' || left(tree, 1) AS up FROM t""")
+def path_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tree = F.concat(F.lit("A"), (F.col("page_id") % 90).cast("string"), F.lit("."), (F.col("page_id") % 7).cast("string"), F.lit("."), F.col("page_id").cast("string"))
+    rows = table(spark, sf_dir, "pages").select("page_id", hierarchy.prefixes(tree).alias("steps"))
+    return rows.select("page_id", F.array_join("steps", " > ").alias("down"), F.array_join(F.reverse("steps"), " > ").alias("up"))
+
+
+@query("""SELECT s_suppkey, array_to_string(list_filter([r_name, CASE WHEN n_nationkey % 3 = 0 THEN NULL ELSE n_name END, s_name], lambda x: x IS NOT NULL), ' > ') AS path FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
+def path_wide_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wide = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return wide.withColumn("n_name", F.when(F.col("n_nationkey") % 3 == 0, "").otherwise(F.col("n_name"))).select("s_suppkey", F.array_join(hierarchy.levels(["r_name", "n_name", "s_name"]), " > ").alias("path"))
+
+
+@query("SELECT s_suppkey, r_name || ' > ' || n_name || ' > ' || s_name AS path FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
+def path_lineage_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lineage = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.array("r_name", "n_name").alias("lineage"))
+    return table(spark, sf_dir, "supplier").join(lineage, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.array_join(F.concat("lineage", F.array("s_name")), " > ").alias("path"))
+
+
+@query(f"WITH RECURSIVE {EDGES}, {_WALK} SELECT code, path FROM (SELECT code, path, row_number() OVER (PARTITION BY code ORDER BY path) AS r FROM p WHERE depth <= 4) WHERE r <= 3")
+def path_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hierarchy.capped(_part_paths(spark, sf_dir), 3, 4).select("code", shown())
+
+
+@query(f"""WITH RECURSIVE {EDGES}, {_WALK}, c AS (SELECT substr(code, length(code)) AS grp, code, count(*) AS n, sum(depth) AS nodes, min(depth) AS lo, max(depth) AS hi FROM p GROUP BY 1, 2)
+  SELECT grp, count(*) AS codes, CAST(sum(n) AS BIGINT) AS total_paths, round(avg(n), 9) AS mean_paths, round(median(n), 9) AS median_paths, CAST(min(lo) AS BIGINT) AS min_length, CAST(max(hi) AS BIGINT) AS max_length, round(CAST(sum(nodes) AS DOUBLE) / sum(n), 9) AS mean_length FROM c GROUP BY grp""")
+def path_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = hierarchy.path_stats(_part_paths(spark, sf_dir).withColumn("grp", F.right("code", F.lit(1))), ["grp"])
+    whole, part = ("min_length", "max_length"), ("mean_paths", "median_paths", "mean_length")
+    return out.withColumns({c: F.col(c).cast("long") for c in whole} | {c: F.round(c, 9) for c in part})
+
+
+@query(f"""WITH RECURSIVE {EDGES}, {_WALK}, n AS (SELECT code, count(*) AS n_paths FROM p GROUP BY code), c AS (SELECT 'C' || lpad(CAST(p_partkey % 50 AS VARCHAR), 7, '0') AS cui, 'P' || p_partkey AS code, p_size FROM part)
+  SELECT cui, CASE WHEN NOT regexp_matches(c.code, '^P[0-9]+0$') THEN 'error' WHEN p_size % 5 = 0 THEN 'inactive' WHEN n_paths IS NULL THEN 'not_found' ELSE 'success' END AS status, count(*) AS codes, CAST(sum(coalesce(n_paths, 0)) AS BIGINT) AS paths FROM c LEFT JOIN n ON c.code = n.code GROUP BY 1, 2""")
+def cui_code_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cui = F.concat(F.lit("C"), F.lpad((F.col("p_partkey") % 50).cast("string"), 7, "0")).alias("cui")
+    rows = table(spark, sf_dir, "part").select(cui, F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("code"), "p_size")
+    out = hierarchy.code_status(rows, _part_paths(spark, sf_dir), F.col("code").rlike("^P[0-9]+0$"), F.col("p_size") % 5 != 0)
+    return out.groupBy("cui", "status").agg(count("codes"), F.sum("n_paths").alias("paths"))
+
+
+@query(f"""WITH RECURSIVE {EDGES}, {_WALK}, n AS (SELECT code, count(*) AS n FROM p GROUP BY code) SELECT count(*) AS codes, CAST(sum(n) AS BIGINT) AS paths, round(avg(n), 9) AS mean FROM n""")
+def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = _part_paths(spark, sf_dir).groupBy("code").agg(F.count("*").alias("n"))
+    return n.agg(count("codes"), F.sum("n").alias("paths"), F.round(F.avg("n"), 9).alias("mean"))
+
+
+@query(f"""WITH {ATOMS}, a(vocab, sab, prio) AS (SELECT * FROM (VALUES ('V1', 'Brand#13', 0), ('V1', 'Brand#5', 1), ('V2', 'Brand#5', 0), ('V2', 'Brand#1', 1)) AS v(x, y, z)),
+  j AS (SELECT a.vocab, atoms.cui, atoms.code, rank() OVER (PARTITION BY cui, vocab ORDER BY prio) AS r FROM atoms JOIN a ON atoms.sab = a.sab) SELECT vocab, cui, code FROM j WHERE r = 1""")
+def vocab_alias_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aliases = spark.sql("SELECT * FROM VALUES ('V1', 'Brand#13', 0), ('V1', 'Brand#5', 1), ('V2', 'Brand#5', 0), ('V2', 'Brand#1', 1) AS a(vocab, sab, prio)")
+    return concepts.alias_lookup(atoms(spark, sf_dir).select("cui", "sab", "code"), aliases).select("vocab", "cui", "code")
+
+
+@query(f"WITH {ATOMS} SELECT DISTINCT cui FROM atoms WHERE sab IN ('Brand#13', 'Brand#5')")
+def vocab_cui_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return concepts.usable(atoms(spark, sf_dir), ["Brand#13", "Brand#5"]).select("cui").distinct()
+
+
+@query("SELECT DISTINCT 'C' || p_partkey AS cui FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)")
+def resume_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cui = lambda c: F.concat(F.lit("C"), F.col(c).cast("string")).alias("cui")
+    return hierarchy.resume(table(spark, sf_dir, "part").select(cui("p_partkey")).distinct(), table(spark, sf_dir, "lineitem").where("l_quantity > 45").select(cui("l_partkey")))
+
+
+# Statistics.
+
+_LINES = """lines AS (SELECT o_orderstatus AS dataset, l_orderkey AS doc_id, l_linenumber AS start, l_linenumber + 5 AS stop, l_shipdate AS text, CASE WHEN l_partkey % 11 = 0 THEN '' WHEN l_partkey % 13 = 0 THEN 'CUI-less' ELSE 'C' || l_partkey END AS cui FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
+_HAS = "cui <> '' AND cui <> 'CUI-less'"
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    cui = F.when(F.col("l_partkey") % 11 == 0, "").when(F.col("l_partkey") % 13 == 0, "CUI-less").otherwise(F.concat(F.lit("C"), F.col("l_partkey").cast("string")))
+    return rows.select(F.col("o_orderstatus").alias("dataset"), F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("start"), (F.col("l_linenumber") + 5).alias("end"), F.col("l_shipdate").alias("text"), cui.alias("cui"))
+
+
+_BASIC = f"""b AS (SELECT dataset, count(DISTINCT doc_id) AS documents, count(*) AS mentions, count(DISTINCT text) AS texts, count(DISTINCT (doc_id, start, stop)) AS spans, count(DISTINCT CASE WHEN {_HAS} THEN cui END) AS concepts,
+  count(*) FILTER (WHERE {_HAS}) AS mapped, count(*) FILTER (WHERE NOT ({_HAS})) AS unmapped FROM lines GROUP BY dataset)"""
+
+
+@query(f"WITH {_LINES}, {_BASIC} SELECT * FROM b")
+def doc_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return statistics.basic(_lines(spark, sf_dir), ["dataset"])
+
+
+@query(f"WITH {_LINES}, {_BASIC} SELECT dataset, round(mapped / mentions, 9) AS mapping_rate, round(mentions / documents, 9) AS mentions_a_document, round(mapped / concepts, 9) AS mentions_a_concept FROM b")
+def doc_stats_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = statistics.rates(statistics.basic(_lines(spark, sf_dir), ["dataset"]))
+    return out.select("dataset", *[F.round(c, 9).alias(c) for c in ("mapping_rate", "mentions_a_document", "mentions_a_concept")])
+
+
+@query(f"""WITH {_LINES}, d AS (SELECT dataset, doc_id, count(*) AS n FROM lines GROUP BY 1, 2) SELECT dataset, round(avg(n), 9) AS mean, CAST(median(n) AS DOUBLE) AS median, min(n) AS least, max(n) AS greatest, round(stddev_pop(n), 9) AS deviation FROM d GROUP BY dataset""")
+def mention_len_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = _lines(spark, sf_dir).groupBy("dataset", "doc_id").agg(F.count("*").alias("n"))
+    return statistics.summary(n, "n", ["dataset"]).withColumns({"mean": F.round("mean", 9), "deviation": F.round("deviation", 9)})
+
+
+_SOURCE = """s AS (SELECT CASE l_linenumber % 2 WHEN 0 THEN CAST(l_partkey AS VARCHAR) ELSE '' END AS specific, CAST(l_suppkey AS VARCHAR) AS general,
+  CASE l_linenumber % 5 WHEN 0 THEN CAST(l_partkey AS VARCHAR) WHEN 1 THEN CAST(l_suppkey AS VARCHAR) WHEN 2 THEN 'C' || l_partkey WHEN 3 THEN 'X' || l_partkey ELSE '' END AS native, CASE WHEN l_quantity > 40 THEN '' ELSE 'C' || l_partkey END AS cui FROM lineitem)"""
+
+
+@query(f"""WITH {_SOURCE} SELECT CASE WHEN cui = '' THEN 'unmapped' WHEN specific <> '' AND specific = native THEN 'specific' WHEN general <> '' AND general = native THEN 'general' WHEN native LIKE 'C%' THEN 'cui_validation' WHEN native <> '' THEN 'ontology_id' ELSE 'text' END AS source, count(*) AS n FROM s GROUP BY 1""")
+def mapping_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, s, k = F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"), F.col("l_linenumber")
+    native = F.when(k % 5 == 0, p).when(k % 5 == 1, s).when(k % 5 == 2, F.concat(F.lit("C"), p)).when(k % 5 == 3, F.concat(F.lit("X"), p)).otherwise("")
+    rows = table(spark, sf_dir, "lineitem").select(F.when(k % 2 == 0, p).otherwise("").alias("specific"), s.alias("general"), native.alias("native"), F.when(F.col("l_quantity") > 40, "").otherwise(F.concat(F.lit("C"), p)).alias("cui"))
+    return rows.groupBy(statistics.mapping_source("specific", "general", "native", "cui").alias("source")).agg(count())
+
+
+@query(f"""WITH {_SOURCE} SELECT count(*) FILTER (WHERE native = '' AND cui <> '') AS from_nothing, count(*) FILTER (WHERE native LIKE 'C%' AND cui <> '' AND native = cui) AS validated, count(*) FILTER (WHERE native LIKE 'C%' AND cui <> '' AND native <> cui) AS corrected, count(*) FILTER (WHERE cui = '') AS lost FROM s""")
+def improvements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, s, k = F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"), F.col("l_linenumber")
+    native = F.when(k % 5 == 0, p).when(k % 5 == 1, s).when(k % 5 == 2, F.concat(F.lit("C"), p)).when(k % 5 == 3, F.concat(F.lit("X"), p)).otherwise("")
+    rows = table(spark, sf_dir, "lineitem").select(native.alias("native"), F.when(F.col("l_quantity") > 40, "").otherwise(F.concat(F.lit("C"), p)).alias("cui"))
+    return rows.agg(
+        F.count_if((F.col("native") == "") & (F.col("cui") != "")).alias("from_nothing"),
+        F.count_if(F.col("native").startswith("C") & (F.col("cui") != "") & (F.col("native") == F.col("cui"))).alias("validated"),
+        F.count_if(F.col("native").startswith("C") & (F.col("cui") != "") & (F.col("native") != F.col("cui"))).alias("corrected"),
+        F.count_if(F.col("cui") == "").alias("lost"),
+    )
+
+
+@query("SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1 ORDER BY n DESC, l_partkey LIMIT 20")
+def counters_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return statistics.top(table(spark, sf_dir, "lineitem"), "l_partkey", 20)
+
+
+@query(f"""WITH {_LINES}, x AS (SELECT DISTINCT dataset, cui, 'S' || (start % 3) AS sab, 'K' || (start % 2) AS code, dataset || start AS tty FROM lines WHERE {_HAS})
+  SELECT cui, sab, code, arg_max(tty, dataset || tty) AS tty, count(DISTINCT dataset) AS datasets FROM x GROUP BY 1, 2, 3""")
+def cross_dataset_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _lines(spark, sf_dir).where(statistics.HAS_CUI).select("dataset", "cui", F.concat(F.lit("S"), (F.col("start") % 3).cast("string")).alias("sab"), F.concat(F.lit("K"), (F.col("start") % 2).cast("string")).alias("code"), F.concat("dataset", F.col("start").cast("string")).alias("tty"))
+    latest = rows.groupBy("dataset", "cui", "sab", "code").agg(F.max("tty").alias("tty"))
+    return concepts.merged([latest.where(F.col("dataset") == d) for d in ("F", "O", "P")])
+
+
+@query(f"""WITH {_LINES}, q AS (SELECT DISTINCT dataset, cui FROM lines WHERE {_HAS}), s AS (SELECT cui, count(*) AS k, min(dataset) AS dataset FROM q GROUP BY cui)
+  SELECT q.dataset, count(*) AS concepts, count(*) FILTER (WHERE s.k = 1) AS own, round(count(*) / (SELECT count(*) FROM s), 9) AS coverage FROM q JOIN s ON q.cui = s.cui GROUP BY q.dataset""")
+def cross_dataset_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return statistics.across(_lines(spark, sf_dir)).withColumn("coverage", F.round("coverage", 9))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 100 < 10 THEN 'dev' WHEN doc_id % 100 < 50 THEN 'test' ELSE 'train' END AS split FROM documents")
+def split_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("doc_id") % 100
+    return table(spark, sf_dir, "documents").select("doc_id", F.when(k < 10, "dev").when(k < 50, "test").otherwise("train").alias("split"))
+
+
+@query("SELECT event_type, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS percent FROM events GROUP BY event_type")
+def semantic_group_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return statistics.shares(table(spark, sf_dir, "events"), "event_type")
+
+
+@query("SELECT d.name AS domain, count(*) AS n FROM documents JOIN (SELECT * FROM (VALUES ('en', 'literature'), ('de', 'clinical'), ('fr', 'clinical'), ('es', 'social')) AS v(lang, name)) d ON documents.lang = d.lang GROUP BY 1")
+def domain_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    domains = spark.sql("SELECT * FROM VALUES ('en', 'literature'), ('de', 'clinical'), ('fr', 'clinical'), ('es', 'social') AS v(lang, domain)")
+    return table(spark, sf_dir, "documents").join(F.broadcast(domains), "lang").groupBy("domain").agg(count())  # four rows
+
+
+@query("""WITH e AS (SELECT min(n_chars) AS lo, max(n_chars) AS hi FROM documents) SELECT CAST(least(floor((n_chars - lo) * 50 / (hi - lo)), 49) AS INTEGER) AS bin, count(*) AS n FROM documents, e GROUP BY 1""")
+def histogram_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return statistics.histogram(table(spark, sf_dir, "documents"), "n_chars", 50)
