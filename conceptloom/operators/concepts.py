@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from ..functions import codes
 from ..functions.text import alnum, folded, tokens
+from ..session import cut_lineage
 
 PREFERRED = ("PT", "PN", "PF")
 EMPTY_CODES = ("nan", "NULL", "null", "")
@@ -115,12 +116,13 @@ def cascade(mentions: DataFrame, atoms: DataFrame) -> DataFrame:
     what the steps before left.
     """
     keys = mentions.select("sab", "code", "text").distinct().withColumn("id", F.struct("sab", "code", "text"))
-    native = link_codes(keys.where("code <> ''"), code_index(atoms)).withColumn("method", F.lit("native_id_mapping"))
-    left = keys.join(native, "id", "left_anti")
-    exact = link_names(left, atoms.groupBy(folded(F.col("str")).alias("name")).agg(F.min_by("cui", "line_no").alias("cui"))).withColumn("method", F.lit("exact_match"))
-    left = left.join(exact, "id", "left_anti")
-    near = link_contained(left, atoms).withColumn("method", F.lit("semantic_containment"))
-    found = native.unionByName(exact).unionByName(near).select("id.sab", "id.code", "id.text", "cui", "method")
+    native = link_codes(keys.where("code <> ''"), code_index(atoms)).select("id", F.col("cui").alias("native"))
+    names = atoms.groupBy(folded(F.col("str")).alias("name")).agg(F.min_by("cui", "line_no").alias("exact"))
+    # one row a distinct combination, read by the steps below instead of being computed for each
+    seen = cut_lineage(keys.join(native, "id", "left").withColumn("name", F.when(F.col("text") != "", folded(F.col("text")))).join(names, "name", "left").select("id", "sab", "code", "text", "native", "exact"), "keys")
+    near = link_contained(seen.where("native is null and exact is null").select("id", "text"), atoms).select("id", F.col("cui").alias("near"))
+    method = F.when(F.col("native").isNotNull(), "native_id_mapping").when(F.col("exact").isNotNull(), "exact_match").when(F.col("near").isNotNull(), "semantic_containment")
+    found = seen.join(near, "id", "left").select("sab", "code", "text", F.coalesce("native", "exact", "near").alias("cui"), method.alias("method"))
     return mentions.join(found, ["sab", "code", "text"], "left").withColumn("method", F.coalesce("method", F.lit("no_mapping")))
 
 
