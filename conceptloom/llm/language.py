@@ -129,7 +129,7 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
         grams = Grams()
         for batch in chunks(batches):
             out = [(k, v) for k, v, letter in grams.vectors(raw_texts(batch)) if letter]
-            keep = [k for k, _ in out]
+            keep = pa.array([k for k, _ in out], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep), pa.array([v.astype("<f4").tobytes() for _, v in out], pa.binary())], names=["lang", "h", "x"])
 
     # a row a sampled document, at most per_language a language
