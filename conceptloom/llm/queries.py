@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import decontamination, jaccard_join, language, packing, perplexity, quality_model, sharding, substring_dedup, surrogates, token_files
 from .common import read_table
+from .oracles import ORACLE_SQL
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,4 +67,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language": op10_language,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
