@@ -30,6 +30,8 @@ from .common import IdFilter, Words, chunks, mix, raw_texts, shared_dir, word_ha
 
 WINDOW, GRAM = 35, 12
 BATCHES, MAX_RUNS = 2, 4
+#: Text that is looked at together; a worker holds some forty bytes of arrays a byte of text.
+CHUNK_BYTES = 2 << 20
 _BASE, _CHECK = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 _PLACE = np.uint64((1 << 24) - 1)
 
@@ -109,7 +111,7 @@ class FingerprintIndex:
 
         def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             table = _words()
-            for batch in chunks(batches):
+            for batch in chunks(batches, most=CHUNK_BYTES):
                 part = Chunk(table, raw_texts(batch), window, gram)
                 places = np.unique(part.anchor, return_index=True)[1]
                 if len(places):
@@ -149,7 +151,7 @@ def repeats(docs: DataFrame, candidates: DataFrame, window: int = WINDOW, gram:
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _words()
-        for batch in chunks(batches):
+        for batch in chunks(batches, most=CHUNK_BYTES):
             part = Chunk(table, raw_texts(batch), window, gram)
             if not len(part.row):
                 continue
@@ -286,14 +288,14 @@ def remove_repeats(docs: DataFrame, index: FingerprintIndex | None = None, batch
         return pa.RecordBatch.from_arrays(arrays, names=names)
 
     def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
+        for batch in chunks(batches, most=CHUNK_BYTES):
             b = batch.column(1).to_numpy() & (bits - 1)
             batch = batch.filter(pa.array((held.value[b >> 6] >> (b & 63)) & 1 == 0))
             if batch.num_rows:
                 yield finished(batch.column(0), raw_texts(batch), [None] * batch.num_rows)
 
     def shortened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
+        for batch in chunks(batches, most=CHUNK_BYTES):
             yield finished(batch.column(0), raw_texts(batch), batch.column(2).to_pylist())
 
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + extra
