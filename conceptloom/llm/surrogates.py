@@ -35,7 +35,7 @@ SYLLABLES = {
 }
 ENDINGS = {"latin": {"m": "n", "f": "a", "s": "rd"}, "cyrillic": {"m": "н", "f": "я", "s": "ров"}, "greek": {"m": "ς", "f": "η", "s": "ου"}}
 
-_TITLE = "|".join(t for group in TITLES.values() for t in group)
+_TITLE = "|".join(x for group in TITLES.values() for t in group for x in (t, t.upper()))
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
     "phone": r"(?:\+[0-9]{1,3} ?)?\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}\b",
@@ -130,7 +130,7 @@ def surrogate_sql(v: str, kind: str, norm: str, h: str, attempt: str, key: str,
     access = "concat('AKIA', " + ", ".join(f"substring('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', {_byte(h, str(k))} % 32 + 1, 1)" for k in range(16)) + ")"
     secret = f"concat(left({v}, length({v}) - length({norm})), {_like(norm, h)})"
     titles = ", ".join(_quoted(t) for t in TITLES["m"])
-    gender = f"case when regexp_replace(substring_index({v}, ' ', 1), '[.]$', '') in ({titles}) then 'm' else 'f' end"
+    gender = f"case when initcap(regexp_replace(substring_index({v}, ' ', 1), '[.]$', '')) in ({titles}) then 'm' else 'f' end"
     words = f"slice(split({v}, ' '), 2, 9)"
     one = _name_word("w", f"case when k = size({words}) - 1 then 's' else {gender} end", key, attempt, digits)
     name = f"concat(substring_index({v}, ' ', 1), ' ', array_join(transform({words}, (w, k) -> {one}), ' '))"
@@ -153,8 +153,10 @@ def redraws(docs: DataFrame, key: str, text: str = "text", digits: int = 128) ->
     bare = docs.select(F.explode(F.expr(_mentions(f"`{text}`"))).alias("x")).groupBy("x.kind", "x.norm").agg(F.min("x.v").alias("v"))
     entities = written(bare.withColumn("attempt", F.lit(0)), "entities")
     moved = None
-    # a surrogate in its normal form, so that formats don't hide a clash
-    drawn = lambda df: df.withColumn("h", F.expr(_hash(key, "kind", "norm", "attempt", digits))).withColumn("s", F.expr(surrogate_sql("v", "kind", "norm", "h", "attempt", key, digits))).withColumn("s", F.expr(norm_sql("s", "kind")))
+    # A surrogate in its normal form, so that formats don't hide a clash. Within lambdas the long expression is
+    # interpreted, which suits a few distinct entities; compiled, it costs the driver hundreds of MB.
+    one = f"transform(array(named_struct('v', v, 'kind', kind, 'norm', norm, 'a', attempt, 'h', {_hash(key, 'kind', 'norm', 'attempt', digits)})), x -> {surrogate_sql('x.v', 'x.kind', 'x.norm', 'x.h', 'x.a', key, digits)})"
+    drawn = lambda df: written(df.withColumn("s", F.expr(f"transform({one}, x -> {norm_sql('x', 'kind')})[0]")), "drawn")
     for _ in range(64):
         now = drawn(entities)
         now = now.where(F.col("s") != F.col("norm"))  # what is left as it is takes no part
