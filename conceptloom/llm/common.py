@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 WHITE = b" \t\n\x0b\x0c\r"
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 WORD_CACHE = 400_000
 
 
@@ -213,14 +213,14 @@ class IdFilter:
             return F.col(column).bitwiseAND(F.lit(self.bits - 1).cast("long"))
         return F.pmod(F.xxhash64(F.col(column)), F.lit(self.bits))
 
-    def keep(self, docs: DataFrame, column: str) -> DataFrame:
-        """The rows of docs whose id may be among the ids, and a few more."""
+    def keep(self, docs: DataFrame, column: str, others: bool = False) -> DataFrame:
+        """The rows of docs whose id is among the ids, and a few more; or just the others, which surely are not."""
         words, names = self.words, docs.columns
 
         def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 b = batch.column(batch.num_columns - 1).to_numpy()
-                ok = (words.value[b >> 6] >> (b & 63)) & 1 == 1
+                ok = (words.value[b >> 6] >> (b & 63)) & 1 == (0 if others else 1)
                 yield batch.select(names).filter(pa.array(ok))
 
         return docs.select(*names, self.bucket(column).alias("_bucket")).mapInArrow(passing, docs.schema)

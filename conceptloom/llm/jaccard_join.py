@@ -33,7 +33,9 @@ from .common import IdFilter, Words, chunks, components, mix, raw_texts, sorted_
 
 #: Percent of the union that a link takes, and words a shingle.
 PERCENT, WORDS = 90, 3
-BAND, LOW, RISK = 1.4, 1, 60.0
+BAND = 1.4
+#: From this threshold on segments are large enough to do without those of one shingle; what a coincidence costs.
+STRICT_PERCENT, STRICT_RISK, LOOSE_RISK = 88, 60.0, 2.0
 #: A family is verified in blocks of so many documents or shingles at most (a document is never divided).
 BLOCK_DOCS, BLOCK_SHINGLES = 1024, 1 << 20
 
@@ -49,6 +51,7 @@ class Scheme:
 
     def __init__(self, percent: int = PERCENT):
         self.percent = percent
+        self.low, self.risk = (1, STRICT_RISK) if percent >= STRICT_PERCENT else (0, LOOSE_RISK)
         self.least = next(n for n in range(1, 10_000) if self.most_differing(n))  # smaller sets link only if equal
 
     def most_differing(self, size: int) -> int:
@@ -69,14 +72,14 @@ class Scheme:
         for _ in range(20):
             m = h + 1 + spare
             at = sizes[0] / m
-            need = math.ceil(1.2 * m * math.exp(-at) * (1 + at)) + 1
+            need = math.ceil(1.2 * m * math.exp(-at) * (1 + at * self.low)) + 1
             if need <= spare:
                 break
             spare = need
-        exact = (m + RISK * m * math.exp(-at) * (1 + at + at * at / 2), m, 1, spare)
+        exact = (m + self.risk * m * math.exp(-at) * (1 + at + at * at / 2), m, 1, spare)
         m = -(-(h + 1) // 2)
         at = sizes[0] / m
-        deletion = (sizes[1] + m + RISK * m * math.exp(-at) * (1 + at + at * at / 2 + at**3 / 6), m, 2, 0)
+        deletion = (sizes[1] + m + self.risk * m * math.exp(-at) * (1 + at + at * at / 2 + at**3 / 6), m, 2, 0)
         return min(exact, deletion)[1:]
 
     @lru_cache(maxsize=10_000)  # noqa: B019
@@ -118,34 +121,82 @@ class Scheme:
         seed = np.arange(m, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(band * 2 + 1) * np.uint64(0xD6E8FEB86659FD93)
         if budget == 2:
             return np.concatenate([mix(whole ^ seed), mix((whole[segment] - x) ^ seed[segment])])
-        keep = count > LOW
+        keep = count > self.low
         if (~keep).sum() > spare:
             keep[:] = True
         return mix(whole ^ seed)[keep]
 
 
-def prepared(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n (shingles), k1 and k2 (a 128-bit digest of the set) and signatures of each document."""
+def prepared(docs: DataFrame, words: int = WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n (shingles), k1 and k2 (a 128-bit digest of the set) of each document."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, scheme = Words(lambda new: {"h": word_hashes(new)}), Scheme(percent)
+        table = Words(lambda new: {"h": word_hashes(new)})
         for batch in chunks(batches):
-            ids, ends = table.indices([t.lower().split() for t in raw_texts(batch)])
-            h = table.columns["h"][ids] if len(ids) else np.zeros(0, np.uint64)
-            n, keys, out = [], [], []
-            for a, b in zip(ends[:-1], ends[1:], strict=True):
-                s = shingle_set(h[a:b], words)
+            n, keys = [], []
+            for s in _shingle_sets(table, raw_texts(batch), words):
                 d = xxhash.xxh3_128_intdigest(s.tobytes())
                 n.append(len(s))
                 keys.append((d >> 64, d & (1 << 64) - 1))
-                out.append(scheme.signatures(s).view(np.int64))
             keys = np.array(keys, np.uint64).reshape(-1, 2).view(np.int64)
-            sizes = np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate(out)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]), lists], names=["doc_id", "n", "k1", "k2", "signatures"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1])], names=["doc_id", "n", "k1", "k2"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(sets, "doc_id long, n long, k1 long, k2 long, signatures array<long>")
+    return rows.mapInArrow(sets, "doc_id long, n long, k1 long, k2 long")
+
+
+def _shingle_sets(table: Words, texts: list[bytes], words: int) -> Iterator[np.ndarray]:
+    ids, ends = table.indices([t.lower().split() for t in texts])
+    h = table.columns["h"][ids] if len(ids) else np.zeros(0, np.uint64)
+    for a, b in zip(ends[:-1], ends[1:], strict=True):
+        yield shingle_set(h[a:b], words)
+
+
+def star_edges(nodes: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
+    """a, b: of the nodes (node, text) that share a signature, each with the smallest.
+
+    Nodes that meet in one chunk of text are joined there, and the smallest stands for
+    them, so a signature that very many share is a row a chunk; the rest are dealt
+    by signature, once.
+    """
+
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, scheme = Words(lambda new: {"h": word_hashes(new)}), Scheme(percent)
+        for batch in chunks(batches):
+            node = batch.column(0).to_numpy()
+            found = [scheme.signatures(x) for x in _shingle_sets(table, raw_texts(batch), words)]
+            s, owner = np.concatenate(found), np.repeat(node, [len(x) for x in found])
+            order = np.lexsort((owner, s))
+            s, owner = s[order], owner[order]
+            new = np.ones(len(s), bool)
+            new[1:] = s[1:] != s[:-1]
+            low = owner[new][np.cumsum(new) - 1] if len(s) else owner
+            pairs = np.unique(np.stack([owner[owner != low], low[owner != low]]), axis=1)
+            n = int(new.sum())
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([s[new].view(np.int64), pairs[0]])), pa.array(np.concatenate([owner[new], pairs[0]])), pa.array(np.concatenate([np.zeros(n, np.int64), pairs[1]]), mask=np.arange(n + pairs.shape[1]) < n)], names=["s", "a", "b"])
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, least = None, 0
+        for batch in batches:
+            edge = np.asarray(batch.column(2).is_valid())
+            s, a = batch.column(0).to_numpy()[~edge], batch.column(1).to_numpy()[~edge]
+            known = batch.filter(pa.array(edge)).select(["a", "b"])
+            if known.num_rows:
+                yield known
+            if not len(s):
+                continue
+            new = np.ones(len(s), bool)
+            new[1:] = s[1:] != s[:-1]
+            first = a[new]
+            if last == s[0]:
+                first[0] = least
+            low = first[np.cumsum(new) - 1]
+            last, least = s[-1], low[-1]
+            pairs = np.unique(np.stack([a[a != low], low[a != low]]), axis=1)
+            if pairs.shape[1]:
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+
+    return nodes.select("node", "text").mapInArrow(signed, "s long, a long, b long").repartition("s").sortWithinPartitions("s", "a").mapInArrow(joined, "a long, b long")
 
 
 def common_counts(sets: list[np.ndarray], width: int = 4096) -> np.ndarray:
@@ -221,12 +272,12 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, words: int = WOR
     partner or candidate is capped.
     """
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63)).cast("long")).alias("doc_id"), F.col(text).alias("text"))
-    table = written(prepared(rows, percent, words), "sets")
+    table = written(prepared(rows, words), "sets")
     sets = table.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.max("n").alias("n"))
     sets = written(sets, "nodes")
-    own = table.where("n > 0").join(sets.select("k1", "k2", F.col("node").alias("doc_id")), ["k1", "k2", "doc_id"]).select(F.col("doc_id").alias("node"), F.explode("signatures").alias("s"))
-    shared = own.groupBy("s").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("s", "low")
-    families = components(own.join(shared, "s").where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")), "families")
+    # some copies pass as well; their edges lead to their own family and end there
+    nodes = IdFilter(sets, "node").keep(rows.select(F.col("doc_id").alias("node"), "text"), "node")
+    families = components(star_edges(nodes, percent, words), "families")
     members = sets.groupBy("node").agg(F.sum("copies").alias("copies"), F.sum("n").alias("n")).join(families.withColumnRenamed("root", "family"), "node")
     found = written(verified(written(members, "members"), rows, percent, words), "links")
     roots = components(found.select(F.col("node").alias("a"), F.col("to").alias("b")), "components")
