@@ -145,3 +145,23 @@ def test_gram_hashes_tell_languages_apart():
     a, b = (perplexity.gram_hash(codes, np.array([3, 4]), 2, perplexity.lang_seed(x)) for x in ("en", "de"))
     assert len({*a.tolist(), *b.tolist()}) == 4
     assert isinstance(pa.array(a), pa.Array)
+
+
+def test_bands_catch_labelled_junk(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = perplexity.quality_rules(read_table(spark, sf, "documents")).join(read_table(spark, sf, "labels"), "doc_id").where("not base_failed").collect()
+    junk, clean = ([r.kept for r in rows if r.quality == q] for q in (0, 1))
+    assert len(junk) > 10 and sum(junk) / len(junk) < 0.1 and sum(clean) / len(clean) > 0.98
+
+
+def test_each_side_of_a_band_rejects_junk(documents):
+    r = np.random.default_rng(3)
+    parts = "an be con der el fi gra hol in jo ka lum mer no".split()
+    text = lambda n: " ".join("".join(r.choice(parts, r.integers(1, 5))) for _ in range(n))
+    clean = [text(120) for _ in range(150)]
+    marked = " ".join(w + "#$%"[k % 3] * 3 for k, w in enumerate(text(120).split()))
+    barred = text(120).replace(" ", " | ")
+    short = " ".join(r.choice(parts, 120))  # lies below the spelling's band
+    rare = " ".join("".join(r.choice(list("qxzwvy"), 8)) for _ in range(120))  # lies above it
+    rows = {x.doc_id: x.kept for x in perplexity.quality_rules(documents([*clean, marked, barred, short, rare])).where("not base_failed").collect()}
+    assert [rows[k] for k in range(150, 154)] == [False] * 4 and all(rows[k] for k in range(150))
