@@ -180,3 +180,18 @@ def test_words_cache_is_bounded():
         ids, ends = table.indices([[b"a" * j for j in range(1, 9)], [], [b"x%d" % k]])
         assert table.columns["n"][ids].tolist() == [*range(1, 9), 2] and ends.tolist() == [0, 8, 8, 9]
     assert len(table) <= 19
+
+
+def test_a_leak_beside_heavy_words_is_found():
+    r = np.random.default_rng(2)
+    item = " ".join(f"q{k}" for k in range(40))
+    idf = np.ones(decontamination.TERMS)
+    weights = 0.01 * r.standard_normal((decontamination.TERMS, 8)).astype(np.float32)
+    heavy = decontamination._describe([b"heavy"])["term"][0]
+    weights[heavy] = 100.0
+    queries = decontamination.prepare_queries([(7, item, None)], weights, idf)
+    for changed, kind in ((0, 1.0), (12, 0.7)):  # verbatim, and with words changed but the answer kept
+        words = [f"z{k}" if k < changed else w for k, w in enumerate(item.split())]
+        text = " ".join(["heavy"] * 30 + words + ["heavy"] * 30)
+        found = decontamination.find(queries, decontamination._table(), [text.encode(), ("heavy other " * 50).encode(), b""])
+        assert [(x[0], x[1]) for x in found] == [(0, 0)] and found[0][2] == pytest.approx(kind) and found[0][3] < 0.55
