@@ -36,14 +36,16 @@ SYLLABLES = {
 ENDINGS = {"latin": {"m": "n", "f": "a", "s": "rd"}, "cyrillic": {"m": "н", "f": "я", "s": "ров"}, "greek": {"m": "ς", "f": "η", "s": "ου"}}
 
 _TITLE = "|".join(x for group in TITLES.values() for t in group for x in (t, t.upper()))
+#: Entities of no fixed length are taken to their end. Quantifiers are possessive and an address starts where its run of symbols does
+#: (or where the last entity ended), so that time is linear in the text.
 PATTERNS = {
-    "email": r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
+    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "phone": r"(?:\+[0-9]{1,3} ?)?\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}\b",
     "ip": r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b",
     "card": r"\b[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}\b",
     "key": r"\bAKIA[A-Z0-9]{16}\b",
-    "secret": r"\b(?:token|password|passwd|secret|api_key)[ ]?[=:][ ]?[\"']?[A-Za-z0-9_+/-]{12,128}",
-    "name": rf"\b(?:{_TITLE})\.? \p{{Lu}}\p{{L}}{{1,40}}(?: \p{{Lu}}\p{{L}}{{1,40}})?",
+    "secret": r"\b(?:token|password|passwd|secret|api_key)[ ]?[=:][ ]?[\"']?[A-Za-z0-9_+/-]{12,}+(?:\.[A-Za-z0-9_+/-]++)*+",
+    "name": rf"\b(?:{_TITLE})\.? \p{{Lu}}\p{{L}}++(?: \p{{Lu}}\p{{L}}++)*+",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A text without any of these holds no entity.
@@ -66,7 +68,7 @@ def kind_sql(v: str) -> str:
 def norm_sql(v: str, kind: str) -> str:
     """What makes two mentions the same entity."""
     return f"""case {kind} when 'email' then lower({v}) when 'phone' then right(regexp_replace({v}, '[^0-9]', ''), 10)
-        when 'card' then regexp_replace({v}, '[^0-9]', '') when 'secret' then regexp_extract({v}, '([A-Za-z0-9_+/-]+)$', 1)
+        when 'card' then regexp_replace({v}, '[^0-9]', '') when 'secret' then regexp_extract({v}, '([A-Za-z0-9_+/.-]+)$', 1)
         when 'name' then lower(regexp_replace({v}, '^\\\\S+ ', '')) else {v} end"""
 
 
@@ -76,11 +78,11 @@ def _byte(h: str, i: str) -> str:
 
 def _like(text: str, h: str, start: int = 0) -> str:
     """Letters and digits of a text replaced by others of their class; lower-case hexadecimal stays that."""
-    c, b = f"substring({text}, i, 1)", _byte(h, f"i + {start}")
-    one = f"""case when {text} rlike '^[0-9a-f]+$' then substring('0123456789abcdef', {b} % 16 + 1, 1)
-        when {c} rlike '[0-9]' then cast({b} % 10 as string) when {c} rlike '[a-z]' then substring('abcdefghijklmnopqrstuvwxyz', {b} % 26 + 1, 1)
-        when {c} rlike '[A-Z]' then substring('ABCDEFGHIJKLMNOPQRSTUVWXYZ', {b} % 26 + 1, 1) else {c} end"""
-    return f"case when {text} = '' then '' else array_join(transform(sequence(1, length({text})), i -> {one}), '') end"
+    b = _byte(h, f"i + {start + 1}")
+    one = f"""case when hexadecimal then substring('0123456789abcdef', {b} % 16 + 1, 1)
+        when c rlike '[0-9]' then cast({b} % 10 as string) when c rlike '[a-z]' then substring('abcdefghijklmnopqrstuvwxyz', {b} % 26 + 1, 1)
+        when c rlike '[A-Z]' then substring('ABCDEFGHIJKLMNOPQRSTUVWXYZ', {b} % 26 + 1, 1) else c end"""
+    return f"case when {text} = '' then '' else transform(array({text} rlike '^[0-9a-f]+$'), hexadecimal -> array_join(transform(split({text}, ''), (c, i) -> {one}), ''))[0] end"
 
 
 def _digits(h: str, n: int) -> str:
@@ -131,7 +133,7 @@ def surrogate_sql(v: str, kind: str, norm: str, h: str, attempt: str, key: str,
     secret = f"concat(left({v}, length({v}) - length({norm})), {_like(norm, h)})"
     titles = ", ".join(_quoted(t) for t in TITLES["m"])
     gender = f"case when initcap(regexp_replace(substring_index({v}, ' ', 1), '[.]$', '')) in ({titles}) then 'm' else 'f' end"
-    words = f"slice(split({v}, ' '), 2, 9)"
+    words = f"slice(split({v}, ' '), 2, length({v}))"
     one = _name_word("w", f"case when k = size({words}) - 1 then 's' else {gender} end", key, attempt, digits)
     name = f"concat(substring_index({v}, ' ', 1), ' ', array_join(transform({words}, (w, k) -> {one}), ' '))"
     return f"case {kind} when 'email' then {email} when 'phone' then {phone} when 'ip' then {ip} when 'card' then {card} when 'key' then {access} when 'secret' then {secret} else {name} end"

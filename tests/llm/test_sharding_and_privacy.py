@@ -101,3 +101,18 @@ def test_pipeline_stages(spark, sf, corpus):
     leaked = {r.doc_id for r in decontamination.leaks(docs, read_table(spark, sf, "benchmark")).collect()}
     assert {r.doc_id for r in rows} == stay - leaked
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_duplicates", "decontamination", "personal_data", "packing"]
+
+
+def test_entities_of_any_length_go_whole(documents):
+    secret, part = "s3Cr" * 55, "Ab9_" * 5
+    long_name = "Q" + "x" * 60
+    texts = [
+        f"api_key={secret} end", f"token={part}.{part[::-1]}.{part} end", f"Mr John Ronald Reuel {long_name} left", f"to {'u7' * 50}@mail.example.org now",
+        "to me@" + ".".join(f"sub{k}x" for k in range(12)) + ".org now", "a1@b.com_c2@dee.com end", "q" * 200_000 + " 7",
+    ]
+    rows = {r.doc_id: r.text for r in surrogates.replace_personal_data(documents(texts)).collect()}
+    assert re.fullmatch(r"api_key=[0-9a-zA-Z]{220} end", rows[0]) and not any(secret[k : k + 12] in rows[0] for k in range(200))
+    assert re.fullmatch(r"token=\w{20}\.\w{20}\.\w{20} end", rows[1]) and part not in rows[1] and part[::-1] not in rows[1]
+    assert re.fullmatch(r"Mr( [A-Z][a-z]+){4} left", rows[2]) and not any(w in rows[2] for w in ("John", "Ronald", "Reuel", long_name))
+    assert "u7u7" not in rows[3] and "@" in rows[3] and rows[3].endswith(".example.org now")
+    assert not re.search(r"sub\d+x", rows[4]) and "c2@dee" not in rows[5] and rows[6] == texts[6]
