@@ -6,6 +6,10 @@ surrogate wherever it occurs (coreference). A second pass over distinct entities
 checks that no two of one kind share a surrogate and that no surrogate is an
 entity of the corpus itself; those that fail draw again.
 
+Each attempt draws from a larger space: e-mail addresses get a label before
+example, names more syllables, and secrets that clash many times more symbols. If
+entities still clash after ATTEMPTS rounds, an error is raised; none share a surrogate.
+
 Fixed formats: e-mail addresses keep the shape of the local part and lie under
 example; phone numbers keep country code and grouping; IPv4 addresses are IPv4
 addresses; card numbers keep the first digit, grouping and the Luhn check;
@@ -52,6 +56,8 @@ ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 HINT = rf"[0-9@]|AKIA|token|passw|secret|api_key|{_TITLE}"
 #: Entities that drew again are looked up in a literal map up to this number, beyond it by a join.
 LITERAL_REDRAWS = 2_000
+#: Rounds of drawing; from the attempt LONGER on secrets get longer.
+ATTEMPTS, LONGER = 64, 8
 _EDGE = r"^[ \"']+"
 
 
@@ -107,8 +113,10 @@ def _name_word(word: str, gender: str, key: str, attempt: str, digits: int) -> s
     for name, parts in SYLLABLES.items():
         table = "array(" + ", ".join(_quoted(p) for p in parts) + ")"
         pick = ", ".join(f"element_at({table}, {_byte('y.h', str(3 * k))} * 7 % {len(parts)} + 1)" for k in range(3))
+        # a syllable more every second attempt
+        more = f"array_join(transform(slice(sequence(3, 19), 1, least({attempt} div 2, 17)), k -> element_at({table}, {_byte('y.h', '3 * k')} * 7 % {len(parts)} + 1)), '')"
         ending = f"case {gender} when 'm' then '{ENDINGS[name]['m']}' when 'f' then '{ENDINGS[name]['f']}' else '{ENDINGS[name]['s']}' end"
-        choose.append(f"when '{name}' then concat({pick}, {ending})")
+        choose.append(f"when '{name}' then concat({pick}, {more}, {ending})")
     made = f"case {script} {' '.join(choose)} end"
     h = _hash(key, f"concat('name-', {gender})", f"lower({word})", attempt, digits)
     cased = f"case when {word} = upper({word}) and length({word}) > 1 then upper(z.n) else initcap(z.n) end"
@@ -119,7 +127,8 @@ def surrogate_sql(v: str, kind: str, norm: str, h: str, attempt: str, key: str,
     """The surrogate of a mention with hash `h`, in the mention's own format. Cards that fail the Luhn check and impossible addresses stay."""
     local, domain = f"substring_index({v}, '@', 1)", f"substring_index({v}, '@', -1)"
     front = f"regexp_extract({domain}, '^(.*[.])?[^.]+[.][^.]+$', 1)"
-    email = f"concat({_like(local, h)}, '@', {_like(front, h, 19)}, 'example.', substring_index({domain}, '.', -1))"
+    label = f"case when {attempt} > 0 then concat('m', substring({h}, 65, least(2 * {attempt}, 60)), '.') else '' end"
+    email = f"concat({_like(local, h)}, '@', {_like(front, h, 19)}, {label}, 'example.', substring_index({domain}, '.', -1))"
     ten = _digits(h, 10)
     gap = f"case when {v} like '%) %' then ') ' else ')' end"
     phone = f"concat(substring_index({v}, '(', 1), '(', left({ten}, 3), {gap}, substring({ten}, 4, 3), '-', right({ten}, 4))"
@@ -130,7 +139,7 @@ def surrogate_sql(v: str, kind: str, norm: str, h: str, attempt: str, key: str,
     grouped = f"transform(array(concat({fifteen}, {_luhn(fifteen)})), d -> concat_ws({sep}, substring(d, 1, 4), substring(d, 5, 4), substring(d, 9, 4), substring(d, 13, 4)))[0]"
     card = f"case when right({norm}, 1) <> {_luhn(norm)} then {v} else {grouped} end"
     access = "concat('AKIA', " + ", ".join(f"substring('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', {_byte(h, str(k))} % 32 + 1, 1)" for k in range(16)) + ")"
-    secret = f"concat(left({v}, length({v}) - length({norm})), {_like(norm, h)})"
+    secret = f"concat(left({v}, length({v}) - length({norm})), {_like(norm, h)}, case when {attempt} >= {LONGER} then substring({h}, 65, least(2 * ({attempt} - {LONGER} + 1), 60)) else '' end)"
     titles = ", ".join(_quoted(t) for t in TITLES["m"])
     gender = f"case when initcap(regexp_replace(substring_index({v}, ' ', 1), '[.]$', '')) in ({titles}) then 'm' else 'f' end"
     words = f"slice(split({v}, ' '), 2, length({v}))"
@@ -150,7 +159,7 @@ def redraws(docs: DataFrame, key: str, text: str = "text", digits: int = 128) ->
 
     Entities are distinct (kind, normal form) pairs, counted before they are
     shuffled; of those that share a surrogate the smallest keeps it. Each round
-    handles only what clashes; it ends when nothing does.
+    handles only what clashes; it ends when nothing does, or with an error.
     """
     bare = docs.select(F.explode(F.expr(_mentions(f"`{text}`"))).alias("x")).groupBy("x.kind", "x.norm").agg(F.min("x.v").alias("v"))
     entities = written(bare.withColumn("attempt", F.lit(0)), "entities")
@@ -159,9 +168,10 @@ def redraws(docs: DataFrame, key: str, text: str = "text", digits: int = 128) ->
     # interpreted, which suits a few distinct entities; compiled, it costs the driver hundreds of MB.
     one = f"transform(array(named_struct('v', v, 'kind', kind, 'norm', norm, 'a', attempt, 'h', {_hash(key, 'kind', 'norm', 'attempt', digits)})), x -> {surrogate_sql('x.v', 'x.kind', 'x.norm', 'x.h', 'x.a', key, digits)})"
     drawn = lambda df: written(df.withColumn("s", F.expr(f"transform({one}, x -> {norm_sql('x', 'kind')})[0]")), "drawn")
-    for _ in range(64):
+    for _ in range(ATTEMPTS):
         now = drawn(entities)
-        now = now.where(F.col("s") != F.col("norm"))  # what is left as it is takes no part
+        left = F.col("kind").isin("ip", "card") | ~F.col("norm").rlike(r"[\p{L}0-9]")
+        now = now.where((F.col("s") != F.col("norm")) | ~left)  # what is left as it is takes no part; what drew itself does
         first = now.groupBy("kind", "s").agg(F.min(F.struct("attempt", "norm")).alias("first"), F.count("*").alias("n"))
         taken = first.where("n > 1").select("kind", "s", F.col("first.norm").alias("winner"))
         twice = now.join(taken, ["kind", "s"]).where(F.col("norm") != F.col("winner")).select("kind", "norm")
@@ -171,6 +181,8 @@ def redraws(docs: DataFrame, key: str, text: str = "text", digits: int = 128) ->
             break
         entities = written(entities.join(again.withColumn("more", F.lit(1)), ["kind", "norm"], "left").select("kind", "norm", "v", (F.col("attempt") + F.coalesce("more", F.lit(0))).alias("attempt")), "entities")
         moved = entities
+    else:
+        raise RuntimeError(f"{again.count()} entities still share a surrogate, or have one that is an entity, after {ATTEMPTS} rounds")
     return (moved if moved is not None else entities).where("attempt > 0").select("kind", "norm", "attempt")
 
 

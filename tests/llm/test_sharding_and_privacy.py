@@ -116,3 +116,15 @@ def test_entities_of_any_length_go_whole(documents):
     assert re.fullmatch(r"Mr( [A-Z][a-z]+){4} left", rows[2]) and not any(w in rows[2] for w in ("John", "Ronald", "Reuel", long_name))
     assert "u7u7" not in rows[3] and "@" in rows[3] and rows[3].endswith(".example.org now")
     assert not re.search(r"sub\d+x", rows[4]) and "c2@dee" not in rows[5] and rows[6] == texts[6]
+
+
+def test_more_entities_than_short_surrogates(documents, monkeypatch):
+    mails = [f"a@x{k}.com" for k in range(40)]  # one letter a to f: 16 local parts under example.com
+    secrets = [f"password=___________{k}" for k in range(10)]  # all ten that their format has
+    rows = surrogates.replace_personal_data(documents([f"at {x} end" for x in mails + secrets])).collect()
+    made = [r.text for r in rows]
+    assert len(set(made)) == 50 and not set(made) & {f"at {x} end" for x in mails + secrets}
+    monkeypatch.setattr(surrogates, "ATTEMPTS", 2)
+    docs = documents([f"at {k % 250 + 1}.2.3.4 end" for k in range(250)])
+    with pytest.raises(RuntimeError, match="still share"):
+        surrogates.redraws(docs, "key", digits=1)
