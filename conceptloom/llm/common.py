@@ -43,11 +43,57 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spare_names(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns of our own that df has not, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def row_keys(df: DataFrame) -> tuple:
+    """Two 64-bit hashes of all columns of a row; rows with equal keys are the same."""
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    return F.xxhash64(*columns), F.xxhash64(F.lit("second"), *columns)
+
+
 def doc_bucket(doc_id: str, modulus: int):
     """crc32 of the id as text, modulo; a null id counts as an empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def hash_sample(rows: DataFrame, most: int, per: str | None = None) -> DataFrame:
+    """The `most` distinct rows with the smallest hashes, of each value of `per` if given. Equal rows count as one.
+
+    Hashes alone are sorted, each task's smallest first; texts are read once more, and only those
+    of the sample move.
+    """
+    hashed = rows.withColumn("_hash", F.xxhash64(*rows.columns))
+    if per is None:
+        chosen = hashed.select("_hash").distinct().orderBy("_hash").limit(most)
+        return hashed.join(F.broadcast(chosen), "_hash", "left_semi").dropDuplicates(["_hash"]).drop("_hash")
+    group = F.coalesce(F.col(per).cast("string"), F.lit(""))
+
+    def smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] = {}
+        for batch in batches:
+            names, values = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy()
+            for name in set(names):
+                held[name] = np.unique(np.concatenate([held.get(name, values[:0]), values[names == name]]))[:most]
+        for name, values in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(values), pa.string()), pa.array(values)], names=["g", "_hash"])
+
+    narrow = hashed.select(group.alias("g"), "_hash").mapInArrow(smallest, "g string, _hash long")
+    # a second step on sub-groups keeps what meets in one task small, whatever the number of tasks
+    for keys in (["g", F.pmod(F.col("_hash"), F.lit(64))], ["g"]):
+        narrow = narrow.distinct().withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy("_hash"))).where(F.col("_rank") <= most).drop("_rank")
+    return hashed.join(F.broadcast(narrow.select("_hash")), "_hash", "left_semi").dropDuplicates(["_hash"]).drop("_hash")
+
+
 def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices batches so that none holds much more text than `most` bytes (one row at least)."""
     for batch in batches:
@@ -215,7 +261,7 @@ class IdFilter:
 
     def keep(self, docs: DataFrame, column: str, others: bool = False) -> DataFrame:
         """The rows of docs whose id is among the ids, and a few more; or just the others, which surely are not."""
-        words, names = self.words, docs.columns
+        words, names, (bucket,) = self.words, docs.columns, spare_names(docs, "_bucket")
 
         def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -223,7 +269,22 @@ class IdFilter:
                 ok = (words.value[b >> 6] >> (b & 63)) & 1 == (0 if others else 1)
                 yield batch.select(names).filter(pa.array(ok))
 
-        return docs.select(*names, self.bucket(column).alias("_bucket")).mapInArrow(passing, docs.schema)
+        return docs.withColumn(bucket, self.bucket(column)).mapInArrow(passing, docs.schema)
+
+
+def without_rows(docs: DataFrame, special: DataFrame, keys: list[str]) -> DataFrame:
+    """docs (with two key columns) without the rows that `special` names with keep = false; of equal rows that it names with keep = true one stays.
+
+    A bitmap clears most rows, which pass where they are; only what it can't clear is joined.
+    """
+    a, b = keys
+    known = IdFilter(special, a, raw=True)
+    verdict, each = spare_names(docs, "_keep", "_each")
+    doubtful = known.keep(docs, a).join(special.withColumnRenamed("keep", verdict), keys, "left")
+    # rows that are not named stay, all of them; the number only tells them apart
+    doubtful = doubtful.where(F.coalesce(verdict, F.lit(True))).withColumn(each, F.when(F.col(verdict).isNull(), F.monotonically_increasing_id()))
+    doubtful = doubtful.dropDuplicates([a, b, each])
+    return known.keep(docs, a, others=True).unionByName(doubtful.select(*[F.col(f"`{c}`") for c in docs.columns]))
 
 
 def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
