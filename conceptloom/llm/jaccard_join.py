@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IdFilter, Words, chunks, components, mix, raw_texts, sorted_groups, windows, word_hashes, written
+from .common import IdFilter, Words, chunks, components, mix, raw_texts, row_keys, sorted_groups, spare_names, windows, without_rows, word_hashes, written
 
 #: Percent of the union that a link takes, and words a shingle.
 PERCENT, WORDS = 90, 3
@@ -38,6 +38,8 @@ BAND = 1.4
 STRICT_PERCENT, STRICT_RISK, LOOSE_RISK = 88, 60.0, 2.0
 #: A family is verified in blocks of so many documents or shingles at most (a document is never divided).
 BLOCK_DOCS, BLOCK_SHINGLES = 1024, 1 << 20
+#: Bytes of text whose signatures are held at once, and words whose hashes are kept.
+SIGNED_BYTES, KEPT_WORDS = 1 << 20, 150_000
 
 
 def shingle_set(hashes: np.ndarray, words: int = WORDS) -> np.ndarray:
@@ -118,7 +120,7 @@ class Scheme:
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x)])
         ends = np.cumsum(count)
         whole = total[ends] - total[ends - count]
-        seed = np.arange(m, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(band * 2 + 1) * np.uint64(0xD6E8FEB86659FD93)
+        seed = np.arange(m, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.array([band * 2 + 1], np.uint64) * np.uint64(0xD6E8FEB86659FD93)
         if budget == 2:
             return np.concatenate([mix(whole ^ seed), mix((whole[segment] - x) ^ seed[segment])])
         keep = count > self.low
@@ -127,22 +129,30 @@ class Scheme:
         return mix(whole ^ seed)[keep]
 
 
-def prepared(docs: DataFrame, words: int = WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n (shingles), k1 and k2 (a 128-bit digest of the set) of each document."""
+def _word_table() -> Words:
+    return Words(lambda new: {"h": word_hashes(new)}, KEPT_WORDS)
+
+
+def digest(shingles: np.ndarray) -> tuple[int, int]:
+    """128 bits of a set, as two signed integers."""
+    d = xxhash.xxh3_128_intdigest(shingles.tobytes())
+    return tuple(x - (1 << 64) if x >> 63 else x for x in (d >> 64, d & (1 << 64) - 1))
+
+
+def prepared(rows: DataFrame, words: int = WORDS) -> DataFrame:
+    """rows without their text, and n (shingles), k1 and k2 (a 128-bit digest of the set) of each."""
+    (n, k1, k2), kept = spare_names(rows, "n", "k1", "k2"), [c for c in rows.columns if c != "text"]
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = Words(lambda new: {"h": word_hashes(new)})
-        for batch in chunks(batches):
-            n, keys = [], []
-            for s in _shingle_sets(table, raw_texts(batch), words):
-                d = xxhash.xxh3_128_intdigest(s.tobytes())
-                n.append(len(s))
-                keys.append((d >> 64, d & (1 << 64) - 1))
-            keys = np.array(keys, np.uint64).reshape(-1, 2).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1])], names=["doc_id", "n", "k1", "k2"])
+        table = _word_table()
+        for batch in chunks(batches, most=SIGNED_BYTES):
+            found = [(len(s), *digest(s)) for s in _shingle_sets(table, raw_texts(batch), words)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *(pa.array(x, pa.int64()) for x in zip(*found, strict=True))], names=[*kept, n, k1, k2])
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(sets, "doc_id long, n long, k1 long, k2 long")
+    schema = rows.select(*kept).schema
+    for c in (n, k1, k2):
+        schema = schema.add(c, "long")
+    return rows.mapInArrow(sets, schema)
 
 
 def _shingle_sets(table: Words, texts: list[bytes], words: int) -> Iterator[np.ndarray]:
@@ -152,19 +162,22 @@ def _shingle_sets(table: Words, texts: list[bytes], words: int) -> Iterator[np.n
         yield shingle_set(h[a:b], words)
 
 
-def star_edges(nodes: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
-    """a, b: of the nodes (node, text) that share a signature, each with the smallest.
+def star_edges(texts: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
+    """a, b: of the sets (by the first half of their digests) that share a signature, each with the smallest.
 
-    Nodes that meet in one chunk of text are joined there, and the smallest stands for
+    Sets that meet in one chunk of text are joined there, and the smallest stands for
     them, so a signature that very many share is a row a chunk; the rest are dealt
     by signature, once.
     """
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, scheme = Words(lambda new: {"h": word_hashes(new)}), Scheme(percent)
-        for batch in chunks(batches):
-            node = batch.column(0).to_numpy()
-            found = [scheme.signatures(x) for x in _shingle_sets(table, raw_texts(batch), words)]
+        table, scheme = _word_table(), Scheme(percent)
+        for batch in chunks(batches, most=SIGNED_BYTES):
+            sets = [x for x in _shingle_sets(table, raw_texts(batch), words) if len(x)]
+            if not sets:
+                continue
+            node = np.array([digest(x)[0] for x in sets], np.int64)
+            found = [scheme.signatures(x) for x in sets]
             s, owner = np.concatenate(found), np.repeat(node, [len(x) for x in found])
             order = np.lexsort((owner, s))
             s, owner = s[order], owner[order]
@@ -196,7 +209,7 @@ def star_edges(nodes: DataFrame, percent: int = PERCENT, words: int = WORDS) ->
             if pairs.shape[1]:
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
-    return nodes.select("node", "text").mapInArrow(signed, "s long, a long, b long").repartition("s").sortWithinPartitions("s", "a").mapInArrow(joined, "a long, b long")
+    return texts.select("text").mapInArrow(signed, "s long, a long, b long").repartition("s").sortWithinPartitions("s", "a").mapInArrow(joined, "a long, b long")
 
 
 def common_counts(sets: list[np.ndarray], width: int = 4096) -> np.ndarray:
@@ -227,28 +240,29 @@ def linked(sets: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
     return out
 
 
-def verified(members: DataFrame, docs: DataFrame, percent: int = PERCENT, words: int = WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """node, to, links: edges that span the components of the links within each pair of blocks, and numbers of documents linked.
+def verified(members: DataFrame, rows: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
+    """node, to, links: edges that span the components of the links within each pair of blocks, and numbers of rows linked.
 
-    members: node, family, n, copies (documents of the node).
+    members: node, k1, k2, id (of a row with the set), family, n, copies (rows with the set).
     """
     sizes = members.groupBy("family").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles"))
     blocks = F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
-    placed = members.join(sizes.select("family", blocks.alias("blocks")), "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rows = docs.select(F.col(doc_id).cast("long").alias("node"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = IdFilter(members, "node").keep(rows, "node").join(placed, "node")
+    placed = members.join(sizes.select("family", blocks.alias("blocks")), "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).drop("id", "n")
+    # the set of a row tells whether it is a member's; ids only spare the others the trouble
+    texts = IdFilter(members, "id").keep(rows, "id").select("text", F.col("text").alias("words"))
+    texts = prepared(texts, words).drop("n").join(placed, ["k1", "k2"])
     pairs = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, F.col("block")).alias("i"), F.greatest(j, F.col("block")).alias("j"))))
-    rows = rows.select("family", "node", "block", "copies", "text", pairs.alias("p")).select("family", F.col("p.i").alias("i"), F.col("p.j").alias("j"), "node", "block", "copies", "text")
-    rows = rows.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "node")
+    texts = texts.select("family", "node", "block", "copies", "words", pairs.alias("p")).select("family", F.col("p.i").alias("i"), F.col("p.j").alias("j"), "node", "block", "copies", F.coalesce("words", F.lit("")).alias("text"))
+    texts = texts.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "node")
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = Words(lambda new: {"h": word_hashes(new)})
+        table = _word_table()
         for group in sorted_groups(batches, ["family", "i", "j"]):
-            ids, ends = table.indices([t.encode().lower().split() for t in group["text"].to_pylist()])
-            h = table.columns["h"][ids] if len(ids) else np.zeros(0, np.uint64)
-            node, block, copies = (group[c].to_numpy() for c in ("node", "block", "copies"))
-            links = linked([shingle_set(h[a:b], words) for a, b in zip(ends[:-1], ends[1:], strict=True)], percent)
-            links[node[:, None] == node[None, :]] = False
+            node = group["node"].to_numpy()
+            once = np.flatnonzero(np.append(True, node[1:] != node[:-1]))  # rows with one set are one node
+            group, node = group.take(pa.array(once)), node[once]
+            block, copies = (group[c].to_numpy() for c in ("block", "copies"))
+            links = linked(list(_shingle_sets(table, raw_texts(group.combine_chunks().to_batches()[0]), words)), percent)
             if group["i"][0].as_py() != group["j"][0].as_py():
                 links &= block[:, None] != block[None, :]
             label = np.arange(len(node))
@@ -261,40 +275,60 @@ def verified(members: DataFrame, docs: DataFrame, percent: int = PERCENT, words:
             some = links.any(axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(node[label][some]), pa.array((links @ copies)[some].astype(np.int64))], names=["node", "to", "links"])
 
-    return rows.mapInArrow(checked, "node long, to long, links long")
+    return texts.mapInArrow(checked, "node long, to long, links long")
 
 
-def jaccard_components(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id and n_links of every document.
+_NO_ID = -(1 << 63)
+
+
+def components_of(rows: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
+    """rows (id, text and others) without text, and n, group, smallest (id of the group, null if it has none) and links.
 
-    Empty texts link with nothing. Rows that share a doc_id count as one
-    document (a null id is an id as well); repeated rows are each returned. No
-    partner or candidate is capped.
+    Every row counts on its own, whatever its id. Rows without a word have no group.
     """
-    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63)).cast("long")).alias("doc_id"), F.col(text).alias("text"))
-    table = written(prepared(rows, words), "sets")
-    sets = table.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.max("n").alias("n"))
-    sets = written(sets, "nodes")
-    # some copies pass as well; their edges lead to their own family and end there
-    nodes = IdFilter(sets, "node").keep(rows.select(F.col("doc_id").alias("node"), "text"), "node")
-    families = components(star_edges(nodes, percent, words), "families")
-    members = sets.groupBy("node").agg(F.sum("copies").alias("copies"), F.sum("n").alias("n")).join(families.withColumnRenamed("root", "family"), "node")
-    found = written(verified(written(members, "members"), rows, percent, words), "links")
+    keyed = rows.withColumn("id", F.coalesce(F.col("id").cast("long"), F.lit(_NO_ID)))
+    table = written(prepared(keyed, words), "sets")
+    sets = table.where("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("id"), F.min(F.when(F.col("id") != _NO_ID, F.col("id"))).alias("least"), F.count("*").alias("copies"), F.max("n").alias("n"))
+    sets = written(sets.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    # some copies pass as well; they lead to their own family
+    narrow = keyed.select("id", "text")
+    families = components(star_edges(IdFilter(sets, "id").keep(narrow, "id"), percent, words), "families")
+    members = sets.drop("least").join(families.select(F.col("node").alias("k1"), F.col("root").alias("family")), "k1")
+    found = written(verified(written(members, "members"), narrow, percent, words), "links")
     roots = components(found.select(F.col("node").alias("a"), F.col("to").alias("b")), "components")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    node = sets.join(roots, "node", "left").join(links, "node", "left").select("k1", "k2", F.coalesce("root", "node").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
-    out = table.select("doc_id", "n", "k1", "k2").join(node, ["k1", "k2"], "left")
+    own = sets.join(roots, "node", "left").withColumn("group", F.coalesce("root", "node")).join(links, "node", "left")
+    least = own.groupBy("group").agg(F.min("least").alias("smallest"))
+    own = own.join(least, "group").select("k1", "k2", "group", "smallest", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
+    return table.join(own, ["k1", "k2"], "left").drop("k1", "k2").withColumn("id", F.when(F.col("id") != _NO_ID, F.col("id")))
+
+
+def jaccard_components(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id and n_links of every row.
+
+    Null and empty texts link with nothing. Rows with one id, or none, are documents of
+    their own: repeated rows link with each other. A component without any id has a
+    null component_id. No partner or candidate is capped; other columns are ignored;
+    an empty table gives no rows.
+    """
+    out = components_of(docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text")), percent, words)
     full = F.col("n") > 0
-    null = lambda c: F.when(c != -(1 << 63), c)
-    return out.select(null(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), null(F.when(full, F.col("component")).otherwise(F.col("doc_id"))).alias("component_id"), F.when(full, F.col("links")).otherwise(0).alias("n_links"))
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(full, F.col("smallest")).otherwise(F.col("id")).alias("component_id"), F.when(full, F.col("links")).otherwise(0).alias("n_links"))
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
-    """docs without those that have a smaller id in their component; of rows with one id one stays."""
-    from pyspark.sql.window import Window
-
-    keep = jaccard_components(docs, percent, words).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    rows = docs.withColumn("_id", F.col("doc_id").cast("long"))
-    rows = rows.join(keep, rows["_id"].eqNullSafe(keep["_id"]), "left_semi")
-    first = F.row_number().over(Window.partitionBy("_id").orderBy(F.xxhash64("text")))
-    return rows.withColumn("_first", first).where("_first = 1").select(*docs.columns)
+    """docs, with all their columns, without those rows that link with one that stays: of each component the row with the smallest id.
+
+    A null id comes after all others; of rows with equal ids one stays. Only texts that
+    link are dropped: rows that merely share an id, or have none, stay. Null and
+    empty texts stay, all of them.
+    """
+    (a, b), (first, second) = spare_names(docs, "_a", "_b"), row_keys(docs)
+    keyed = docs.withColumn(a, first).withColumn(b, second)
+    rows = components_of(keyed.select(F.col("doc_id").alias("id"), "text", F.col(a).alias("a"), F.col(b).alias("b")), percent, words).where("n > 0")
+    rows = written(rows.select("id", "a", "b", "group"), "grouped")
+    order = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("a").alias("a"), F.col("b").alias("b"))
+    stay = rows.groupBy("group").agg(F.min(order).alias("s"), F.count("*").alias("n")).where("n > 1")
+    special = rows.join(stay, "group").groupBy(F.col("a").alias(a), F.col("b").alias(b)).agg(F.max((F.col("a") == F.col("s.a")) & (F.col("b") == F.col("s.b"))).alias("keep"), F.count("*").alias("n"))
+    special = written(special.where("not keep or n > 1").select(a, b, "keep"), "special")
+    return without_rows(keyed, special, [a, b]).select(*[F.col(f"`{c}`") for c in docs.columns])
