@@ -1,29 +1,34 @@
 """Personal data: detected entities get keyed surrogates of their own kind and format.
 
 Detection, surrogates and replacement are SQL expressions. A surrogate is derived
-from a keyed hash of the entity's kind and normal form, so an entity has one
-surrogate wherever it occurs (coreference). A second pass over distinct entities
-checks that no two of one kind share a surrogate and that no surrogate is an
-entity of the corpus itself; those that fail draw again.
+from a keyed hash of the entity's kind and normal form and takes only letter case and
+spacing from a mention, so an entity has one surrogate wherever and however it occurs
+(coreference). A name's entities are its words, so a surname alone and with a given
+name stay the same person's. A second pass over distinct entities checks that no
+two of one kind share a surrogate and that no surrogate is an entity of the corpus
+itself; those that fail draw again until none does.
 
 Each attempt draws from a larger space: e-mail addresses get a label before
-example, names more syllables, and secrets that clash many times more symbols. If
-entities still clash after ATTEMPTS rounds, an error is raised; none share a surrogate.
+example, names more syllables, and secrets that clash many times more symbols. The other
+kinds have formats of fixed size; should clashes cease to decline, as when a format has no
+surrogate left, an error is raised. None ever share a surrogate.
 
 Fixed formats: e-mail addresses keep the shape of the local part and lie under
 example; phone numbers keep country code and grouping; IPv4 addresses are IPv4
 addresses; card numbers keep the first digit, grouping and the Luhn check;
 access keys and secrets keep prefix, length and alphabet; names after a title
-keep title, gender of the given name, script and case, word by word, so that a
-surname alone and with a given name stay the same person's.
+keep title, gender of the given name, script and case.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import spare_names, written
 
 KINDS = ("email", "phone", "ip", "card", "key", "secret", "name")
 
@@ -56,8 +61,8 @@ ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 HINT = rf"[0-9@]|AKIA|token|passw|secret|api_key|{_TITLE}"
 #: Entities that drew again are looked up in a literal map up to this number, beyond it by a join.
 LITERAL_REDRAWS = 2_000
-#: Rounds of drawing; from the attempt LONGER on secrets get longer.
-ATTEMPTS, LONGER = 64, 8
+#: Rounds without a decline of clashes that tell that a format is used up; from the attempt LONGER on secrets get longer.
+STUCK, LONGER = 32, 8
 _EDGE = r"^[ \"']+"
 
 
@@ -82,12 +87,15 @@ def _byte(h: str, i: str) -> str:
     return f"cast(conv(substring({h}, pmod(2 * ({i}), 128) + 1, 2), 16, 10) as int)"
 
 
-def _like(text: str, h: str, start: int = 0) -> str:
-    """Letters and digits of a text replaced by others of their class; lower-case hexadecimal stays that."""
+def _like(text: str, h: str, start: int = 0, cased: bool = False) -> str:
+    """Letters and digits of a text replaced by others of their class; cased: case counts, and lower-case hexadecimal stays that."""
     b = _byte(h, f"i + {start + 1}")
-    one = f"""case when hexadecimal then substring('0123456789abcdef', {b} % 16 + 1, 1)
-        when c rlike '[0-9]' then cast({b} % 10 as string) when c rlike '[a-z]' then substring('abcdefghijklmnopqrstuvwxyz', {b} % 26 + 1, 1)
-        when c rlike '[A-Z]' then substring('ABCDEFGHIJKLMNOPQRSTUVWXYZ', {b} % 26 + 1, 1) else c end"""
+    letter = lambda x: f"substring('{x}', {b} % 26 + 1, 1)"
+    lower, upper = letter("abcdefghijklmnopqrstuvwxyz"), letter("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    one = f"case when c rlike '[0-9]' then cast({b} % 10 as string) when c rlike '[a-z]' then {lower} when c rlike '[A-Z]' then {upper} else c end"
+    if not cased:
+        return f"case when {text} = '' then '' else array_join(transform(split({text}, ''), (c, i) -> {one}), '') end"
+    one = f"case when hexadecimal then substring('0123456789abcdef', {b} % 16 + 1, 1) else {one} end"
     return f"case when {text} = '' then '' else transform(array({text} rlike '^[0-9a-f]+$'), hexadecimal -> array_join(transform(split({text}, ''), (c, i) -> {one}), ''))[0] end"
 
 
@@ -123,8 +131,18 @@ def _name_word(word: str, gender: str, key: str, attempt: str, digits: int) -> s
     return f"transform(transform(array(named_struct('h', {h})), y -> named_struct('n', {made})), z -> {cased})[0]"
 
 
-def surrogate_sql(v: str, kind: str, norm: str, h: str, attempt: str, key: str, digits: int = 128) -> str:
-    """The surrogate of a mention with hash `h`, in the mention's own format. Cards that fail the Luhn check and impossible addresses stay."""
+def _name_parts(v: str) -> str:
+    """The words of a name after its title, each with its kind: name-m or name-f for given names, name-s for the last one."""
+    titles = ", ".join(_quoted(t) for t in TITLES["m"])
+    gender = f"case when initcap(regexp_replace(substring_index({v}, ' ', 1), '[.]$', '')) in ({titles}) then 'name-m' else 'name-f' end"
+    return f"transform(array(slice(split({v}, ' '), 2, length({v}))), ws -> transform(ws, (w, k) -> named_struct('kind', case when k = size(ws) - 1 then 'name-s' else {gender} end, 'norm', lower(w), 'v', w)))[0]"
+
+
+def surrogate_sql(v: str, kind: str, norm: str, h: str, attempt: str, key: str, digits: int = 128, attempts: Callable[[str, str], str] | None = None) -> str:
+    """The surrogate of a mention with hash `h`, in the mention's own format. Cards that fail the Luhn check and impossible addresses stay.
+
+    attempts: from kind and normal form of a name's word its attempt; without it `v` may be a single word of a name.
+    """
     local, domain = f"substring_index({v}, '@', 1)", f"substring_index({v}, '@', -1)"
     front = f"regexp_extract({domain}, '^(.*[.])?[^.]+[.][^.]+$', 1)"
     label = f"case when {attempt} > 0 then concat('m', substring({h}, 65, least(2 * {attempt}, 60)), '.') else '' end"
@@ -139,12 +157,12 @@ def surrogate_sql(v: str, kind: str, norm: str, h: str, attempt: str, key: str,
     grouped = f"transform(array(concat({fifteen}, {_luhn(fifteen)})), d -> concat_ws({sep}, substring(d, 1, 4), substring(d, 5, 4), substring(d, 9, 4), substring(d, 13, 4)))[0]"
     card = f"case when right({norm}, 1) <> {_luhn(norm)} then {v} else {grouped} end"
     access = "concat('AKIA', " + ", ".join(f"substring('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', {_byte(h, str(k))} % 32 + 1, 1)" for k in range(16)) + ")"
-    secret = f"concat(left({v}, length({v}) - length({norm})), {_like(norm, h)}, case when {attempt} >= {LONGER} then substring({h}, 65, least(2 * ({attempt} - {LONGER} + 1), 60)) else '' end)"
-    titles = ", ".join(_quoted(t) for t in TITLES["m"])
-    gender = f"case when initcap(regexp_replace(substring_index({v}, ' ', 1), '[.]$', '')) in ({titles}) then 'm' else 'f' end"
-    words = f"slice(split({v}, ' '), 2, length({v}))"
-    one = _name_word("w", f"case when k = size({words}) - 1 then 's' else {gender} end", key, attempt, digits)
-    name = f"concat(substring_index({v}, ' ', 1), ' ', array_join(transform({words}, (w, k) -> {one}), ' '))"
+    secret = f"concat(left({v}, length({v}) - length({norm})), {_like(norm, h, cased=True)}, case when {attempt} >= {LONGER} then substring({h}, 65, least(2 * ({attempt} - {LONGER} + 1), 60)) else '' end)"
+    if attempts is None:
+        name = _name_word(v, f"right({kind}, 1)", key, attempt, digits)
+    else:
+        again = f"transform({_name_parts(v)}, y -> named_struct('kind', y.kind, 'v', y.v, 'a', {attempts('y.kind', 'y.norm')}))"
+        name = f"concat(substring_index({v}, ' ', 1), ' ', array_join(transform({again}, w -> {_name_word('w.v', 'right(w.kind, 1)', key, 'w.a', digits)}), ' '))"
     return f"case {kind} when 'email' then {email} when 'phone' then {phone} when 'ip' then {ip} when 'card' then {card} when 'key' then {access} when 'secret' then {secret} else {name} end"
 
 
@@ -154,76 +172,97 @@ def _mentions(text: str) -> str:
     return f"transform(transform({found}, v -> named_struct('v', v, 'kind', {kind_sql('v')})), x -> named_struct('v', x.v, 'kind', x.kind, 'norm', {norm_sql('x.v', 'x.kind')}))"
 
 
+def entities_sql(text: str) -> str:
+    """An array of (kind, norm, v) of a text's entities; a name is one for each of its words."""
+    return f"flatten(transform({_mentions(text)}, x -> case when x.kind = 'name' then {_name_parts('x.v')} else array(named_struct('kind', x.kind, 'norm', x.norm, 'v', x.v)) end))"
+
+
 def redraws(docs: DataFrame, key: str, text: str = "text", digits: int = 128) -> DataFrame:
     """kind, norm, attempt of the entities whose first draws clash; others take attempt 0.
 
     Entities are distinct (kind, normal form) pairs, counted before they are
-    shuffled; of those that share a surrogate the smallest keeps it. Each round
-    handles only what clashes; it ends when nothing does, or with an error.
+    shuffled. Those that share a surrogate draw again, but for the smallest, if no earlier
+    round gave the surrogate away. A round handles only entities that drew in it.
     """
-    bare = docs.select(F.explode(F.expr(_mentions(f"`{text}`"))).alias("x")).groupBy("x.kind", "x.norm").agg(F.min("x.v").alias("v"))
-    entities = written(bare.withColumn("attempt", F.lit(0)), "entities")
-    moved = None
+    entities = docs.select(F.explode(F.expr(entities_sql(f"`{text}`"))).alias("x")).groupBy("x.kind", "x.norm").agg(F.min("x.v").alias("v"))
+    entities = written(entities, "entities")
     # A surrogate in its normal form, so that formats don't hide a clash. Within lambdas the long expression is
     # interpreted, which suits a few distinct entities; compiled, it costs the driver hundreds of MB.
     one = f"transform(array(named_struct('v', v, 'kind', kind, 'norm', norm, 'a', attempt, 'h', {_hash(key, 'kind', 'norm', 'attempt', digits)})), x -> {surrogate_sql('x.v', 'x.kind', 'x.norm', 'x.h', 'x.a', key, digits)})"
-    drawn = lambda df: written(df.withColumn("s", F.expr(f"transform({one}, x -> {norm_sql('x', 'kind')})[0]")), "drawn")
-    for _ in range(ATTEMPTS):
-        now = drawn(entities)
-        left = F.col("kind").isin("ip", "card") | ~F.col("norm").rlike(r"[\p{L}0-9]")
-        now = now.where((F.col("s") != F.col("norm")) | ~left)  # what is left as it is takes no part; what drew itself does
-        first = now.groupBy("kind", "s").agg(F.min(F.struct("attempt", "norm")).alias("first"), F.count("*").alias("n"))
-        taken = first.where("n > 1").select("kind", "s", F.col("first.norm").alias("winner"))
-        twice = now.join(taken, ["kind", "s"]).where(F.col("norm") != F.col("winner")).select("kind", "norm")
-        real = now.join(entities.select("kind", F.col("norm").alias("s")), ["kind", "s"], "left_semi").select("kind", "norm")
-        again = written(twice.union(real).distinct(), "redraws")
-        if again.isEmpty():
+    norm = f"case when kind like 'name-%' then lower(x) else {norm_sql('x', 'kind')} end"
+    real = entities.select("kind", F.col("norm").alias("s"))
+    # what is left as it is takes no part: impossible addresses, cards without their check digit, marks only
+    left = (F.col("s") == F.col("norm")) & (F.col("kind").isin("ip", "card") | ~F.col("norm").rlike(r"[\p{L}0-9]"))
+    active, given, moved, attempt, last, stuck = entities, [], [], 0, None, 0
+    while True:
+        drawn = active.withColumn("attempt", F.lit(attempt)).withColumn("s", F.expr(f"transform({one}, x -> {norm})[0]")).where(~left)
+        drawn = written(drawn, "drawn")
+        first = drawn.groupBy("kind", "s").agg(F.min("norm").alias("winner"))
+        for earlier in given:
+            first = first.join(earlier, ["kind", "s"], "left_anti")
+        first = first.join(real, ["kind", "s"], "left_anti")
+        won = written(first.select("kind", "s", F.col("winner").alias("norm")), "given")
+        active = written(drawn.join(won, ["kind", "s", "norm"], "left_anti").select("kind", "norm", "v"), "clashing")
+        n = active.count()
+        if attempt:
+            moved.append(won.select("kind", "norm", F.lit(attempt).alias("attempt")))
+        if not n:
             break
-        entities = written(entities.join(again.withColumn("more", F.lit(1)), ["kind", "norm"], "left").select("kind", "norm", "v", (F.col("attempt") + F.coalesce("more", F.lit(0))).alias("attempt")), "entities")
-        moved = entities
-    else:
-        raise RuntimeError(f"{again.count()} entities still share a surrogate, or have one that is an entity, after {ATTEMPTS} rounds")
-    return (moved if moved is not None else entities).where("attempt > 0").select("kind", "norm", "attempt")
+        stuck = 0 if last is None or n < last else stuck + 1
+        if stuck > STUCK:
+            raise RuntimeError(f"{n} entities find no surrogate that is free: their formats are used up")
+        given, attempt, last = [*given, won.select("kind", "s")], attempt + 1, n
+    if not moved:
+        return entities.select("kind", "norm", F.lit(0).alias("attempt")).limit(0)
+    return reduce(DataFrame.unionByName, moved)
 
 
-def pseudonymised(docs: DataFrame, key: str, text: str = "text", digits: int = 128) -> DataFrame:
-    """docs with `text` replaced, and `_found`, an array of (kind, surrogate) in order of the text.
+def pseudonymised(docs: DataFrame, key: str, text: str = "text", digits: int = 128) -> tuple[DataFrame, str]:
+    """docs with `text` replaced, and the name of a further column: an array of (kind, surrogate) in order of the text.
 
-    Null and empty texts stay as they are; all other columns are kept.
+    Null and empty texts stay as they are; all other columns are kept, whatever their names; repeated rows get the
+    same surrogates; an empty table stays empty.
     """
+    x, found, known, row = spare_names(docs, "_x", "_found", "_redraws", "_row")
     again = redraws(docs, key, text, digits)
     n = again.limit(LITERAL_REDRAWS + 1).count()
-    rows = docs.withColumn("_x", F.expr(_mentions(f"`{text}`")))
-    make = lambda attempt: (
-        f"transform(transform(transform(_x, x -> named_struct('v', x.v, 'kind', x.kind, 'norm', x.norm, 'a', {attempt})), x -> named_struct('v', x.v, 'kind', x.kind, 'norm', x.norm, 'a', x.a, 'h', {_hash(key, 'x.kind', 'x.norm', 'x.a', digits)})), "
-        f"x -> named_struct('kind', x.kind, 'surrogate', {surrogate_sql('x.v', 'x.kind', 'x.norm', 'x.h', 'x.a', key, digits)}))"
-    )
+    rows = docs.withColumn(x, F.expr(_mentions(f"`{text}`")))
+    looked_up = lambda kind, norm: f"coalesce(try_element_at(`{known}`, concat({kind}, '|', {norm})), 0)"
+    attempts = (lambda kind, norm: "0") if n == 0 else looked_up
+    make = (
+        f"transform(transform(transform(`{x}`, x -> named_struct('v', x.v, 'kind', x.kind, 'norm', x.norm, 'a', {attempts('x.kind', 'x.norm')})), x -> named_struct('v', x.v, 'kind', x.kind, 'norm', x.norm, 'a', x.a, 'h', {_hash(key, 'x.kind', 'x.norm', 'x.a', digits)})), "
+        f"x -> named_struct('kind', x.kind, 'surrogate', {surrogate_sql('x.v', 'x.kind', 'x.norm', 'x.h', 'x.a', key, digits, attempts)}))"
+    )
     if n == 0:
-        rows = rows.withColumn("_found", F.expr(make("0")))
+        rows = rows.withColumn(found, F.expr(make))
     elif n <= LITERAL_REDRAWS:
         held = again.collect()  # at most LITERAL_REDRAWS rows
         pairs = ", ".join(f"{_quoted(r['kind'] + '|' + r['norm'])}, {r['attempt']}" for r in held)
-        rows = rows.withColumn("_redraws", F.expr(f"map({pairs})")).withColumn("_found", F.expr(make("coalesce(try_element_at(_redraws, concat(x.kind, '|', x.norm)), 0)"))).drop("_redraws")
+        rows = rows.withColumn(known, F.expr(f"map({pairs})")).withColumn(found, F.expr(make)).drop(known)
     else:
-        rows = written(rows.withColumn("_row", F.monotonically_increasing_id()), "mentions")
-        hits = rows.select("_row", F.explode("_x").alias("x")).select("_row", "x.kind", "x.norm").join(again, ["kind", "norm"])
-        maps = hits.groupBy("_row").agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct(F.concat("kind", F.lit("|"), "norm"), "attempt")))).alias("_redraws"))
-        rows = rows.join(maps, "_row", "left").withColumn("_found", F.expr(make("coalesce(try_element_at(_redraws, concat(x.kind, '|', x.norm)), 0)"))).drop("_redraws", "_row")
+        rows = written(rows.withColumn(row, F.monotonically_increasing_id()), "mentions")
+        hits = rows.select(row, F.explode(F.expr(entities_sql(f"`{text}`"))).alias("e")).select(row, "e.kind", "e.norm").distinct().join(again, ["kind", "norm"])
+        maps = hits.groupBy(row).agg(F.map_from_entries(F.collect_list(F.struct(F.concat("kind", F.lit("|"), "norm"), "attempt"))).alias(known))
+        rows = rows.join(maps, row, "left").withColumn(found, F.expr(make)).drop(known, row)
     gaps = f"split(`{text}`, {_quoted(ANY)}, -1)"
-    joined = f"case when size(_found) = 0 then `{text}` else concat(array_join(zip_with(slice({gaps}, 1, size(_found)), _found, (g, f) -> concat(g, f.surrogate)), ''), element_at({gaps}, -1)) end"
-    return rows.withColumn(text, F.expr(joined)).drop("_x")
+    joined = f"case when size(`{found}`) = 0 then `{text}` else concat(array_join(zip_with(slice({gaps}, 1, size(`{found}`)), `{found}`, (g, f) -> concat(g, f.surrogate)), ''), element_at({gaps}, -1)) end"
+    return rows.withColumn(text, F.expr(joined)).drop(x), found
 
 
 def replace_personal_data(docs: DataFrame, key: str = "conceptloom", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, text with surrogates, n_entities and the number of each kind; every document is returned."""
-    rows = pseudonymised(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), key)
-    of = lambda kind: F.expr(f"size(filter(_found, x -> x.kind = '{kind}'))").cast("long").alias(f"n_{kind}")
-    return rows.select("doc_id", "text", F.coalesce(F.size("_found"), F.lit(0)).cast("long").alias("n_entities"), *[of(k) for k in KINDS])
+    """doc_id, text with surrogates, n_entities and the number of each kind; every row is returned.
+
+    Nulls, empties, repeats and empty tables as in pseudonymised; other columns are ignored.
+    """
+    rows, found = pseudonymised(docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")), key)
+    of = lambda kind: F.expr(f"size(filter(`{found}`, x -> x.kind = '{kind}'))").cast("long").alias(f"n_{kind}")
+    return rows.select("doc_id", "text", F.greatest(F.size(found), F.lit(0)).cast("long").alias("n_entities"), *[of(k) for k in KINDS])
 
 
 def replace_in_documents(docs: DataFrame, key: str = "conceptloom") -> DataFrame:
     """The documents with surrogates; n_chars, if there is one, follows the new text."""
-    out = pseudonymised(docs, key).drop("_found")
+    out, found = pseudonymised(docs, key)
+    out = out.drop(found)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
