@@ -16,9 +16,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import Words, chunks, doc_bucket, raw_texts, written
+from .common import Words, chunks, doc_bucket, hash_sample, raw_texts, written
 
 DIMENSIONS = 4096
 #: Documents a language that the centroids are fitted on at most, and centroids a language.
@@ -117,13 +116,13 @@ def cluster(x: np.ndarray, k: int = CENTROIDS) -> tuple[np.ndarray, np.ndarray]:
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
     """Language of each centroid, centroids, cuts and idf.
 
-    Learns from rows with a language and crc32(id) mod 4 other than 2: of each
-    language the `per_language` rows with the smallest hashes.
+    Learns from rows with a language and a text and crc32(id) mod 4 other than 2: of each
+    language the `per_language` rows with the smallest hashes, equal rows once. Each task
+    keeps so many hashes, so a language that holds most rows is not one task's. Texts
+    without a letter teach nothing; an empty table gives no language.
     """
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (doc_bucket(doc_id, 4) != 2))
     rows = rows.select(F.col(lang).cast("string").alias("lang"), F.xxhash64(F.col(doc_id).cast("string")).alias("h"), F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    ids = rows.select("lang", "h", "id").withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).where(F.col("r") <= per_language)
-    ids = ids.select(F.col("lang").alias("l"), F.col("h").alias("k"), F.col("id").alias("i")).distinct()
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = Grams()
@@ -133,7 +132,7 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
             yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep), pa.array([v.astype("<f4").tobytes() for _, v in out], pa.binary())], names=["lang", "h", "x"])
 
     # a row a sampled document, at most per_language a language
-    sample = rows.join(F.broadcast(ids), (F.col("lang") == F.col("l")) & F.col("h").eqNullSafe(F.col("k")) & F.col("id").eqNullSafe(F.col("i")), "left_semi").select("lang", "h", "text")
+    sample = hash_sample(rows, per_language, "lang").select("lang", "h", "text")
     sample = written(sample.mapInArrow(vectors, "lang string, h long, x binary"), "language-sample")
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,7 +161,8 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
 def identify(docs: DataFrame, model: tuple, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, lang_pred, score (the cosine) and rejected of every document.
 
-    `und` with score 0 if a text is null or has no letter, or no language was learned.
+    `und` with score 0 if a text is null or has no letter, or no language was learned. Of equal
+    cosines the first centroid wins, in order of language. Repeated rows are predicted each; other columns are ignored.
     """
     names, centroids, cut, idf = model
 

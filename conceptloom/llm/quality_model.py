@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, doc_bucket, raw_texts, sums
+from .common import Words, chunks, doc_bucket, hash_sample, raw_texts, sums
 
 #: Labelled documents that the model is fitted on at most, and the shape of the model.
 SAMPLE, BINS, PAIR_BINS, PAIRS = 20_000, 32, 8, 8
@@ -205,7 +205,12 @@ def _texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> AdditiveModel:
-    """Fits on at most `sample` labelled ids whose crc32 mod 5 is not 0. Ids with several labels count by their mean."""
+    """Fits on at most `sample` labelled rows whose id's crc32 mod 5 is not 0.
+
+    Ids with several labels count by their mean; null ids and labels teach nothing; of rows
+    with a chosen id at most `sample` count, those with the smallest hashes, equal rows
+    once. Null texts are texts without words. Without rows of both labels every score is the share of label 1.
+    """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (doc_bucket("doc_id", 5) != 0))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg(label) >= 0.5).cast("int").alias("y"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
@@ -216,7 +221,8 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
             rows = features.matrix(raw_texts(batch)).astype("<f8")
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([r.tobytes() for r in rows], pa.binary())], names=["y", "x"])
 
-    rows = _texts(docs, doc_id, text).join(F.broadcast(chosen), "doc_id").select("text", "y").mapInArrow(featured, "y int, x binary").toArrow()
+    labelled = hash_sample(_texts(docs, doc_id, text).join(F.broadcast(chosen), "doc_id"), sample)
+    rows = labelled.select("text", "y").mapInArrow(featured, "y int, x binary").toArrow()
     x = np.frombuffer(b"".join(rows["x"].to_pylist()), "<f8").reshape(-1, len(FEATURES))
     y = np.array(rows["y"].to_pylist(), float)
     order = np.lexsort((*x.T[::-1], y))  # tasks end in any order
