@@ -9,7 +9,9 @@ more are candidates. Runs are compacted into one when there are many.
 
 Candidates are verified on whole windows: a second look at the texts takes the
 hashes (96 bits) of all windows with a candidate fingerprint, and those that start
-in two places are repeats. Repeats within one chunk of text are settled there, and
+in two places are repeats. An index that is kept for later calls also keeps the window hashes
+of the past, in sorted runs of their own, so that a passage that stands in the past and once
+in a new call is verified and removed as well. Repeats within one chunk of text are settled there, and
 one row a chunk stands for them, so a passage that a third of all documents
 share is never one task's burden. Words that a repeated window covers are
 removed, all at once; what is left is not judged again.
@@ -29,11 +31,13 @@ from pyspark.sql import functions as F
 from .common import IdFilter, Words, chunks, mix, raw_texts, shared_dir, word_hashes, written
 
 WINDOW, GRAM = 35, 12
-BATCHES, MAX_RUNS = 2, 4
+BATCHES, MAX_RUNS = 4, 2
 #: Text that is looked at together; a worker holds some forty bytes of arrays a byte of text.
 CHUNK_BYTES = 2 << 20
 _BASE, _CHECK = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 _PLACE = np.uint64((1 << 24) - 1)
+#: Flag of a window of the past: it makes others repeats and is none of theirs.
+_PAST = 3
 
 
 class Rolling:
@@ -59,6 +63,7 @@ class Chunk:
     """A chunk of texts: for each window its start (among all words), fingerprint and place in its text."""
 
     def __init__(self, table: Words, texts: list[bytes], window: int, gram: int):
+        self.window = window
         ids, self.ends = table.indices([t.split() for t in texts])
         self.hashes = table.columns["h"][ids] if len(ids) else np.zeros(0, np.uint64)
         n = np.diff(self.ends)
@@ -84,6 +89,11 @@ class Chunk:
         self.anchor = np.where(anchor < self.start, anchor + int(_PLACE) + 1, anchor)
         self.fingerprint = grams[self.anchor]
 
+    def whole(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """96 bits of the windows at these places."""
+        check = Rolling(mix(self.hashes + np.uint64(1)), _CHECK).runs(self.window)[self.start[at]]
+        return self.rolling.runs(self.window)[self.start[at]], (check >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
 
 def _words() -> Words:
     return Words(lambda new: {"h": word_hashes(new)})
@@ -96,6 +106,28 @@ class FingerprintIndex:
         self.spark, self.window, self.gram, self.max_runs = spark, window, gram, max_runs
         self.path = path or f"{shared_dir(spark)}/conceptloom/index-{uuid.uuid4().hex}"
         self.runs: list[str] = []
+        self.windows: list[str] = []
+
+    def remember(self, docs: DataFrame, text: str = "text") -> None:
+        """Adds a run of all window hashes of docs, with their fingerprints, for calls to come."""
+        window, gram = self.window, self.gram
+
+        def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table = _words()
+            for batch in chunks(batches, most=CHUNK_BYTES):
+                part = Chunk(table, raw_texts(batch), window, gram)
+                if len(part.row):
+                    whole, check = part.whole(np.arange(len(part.row)))
+                    yield pa.RecordBatch.from_arrays([pa.array(part.fingerprint.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(check)], names=["fp", "r", "check"])
+
+        path = f"{self.path}/windows-{uuid.uuid4().hex}"
+        rows = docs.select(F.col(text).alias("text")).mapInArrow(hashed, "fp long, r long, check int").distinct()
+        rows.repartition("fp").sortWithinPartitions("fp").write.parquet(path)
+        self.windows.append(path)
+
+    def past(self) -> DataFrame | None:
+        """fp, r, check of all windows of the past, if any are kept."""
+        return self.spark.read.schema("fp long, r long, check int").parquet(*self.windows) if self.windows else None
 
     def _write(self, rows: DataFrame) -> str:
         path = f"{self.path}/run-{uuid.uuid4().hex}"
@@ -144,8 +176,11 @@ class FingerprintIndex:
         return rows.groupBy("fp").agg(F.sum("n").alias("n"))
 
 
-def repeats(docs: DataFrame, candidates: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """key, spans: of each text (docs: key, text) the merged word spans [a, b) that repeated windows cover, each as a * 2^32 + b."""
+def repeats(docs: DataFrame, candidates: DataFrame, window: int = WINDOW, gram: int = GRAM, past: DataFrame | None = None) -> DataFrame:
+    """key, spans: of each text (docs: key, text) the merged word spans [a, b) that repeated windows cover, each as a * 2^32 + b.
+
+    past: fp, r, check of windows that stand elsewhere.
+    """
     known = IdFilter(candidates, "fp", raw=True)
     bits, held = known.bits, known.words
 
@@ -160,8 +195,7 @@ def repeats(docs: DataFrame, candidates: DataFrame, window: int = WINDOW, gram:
             at = np.flatnonzero((held.value[b >> 6] >> (b & 63)) & 1 == 1)
             if not len(at):
                 continue
-            whole = part.rolling.runs(window)[part.start[at]]
-            check = (Rolling(mix(part.hashes + np.uint64(1)), _CHECK).runs(window)[part.start[at]] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            whole, check = part.whole(at)
             order = np.lexsort((check, whole))
             new = np.ones(len(at), bool)
             new[1:] = (whole[order][1:] != whole[order][:-1]) | (check[order][1:] != check[order][:-1])
@@ -204,6 +238,9 @@ def repeats(docs: DataFrame, candidates: DataFrame, window: int = WINDOW, gram:
             yield from _repeated(carry)
 
     rows = docs.select("key", "text").mapInArrow(windows, "r long, check int, key long, a long, b long, flag byte")
+    if past is not None:
+        nowhere = [F.lit(0).cast("long").alias(c) for c in ("key", "a", "b")]
+        rows = rows.unionByName(known.keep(past, "fp").select("r", "check", *nowhere, F.lit(_PAST).cast("byte").alias("flag")))
     spans = rows.repartition("r").sortWithinPartitions("r", "check").mapInArrow(settled, "key long, a long, b long")
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,7 +266,7 @@ def _repeated(table: pa.Table) -> list[pa.RecordBatch]:
     new = np.ones(len(r), bool)
     new[1:] = (r[1:] != r[:-1]) | (c[1:] != c[:-1])
     group = np.cumsum(new) - 1
-    weight = np.bincount(group, np.where(mark, 0, 1 + flag))
+    weight = np.bincount(group, np.where(mark, 0, np.where(flag == _PAST, 2, 1 + flag)))
     keep = np.flatnonzero(mark | ((weight[group] > 1) & (flag == 0)))
     return table.select(["key", "a", "b"]).take(pa.array(keep)).to_batches() if len(keep) else []
 
@@ -260,21 +297,38 @@ def cut(text: bytes, spans: list[int] | None) -> tuple[int, int, bytes]:
     return n, n - len(words), b" ".join(words)
 
 
-def remove_repeats(docs: DataFrame, index: FingerprintIndex | None = None, batches: int = BATCHES, doc_id: str = "doc_id", text: str = "text", with_text: bool = False) -> DataFrame:
+def _distinct_key(rows: DataFrame):
+    """A 64-bit hash of doc_id and text that no two different rows share.
+
+    Where a second hash shows that rows with one hash differ, that hash takes its place. Of n
+    rows n^2 / 2^65 pairs are expected to, 43 of 4e10, so a list of them is short.
+    """
+    first, second = F.xxhash64("doc_id", "text"), F.xxhash64(F.lit("second"), "doc_id", "text")
+    both = rows.select(first.alias("a"), second.alias("b")).groupBy("a").agg(F.min("b").alias("low"), F.max("b").alias("high"))
+    shared = [r["a"] for r in both.where("low <> high").select("a").collect()]
+    return F.when(first.isin(shared), F.xxhash64(second, first)).otherwise(first) if shared else first
+
+
+def remove_repeats(docs: DataFrame, index: FingerprintIndex | None = None, batches: int = BATCHES, remember: bool = False, doc_id: str = "doc_id", text: str = "text", with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (and kept_text) of every document.
 
     Documents come to the index in batches. Texts of fewer than WINDOW words keep
-    all words; a null text has none. Repeated rows repeat each other's windows.
+    all words; a null text has none; a null id is an id. Repeated rows repeat each other's windows;
+    other columns are ignored; an empty table gives no rows. remember: the index keeps the
+    windows for later calls, to which they are places elsewhere.
     """
     spark = docs.sparkSession
     index = index or FingerprintIndex(spark)
+    past = index.past()
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text")
+    rows = rows.select("doc_id", _distinct_key(rows).alias("key"), "text")
     hits = None
     for b in range(batches):
         new = index.ingest(rows.where(F.pmod(F.col("key"), F.lit(batches)) == b))
         hits = new if hits is None else hits.unionByName(new)
-    spans = repeats(rows, hits, index.window, index.gram)
+    spans = repeats(rows, hits, index.window, index.gram, past)
+    if remember:
+        index.remember(rows)
     touched = IdFilter(spans, "key", raw=True)
     bits, held = touched.bits, touched.words
     extra = ", kept_text string" * with_text
