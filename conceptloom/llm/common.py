@@ -43,6 +43,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a small table that go to every executor; a larger one is joined by shuffles.
+BROADCAST_ROWS = 100_000
+
+
+def checked_broadcast(df: DataFrame, tag: str) -> DataFrame:
+    """df, written, and marked to be broadcast if it has BROADCAST_ROWS rows or fewer."""
+    df = written(df, tag)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def spare_names(df: DataFrame, *names: str) -> list[str]:
     """Names for columns of our own that df has not, whatever its case."""
     taken = {c.lower() for c in df.columns}
@@ -193,24 +203,23 @@ def windows(hashes: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
 
 
 def ranked(df: DataFrame, keys: list[str], order: list[str], name: str, per_bucket: int = 100_000, rows: int | None = None) -> DataFrame:
-    """Adds `name`: a gapless number from 0 within each value of `keys`, in no meaningful order.
+    """Adds `name`: a gapless number from 0 within each value of `keys`, in order of the md5 of the columns `order`.
 
-    Rows of one key are dealt to sub-buckets by a hash of `order`; the buckets'
+    Rows of one key are dealt to sub-buckets, ranges of that md5; the buckets'
     counts, a small table, give each bucket's first number. So a key that holds
-    a third of all rows is not one task. `order` should tell rows apart; rows
-    that it doesn't tell apart may swap numbers.
+    a third of all rows is not one task, and the numbers are the same however many buckets
+    there are. `order` should tell rows apart; rows that it doesn't tell apart may swap numbers.
     """
     rows = df.count() if rows is None else rows
-    n = max(1, -(-rows // per_bucket))
-    dealt = df.withColumn("_sub", F.pmod(F.xxhash64(*order), F.lit(n)).cast("int"))
-    if n == 1:
-        w = Window.partitionBy(*keys).orderBy(*order)
-        return df.withColumn(name, F.row_number().over(w).cast("long") - 1)
+    n = max(8, -(-rows // per_bucket))
+    text = F.concat_ws("/", *[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in order])
+    dealt = df.withColumn("_md5", F.md5(text.cast("binary")))
+    dealt = dealt.withColumn("_sub", F.floor(F.conv(F.substring("_md5", 1, 8), 16, 10).cast("double") * n / float(1 << 32)).cast("int"))
     counts = dealt.groupBy(*keys, "_sub").count()
     first = counts.withColumn("_first", F.sum("count").over(Window.partitionBy(*keys).orderBy("_sub").rowsBetween(Window.unboundedPreceding, -1))).drop("count")
-    w = Window.partitionBy(*keys, "_sub").orderBy(*order)
+    w = Window.partitionBy(*keys, "_sub").orderBy("_md5", *order)
     out = dealt.withColumn("_row", F.row_number().over(w)).join(first, [*keys, "_sub"])
-    return out.withColumn(name, F.coalesce("_first", F.lit(0)) + F.col("_row") - 1).drop("_sub", "_row", "_first")
+    return out.withColumn(name, F.coalesce("_first", F.lit(0)) + F.col("_row") - 1).drop("_sub", "_row", "_first", "_md5")
 
 
 def components(edges: DataFrame, tag: str) -> DataFrame:

@@ -38,13 +38,13 @@ def _descent(shards: int, name: str) -> tuple[str, str]:
 
 
 def sharding_sql(shards: int = 40) -> str:
-    """The crc32 runs over the bytes of each text; slots go by doc_id as long as one bucket holds a shard."""
+    """The crc32 runs over the bytes of each text; slots go by the md5 of id, checksum and size."""
     (now, a), (grown, b) = _descent(shards, "a"), _descent(shards + 1, "b")
     return rf"""WITH tbl AS (SELECT list_transform(range(0, 256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
  raw AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
  crc AS (SELECT doc_id, CAST(length(h) / 2 + 16 AS BIGINT) AS size, xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(range(0, length(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT))), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS text_crc32 FROM raw, tbl),
  keys AS (SELECT DISTINCT doc_id, coalesce(CAST(doc_id AS VARCHAR), '\N') AS key FROM documents), {now}, {grown}
- SELECT crc.doc_id, size, text_crc32, 'key' AS law, CAST(x.node AS INTEGER) AS shard, CAST(y.node AS INTEGER) AS grown_shard, row_number() OVER (PARTITION BY x.node ORDER BY crc.doc_id) - 1 AS slot
+ SELECT crc.doc_id, size, text_crc32, 'key' AS law, CAST(x.node AS INTEGER) AS shard, CAST(y.node AS INTEGER) AS grown_shard, row_number() OVER (PARTITION BY x.node ORDER BY md5(coalesce(CAST(crc.doc_id AS VARCHAR), '\N') || '/' || text_crc32 || '/' || size)) - 1 AS slot
  FROM crc JOIN {a} x ON crc.doc_id = x.doc_id JOIN {b} y ON crc.doc_id = y.doc_id"""
 
 

@@ -152,6 +152,25 @@ def test_incremental_batches_find_the_past(spark, documents):
     assert len(index.runs) == 1 and index.fingerprints().count() == before
 
 
+def test_repeats_across_calls(spark, documents):
+    passage, other = (" ".join(f"{x}{k}" for k in range(50)) for x in "po")
+    index = substring_dedup.FingerprintIndex(spark)
+    first = substring_dedup.remove_repeats(documents([f"head {passage} tail", "short text", None]), index, remember=True).collect()
+    assert all(r.n_removed == 0 for r in first)
+    texts = [f"new {passage} end", f"only here {other}", "", " ".join(passage.split()[:34])]
+    got = {r.doc_id: r.n_removed for r in substring_dedup.remove_repeats(documents(texts), index, remember=True).collect()}
+    assert got == {0: 50, 1: 0, 2: 0, 3: 0}
+    assert [r.n_removed for r in substring_dedup.remove_repeats(documents([f"x {other}"]), index).collect()] == [50]
+
+
+def test_null_ids_and_very_long_texts_keep_their_words(frame):
+    long = " ".join(f"w{k}" for k in range(60_000))
+    passage = " ".join(f"w{k}" for k in range(30_000, 30_050))
+    docs = frame([(None, long, "x"), (None, f"a {passage} b", "y"), (5, passage, "z"), (5, "another text", "z")], "doc_id long, text string, key string")
+    got = sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in substring_dedup.remove_repeats(docs).collect())
+    assert got == [(0, 52, 50), (0, 60_000, 50), (5, 2, 0), (5, 50, 50)]
+
+
 def test_long_run_of_equal_windows(documents):
     texts = [" ".join(f"p{k}" for k in range(40))] * 300
     got = substring_dedup.remove_repeats(documents(texts)).collect()

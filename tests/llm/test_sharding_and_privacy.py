@@ -41,6 +41,7 @@ def test_many_buckets_give_the_same_gapless_slots(documents, monkeypatch):
 
     docs = documents(["x"] * 500).withColumn("k", F.when(F.col("doc_id") < 300, 1).otherwise(2))
     rows = ranked(docs, ["k"], ["doc_id"], "slot", per_bucket=20).collect()
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, ranked(docs, ["k"], ["doc_id"], "slot").collect()))
     for k, n in ((1, 300), (2, 200)):
         assert sorted(r.slot for r in rows if r.k == k) == list(range(n))
 
@@ -78,7 +79,7 @@ def test_clashing_draws_are_drawn_again(documents, monkeypatch, literal):
     monkeypatch.setattr(surrogates, "LITERAL_REDRAWS", literal)
     docs = documents([f"at {k % 60 + 1}.2.3.4 and {k % 7 + 1}.2.3.4 end" for k in range(120)])
     found = {}
-    for r in surrogates.pseudonymised(docs, "key", digits=2).select("doc_id", "text").collect():
+    for r in surrogates.pseudonymised(docs, "key", digits=2)[0].select("doc_id", "text").collect():
         a, b = re.findall(r"\d+\.\d+\.\d+\.\d+", r.text)
         found.setdefault(r.doc_id % 60 + 1, set()).add(a)
         found.setdefault(r.doc_id % 7 + 1, set()).add(b)
@@ -124,7 +125,54 @@ def test_more_entities_than_short_surrogates(documents, monkeypatch):
     rows = surrogates.replace_personal_data(documents([f"at {x} end" for x in mails + secrets])).collect()
     made = [r.text for r in rows]
     assert len(set(made)) == 50 and not set(made) & {f"at {x} end" for x in mails + secrets}
-    monkeypatch.setattr(surrogates, "ATTEMPTS", 2)
+    monkeypatch.setattr(surrogates, "STUCK", 2)
     docs = documents([f"at {k % 250 + 1}.2.3.4 end" for k in range(250)])
-    with pytest.raises(RuntimeError, match="still share"):
+    with pytest.raises(RuntimeError, match="used up"):
         surrogates.redraws(docs, "key", digits=1)
+
+
+def test_many_short_addresses_stay_distinct(documents):
+    mails = [f"{'abcdxyz019'[k % 10]}@d{k // 10}.com" for k in range(10_000)]
+    texts = [" ; ".join(mails[k : k + 50]) for k in range(0, len(mails), 50)]
+    made = [x for r in surrogates.replace_personal_data(documents(texts)).collect() for x in r.text.split(" ; ")]
+    assert len(made) == len({x.lower() for x in made}) == 10_000 and not set(made) & set(mails)
+
+
+def test_an_entity_has_one_surrogate_however_it_is_written(documents, monkeypatch):
+    mails = ["abc@site.com", "ABC@site.com", "Abc@Site.Com", "ffee@site.com"]
+    names = ["Mr Smith", "Mr. SMITH", "Mr John Smith", "Herr Smith", "MR JOHN SMITH", "Ms John Smith"]
+    texts = [*(f"to {m} now" for m in mails), *(f"with {n}, there" for n in names), "call +1 (212) 555-1234 or (212) 555-1234 x"]
+    rows = [r.text for r in sorted(surrogates.replace_personal_data(documents(texts)).collect(), key=lambda r: r.doc_id)]
+    assert len({r.lower() for r in rows[:3]}) == 1 and rows[3].lower() != rows[0].lower() and "ABC" not in rows[1] and rows[1].split("@")[0] != rows[0].split("@")[0]
+    words = [r.removeprefix("with ").removesuffix(", there").replace(".", "").split()[1:] for r in rows[4:10]]
+    assert len({w[-1].lower() for w in words}) == 1 and words[2][0].lower() == words[4][0].lower() != words[5][0].lower()
+    a, b = re.findall(r"\(\d{3}\) \d{3}-\d{4}", rows[10])
+    assert a == b
+    # redraws move words, so a surname and a full name stay together
+    made = [r.text for r in sorted(surrogates.pseudonymised(documents([f"Mr {n}" for k in range(60) for n in (f"Ab{'abcdefghij'[k % 10]}{'klmnop'[k // 10]}", f"Jo Ab{'abcdefghij'[k % 10]}{'klmnop'[k // 10]}")]), "k", digits=2)[0].collect(), key=lambda r: r.doc_id)]
+    pairs = [(x.split()[-1], y.split()[-1]) for x, y in zip(made[::2], made[1::2], strict=True)]
+    assert all(x == y for x, y in pairs) and len({x for x, _ in pairs}) == 60
+
+
+def test_every_entity_of_a_table_has_its_own_surrogate(spark):
+    """Brute force: over all mentions of the table, normal forms and surrogates are one to one within each kind."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where(F.col("text").isNotNull())
+    rows, found = surrogates.pseudonymised(docs.withColumn("before", F.expr(surrogates._mentions("`text`"))), "key")
+    seen: dict[tuple, set] = {}
+    for r in rows.select("before", F.col(found).alias("after")).collect():
+        assert len(r.before) == len(r.after)
+        for x, y in zip(r.before, r.after, strict=True):
+            made = y.surrogate.split("=")[-1].strip(" \"'") if x.kind == "secret" else re.sub(r"[^0-9]", "", y.surrogate)[-10:] if x.kind == "phone" else re.sub(r"[^0-9]", "", y.surrogate) if x.kind == "card" else y.surrogate.lower()
+            seen.setdefault((x.kind, x.norm), set()).add(made)
+    assert len(seen) > 20 and all(len(s) == 1 for s in seen.values())
+    given = [(kind, next(iter(s))) for (kind, _), s in seen.items()]
+    assert len(set(given)) == len(given)
+
+
+def test_own_columns_survive_surrogates(frame):
+    schema = "doc_id long, text string, _x string, _found int, _row long, n_chars int"
+    docs = frame([(1, "mail me@site.org", "x", 1, 2, 16), (1, "mail me@site.org", "x", 1, 2, 16), (None, None, "x", 1, 2, 0), (2, "", "x", 1, 2, 0)], schema)
+    out = surrogates.replace_in_documents(docs)
+    rows = sorted(out.collect(), key=lambda r: r.text or "")
+    assert out.columns == docs.columns and rows[0].text is None and rows[1].text == "" and rows[2].text == rows[3].text != "mail me@site.org" and all((r["_x"], r["_found"], r["_row"]) == ("x", 1, 2) for r in rows)
+    assert surrogates.replace_in_documents(docs.limit(0)).isEmpty()
