@@ -6,6 +6,7 @@ rows are kept as rows of their own; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -97,13 +98,27 @@ def hash_sample(rows: DataFrame, most: int, per: str | None = None) -> DataFrame
         for name, values in held.items():
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(values), pa.string()), pa.array(values)], names=["g", "_hash"])
 
-    narrow = hashed.select(group.alias("g"), "_hash").mapInArrow(smallest, "g string, _hash long")
+    narrow = hashed.select(group.alias("g"), "_hash").mapInArrow(lean(smallest), "g string, _hash long")
     # a second step on sub-groups keeps what meets in one task small, whatever the number of tasks
     for keys in (["g", F.pmod(F.col("_hash"), F.lit(64))], ["g"]):
         narrow = narrow.distinct().withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy("_hash"))).where(F.col("_rank") <= most).drop("_rank")
     return hashed.join(F.broadcast(narrow.select("_hash")), "_hash", "left_semi").dropDuplicates(["_hash"]).drop("_hash")
 
 
+def lean(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """task, which gives its memory back to the system when it ends: workers live on, idle, and the allocator would keep it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from task(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another system's allocator
+            pass
+
+    return run
+
+
 def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices batches so that none holds much more text than `most` bytes (one row at least)."""
     for batch in batches:
@@ -268,8 +283,11 @@ class IdFilter:
             return F.col(column).bitwiseAND(F.lit(self.bits - 1).cast("long"))
         return F.pmod(F.xxhash64(F.col(column)), F.lit(self.bits))
 
-    def keep(self, docs: DataFrame, column: str, others: bool = False) -> DataFrame:
-        """The rows of docs whose id is among the ids, and a few more; or just the others, which surely are not."""
+    def keep(self, docs: DataFrame, column: str, others: bool = False, then: Callable | None = None, schema=None) -> DataFrame:
+        """The rows of docs whose id is among the ids, and a few more; or just the others, which surely are not.
+
+        then: a function of batches that takes them on in the same worker, to rows of `schema`.
+        """
         words, names, (bucket,) = self.words, docs.columns, spare_names(docs, "_bucket")
 
         def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,7 +296,7 @@ class IdFilter:
                 ok = (words.value[b >> 6] >> (b & 63)) & 1 == (0 if others else 1)
                 yield batch.select(names).filter(pa.array(ok))
 
-        return docs.withColumn(bucket, self.bucket(column)).mapInArrow(passing, docs.schema)
+        return docs.withColumn(bucket, self.bucket(column)).mapInArrow(lean(passing if then is None else lambda batches: then(passing(batches))), schema or docs.schema)
 
 
 def without_rows(docs: DataFrame, special: DataFrame, keys: list[str]) -> DataFrame:

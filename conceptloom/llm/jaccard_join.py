@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IdFilter, Words, chunks, components, mix, raw_texts, row_keys, sorted_groups, spare_names, windows, without_rows, word_hashes, written
+from .common import IdFilter, Words, chunks, components, lean, mix, raw_texts, row_keys, sorted_groups, spare_names, windows, without_rows, word_hashes, written
 
 #: Percent of the union that a link takes, and words a shingle.
 PERCENT, WORDS = 90, 3
@@ -139,8 +139,8 @@ def digest(shingles: np.ndarray) -> tuple[int, int]:
     return tuple(x - (1 << 64) if x >> 63 else x for x in (d >> 64, d & (1 << 64) - 1))
 
 
-def prepared(rows: DataFrame, words: int = WORDS) -> DataFrame:
-    """rows without their text, and n (shingles), k1 and k2 (a 128-bit digest of the set) of each."""
+def prepared(rows: DataFrame, words: int = WORDS, known: IdFilter | None = None) -> DataFrame:
+    """rows without their text, and n (shingles), k1 and k2 (a 128-bit digest of the set) of each; of those alone whose id is known."""
     (n, k1, k2), kept = spare_names(rows, "n", "k1", "k2"), [c for c in rows.columns if c != "text"]
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,7 +152,7 @@ def prepared(rows: DataFrame, words: int = WORDS) -> DataFrame:
     schema = rows.select(*kept).schema
     for c in (n, k1, k2):
         schema = schema.add(c, "long")
-    return rows.mapInArrow(sets, schema)
+    return rows.mapInArrow(lean(sets), schema) if known is None else known.keep(rows, "id", then=sets, schema=schema)
 
 
 def _shingle_sets(table: Words, texts: list[bytes], words: int) -> Iterator[np.ndarray]:
@@ -162,9 +162,11 @@ def _shingle_sets(table: Words, texts: list[bytes], words: int) -> Iterator[np.n
         yield shingle_set(h[a:b], words)
 
 
-def star_edges(texts: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
+def star_edges(rows: DataFrame, known: IdFilter, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """a, b: of the sets (by the first half of their digests) that share a signature, each with the smallest.
 
+    rows: id, text; those count whose id is known.
+
     Sets that meet in one chunk of text are joined there, and the smallest stands for
     them, so a signature that very many share is a row a chunk; the rest are dealt
     by signature, once.
@@ -209,7 +211,7 @@ def star_edges(texts: DataFrame, percent: int = PERCENT, words: int = WORDS) ->
             if pairs.shape[1]:
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
-    return texts.select("text").mapInArrow(signed, "s long, a long, b long").repartition("s").sortWithinPartitions("s", "a").mapInArrow(joined, "a long, b long")
+    return known.keep(rows, "id", then=signed, schema="s long, a long, b long").repartition("s").sortWithinPartitions("s", "a").mapInArrow(lean(joined), "a long, b long")
 
 
 def common_counts(sets: list[np.ndarray], width: int = 4096) -> np.ndarray:
@@ -249,8 +251,7 @@ def verified(members: DataFrame, rows: DataFrame, percent: int = PERCENT, words:
     blocks = F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     placed = members.join(sizes.select("family", blocks.alias("blocks")), "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).drop("id", "n")
     # the set of a row tells whether it is a member's; ids only spare the others the trouble
-    texts = IdFilter(members, "id").keep(rows, "id").select("text", F.col("text").alias("words"))
-    texts = prepared(texts, words).drop("n").join(placed, ["k1", "k2"])
+    texts = prepared(rows.select("id", "text", F.col("text").alias("words")), words, IdFilter(members, "id")).drop("id", "n").join(placed, ["k1", "k2"])
     pairs = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, F.col("block")).alias("i"), F.greatest(j, F.col("block")).alias("j"))))
     texts = texts.select("family", "node", "block", "copies", "words", pairs.alias("p")).select("family", F.col("p.i").alias("i"), F.col("p.j").alias("j"), "node", "block", "copies", F.coalesce("words", F.lit("")).alias("text"))
     texts = texts.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "node")
@@ -275,7 +276,7 @@ def verified(members: DataFrame, rows: DataFrame, percent: int = PERCENT, words:
             some = links.any(axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(node[label][some]), pa.array((links @ copies)[some].astype(np.int64))], names=["node", "to", "links"])
 
-    return texts.mapInArrow(checked, "node long, to long, links long")
+    return texts.mapInArrow(lean(checked), "node long, to long, links long")
 
 
 _NO_ID = -(1 << 63)
@@ -292,7 +293,7 @@ def components_of(rows: DataFrame, percent: int = PERCENT, words: int = WORDS) -
     sets = written(sets.withColumn("node", F.monotonically_increasing_id()), "nodes")
     # some copies pass as well; they lead to their own family
     narrow = keyed.select("id", "text")
-    families = components(star_edges(IdFilter(sets, "id").keep(narrow, "id"), percent, words), "families")
+    families = components(star_edges(narrow, IdFilter(sets, "id"), percent, words), "families")
     members = sets.drop("least").join(families.select(F.col("node").alias("k1"), F.col("root").alias("family")), "k1")
     found = written(verified(written(members, "members"), narrow, percent, words), "links")
     roots = components(found.select(F.col("node").alias("a"), F.col("to").alias("b")), "components")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, doc_bucket, hash_sample, raw_texts, written
+from .common import chunks, doc_bucket, hash_sample, lean, raw_texts, Words, written
 
 DIMENSIONS = 4096
 #: Documents a language that the centroids are fitted on at most, and centroids a language.
@@ -133,7 +133,7 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
 
     # a row a sampled document, at most per_language a language
     sample = hash_sample(rows, per_language, "lang").select("lang", "h", "text")
-    sample = written(sample.mapInArrow(vectors, "lang string, h long, x binary"), "language-sample")
+    sample = written(sample.mapInArrow(lean(vectors), "lang string, h long, x binary"), "language-sample")
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(DIMENSIONS), 0
@@ -143,7 +143,7 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
                 n += 1
         yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total.tobytes()], pa.binary())], names=["n", "df"])
 
-    parts = sample.select("x").coalesce(8).mapInArrow(frequencies, "n long, df binary").collect()
+    parts = sample.select("x").coalesce(8).mapInArrow(lean(frequencies), "n long, df binary").collect()
     n, df = sum(r["n"] for r in parts), sum((np.frombuffer(r["df"]) for r in parts), np.zeros(DIMENSIONS))
     idf = np.log((1 + n) / (1 + df)) + 1
 
@@ -190,5 +190,5 @@ def identify(docs: DataFrame, model: tuple, doc_id: str = "doc_id", text: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best), pa.array(score), pa.array(far)], names=["doc_id", "lang_pred", "score", "rejected"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    out = rows.mapInArrow(predicted, "doc_id long, lang_pred string, score double, rejected boolean")
+    out = rows.mapInArrow(lean(predicted), "doc_id long, lang_pred string, score double, rejected boolean")
     return out.select("doc_id", (doc_bucket("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, ranked, raw_texts, written
+from .common import chunks, lean, ranked, raw_texts, written
 from .tokens import END_ID, encoder, tokenizer_path
 
 SEQUENCE = 2048
@@ -88,7 +88,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = SEQUEN
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), types, strict=False)], names=[n for n, _ in types])
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(cut, schema)
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(lean(cut), schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = SEQUENCE, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
@@ -112,4 +112,4 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int
             yield pa.RecordBatch.from_arrays([*(batch.column(names.index(n)) for n in keep), pa.array(sequence), pa.array(offset)], names=[*keep, "sequence_id", "offset"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema) + ", sequence_id long, offset long"
-    return numbered.select(*cut.columns, "_rank").mapInArrow(place, schema)
+    return numbered.select(*cut.columns, "_rank").mapInArrow(lean(place), schema)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, doc_bucket, hash_sample, raw_texts, sums
+from .common import chunks, doc_bucket, hash_sample, lean, raw_texts, sums, Words
 
 #: Labelled documents that the model is fitted on at most, and the shape of the model.
 SAMPLE, BINS, PAIR_BINS, PAIRS = 20_000, 32, 8, 8
@@ -222,7 +222,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([r.tobytes() for r in rows], pa.binary())], names=["y", "x"])
 
     labelled = hash_sample(_texts(docs, doc_id, text).join(F.broadcast(chosen), "doc_id"), sample)
-    rows = labelled.select("text", "y").mapInArrow(featured, "y int, x binary").toArrow()
+    rows = labelled.select("text", "y").mapInArrow(lean(featured), "y int, x binary").toArrow()
     x = np.frombuffer(b"".join(rows["x"].to_pylist()), "<f8").reshape(-1, len(FEATURES))
     y = np.array(rows["y"].to_pylist(), float)
     order = np.lexsort((*x.T[::-1], y))  # tasks end in any order
@@ -238,5 +238,5 @@ def score_documents(docs: DataFrame, model: AdditiveModel, doc_id: str = "doc_id
             score = model.score(features.matrix(raw_texts(batch)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    out = _texts(docs, doc_id, text).mapInArrow(scored, "doc_id long, score double, predicted int")
+    out = _texts(docs, doc_id, text).mapInArrow(lean(scored), "doc_id long, score double, predicted int")
     return out.select("doc_id", (doc_bucket("doc_id", 5) == 0).alias("held_out"), "score", "predicted")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import IdFilter, Words, chunks, mix, raw_texts, shared_dir, word_hashes, written
+from .common import chunks, IdFilter, lean, mix, raw_texts, shared_dir, word_hashes, Words, written
 
 WINDOW, GRAM = 35, 12
 BATCHES, MAX_RUNS = 4, 2
@@ -121,7 +121,7 @@ class FingerprintIndex:
                     yield pa.RecordBatch.from_arrays([pa.array(part.fingerprint.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(check)], names=["fp", "r", "check"])
 
         path = f"{self.path}/windows-{uuid.uuid4().hex}"
-        rows = docs.select(F.col(text).alias("text")).mapInArrow(hashed, "fp long, r long, check int").distinct()
+        rows = docs.select(F.col(text).alias("text")).mapInArrow(lean(hashed), "fp long, r long, check int").distinct()
         rows.repartition("fp").sortWithinPartitions("fp").write.parquet(path)
         self.windows.append(path)
 
@@ -150,7 +150,7 @@ class FingerprintIndex:
                     found, n = np.unique(part.fingerprint[places], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], names=["fp", "n"])
 
-        counts = docs.select(F.col(text).alias("text")).mapInArrow(counted, "fp long, n long").groupBy("fp").agg(F.sum("n").alias("n"))
+        counts = docs.select(F.col(text).alias("text")).mapInArrow(lean(counted), "fp long, n long").groupBy("fp").agg(F.sum("n").alias("n"))
         past = [self._read(p).select("fp") for p in self.runs]
         self.runs.append(self._write(counts))
         new = self._read(self.runs[-1])
@@ -237,11 +237,11 @@ def repeats(docs: DataFrame, candidates: DataFrame, window: int = WINDOW, gram:
         if carry is not None and carry.num_rows:
             yield from _repeated(carry)
 
-    rows = docs.select("key", "text").mapInArrow(windows, "r long, check int, key long, a long, b long, flag byte")
+    rows = docs.select("key", "text").mapInArrow(lean(windows), "r long, check int, key long, a long, b long, flag byte")
     if past is not None:
         nowhere = [F.lit(0).cast("long").alias(c) for c in ("key", "a", "b")]
         rows = rows.unionByName(known.keep(past, "fp").select("r", "check", *nowhere, F.lit(_PAST).cast("byte").alias("flag")))
-    spans = rows.repartition("r").sortWithinPartitions("r", "check").mapInArrow(settled, "key long, a long, b long")
+    spans = rows.repartition("r").sortWithinPartitions("r", "check").mapInArrow(lean(settled), "key long, a long, b long")
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carry = None
@@ -257,7 +257,7 @@ def repeats(docs: DataFrame, candidates: DataFrame, window: int = WINDOW, gram:
         if carry is not None and carry.num_rows:
             yield _merge(carry)
 
-    return written(spans.repartition("key").sortWithinPartitions("key", "a").mapInArrow(merged, "key long, spans array<long>"), "spans")
+    return written(spans.repartition("key").sortWithinPartitions("key", "a").mapInArrow(lean(merged), "key long, spans array<long>"), "spans")
 
 
 def _repeated(table: pa.Table) -> list[pa.RecordBatch]:
@@ -353,6 +353,6 @@ def remove_repeats(docs: DataFrame, index: FingerprintIndex | None = None, batch
             yield finished(batch.column(0), raw_texts(batch), batch.column(2).to_pylist())
 
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + extra
-    whole = rows.mapInArrow(untouched, schema)
+    whole = rows.mapInArrow(lean(untouched), schema)
     joined = touched.keep(rows, "key").join(spans.hint("shuffle_hash"), "key", "left").select("doc_id", "text", "spans")
-    return whole.unionByName(joined.mapInArrow(shortened, schema))
+    return whole.unionByName(joined.mapInArrow(lean(shortened), schema))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import chunks, raw_texts, shared_dir
+from .common import chunks, lean, raw_texts, shared_dir
 from .tokens import END_ID, encoder, tokenizer_path
 
 MAGIC, VERSION, HEAD = 0x3842534C54434F4E, 1, 7
@@ -205,7 +205,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
         if keys:
             yield flush()
 
-    rows.mapInArrow(encoded, "part int, seq int, until long, payload binary").write.option("compression", "none").parquet(path)
+    rows.mapInArrow(lean(encoded), "part int, seq int, until long, payload binary").write.option("compression", "none").parquet(path)
 
 
 def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
@@ -225,7 +225,7 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) ->
                     arrays, names = [*arrays, pa.array([bytes(x) for x in cut], pa.binary())], [*names, "ids"]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    docs = files.select("part", "payload").mapInArrow(decoded, "part int, doc_id long, local long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
+    docs = files.select("part", "payload").mapInArrow(lean(decoded), "part int, doc_id long, local long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
     totals = files.groupBy("part").agg(F.max("until").alias("n"))  # a row a part of the writing job
     first = totals.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))
     out = docs.join(F.broadcast(first), "part")
