@@ -12,23 +12,29 @@ FORMATS = {
     "SNOMEDCT_US": r"^[0-9]{6,18}$",
     "MSH": r"^[A-Z][0-9]{6,9}$",
     "NCI": r"^[Cc][0-9]+$",
-    "LNC": r"^([0-9]+-[0-9]|LP[0-9]+-[0-9]|LA[0-9]+-[0-9]|LL[0-9]+-[0-9]|LG[0-9]+-[0-9]|MTHU[0-9]+|[0-9]{4,5}|LP[0-9]+)$",
+    "LNC": r"^([0-9]{4,}-[0-9]|MTHU[0-9]{6}|(LP|LA|LL)[0-9]{4,}-[0-9]|LG[0-9]{5}-[0-9])$",
     "MDR": r"^[0-9]{8}$",
     "NCBI": r"^[0-9]+$",
     "GO": r"^GO:[0-9]{7}$",
     "HPO": r"^HP:[0-9]{7}$",
-    "LCH_NW": r"^((sh|sj|n|nb|nr|no|gf)[0-9]+|[A-Za-z0-9]{4,})$",
-    "ICD10CM": r"^[A-TV-Z][0-9][0-9A-Z](\.[0-9A-Z]{1,4})?$",
-    "ICD9CM": r"^([0-9]{3}|V[0-9]{2}|E[0-9]{3})(\.[0-9]{1,2})?$",
+    "LCH_NW": r"^((sh|n|nb|no|nr|gf|fst)[0-9]+|[A-Za-z0-9]{4,})$",
+    "ICD10CM": r"^([A-Z][0-9]{2}(\.[0-9]{1,4})?|[A-Z][0-9]{2}[A-Z](\.[0-9]{1,3})?|[A-Z][0-9]{2}-[A-Z][0-9]{2}|[A-Z][0-9][A-Z](\.[0-9]{1,3})?|[A-Z][0-9]{2}[XYZ]([0-9]|\.[XYZ][0-9]?[A-Z]?)?)$",
+    "ICD9CM": r"^([0-9]{3}(\.[0-9]{1,2})?|V[0-9]{2}(\.[0-9]{1,2})?|E[0-9]{3,4}(\.[0-9])?|[0-9]{3}-[0-9]{3}(\.99)?|[EV][0-9]{2,4}-[EV]?[0-9]{2,4}(\.9?9?)?|[0-9]{2}(\.[0-9]{1,2})?)$",
 }
+ICD = ("ICD10CM", "ICD9CM")
+#: Spellings of "no concept" in lower case.
+CONCEPT_LESS = ("concept-less", "conceptless", "concept_less", "cui-less", "cuiless", "cui_less")
 CUI = r"^C[0-9]{7}$"
 
 
 def valid(vocab: Column, code: Column) -> Column:
-    """Whether a code has its vocabulary's format; unknown vocabularies have none."""
+    """Whether a stripped code has its vocabulary's format; unknown vocabularies have none. An ICD code may have either revision's, and none that is excluded."""
+    code = F.trim(code)
     pick = lambda found, item: found.when(vocab == item[0], code.rlike(item[1]))
     first, *rest = FORMATS.items()
-    return F.coalesce(reduce(pick, rest, F.when(vocab == first[0], code.rlike(first[1]))).otherwise(False), F.lit(False))
+    icd = ~icd_excluded(code) & (code.rlike(FORMATS["ICD10CM"]) | code.rlike(FORMATS["ICD9CM"]))
+    found = reduce(pick, rest, F.when(vocab.isin(*ICD), icd).when(vocab == first[0], code.rlike(first[1]))).otherwise(False)
+    return F.coalesce(found, F.lit(False))
 
 
 def icd_excluded(code: Column) -> Column:
@@ -36,6 +42,11 @@ def icd_excluded(code: Column) -> Column:
     return code.rlike(r"^[0-9]{2}\.[0-9]{1,2}$") | code.rlike(r"^[0-9]+-[0-9]+\.99$") | (code.rlike(r"^[0-9]{1,2}$") & ~code.isin("30", "50", "52", "53"))
 
 
+def meddra_id(code: Column) -> Column:
+    """A MedDRA id of five digits or more, else ''."""
+    return F.when(F.trim(code).rlike("^[0-9]{5,}$"), F.trim(code)).otherwise("")
+
+
 def loinc_skipped(code: Column) -> Column:
     return code.startswith("MTHU")
 

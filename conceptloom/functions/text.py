@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,26 +52,58 @@ def _chain(c: Column, rules: list[tuple[str, str]]) -> Column:
 
 
 #: The cleaners' rules, in their order.
-LABEL_RULES = [(r"[ \t]+", " "), (r"\n\s*\n\s*\n+", "\n\n"), (r" +([.,;:!?])", "$1"), (r"\( +", "("), (r" +\)", ")")]
-NOTE_RULES = [(r"_{2,}", " "), (r"\r\n?", "\n"), (r"[ \t]+", " "), (r" *\n *", "\n"), (r"\n{3,}", "\n\n"), (r" +([.,;:!?])", "$1"), (r"\( +", "("), (r" +\)", ")"), (r"([.,;:]){2,}", "$1")]
-REPORT_RULES = [(r"[ \t]+", " "), (r" *\n *", "\n"), (r"\n{2,}", "\n"), (r" +([.,;:])", "$1"), (r"\[\*\*[^*]*\*\*\]", "")]
+LABEL_RULES = [(" +", " "), (" ([.,;:!?)])", "$1"), (r"(\() ", "$1"), (" +\n", "\n"), ("\n+", "\n")]
+NOTE_RULES = [
+    ("_{3,}", ""), (r"(?U)\b___\b", ""), (r"(?U)\b__\b", ""), (r"(?U)\b_\b", ""), (r"[ \t]+", " "), (" +\n", "\n"), ("\n{3,}", "\n\n"), (" +([.,;:!?)])", "$1"),
+    (r"(\() +", "$1"), (r" +(\))", "$1"), (r"(?U)(\w) +:", "$1:"), (" +- +", " - "), (" +/ +", "/"), ("  +", " "), ("\n +", "\n"), (" +\n", "\n"),
+]
+REPORT_RULES = [(r"[ \t]+", " "), (" +\n", "\n"), ("\n+", "\n"), (" +([.,;:!?)])", "$1"), (r"(\() +", "$1"), ("_{3,}", "___")]
 
 
 def clean_label(c: Column) -> Column:
-    """Drug-label text: blanks, empty lines, blanks before marks and inside brackets."""
-    return F.trim(_chain(c, LABEL_RULES))
+    """Drug-label text: blanks, blanks at marks and brackets, ends of lines, empty lines. Not stripped."""
+    return _chain(c, LABEL_RULES)
 
 
 def clean_note(c: Column) -> Column:
-    """Clinical notes: blanks for redactions, line ends, repeated marks."""
-    return F.trim(_chain(c, NOTE_RULES))
+    """Clinical notes: redactions go, then blanks, lines, marks, colons, dashes and slashes."""
+    return strip(_chain(c, NOTE_RULES))
 
 
 def clean_report(c: Column) -> Column:
-    """Reports: without a first line that holds a header's bars, then blanks and lines."""
+    """Reports: without a first line that holds a header's bars, then blanks, lines and marks; long redactions are shortened."""
     first = F.substring_index(c, "\n", 1)
     body = F.when(first.contains("||||"), F.substring(c, F.length(first) + 2, F.length(c))).otherwise(c)
-    return F.trim(_chain(body, REPORT_RULES))
+    return strip(_chain(body, REPORT_RULES))
+
+
+def offset_map(before: Column, after: Column, look: int = 10) -> Column:
+    """Of each place of a text the place it comes to in its cleaned form, as an array.
+
+    A greedy walk: equal symbols go together; otherwise the nearer of the next places, up
+    to `look` ahead in the original, that meets the cleaned text's symbol is taken. What was removed
+    gets the place where the cleaned text stands. A null text gives null.
+    """
+
+    @F.pandas_udf("array<int>")
+    def walked(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([None if a is None or b is None else _walk(a, b, look) for a, b in zip(x, y, strict=True)])
+
+    return walked(before, after)
+
+
+def _walk(before: str, after: str, look: int) -> list[int]:
+    out, at, k = [], 0, 0
+    while k < len(before):
+        if at < len(after) and before[k] != after[at]:
+            ahead = before.find(after[at], k + 1, k + 1 + look)
+            skip = ahead - k if ahead > 0 else 1
+            out += [at] * skip
+            k += skip
+            continue
+        out.append(min(at, len(after)))
+        at, k = min(at + 1, len(after)), k + 1
+    return out
 
 
 def moved_offset(text: Column, offset: Column, cleaner) -> Column:

@@ -88,41 +88,76 @@ def link_names(keys: DataFrame, index: DataFrame) -> DataFrame:
     return keys.select("id", folded(F.col("text")).alias("name")).where("name <> ''").join(index, "name").select("id", "cui")
 
 
+#: Symbols of the pieces by which a name that contains a text is looked up.
+PIECE = 4
+
+
 def link_contained(keys: DataFrame, names: DataFrame) -> DataFrame:
-    """id, cui of the best name that contains a text, or that it contains.
+    """id, cui of the best English name that contains a text, or that it contains.
 
-    keys: id, text; names: cui, str, line_no. Only names with the text's first
-    letter count, so this is an equi-join with a condition. Of a normal form its
-    first name stands (those that share two letters before the others); names go by
+    keys: id, text; names: cui, lat, str, line_no. Names with the text's first letter count, or
+    all names if none begins with it. Of a normal form its first name stands; names go by
     common tokens, then by nearness of length, two letters shared, and line.
+
+    Both directions are equi-joins, whatever the number of names with one letter: names
+    in a text by the text's own substrings of the names' lengths, names around a text
+    by the rarest of its pieces of PIECE symbols; containment is then looked at.
     """
     texts = keys.select("id", alnum(F.col("text")).alias("t"), tokens(F.col("text")).alias("tt")).where("t <> ''")
-    texts = texts.select("id", "t", "tt", F.substring("t", 1, 1).alias("k1"), F.substring("t", 1, 2).alias("t2"))
-    named = names.select("cui", "line_no", alnum(F.col("str")).alias("n"), tokens(F.col("str")).alias("nt")).where("n <> ''")
-    named = named.select("cui", "line_no", "n", "nt", F.substring("n", 1, 1).alias("k1"), F.substring("n", 1, 2).alias("n2"))
+    named = names.where("lat = 'ENG'").select("cui", "line_no", alnum(F.col("str")).alias("n"), tokens(F.col("str")).alias("nt")).where("n <> ''")
     # of one normal form the first line stands; the letters shared are the same for all its names
-    named = named.withColumn("r", F.row_number().over(Window.partitionBy("n").orderBy("line_no", "cui"))).where("r = 1").drop("r")
-    pairs = texts.join(named, "k1").where(F.col("n").contains(F.col("t")) | F.col("t").contains(F.col("n")))
-    score = F.struct(
-        -F.size(F.array_intersect("tt", "nt")), F.abs(F.length("n") - F.length("t")), (F.col("t2") != F.col("n2")).cast("int"), "line_no"
-    )
-    return pairs.groupBy("id").agg(F.min_by("cui", score).alias("cui"))
+    named = named.groupBy("n").agg(F.min_by(F.struct("cui", "line_no", "nt"), F.struct("line_no", "cui")).alias("x")).select("n", "x.*")
+    named = cut_lineage(named.withColumn("n1", F.substring("n", 1, 1)), "names")
+    letters = named.select(F.col("n1").alias("t1"), F.lit(True).alias("bucket")).distinct()
+    bare = texts.select("t").distinct().withColumn("t1", F.substring("t", 1, 1)).join(letters, "t1", "left").select("t", "t1", F.coalesce("bucket", F.lit(False)).alias("bucket"))
+    bare = cut_lineage(bare, "texts")
+    lengths = named.select(F.length("n").alias("size")).distinct().agg(F.array_sort(F.collect_list("size")).alias("sizes"))  # one row, of the lengths that there are
+    starts = F.filter(F.sequence(F.lit(1), F.length("t")), lambda p: ~F.col("bucket") | (F.substring("t", p, F.lit(1)) == F.col("t1")))
+    fits = lambda p: F.transform(F.filter("sizes", lambda z: z <= F.length("t") - p + 1), lambda z: F.substring("t", p, z))
+    within = bare.crossJoin(F.broadcast(lengths)).select("t", F.explode(F.array_distinct(F.flatten(F.transform(starts, fits)))).alias("n"))
+    inside = within.join(named.select("n"), "n").select("t", "n")
+    pieces = lambda c, z: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - z + 1, F.lit(1))), lambda p: F.substring(c, p, F.least(F.lit(z), F.length(c)))))
+    around = []
+    for z in range(1, PIECE + 1):  # texts shorter than a piece are one of their own length
+        mine = bare.where(F.length("t") == z) if z < PIECE else bare.where(F.length("t") >= PIECE)
+        grams = named.where(F.length("n") >= z).select("n", "n1", F.explode(pieces("n", z)).alias("g"))
+        wanted = mine.select("t", "t1", "bucket", F.explode(pieces("t", z)).alias("g"))
+        many = grams.join(wanted.select("g").distinct(), "g", "left_semi").groupBy("g").agg(F.count("*").alias("many"))
+        rarest = wanted.join(many, "g", "left").groupBy("t", "t1", "bucket").agg(F.min_by("g", F.struct(F.coalesce("many", F.lit(0)), F.col("g"))).alias("g"))
+        hit = rarest.join(grams, "g").where(F.col("n").contains(F.col("t")) & (~F.col("bucket") | (F.col("n1") == F.col("t1"))))
+        around.append(hit.select("t", "n"))
+    pairs = reduce(DataFrame.unionByName, around, inside).distinct()
+    rows = texts.join(pairs, "t").join(named.select("n", "cui", "line_no", "nt"), "n").join(bare.select("t", "bucket"), "t")
+    apart = F.when(F.col("bucket") & (F.length("t") > 1), (F.substring("t", 1, 2) != F.substring("n", 1, 2)).cast("int")).otherwise(0)
+    score = F.struct(-F.size(F.array_intersect("tt", "nt")), F.abs(F.length("n") - F.length("t")), apart, "line_no")
+    return rows.groupBy("id").agg(F.min_by("cui", score).alias("cui"))
+
+
+def link_texts(texts: DataFrame, atoms: DataFrame) -> DataFrame:
+    """text, cui, method of what has one: the name index, then preferred names, then containment. texts: text, distinct."""
+    rows = texts.withColumn("name", folded(F.col("text"))).where("name <> ''")
+    first = atoms.groupBy("cui").agg(F.min("line_no").alias("line_no")).join(preferred_names(atoms), "cui")
+    preferred = first.groupBy(F.lower("name").alias("name")).agg(F.min_by("cui", "line_no").alias("preferred"))
+    seen = rows.join(name_index(atoms).withColumnRenamed("cui", "exact"), "name", "left").join(preferred, "name", "left")
+    seen = cut_lineage(seen.select("text", F.coalesce("exact", "preferred").alias("exact")), "texts-by-name")
+    near = link_contained(seen.where("exact is null").select(F.col("text").alias("id"), "text"), atoms).select(F.col("id").alias("text"), F.col("cui").alias("near"))
+    method = F.when(F.col("exact").isNotNull(), "exact_match").otherwise("semantic_containment")
+    return seen.join(near, "text", "left").select("text", F.coalesce("exact", "near").alias("cui"), method.alias("method")).where("cui is not null")
 
 
 def cascade(mentions: DataFrame, atoms: DataFrame) -> DataFrame:
-    """mentions (sab, code, text) with cui and method: native code, exact name, containment, none.
+    """mentions (sab, code, text) with cui and method: native code in its normal form, exact name, containment, none.
 
     Distinct combinations are linked once and joined back; each step only sees
     what the steps before left.
     """
     keys = mentions.select("sab", "code", "text").distinct().withColumn("id", F.struct("sab", "code", "text"))
-    native = link_codes(keys.where("code <> ''"), code_index(atoms)).select("id", F.col("cui").alias("native"))
-    names = atoms.groupBy(folded(F.col("str")).alias("name")).agg(F.min_by("cui", "line_no").alias("exact"))
+    usable_code = codes.cleaned(F.col("code"), cut_at_dot=True)
+    native = link_codes(keys.select("id", "sab", usable_code.alias("code")).where("code is not null"), code_index(atoms)).select("id", F.col("cui").alias("native"))
     # one row a distinct combination, read by the steps below instead of being computed for each
-    seen = cut_lineage(keys.join(native, "id", "left").withColumn("name", F.when(F.col("text") != "", folded(F.col("text")))).join(names, "name", "left").select("id", "sab", "code", "text", "native", "exact"), "keys")
-    near = link_contained(seen.where("native is null and exact is null").select("id", "text"), atoms).select("id", F.col("cui").alias("near"))
-    method = F.when(F.col("native").isNotNull(), "native_id_mapping").when(F.col("exact").isNotNull(), "exact_match").when(F.col("near").isNotNull(), "semantic_containment")
-    found = seen.join(near, "id", "left").select("sab", "code", "text", F.coalesce("native", "exact", "near").alias("cui"), method.alias("method"))
+    seen = cut_lineage(keys.join(native, "id", "left").select("sab", "code", "text", "native"), "keys")
+    by_text = link_texts(seen.where("native is null and text <> ''").select("text").distinct(), atoms)
+    found = seen.join(by_text, "text", "left").select("sab", "code", "text", F.coalesce("native", "cui").alias("cui"), F.when(F.col("native").isNotNull(), "native_id_mapping").otherwise(F.col("method")).alias("method"))
     return mentions.join(found, ["sab", "code", "text"], "left").withColumn("method", F.coalesce("method", F.lit("no_mapping")))
 
 

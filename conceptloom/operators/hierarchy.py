@@ -23,9 +23,9 @@ def walk_up(codes: DataFrame, edges: DataFrame, most_nodes: int = 200, per_level
     it already ends there. per_level: so many partial paths a code and level, by
     their order. Paths of more than most_nodes nodes are dropped.
     """
-    links = edges.select("child", "parent").distinct()
+    links = cut_lineage(edges.select("child", "parent").distinct(), "links")
     known = links.select(F.col("child").alias("node")).union(links.select("parent")).distinct()
-    tops = known.join(links.select(F.col("child").alias("node")).distinct(), "node", "left_anti")
+    tops = cut_lineage(known.join(links.select(F.col("child").alias("node")).distinct(), "node", "left_anti"), "tops")
     now = codes.select("code").distinct().join(known.withColumnRenamed("node", "code"), "code", "left_semi").select("code", F.col("code").alias("node"), F.array("code").alias("path"))
     done: list[DataFrame] = []
     for _ in range(most_nodes):
@@ -58,6 +58,53 @@ def with_unknown(codes: DataFrame, paths: DataFrame, edges: DataFrame, label: st
     return paths.unionByName(missing.select("code", F.array(F.concat(F.lit(label), "code")).alias("path")))
 
 
+def with_names(paths: DataFrame, names: DataFrame, label: str = "Unknown: ") -> DataFrame:
+    """paths with nodes (code, name); a node without a name is called by its label and code. names: code, name, one a code."""
+    rows = paths.withColumn("_path", F.col("path")).select("code", "_path", F.posexplode("path").alias("at", "node"))
+    called = rows.join(names.select(F.col("code").alias("node"), "name"), "node", "left")
+    step = F.struct("at", F.col("node").alias("code"), F.coalesce("name", F.concat(F.lit(label), "node")).alias("name"))
+    steps = called.groupBy("code", "_path").agg(F.array_sort(F.collect_list(step)).alias("s"))
+    return steps.select("code", F.transform("s", lambda x: F.struct(x["code"].alias("code"), x["name"].alias("name"))).alias("path"))
+
+
+#: What the first letters of tree numbers stand for.
+ROOTS = {
+    "A": "Anatomy",
+    "B": "Organisms",
+    "C": "Diseases",
+    "D": "Chemicals and Drugs",
+    "E": "Analytical, Diagnostic and Therapeutic Techniques, and Equipment",
+    "F": "Psychiatry and Psychology",
+    "G": "Phenomena and Processes",
+    "H": "Disciplines and Occupations",
+    "I": "Anthropology, Education, Sociology and Social Phenomena",
+    "J": "Technology, Industry, Agriculture",
+    "K": "Humanities",
+    "L": "Information Science",
+    "M": "Named Groups",
+    "N": "Health Care",
+    "O": "Publication Characteristics",
+    "P": "Publication Components",
+    "Q": "Geographic Locations",
+    "V": "Publication Types",
+    "Z": "Geographical Locations",
+}
+
+
+def descriptor_paths(trees: DataFrame) -> DataFrame:
+    """code, tree, path of every tree number, root letter first, nodes (code, name). trees: tree, code, name.
+
+    A tree number that no descriptor has is called Unknown, unless it is a root's letter.
+    """
+    steps = trees.select("code", "tree", F.posexplode(prefixes(F.col("tree"))).alias("at", "node"))
+    held = trees.groupBy(F.col("tree").alias("node")).agg(F.min(F.struct("code", "name")).alias("d"))
+    root = F.element_at(F.create_map(*[F.lit(x) for pair in ROOTS.items() for x in pair]), F.col("node"))
+    name = F.coalesce("d.name", root, F.concat(F.lit("Unknown: "), "node"))
+    rows = steps.join(held, "node", "left").select("code", "tree", F.struct("at", F.coalesce("d.code", "node").alias("code"), name.alias("name")).alias("s"))
+    out = rows.groupBy("code", "tree").agg(F.array_sort(F.collect_list("s")).alias("s"))
+    return out.select("code", "tree", F.transform("s", lambda x: F.struct(x["code"].alias("code"), x["name"].alias("name"))).alias("path"))
+
+
 def single_parent(edges: DataFrame) -> DataFrame:
     """Only each child's first parent."""
     return edges.groupBy("child").agg(F.min_by("parent", "pos").alias("parent"))

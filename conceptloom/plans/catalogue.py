@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codes, text
-from ..operators import concepts, hierarchy, mentions, statistics
+from ..operators import concepts, datasets, hierarchy, mentions, statistics
 from ..session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,18 +67,25 @@ def part_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _NORM = "regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}]', '', 'g')"
 _TOKENS = "list_distinct(list_filter(string_split_regex(lower({0}), '[^a-z0-9]+'), lambda x: length(x) >= 3))"
-CASCADE = f"""{ATOMS}, {MENTIONS}, keys AS (SELECT DISTINCT sab, code, text FROM mentions),
- native AS (SELECT k.sab, k.code, k.text, i.cui FROM keys k JOIN (SELECT sab, code, arg_min(cui, line_no) AS cui FROM atoms GROUP BY 1, 2) i ON k.sab = i.sab AND k.code = i.code WHERE k.code <> ''),
+# Concepts of texts, from a table wanted(text): the folded English index, preferred names, containment.
+BY_TEXT = f"""ordered AS (SELECT lower(trim(str)) AS name, list({{'line_no': line_no, 'cui': cui, 'y': ispref = 'Y', 'p': tty IN ('PT', 'PN', 'PF')}} ORDER BY line_no) AS a FROM atoms WHERE lat = 'ENG' GROUP BY 1),
+ english AS (SELECT name, list_reduce(a, lambda s, x: CASE WHEN (NOT s.y AND x.y) OR (NOT s.p AND x.p) THEN x ELSE s END).cui AS cui FROM ordered),
+ called AS (SELECT cui, min(line_no) AS line_no, coalesce(arg_max(str, line_no) FILTER (WHERE lat = 'ENG' AND str <> ''), arg_min(str, line_no)) AS name FROM atoms GROUP BY cui),
+ preferred AS (SELECT lower(name) AS name, arg_min(cui, line_no) AS cui FROM called GROUP BY 1),
+ exact AS (SELECT w.text, coalesce(e.cui, p.cui) AS cui FROM wanted w LEFT JOIN english e ON lower(trim(w.text)) = e.name LEFT JOIN preferred p ON lower(trim(w.text)) = p.name WHERE trim(w.text) <> ''),
+ normed AS (SELECT n, arg_min(cui, line_no) AS cui, arg_min(str, line_no) AS str, min(line_no) AS line_no FROM (SELECT *, {_NORM.format('str')} AS n FROM atoms WHERE lat = 'ENG') WHERE n <> '' GROUP BY n),
+ letters AS (SELECT DISTINCT left(n, 1) AS k FROM normed),
+ loose AS (SELECT x.text, x.t, l.k FROM (SELECT text, {_NORM.format('text')} AS t FROM exact WHERE cui IS NULL) x LEFT JOIN letters l ON left(x.t, 1) = l.k WHERE x.t <> ''),
+ pairs AS (SELECT x.text, x.t, x.k, m.* FROM loose x JOIN normed m ON x.k = left(m.n, 1) AND (contains(m.n, x.t) OR contains(x.t, m.n))
+   UNION ALL SELECT x.text, x.t, x.k, m.* FROM (SELECT * FROM loose WHERE k IS NULL) x JOIN normed m ON contains(m.n, x.t) OR contains(x.t, m.n)),
+ near AS (SELECT text, cui FROM (SELECT text, cui, row_number() OVER (PARTITION BY text ORDER BY len(list_intersect({_TOKENS.format('text')}, {_TOKENS.format('str')})) DESC, abs(length(n) - length(t)),
+   CASE WHEN k IS NULL OR length(t) < 2 OR left(n, 2) = left(t, 2) THEN 0 ELSE 1 END, line_no) AS r FROM pairs) WHERE r = 1),
+ bytext AS (SELECT text, cui, 'exact_match' AS method FROM exact WHERE cui IS NOT NULL UNION ALL SELECT text, cui, 'semantic_containment' FROM near)"""
+CASCADE = f"""{ATOMS}, {MENTIONS}, keys AS (SELECT DISTINCT sab, code, text, split_part(trim(code), '.', 1) AS bare FROM mentions),
+ native AS (SELECT k.sab, k.code, k.text, i.cui FROM keys k JOIN (SELECT sab, code, arg_min(cui, line_no) AS cui FROM atoms GROUP BY 1, 2) i ON k.sab = i.sab AND k.bare = i.code WHERE length(k.bare) >= 3),
  left1 AS (SELECT k.* FROM keys k LEFT JOIN native n ON k.sab = n.sab AND k.code = n.code AND k.text = n.text WHERE n.cui IS NULL),
- names AS (SELECT lower(trim(str)) AS name, arg_min(cui, line_no) AS cui FROM atoms GROUP BY 1),
- exact AS (SELECT k.sab, k.code, k.text, n.cui FROM left1 k JOIN names n ON lower(trim(k.text)) = n.name WHERE k.text <> ''),
- left2 AS (SELECT k.* FROM left1 k LEFT JOIN exact n ON k.sab = n.sab AND k.code = n.code AND k.text = n.text WHERE n.cui IS NULL),
- normed AS (SELECT n, arg_min(cui, line_no) AS cui, arg_min(str, line_no) AS str, min(line_no) AS line_no FROM (SELECT *, {_NORM.format('str')} AS n FROM atoms) GROUP BY n),
- texts AS (SELECT *, {_NORM.format('text')} AS t FROM left2),
- near AS (SELECT sab, code, text, cui FROM (SELECT x.sab, x.code, x.text, m.cui, row_number() OVER (PARTITION BY x.sab, x.code, x.text ORDER BY
-   len(list_intersect({_TOKENS.format('x.text')}, {_TOKENS.format('m.str')})) DESC, abs(length(m.n) - length(x.t)), CASE WHEN left(m.n, 2) = left(x.t, 2) THEN 0 ELSE 1 END, m.line_no) AS r
-   FROM texts x JOIN normed m ON left(x.t, 1) = left(m.n, 1) AND (contains(m.n, x.t) OR contains(x.t, m.n)) WHERE x.t <> '' AND m.n <> '') WHERE r = 1),
- found AS (SELECT *, 'native_id_mapping' AS method FROM native UNION ALL SELECT *, 'exact_match' FROM exact UNION ALL SELECT *, 'semantic_containment' FROM near),
+ wanted AS (SELECT DISTINCT text FROM left1), {BY_TEXT},
+ found AS (SELECT *, 'native_id_mapping' AS method FROM native UNION ALL SELECT k.sab, k.code, k.text, b.cui, b.method FROM left1 k JOIN bytext b ON k.text = b.text),
  linked AS (SELECT m.*, f.cui, coalesce(f.method, 'no_mapping') AS method FROM mentions m LEFT JOIN found f ON m.sab = f.sab AND m.code = f.code AND m.text = f.text)"""
 
 
@@ -88,6 +95,88 @@ def link_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked.groupBy("method", F.coalesce("cui", F.lit("")).alias("cui")).agg(count())
 
 
+# Each corpus's own order of tries, over mentions whose columns hold codes of several sources and spellings.
+
+_VOCABULARY = """src AS (SELECT *, CASE p_partkey % 6 WHEN 0 THEN 'SNOMEDCT_US' WHEN 1 THEN 'SCTSPA' WHEN 2 THEN 'MDR' WHEN 3 THEN 'MSH' WHEN 4 THEN 'SNOMEDCT' ELSE 'OMIM' END AS vocab FROM part),
+  atoms AS (SELECT 'C' || lpad(CAST(p_partkey % 500 AS VARCHAR), 7, '0') AS cui, CASE WHEN p_partkey % 7 = 0 THEN 'FRE' ELSE 'ENG' END AS lat, CASE WHEN p_size % 2 = 0 THEN 'Y' ELSE 'N' END AS ispref, vocab AS sab,
+    CASE p_type WHEN 'ECONOMY' THEN 'PT' ELSE p_type END AS tty, CASE WHEN vocab = 'MSH' THEN 'D' ELSE '' END || (p_partkey + 1000) AS code, p_name || ' ' || lower(p_type) AS str, p_partkey AS line_no FROM src),
+  types AS (SELECT DISTINCT cui, 'T' || substr(cui, 6) AS tui FROM atoms WHERE right(cui, 1) <> '3')"""
+_DATASET = """dm AS (SELECT l_orderkey, l_linenumber, CASE l_linenumber % 4 WHEN 0 THEN upper(p_name || ' ' || p_type) WHEN 1 THEN p_name WHEN 2 THEN 'zq ' || p_name ELSE '' END AS text,
+  CASE (l_linenumber + l_suppkey) % 5 WHEN 0 THEN CAST(l_partkey + 1000 AS VARCHAR) WHEN 1 THEN '00' || (l_partkey + 1000) || '.0' WHEN 2 THEN 'C' || lpad(CAST(l_partkey % 700 AS VARCHAR), 7, '0') WHEN 3 THEN 'CONCEPT-LESS' ELSE '-1' END AS one,
+  CASE l_linenumber % 3 WHEN 0 THEN CAST(l_suppkey + 1000 AS VARCHAR) WHEN 1 THEN 'D' || (l_partkey + 1000) ELSE '' END AS two, vocab FROM lineitem JOIN src ON l_partkey = p_partkey)"""
+#: Of each corpus: its query's tries as (column, source) and the columns that make its combinations.
+_TRIES_SQL = {
+    "cdr": [("one", "vocab")],
+    "ncbi": [("one", "'CONCEPT'"), ("two", "vocab")],
+    "medmentions": [("one", "'CONCEPT'")],
+    "cadec": [("one", "'SNOMEDCT_US'"), ("one", "'SCTSPA'"), ("one", "'SNOMEDCT'"), ("one", "'SNOMEDCT_CORE'"), ("two", "'MDR'")],
+    "cometa": [(c, x) for c in ("one", "two") for x in ("'SNOMEDCT_US'", "'SCTSPA'", "'SNOMEDCT'", "'SNOMEDCT_CORE'", "'CONCEPT'")],
+    "adr": [("one", "'MDR'")],
+    "mantra": [("one", "'CONCEPT'")],
+    "mimic": [("one", "'SNOMEDCT_US'")],
+    "share": [("one", "'CONCEPT'")],
+}
+_COLUMNS = {
+    "cdr": {"native_id": "one", "native_ontology_name": "vocab"}, "ncbi": {"concept_id": "one", "native_id": "two", "native_ontology_name": "vocab"}, "medmentions": {"cui": "one"}, "cadec": {"snomed_id": "one", "meddra_id": "two"},
+    "cometa": {"specific_id": "one", "general_id": "two"}, "adr": {"native_id": "one"}, "mantra": {"native_id": "one"}, "mimic": {"native_id": "one"}, "share": {"native_id": "one"},
+}
+
+
+def _dataset_sql(tries: list[tuple[str, str]]) -> str:
+    rows = " UNION ALL ".join(f"SELECT one, two, vocab, text, {10 * k} AS prio, {source} AS sab, {column} AS raw FROM combos" for k, (column, source) in enumerate(tries))
+    return f"""WITH {_VOCABULARY}, {_DATASET}, combos AS (SELECT DISTINCT one, two, vocab, text FROM dm), raws AS ({rows}),
+  bare AS (SELECT *, CASE WHEN sab = 'CONCEPT' THEN CASE WHEN trim(raw) LIKE 'C%' AND length(trim(raw)) >= 7 THEN trim(raw) END WHEN length(split_part(trim(raw), '.', 1)) >= 3 AND lower(raw) <> 'concept-less' THEN split_part(trim(raw), '.', 1) END AS code FROM raws),
+  steps AS (SELECT one, two, vocab, text, prio, sab, code FROM bare WHERE code IS NOT NULL UNION ALL
+    SELECT one, two, vocab, text, prio + 1, sab, CASE sab WHEN 'MSH' THEN CASE WHEN code LIKE 'D%' THEN substr(code, 2) ELSE 'D' || code END WHEN 'SNOMEDCT_US' THEN ltrim(code, '0') ELSE CAST(TRY_CAST(code AS BIGINT) AS VARCHAR) END FROM bare WHERE code IS NOT NULL AND sab IN ('MSH', 'SNOMEDCT_US', 'MDR')),
+  ix AS (SELECT sab, code, arg_min(cui, line_no) AS cui FROM atoms GROUP BY 1, 2 UNION ALL SELECT 'CONCEPT', cui, cui FROM types),
+  native AS (SELECT one, two, vocab, text, arg_min(ix.cui, prio) AS cui FROM steps JOIN ix ON steps.sab = ix.sab AND steps.code = ix.code GROUP BY ALL),
+  rest AS (SELECT c.* FROM combos c LEFT JOIN native n USING (one, two, vocab, text) WHERE n.cui IS NULL), wanted AS (SELECT DISTINCT text FROM rest WHERE text <> ''), {BY_TEXT},
+  found AS (SELECT one, two, vocab, text, cui, 'native_id_mapping' AS method FROM native UNION ALL SELECT r.one, r.two, r.vocab, r.text, b.cui, b.method FROM rest r JOIN bytext b ON r.text = b.text)
+  SELECT coalesce(f.method, 'no_mapping') AS method, coalesce(f.cui, '') AS cui, count(*) AS n FROM dm LEFT JOIN found f USING (one, two, vocab, text) GROUP BY 1, 2"""
+
+
+def _vocabulary(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    names = F.array(*[F.lit(x) for x in ("SNOMEDCT_US", "SCTSPA", "MDR", "MSH", "SNOMEDCT", "OMIM")])
+    src = p.withColumn("vocab", F.element_at(names, (k % 6 + 1).cast("int")))
+    made = src.select(
+        F.concat(F.lit("C"), F.lpad((k % 500).cast("string"), 7, "0")).alias("cui"), F.when(k % 7 == 0, "FRE").otherwise("ENG").alias("lat"), F.when(F.col("p_size") % 2 == 0, "Y").otherwise("N").alias("ispref"), F.col("vocab").alias("sab"),
+        F.when(F.col("p_type") == "ECONOMY", "PT").otherwise(F.col("p_type")).alias("tty"), F.concat(F.when(F.col("vocab") == "MSH", "D").otherwise(""), (k + 1000).cast("string")).alias("code"), F.concat("p_name", F.lit(" "), F.lower("p_type")).alias("str"), k.alias("line_no"),
+    )
+    types = made.select("cui", F.concat(F.lit("T"), F.substring("cui", 6, 9)).alias("tui")).distinct().where("right(cui, 1) <> '3'").withColumn("pos", F.lit(0))
+    return src, made, types
+
+
+def _dataset_mentions(spark: SparkSession, sf_dir: str, src: DataFrame) -> DataFrame:
+    rows, key = table(spark, sf_dir, "lineitem").join(src, F.col("l_partkey") == F.col("p_partkey")), (F.col("l_partkey") + 1000).cast("string")
+    k, v = F.col("l_linenumber"), (F.col("l_linenumber") + F.col("l_suppkey")) % 5
+    return rows.select(
+        F.when(k % 4 == 0, F.upper(F.concat("p_name", F.lit(" "), "p_type"))).when(k % 4 == 1, F.col("p_name")).when(k % 4 == 2, F.concat(F.lit("zq "), "p_name")).otherwise("").alias("text"),
+        F.when(v == 0, key).when(v == 1, F.concat(F.lit("00"), key, F.lit(".0"))).when(v == 2, F.concat(F.lit("C"), F.lpad((F.col("l_partkey") % 700).cast("string"), 7, "0"))).when(v == 3, "CONCEPT-LESS").otherwise("-1").alias("one"),
+        F.when(k % 3 == 0, (F.col("l_suppkey") + 1000).cast("string")).when(k % 3 == 1, F.concat(F.lit("D"), key)).otherwise("").alias("two"), "vocab",
+    )
+
+
+def _link_dataset(name: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        src, made, types = _vocabulary(spark, sf_dir)
+        rows = _dataset_mentions(spark, sf_dir, src)
+        rows = rows.select("text", *[F.col(c).alias(as_) for as_, c in _COLUMNS[name].items()])
+        if datasets.SPECS[name].candidates:
+            rows = rows.withColumn("candidates", F.array().cast("array<struct<sab:string,code:string>>"))
+        if datasets.SPECS[name].retype:
+            rows = rows.withColumn("semantic_type", F.lit(""))
+        out = datasets.link(rows, made, types, datasets.SPECS[name])
+        return out.groupBy("method", F.col("linked").alias("cui")).agg(count())
+
+    run.__name__ = f"link_{name}"
+    return run
+
+
+for _name, _tries in _TRIES_SQL.items():
+    query(_dataset_sql(_tries))(_link_dataset(_name))
+
+
 @query("""WITH k AS (SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN 'MSH' WHEN 1 THEN 'SNOMEDCT_US' ELSE 'MDR' END AS sab,
   CASE p_partkey % 3 WHEN 0 THEN 'D' || CAST(p_partkey AS VARCHAR) ELSE '00' || CAST(p_partkey AS VARCHAR) END AS code FROM part),
   i AS (SELECT CASE p_partkey % 3 WHEN 0 THEN 'MSH' WHEN 1 THEN 'SNOMEDCT_US' ELSE 'MDR' END AS sab, CAST(p_partkey AS VARCHAR) AS code, p_name AS cui FROM part WHERE p_partkey % 5 <> 0),
@@ -283,31 +372,28 @@ def sentence_of_span(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.sentence_around(F.col("text"), a, a + 5).alias("sentence"))
 
 
-def _cleaner_sql(rules: list[tuple[str, str]], column: str) -> str:
-    for pattern, by in rules:
-        new = "chr(10)" + " || chr(10)" * (by.count("\n") - 1) if "\n" in by else "'" + by.replace("$", chr(92)) + "'"
-        column = f"regexp_replace({column}, '{pattern}', {new}, 'g')"
-    return column
-
-
-_NOISE = "replace(replace(text, '. ', ' .  ( '), ', ', ' ,, ____ )')"
+_NOISE = "replace(replace(replace(text, '. ', ' .  ( '), ', ', ' ,, ____ ) _ x :  - a / b' || chr(10) || ' ' || chr(10) || chr(10) || chr(10)), ' d', ' ' || chr(10) || ' __ d')"
 
 
 def _noisy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.expr(_NOISE).alias("text"))
 
 
-@query(f"SELECT conv_id, turn, trim({_cleaner_sql(text.LABEL_RULES, _NOISE)}) AS clean FROM conversations")
+@query(r"""SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, ' +', ' ', 'g'), ' ([.,;:!?)])', '\1', 'g'), '[(] ', '(', 'g'), ' +\n', chr(10), 'g'), '\n+', chr(10), 'g') AS clean FROM conversations""".format(_NOISE))
 def clean_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _noisy(spark, sf_dir).select("conv_id", "turn", text.clean_label(F.col("text")).alias("clean"))
 
 
-@query(f"SELECT conv_id, turn, trim({_cleaner_sql(text.NOTE_RULES, _NOISE)}) AS clean FROM conversations")
+@query(r"""WITH a AS (SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_replace({0}, '___+', '', 'g'), '\b__\b', '', 'g'), '\b_\b', '', 'g') AS t FROM conversations),
+  b AS (SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_replace(t, '[ \t]+', ' ', 'g'), ' +\n', chr(10), 'g'), '\n\n\n+', chr(10) || chr(10), 'g') AS t FROM a),
+  c AS (SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, ' +([.,;:!?)])', '\1', 'g'), '[(] +', '(', 'g'), ' +[)]', ')', 'g'), '([A-Za-z0-9_]) +:', '\1:', 'g') AS t FROM b),
+  d AS (SELECT conv_id, turn, regexp_replace(regexp_replace(t, ' +- +', ' - ', 'g'), ' +/ +', '/', 'g') AS t FROM c)
+  SELECT conv_id, turn, trim(regexp_replace(regexp_replace(regexp_replace(t, '  +', ' ', 'g'), '\n +', chr(10), 'g'), ' +\n', chr(10), 'g'), ' ' || chr(10)) AS clean FROM d""".format(_NOISE))
 def clean_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _noisy(spark, sf_dir).select("conv_id", "turn", text.clean_note(F.col("text")).alias("clean"))
 
 
-@query(f"SELECT conv_id, turn, trim({_cleaner_sql(text.REPORT_RULES, _NOISE)}) AS clean FROM conversations")
+@query(r"""SELECT conv_id, turn, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '[ \t]+', ' ', 'g'), ' +\n', chr(10), 'g'), '\n+', chr(10), 'g'), ' +([.,;:!?)])', '\1', 'g'), '[(] +', '(', 'g'), '___+', '___', 'g'), ' ' || chr(10)) AS clean FROM conversations""".format(_NOISE))
 def clean_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _noisy(spark, sf_dir).select("conv_id", "turn", text.clean_report(F.col("text")).alias("clean"))
 
@@ -340,7 +426,7 @@ def explode_span_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Code formats.
 
 _CODES = """SELECT v.vocab, CASE v.k WHEN 0 THEN CAST(1000000 + p_partkey AS VARCHAR) WHEN 1 THEN 'D' || lpad(CAST(p_partkey AS VARCHAR), 6, '0') WHEN 2 THEN 'GO:' || lpad(CAST(p_partkey AS VARCHAR), 7, '0') WHEN 3 THEN CAST(p_partkey AS VARCHAR) || '.' || CAST(p_size AS VARCHAR)
-  WHEN 4 THEN CAST(p_partkey AS VARCHAR) || '-1' WHEN 5 THEN 'MTHU' || CAST(p_partkey AS VARCHAR) ELSE 'A' || lpad(CAST(p_partkey % 100 AS VARCHAR), 2, '0') || '.' || CAST(p_size AS VARCHAR) END AS code FROM part CROSS JOIN (SELECT * FROM (VALUES ('SNOMEDCT_US', 0), ('MSH', 1), ('GO', 2), ('ICD9CM', 3), ('LNC', 4), ('LNC', 5), ('ICD10CM', 6), ('HPO', 2)) AS w(vocab, k)) v"""
+  WHEN 4 THEN CAST(p_partkey AS VARCHAR) || '-1' WHEN 5 THEN 'MTHU' || CAST(p_partkey AS VARCHAR) ELSE 'A' || lpad(CAST(p_partkey % 100 AS VARCHAR), 2, '0') || '.' || CAST(p_size AS VARCHAR) END AS code FROM part CROSS JOIN (SELECT * FROM (VALUES ('SNOMEDCT_US', 0), ('MSH', 1), ('GO', 2), ('ICD9CM', 3), ('LNC', 4), ('LNC', 5), ('ICD10CM', 6), ('HPO', 2), ('LCH_NW', 5)) AS w(vocab, k)) v"""
 
 
 def _codes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -348,13 +434,18 @@ def _codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     pad = lambda n: F.lpad(key, n, "0")
     made = {
         ("SNOMEDCT_US", 0): (F.col("p_partkey") + 1000000).cast("string"), ("MSH", 1): F.concat(F.lit("D"), pad(6)), ("GO", 2): F.concat(F.lit("GO:"), pad(7)), ("HPO", 2): F.concat(F.lit("GO:"), pad(7)),
-        ("ICD9CM", 3): F.concat(key, F.lit("."), F.col("p_size").cast("string")), ("LNC", 4): F.concat(key, F.lit("-1")), ("LNC", 5): F.concat(F.lit("MTHU"), key),
+        ("LCH_NW", 5): F.concat(F.lit("MTHU"), key), ("ICD9CM", 3): F.concat(key, F.lit("."), F.col("p_size").cast("string")), ("LNC", 4): F.concat(key, F.lit("-1")), ("LNC", 5): F.concat(F.lit("MTHU"), key),
         ("ICD10CM", 6): F.concat(F.lit("A"), F.lpad((F.col("p_partkey") % 100).cast("string"), 2, "0"), F.lit("."), F.col("p_size").cast("string")),
     }
     return table(spark, sf_dir, "part").select(F.explode(F.array(*[F.struct(F.lit(v).alias("vocab"), c.alias("code")) for (v, _), c in made.items()])).alias("x")).select("x.*")
 
 
-@query(f"WITH c AS ({_CODES}) SELECT vocab, code, CASE vocab " + " ".join(f"WHEN '{v}' THEN regexp_matches(code, '{r}')" for v, r in codes.FORMATS.items()) + " ELSE false END AS ok, starts_with(code, 'MTHU') AS skipped FROM c")
+@query(f"""WITH c AS ({_CODES}), x AS (SELECT vocab, code, regexp_matches(code, '^[0-9][0-9]\\.[0-9][0-9]?$') OR regexp_matches(code, '^[0-9]+-[0-9]+\\.99$') OR (regexp_matches(code, '^[0-9][0-9]?$') AND code NOT IN ('30', '50', '52', '53')) AS no_diagnosis FROM c)
+  SELECT vocab, code, CASE vocab WHEN 'SNOMEDCT_US' THEN regexp_full_match(code, '[0-9]{{6,18}}') WHEN 'MSH' THEN regexp_full_match(code, '[A-Z][0-9]{{6,9}}') WHEN 'GO' THEN regexp_full_match(code, 'GO:[0-9]{{7}}') WHEN 'HPO' THEN regexp_full_match(code, 'HP:[0-9]{{7}}')
+    WHEN 'LNC' THEN regexp_full_match(code, '[0-9][0-9][0-9][0-9]+-[0-9]') OR regexp_full_match(code, 'MTHU[0-9]{{6}}') OR regexp_full_match(code, 'L[PAL][0-9]{{4,}}-[0-9]') OR regexp_full_match(code, 'LG[0-9]{{5}}-[0-9]')
+    WHEN 'LCH_NW' THEN length(code) > 3 AND regexp_full_match(code, '[a-zA-Z0-9]+')
+    ELSE NOT no_diagnosis AND (regexp_full_match(code, '[A-Z][0-9][0-9]([.][0-9]{{1,4}})?') OR regexp_full_match(code, '[A-Z][0-9][0-9][A-Z]([.][0-9]{{1,3}})?') OR regexp_full_match(code, '[A-Z][0-9][0-9]-[A-Z][0-9][0-9]') OR regexp_full_match(code, '[A-Z][0-9][A-Z]([.][0-9]{{1,3}})?')
+      OR regexp_full_match(code, '[0-9]{{2,3}}([.][0-9]{{1,2}})?') OR regexp_full_match(code, 'V[0-9][0-9]([.][0-9]{{1,2}})?') OR regexp_full_match(code, 'E[0-9]{{3,4}}([.][0-9])?') OR regexp_full_match(code, '[0-9]{{3}}-[0-9]{{3}}([.]99)?')) END AS ok, starts_with(code, 'MTHU') AS skipped FROM x""")
 def code_format_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _codes(spark, sf_dir).select("vocab", "code", codes.valid(F.col("vocab"), F.col("code")).alias("ok"), codes.loinc_skipped(F.col("code")).alias("skipped"))
 
@@ -369,7 +460,7 @@ def icd_exclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Hierarchies.
 
-EDGES = """e AS (SELECT DISTINCT 'P' || l_partkey AS child, 'S' || l_suppkey AS parent FROM lineitem WHERE l_partkey % 10 = 0 UNION SELECT 'S' || s_suppkey, 'N' || s_nationkey FROM supplier UNION SELECT 'N' || n_nationkey, 'R' || n_regionkey FROM nation)"""
+EDGES = """e AS (SELECT DISTINCT 'P' || l_partkey AS child, 'S' || l_suppkey AS parent FROM lineitem UNION SELECT 'S' || s_suppkey, 'N' || s_nationkey FROM supplier UNION SELECT 'N' || n_nationkey, 'R' || n_regionkey FROM nation)"""
 _WALK = """r(code, node, path, depth) AS (SELECT DISTINCT child, child, child, 1 FROM e WHERE child LIKE 'P%' UNION ALL SELECT r.code, e.parent, e.parent || ' > ' || r.path, r.depth + 1 FROM r JOIN e ON e.child = r.node),
   p AS (SELECT code, path, depth FROM r LEFT JOIN e ON e.child = r.node WHERE e.child IS NULL)"""
 
@@ -378,7 +469,7 @@ def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
     link = lambda df, a, b: df.select(a.alias("child"), b.alias("parent"))
     return (
-        link(table(spark, sf_dir, "lineitem").where("l_partkey % 10 = 0"), name("P", "l_partkey"), name("S", "l_suppkey"))
+        link(table(spark, sf_dir, "lineitem"), name("P", "l_partkey"), name("S", "l_suppkey"))
         .union(link(table(spark, sf_dir, "supplier"), name("S", "s_suppkey"), name("N", "s_nationkey")))
         .union(link(table(spark, sf_dir, "nation"), name("N", "n_nationkey"), name("R", "n_regionkey")))
         .distinct()
@@ -399,6 +490,31 @@ def path_dag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _part_paths(spark, sf_dir).select("code", shown())
 
 
+@query(f"""WITH RECURSIVE {EDGES}, {_WALK}, named AS (SELECT 'S' || s_suppkey AS code, s_name AS name FROM supplier UNION ALL SELECT 'N' || n_nationkey, n_name FROM nation UNION ALL SELECT 'R' || r_regionkey, r_name FROM region),
+  steps AS (SELECT code, path, unnest(string_split(path, ' > ')) AS node, unnest(range(1, depth + 1)) AS nth FROM p)
+  SELECT s.code, string_agg(node || '=' || coalesce(name, 'Unknown: ' || node), ' > ' ORDER BY nth) AS path FROM steps s LEFT JOIN named n ON s.node = n.code GROUP BY s.code, s.path""")
+def path_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    called = lambda name, letter, key, c: table(spark, sf_dir, name).select(F.concat(F.lit(letter), F.col(key).cast("string")).alias("code"), F.col(c).alias("name"))
+    names = called("supplier", "S", "s_suppkey", "s_name").union(called("nation", "N", "n_nationkey", "n_name")).union(called("region", "R", "r_regionkey", "r_name"))
+    rows = hierarchy.with_names(_part_paths(spark, sf_dir), names)
+    return rows.select("code", F.array_join(F.transform("path", lambda x: F.concat(x["code"], F.lit("="), x["name"])), " > ").alias("path"))
+
+
+@query("""WITH t AS (SELECT page_id, chr(CAST(65 + page_id % 9 AS INTEGER)) || CAST(page_id % 90 AS VARCHAR) AS top, page_id % 7 AS mid FROM pages), known AS (SELECT DISTINCT top AS tree, 'U' || top AS ui FROM t WHERE mid < 5 UNION SELECT DISTINCT top || '.' || mid, 'M' || top || mid FROM t),
+  roots(k, name) AS (SELECT * FROM (VALUES ('A', 'Anatomy'), ('B', 'Organisms'), ('C', 'Diseases'), ('D', 'Chemicals and Drugs'), ('E', 'Analytical, Diagnostic and Therapeutic Techniques, and Equipment'), ('F', 'Psychiatry and Psychology'), ('G', 'Phenomena and Processes'), ('H', 'Disciplines and Occupations'), ('I', 'Anthropology, Education, Sociology and Social Phenomena')) v(a, b))
+  SELECT DISTINCT 'M' || t.top || t.mid AS code, left(t.top, 1) || '=' || roots.name || ' > ' || coalesce(a.ui || '=name of ' || a.ui, t.top || '=Unknown: ' || t.top) || ' > M' || t.top || t.mid || '=name of M' || t.top || t.mid AS path
+  FROM t JOIN roots ON left(t.top, 1) = roots.k LEFT JOIN known a ON a.tree = t.top""")
+def path_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("page_id")
+    top = F.concat(F.chr(65 + k % 9), (k % 90).cast("string"))
+    mid = (k % 7).cast("string")
+    pages = table(spark, sf_dir, "pages")
+    upper = pages.where(k % 7 < 5).select(top.alias("tree"), F.concat(F.lit("U"), top).alias("code"))
+    trees = upper.union(pages.select(F.concat(top, F.lit("."), mid), F.concat(F.lit("M"), top, mid))).distinct().withColumn("name", F.concat(F.lit("name of "), "code"))
+    rows = hierarchy.descriptor_paths(trees).where("code like 'M%'")
+    return rows.select("code", F.array_join(F.transform("path", lambda x: F.concat(x["code"], F.lit("="), x["name"])), " > ").alias("path")).distinct()
+
+
 _LOOP = "(VALUES ('a', 'b'), ('b', 'c'), ('c', 'a'), ('b', 'root'), ('d', 'd'), ('d', 'c'), ('x', 'y'), ('y', 'x'))"
 
 
@@ -420,19 +536,20 @@ def path_root_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy.walk_up(_loop(spark).select(F.col("child").alias("code")), _loop(spark), root_fallback=True).select("code", shown())
 
 
-@query(f"""WITH RECURSIVE {EDGES}, c AS (SELECT DISTINCT 'P' || p_partkey AS code FROM part WHERE p_partkey % 5 = 0), {_WALK}
+@query(f"""WITH RECURSIVE {EDGES}, c AS (SELECT 'P' || p_partkey AS code FROM part UNION SELECT 'U' || p_partkey FROM part), {_WALK}
   SELECT p.code, p.path FROM p JOIN c ON p.code = c.code UNION ALL SELECT code, 'Unknown: ' || code FROM c WHERE code NOT IN (SELECT child FROM e)""")
 def path_unknown_node(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wanted = table(spark, sf_dir, "part").where("p_partkey % 5 = 0").select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("code"))
+    coded = lambda letter: table(spark, sf_dir, "part").select(F.concat(F.lit(letter), F.col("p_partkey").cast("string")).alias("code"))
+    wanted = coded("P").union(coded("U"))  # the vocabulary has none of the latter
     edges = _edges(spark, sf_dir)
     return hierarchy.with_unknown(wanted, hierarchy.walk_up(wanted, edges, guard=False), edges).select("code", shown())
 
 
-@query("""SELECT 'O' || o_orderkey AS code, 'R' || n_regionkey || ' > N' || n_nationkey || ' > C' || c_custkey || ' > O' || o_orderkey AS path FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderkey % 3 = 0""")
+@query("""SELECT 'O' || o_orderkey AS code, 'R' || n_regionkey || ' > N' || n_nationkey || ' > C' || c_custkey || ' > O' || o_orderkey AS path FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey""")
 def path_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
     link = lambda df, a, b, pos: df.select(a.alias("child"), b.alias("parent"), F.lit(pos).alias("pos"))
-    orders = table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0")
+    orders = table(spark, sf_dir, "orders")
     edges = link(orders, name("O", "o_orderkey"), name("C", "o_custkey"), 0).union(link(orders, name("O", "o_orderkey"), F.lit("other"), 1))
     edges = edges.union(link(table(spark, sf_dir, "customer"), name("C", "c_custkey"), name("N", "c_nationkey"), 0)).union(link(table(spark, sf_dir, "nation"), name("N", "n_nationkey"), name("R", "n_regionkey"), 0))
     return hierarchy.walk_up(orders.select(name("O", "o_orderkey").alias("code")), hierarchy.single_parent(edges)).select("code", shown())

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from conceptloom.functions import codes, text
-from conceptloom.operators import concepts, hierarchy
+from conceptloom.operators import concepts, datasets, hierarchy
 from conceptloom.streaming.incremental import link_stream
 
 ATOMS = "cui string, lat string, ispref string, sab string, tty string, code string, str string, line_no long"
@@ -35,16 +35,52 @@ def test_containment(spark, frame):
     toks = lambda s: {t for t in __import__("re").split("[^a-z0-9]+", s.lower()) if len(t) >= 3}
     first = {}
     for r in rows:
-        first.setdefault(norm(r[6]), r)
-    texts = ["cold", "COLD sores", "fe", "x", "feverish", "", "é cold"]
+        if r[1] == "ENG":
+            first.setdefault(norm(r[6]), r)
+    texts = ["cold", "COLD sores", "fe", "x", "feverish", "", "é cold", "z cold", "ol", "o", "ever", "f", "the cold fever of"]
     expected = {}
     for t in texts:
         n = norm(t)
-        found = [(-len(toks(t) & toks(r[6])), abs(len(k) - len(n)), k[:2] != n[:2], r[7], r[0]) for k, r in first.items() if n and k[0] == n[0] and (n in k or k in n)]
+        bucket = any(k[:1] == n[:1] for k in first)
+        found = [(-len(toks(t) & toks(r[6])), abs(len(k) - len(n)), bucket and len(n) > 1 and k[:2] != n[:2], r[7], r[0]) for k, r in first.items() if n and k and (not bucket or k[0] == n[0]) and (n in k or k in n)]
         if found:
             expected[t] = min(found)[4]
     got = concepts.link_contained(frame([(t, t) for t in texts], "id string, text string"), frame(rows, ATOMS)).collect()
-    assert {r.id: r.cui for r in got} == expected
+    assert {r.id: r.cui for r in got} == expected and "z cold" in expected
+
+
+def test_cleaners_and_formats(spark, frame):
+    one = lambda f, t: frame([(t,)], "t string").select(f(F.col("t")).alias("c")).first().c
+    assert one(text.clean_label, "a  b . \n\n\n( c )  \nd ") == "a b.\n(c)\nd "
+    assert one(text.clean_note, " Mr ___ on __ at  5 : x - y / z\n \n\n\n ok ( a ) ____b_") == "Mr on at 5: x - y/z\n\nok (a) b_"
+    assert one(text.clean_report, "00||||x\nA  b \n\n c [** d **] ____ ( e ) !") == "A b\n c [** d **] ___ (e)!"
+    rows = [("LNC", c) for c in ("2339-0", "233-0", "MTHU013518", "MTHU1", "LP7484-8", "12345")] + [("LCH_NW", c) for c in ("fst00123456", "sj1", "abc!")]
+    rows += [("ICD10CM", c) for c in ("U07.1", "A00A", "A00-B99", "C4A", "S06X", "E1234.1", "12")] + [("ICD9CM", c) for c in ("30", "31", "001-139", "001-139.99", "V12.3", "49.46")]
+    ok = [r.code for r in frame(rows, "v string, code string").where(codes.valid(F.col("v"), F.col("code"))).collect()]
+    assert sorted(ok) == sorted(["2339-0", "MTHU013518", "LP7484-8", "fst00123456", "U07.1", "A00A", "A00-B99", "C4A", "S06X", "E1234.1", "30", "001-139", "V12.3"])
+    assert one(codes.meddra_id, "10012345") == "10012345" and one(codes.meddra_id, "123") == ""
+
+
+def test_offset_map(spark, frame):
+    before, after = "a  ( b ) ___ c", "a (b) c"
+    at = frame([(before, after), (None, "x")], "a string, b string").select(text.offset_map(F.col("a"), F.col("b")).alias("m")).collect()
+    maps = next(r.m for r in at if r.m is not None)
+    assert len(maps) == len(before) and after[maps[before.index("b")]] == "b" and maps[0] == 0 and any(r.m is None for r in at)
+
+
+def test_native_tries_in_order(spark, frame):
+    atoms = frame([("C0000001", "ENG", "Y", "SNOMEDCT_US", "PT", "12345", "heart attack", 1), ("C0000002", "ENG", "Y", "MDR", "PT", "10001", "old pain", 2), ("C0000003", "FRE", "N", "MSH", "PT", "D777", "douleur", 3), ("C0000004", "ENG", "N", "SCTSPA", "PT", "12345", "later", 4)], ATOMS)
+    types = frame([("C0000001", "T047", 0), ("C0000003", "T184", 0)], "cui string, tui string, pos int")
+    link = lambda rows, schema, spec: {r.k: (r.linked, r.method) for r in datasets.link(frame(rows, schema), atoms, types, datasets.SPECS[spec]).collect()}
+    got = link([(0, "0012345.7", "x", ""), (1, "CONCEPT-LESS", "010001", ""), (2, "", "", "HEART attack "), (3, "", "", "Douleur"), (4, "99", "", "nothing else"), (5, None, None, None), (6, "", "", "pain")], "k int, snomed_id string, meddra_id string, text string", "cadec")
+    assert got == {0: ("C0000001", "native_id_mapping"), 1: ("C0000002", "native_id_mapping"), 2: ("C0000001", "exact_match"), 3: ("C0000003", "exact_match"), 4: ("", "no_mapping"), 5: ("", "no_mapping"), 6: ("C0000002", "semantic_containment")}
+    rows = [(0, "C0000002", None, [("OMIM", "5"), ("MSH", "777")], "q"), (1, "C0000001", None, [("MSH", "D777")], "q"), (2, "", "MSH", [], "q")]
+    got = link([(k, c, "D777", o, x, t) for k, c, o, x, t in rows], "k int, concept_id string, native_id string, native_ontology_name string, candidates array<struct<sab:string,code:string>>, text string", "ncbi")
+    assert got == {0: ("C0000003", "native_id_mapping"), 1: ("C0000001", "native_id_mapping"), 2: ("C0000003", "native_id_mapping")}
+    retyped = datasets.link(frame([("C0000001", "T000", "x"), ("C0000009", "T000", "old pain")], "cui string, semantic_type string, text string"), atoms, types, datasets.SPECS["medmentions"]).collect()
+    assert {(r.linked, r.semantic_type) for r in retyped} == {("C0000001", "T047"), ("C0000002", "T000")}
+    umls = datasets.link(frame([("C0000002", "UMLS", ""), ("C0000008", "UMLS", "")], "native_id string, native_ontology_name string, text string"), atoms, types, datasets.SPECS["cdr"]).collect()
+    assert {(r.native_id, r.linked) for r in umls} == {("C0000002", "C0000002"), ("C0000008", "")}
 
 
 def test_paths_equal_plain_search(spark, frame):
@@ -87,9 +123,9 @@ def test_offsets_after_cleaning(spark, frame):
 
 
 def test_stream_links_batches(spark, frame, tmp_path):
-    atoms = frame([("C0000001", "ENG", "Y", "MSH", "PT", "D1", "cold", 0)], ATOMS)
+    atoms = frame([("C0000001", "ENG", "Y", "MSH", "PT", "D100", "cold", 0)], ATOMS)
     source = str(tmp_path / "in")
-    spark.createDataFrame([("MSH", "D1", ""), ("MSH", "", "COLD"), ("MSH", "", "zzz")], "sab string, code string, text string").write.parquet(source)
+    spark.createDataFrame([("MSH", "D100", ""), ("MSH", "", "COLD"), ("MSH", "", "zzz")], "sab string, code string, text string").write.parquet(source)
     stream = spark.readStream.schema("sab string, code string, text string").parquet(source)
     link_stream(stream, atoms, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert sorted(r.method for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["exact_match", "native_id_mapping", "no_mapping"]
