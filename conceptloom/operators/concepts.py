@@ -20,8 +20,16 @@ PREFERRED = ("PT", "PN", "PF")
 EMPTY_CODES = ("nan", "NULL", "null", "")
 
 
+#: Sources whose atoms count, if no others are asked for.
+ALLOWED_SOURCES = (
+    "MSH SNOMEDCT_US RXNORM VANDF NDDF MTHSPL DRUGBANK NDFRT MMSL USPMG GS MTHMST NCBI OMIM HPO HGNC GO CHEBI MESH ICD10CM ICD9CM CPT HCPCS LOINC RADLEX FMA NCI MEDLINEPLUS UWDA "
+    "AIR BI CCC CCPSS CCS CDT CHV COSTAR CPM CSP CST CVX DXP HCDT HCPT HL7V2.5 HL7V3.0 ICPC LCH LCH_NW LNC MCM MDDB MDREX MEDX NEWT NIC NOC NUCCPT OMS PCDS PDQ PSY QMR RAM RCD SNMI "
+    "SNM SNOMED SOP SPN TKMT UMD WHO MDR"
+).split()
+
+
 def usable(atoms: DataFrame, sources: list[str] | None = None) -> DataFrame:
-    """Atoms of allowed sources with a code."""
+    """Atoms of allowed sources (of all, if none are told) with a code."""
     out = atoms.where(~F.col("code").isin(*EMPTY_CODES))
     return out.where(F.col("sab").isin(*sources)) if sources else out
 

@@ -42,7 +42,7 @@ def walk_up(codes: DataFrame, edges: DataFrame, most_nodes: int = 200, per_level
         now = ahead.select("code", F.col("parent").alias("node"), F.concat(F.array("parent"), "path").alias("path"))
         if per_level:
             now = now.withColumn("r", F.row_number().over(Window.partitionBy("code").orderBy("path"))).where(F.col("r") <= per_level).drop("r")
-    return reduce(DataFrame.unionByName, done)
+    return reduce(DataFrame.unionByName, done) if done else now.select("code", "path")
 
 
 def capped(paths: DataFrame, paths_a_code: int, most_nodes: int, truncate: bool = False) -> DataFrame:

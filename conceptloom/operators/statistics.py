@@ -10,17 +10,87 @@ HAS_CUI = "cui is not null and cui <> '' and cui <> 'CUI-less'"
 
 
 def basic(mentions: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Numbers of documents, mentions, distinct texts, spans and concepts, mapped and unmapped."""
-    grouped = mentions.groupBy(*(by or []))
-    return grouped.agg(
-        F.count_distinct("doc_id").alias("documents"),
-        F.count("*").alias("mentions"),
-        F.count_distinct("text").alias("texts"),
-        F.count_distinct("doc_id", "start", "end").alias("spans"),
-        F.count_distinct(F.expr(f"case when {HAS_CUI} then cui end")).alias("concepts"),
-        F.count_if(F.expr(HAS_CUI)).alias("mapped"),
-        F.count_if(F.expr(f"not coalesce({HAS_CUI}, false)")).alias("unmapped"),
-    )
+    """Numbers of documents, mentions, distinct texts, spans and concepts, mapped and unmapped.
+
+    Each kind of thing is counted from its own grouping, whose rows are combined before the
+    shuffle; several distinct counts at once would multiply every row.
+    """
+    by = by or []
+    own = mentions.withColumn("_cui", F.expr(f"case when {HAS_CUI} then cui end"))
+    kinds = {"spans": ["doc_id", "start", "end"], "texts": ["text"], "concepts": ["_cui"]}
+    per_span = own.groupBy(*by, "doc_id", "start", "end").agg(F.count("*").alias("m"), F.count("_cui").alias("k"))
+    per_doc = per_span.groupBy(*by, "doc_id").agg(F.sum("m").alias("m"), F.sum("k").alias("k"), F.count("*").alias("spans"))
+    full = F.col("doc_id").isNotNull()
+    out = per_doc.groupBy(*by).agg(F.count_if(full).alias("documents"), F.coalesce(F.sum("m"), F.lit(0)).alias("mentions"), F.coalesce(F.sum(F.when(full, F.col("spans"))), F.lit(0)).alias("spans"), F.coalesce(F.sum("k"), F.lit(0)).alias("mapped"))
+    for name in ("texts", "concepts"):
+        (key,) = kinds[name]
+        part = own.where(F.col(key).isNotNull()).select(*by, key).distinct().groupBy(*by).agg(F.count("*").alias(name))
+        out = out.join(part, by, "left") if by else out.crossJoin(F.broadcast(part))  # one row
+    return out.select(*by, "documents", "mentions", F.coalesce("texts", F.lit(0)).alias("texts"), "spans", F.coalesce("concepts", F.lit(0)).alias("concepts"), "mapped", (F.col("mentions") - F.col("mapped")).alias("unmapped"))
+
+
+def nothing_said(mentions: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Numbers of mentions whose concept says that there is none, and of those without any concept."""
+    less = F.lower(F.regexp_replace("cui", "_", "-")).isin("cui-less", "cuiless")
+    return mentions.groupBy(*(by or [])).agg(F.count_if(less).alias("cui_less"), F.count_if(F.coalesce(F.col("cui"), F.lit("")) == "").alias("no_concept"))
+
+
+def concept_types(types: DataFrame) -> DataFrame:
+    """cui, tuis: all its types, each once, in order of appearance (pos)."""
+    first = types.groupBy("cui", "tui").agg(F.min("pos").alias("pos"))
+    return first.groupBy("cui").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "tui"))), lambda x: x["tui"]).alias("tuis"))
+
+
+def term_type_counts(codes: DataFrame, k: int = 5) -> DataFrame:
+    """Of each source the codes by term type (of a joined list, each counts), how many types there are, and the k most frequent (`TYPE=n`)."""
+    counts = codes.select("sab", F.explode(F.split("tty", r"\|")).alias("tty")).where(F.trim("tty") != "").groupBy("sab", F.trim("tty").alias("tty")).agg(F.count("*").alias("n"))
+    best = F.transform(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("less"), "tty"))), 1, k), lambda x: F.concat(x["tty"], F.lit("="), -x["less"]))
+    return counts.groupBy("sab").agg(F.sum("n").alias("codes"), F.count("*").alias("types"), F.array_join(best, " ").alias("top"))
+
+
+def mapping_summary(used: DataFrame, codes: DataFrame, types: DataFrame, dataset: str) -> DataFrame:
+    """One row: concepts, those with types and with codes, sources, types, codes, and what share the first two are."""
+    a = used.agg(F.count_distinct("cui").alias("concepts"))
+    b = codes.agg(F.count_distinct("cui").alias("with_codes"), F.count("*").alias("codes"), F.array_join(F.array_sort(F.collect_set("sab")), " ").alias("sources"))
+    c = types.agg(F.count_distinct("cui").alias("with_types"), F.array_join(F.array_sort(F.collect_set("tui")), " ").alias("types"))
+    rows = a.crossJoin(F.broadcast(b)).crossJoin(F.broadcast(c))  # one row each
+    of = lambda x: F.coalesce(F.try_divide(x, "concepts"), F.lit(0.0))
+    return rows.select(F.lit(dataset).alias("dataset"), "*", of("with_codes").alias("codes_coverage"), of("with_types").alias("types_coverage"))
+
+
+#: Kinds of errors by what their message holds.
+ERROR_KINDS = (("timeout", "timeout"), ("404", "not_found"), ("not found", "not_found"), ("429", "rate_limit"), ("rate", "rate_limit"), ("400", "invalid"), ("invalid", "invalid"))
+
+
+def error_kind(message):
+    """The kind of an error, by the first word of ERROR_KINDS that its message holds; else other."""
+    lower = F.lower(message)
+    found = F.lit("other")
+    for word, kind in reversed(ERROR_KINDS):
+        found = F.when(lower.contains(word), kind).otherwise(found)
+    return F.when(message.isNotNull(), found)
+
+
+def vocabulary_statistics(status: DataFrame) -> DataFrame:
+    """Of each vocabulary: concepts, codes, codes with paths and their share, paths, and mean and deviation of paths a code. status: vocab, cui, code, n_paths, status."""
+    found = F.col("status") == "success"
+    out = status.groupBy("vocab").agg(
+        F.count_distinct("cui").alias("concepts"), F.count("*").alias("codes"), F.count_if(found).alias("with_paths"), F.sum("n_paths").alias("paths"),
+        F.avg(F.when(found, F.col("n_paths"))).alias("mean_paths"), F.stddev_pop(F.when(found, F.col("n_paths"))).alias("deviation"),
+        F.count_if(F.col("status") == "error").alias("errors"), F.count_if(F.col("status") == "not_found").alias("not_found"), F.count_if(F.col("status") == "inactive").alias("inactive"),
+    )
+    return out.withColumn("coverage", F.coalesce(F.try_divide("with_paths", "codes"), F.lit(0.0)))
+
+
+def cleaning_report(rows: DataFrame, kind: str = "entity_type", start: str = "start") -> DataFrame:
+    """Of each kind of mention how many were found again after cleaning (start 0 or more), how many not, and the percentage."""
+    ok = F.coalesce(F.col(start) >= 0, F.lit(False))
+    return rows.groupBy(kind).agg(F.count("*").alias("total"), F.count_if(ok).alias("found"), F.count_if(~ok).alias("lost"), F.round(100 * F.count_if(ok) / F.count("*"), 6).alias("percent"))
+
+
+def stress_sample(concepts: DataFrame, n: int, seed: int = 42) -> DataFrame:
+    """n concepts, the same for the same seed, for a trial of the path stage."""
+    return concepts.select("cui").distinct().orderBy(F.xxhash64(F.lit(seed), "cui"), "cui").limit(n)
 
 
 def rates(stats: DataFrame) -> DataFrame:

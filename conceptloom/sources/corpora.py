@@ -19,9 +19,10 @@ def whole_files(spark: SparkSession, path: str, charset: str = "UTF-8") -> DataF
 
 
 def blocks(spark: SparkSession, path: str) -> DataFrame:
-    """Blank-line-separated blocks of a file, as arrays of lines."""
-    rows = spark.read.option("lineSep", "\n\n").text(path)
-    lines = F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != "")
+    """Blank-line-separated blocks of a file, as arrays of lines. The files of one path have one kind of line ends."""
+    crlf = not spark.read.option("lineSep", "\n").text(path).limit(1).where(F.col("value").endswith("\r")).isEmpty()
+    rows = spark.read.option("lineSep", "\n\r\n" if crlf else "\n\n").text(path)
+    lines = F.filter(F.split(F.rtrim("value", F.lit("\r")) if crlf else "value", r"\r?\n"), lambda x: F.trim(x) != "")
     return rows.select(lines.alias("lines")).where(F.size("lines") > 0)
 
 
@@ -91,6 +92,16 @@ def dual_standoff(spark: SparkSession, texts: str, first: str, second: str, char
     return both.select("doc_id", F.lit(None).cast("string").alias("split"), "doc_text", "start", "end", mention.alias("text"), "first_id", "second_id", F.coalesce("first_id", "second_id").alias("native_id"))
 
 
+def concept_name(c: Column) -> Column:
+    """A concept's name without spans and marks: what stands before the first bar, else what is left after it, else Unknown concept."""
+    bar = F.instr(c, "|")
+    head = F.trim(F.substring(c, F.lit(1), bar - 1))
+    tail = F.trim(F.substring(c, bar + 1, F.length(c)))
+    tail = F.regexp_replace(F.regexp_replace(F.regexp_replace(tail, r"\+\s*\d+\|", ""), r"\d+\s+\d+(;\d+\s+\d+)*", ""), r"^or\s+", "")
+    tail = F.when(F.trim(tail) != "", F.trim(tail)).otherwise("Unknown concept")
+    return F.when(bar == 0, F.trim(c)).otherwise(F.when((head == "") | (head == "+"), tail).otherwise(head))
+
+
 def tabular(spark: SparkSession, path: str, split: str) -> DataFrame:
     """A tab-separated table of terms in example sentences: one document a row; ids stay strings."""
     rows = spark.read.csv(path, sep="\t", header=True, quote='"', escape='"', multiLine=True)

@@ -19,6 +19,52 @@ def crosswalk_json(codes: DataFrame, path: str) -> None:
     out.write.mode("overwrite").json(path)
 
 
+def crosswalk_files(codes: DataFrame, types: DataFrame, linked: DataFrame, dataset: str, folder: str) -> None:
+    """A corpus's four files: codes with term types, semantic types, statistics of term types, and a summary."""
+    from ..operators import statistics
+
+    at = lambda name: f"{folder.rstrip('/')}/{dataset}_{name}"
+    used = linked.where(statistics.HAS_CUI).select("cui").distinct()
+    crosswalk_json(codes, at("cui_to_vocab_codes_with_tty"))
+    own = types.join(used, "cui", "left_semi")
+    statistics.concept_types(own).write.mode("overwrite").json(at("cui_to_tuis"))
+    statistics_json(statistics.term_type_counts(codes), at("tty_statistics"))
+    statistics_json(statistics.mapping_summary(used, codes, own, dataset), at("enhanced_mapping_summary"))
+
+
+def combined_files(crosswalks: DataFrame, types: DataFrame, folder: str) -> None:
+    """Of all corpora together: codes by concept (corpora of later names win), semantic types in order of appearance, and a summary. Sorted by concept."""
+    from ..operators import statistics
+
+    at = lambda name: f"{folder.rstrip('/')}/{name}"
+    codes = crosswalks.groupBy("cui", "sab", "code").agg(F.max_by("tty", "dataset").alias("tty"), F.max_by("term", "dataset").alias("term"))
+    crosswalk_json(codes, at("combined_cui_to_vocab_codes_with_tty"))
+    listed = codes.groupBy("cui", "sab").agg(F.array_sort(F.collect_set("code")).alias("codes"))
+    listed = listed.groupBy("cui").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("sab", "codes")))).alias("sources"))
+    listed.orderBy("cui").write.mode("overwrite").json(at("combined_cui_to_vocab_codes"))
+    statistics.concept_types(types).orderBy("cui").write.mode("overwrite").json(at("combined_cui_to_tuis"))
+    statistics_json(statistics.mapping_summary(crosswalks.select("cui").distinct(), codes, types, "all"), at("cross_dataset_mapping_summary"))
+
+
+def cleaned_texts(rows: DataFrame, path: str, kind: str = "text") -> None:
+    """Cleaned documents: as lines of text (value), CSV with a header, or XML elements `Document`."""
+    out = rows.write.mode("overwrite")
+    if kind == "text":
+        out.text(path)
+    elif kind == "csv":
+        out.option("header", True).option("escape", '"').csv(path)
+    else:
+        out.format("xml").option("rowTag", "Document").option("rootTag", "Documents").save(path)
+
+
+def paths_of(spark, folder: str, vocabulary: str) -> DataFrame | None:
+    """cui, code, path of a vocabulary that runs before have written; None if none has."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/paths")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return None
+    return spark.read.parquet(path.toString()).where(F.col("vocab") == vocabulary)
+
+
 def statistics_json(statistics: DataFrame, path: str) -> None:
     """Aggregates are small: one file."""
     statistics.coalesce(1).write.mode("overwrite").json(path)
