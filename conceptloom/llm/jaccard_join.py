@@ -12,9 +12,12 @@ little; each band has some segments to spare, so that sets with no more of
 these than that need not index them.
 
 Sets that share a signature, directly or by others, form a family; every linked
-pair lies within a family, and families are verified exactly in blocks of
-bounded size, by counting common shingles for all pairs of two blocks at
-once. Equal sets are one node from the start.
+pair lies within a family. Families are cut into classes of size so wide that sets
+that link lie in one class or in neighbouring ones, and classes into blocks of bounded
+size. First sketches of the sets in the blocks of a class and of the next are compared, which
+bound from above what two sets have in common, and families are narrowed to sets that may link;
+then these are verified exactly, by counting common shingles for all pairs of two blocks
+at once. Equal sets are one node from the start.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import IdFilter, Words, chunks, components, lean, mix, raw_texts, row_keys, sorted_groups, spare_names, windows, without_rows, word_hashes, written
@@ -242,38 +245,126 @@ def linked(sets: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
     return out
 
 
+def placed_in_cells(members: DataFrame, percent: int) -> tuple[DataFrame, Column]:
+    """members with their family's class of size and block, and the cells that they go to: pairs of blocks of one class, or of it and the next."""
+    # sizes of sets that link have a ratio of at most 100 / percent; a little more leaves room for rounding
+    width = 1.0001 * math.log(100 / percent)
+    members = members.withColumn("class", F.floor(F.log("n") / width).cast("int"))
+    sizes = members.groupBy("family", "class").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles"))
+    blocks = F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    sizes = written(sizes.select("family", "class", blocks.alias("blocks")), "classes")
+    beside = lambda by, name: sizes.select("family", (F.col("class") + by).alias("class"), F.col("blocks").alias(name))
+    sizes = sizes.join(beside(-1, "above"), ["family", "class"], "left").join(beside(1, "below"), ["family", "class"], "left")
+    placed = members.join(sizes, ["family", "class"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    cell = lambda first, upper, i, j: F.struct(first.alias("first"), F.lit(upper).alias("upper"), i.alias("i"), j.alias("j"))
+    each = lambda n, of: F.transform(F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>")), of)
+    own = F.col("block")
+    return placed, F.concat(
+        each("blocks", lambda j: cell(F.col("class"), 0, F.least(j, own), F.greatest(j, own))),
+        each("above", lambda j: cell(F.col("class"), 1, own, j)),
+        each("below", lambda j: cell(F.col("class") - 1, 1, j, own)),
+    )
+
+
+_CELL = ["family", "first", "upper", "i", "j"]
+
+
+def by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Each cell's nodes, once each, and which pairs of them the cell is to tell about."""
+    for group in sorted_groups(batches, _CELL):
+        node = group["node"].to_numpy()
+        group = group.take(pa.array(np.flatnonzero(np.append(True, node[1:] != node[:-1])))).combine_chunks()  # rows with one set are one node
+        upper = group["upper"][0].as_py()
+        side = group["class" if upper else "block"].to_numpy()
+        if upper or group["i"][0].as_py() != group["j"][0].as_py():
+            yield group, side[:, None] != side[None, :]
+        else:
+            yield group, ~np.eye(len(side), dtype=bool)
+
+
+def spanning(links: np.ndarray) -> np.ndarray:
+    """Of each node the smallest place that links lead to."""
+    label = np.arange(len(links))
+    while True:
+        low = np.minimum(label, np.where(links, label[None, :], len(links)).min(axis=1, initial=len(links)))
+        low = low[low]
+        if (low == label).all():
+            return label
+        label = low
+
+
+def sketch(shingles: np.ndarray) -> bytes:
+    """Numbers of shingles in bins of their low bits, four to eight a bin; empty if one is beyond a byte."""
+    bins = 1 << max(5, len(shingles).bit_length() - 3)
+    count = np.bincount((mix(shingles) & np.uint64(bins - 1)).astype(np.int64), minlength=bins)
+    return count.astype(np.uint8).tobytes() if count.max() < 256 else b""
+
+
+def most_common(sketches: list[bytes], n: np.ndarray) -> np.ndarray:
+    """For all pairs a number of common shingles that they can't exceed: no bin has more in common than the smaller of its numbers."""
+    out = np.minimum(n[:, None], n[None, :]).astype(np.float32)
+    told = [k for k, x in enumerate(sketches) if x]
+    if not told:
+        return out
+    bins = min(len(sketches[k]) for k in told)
+    counts = np.array([np.frombuffer(sketches[k], np.uint8).reshape(-1, bins).sum(axis=0, dtype=np.int64) for k in told])
+    both = np.zeros((len(told), len(told)), np.float32)
+    for t in range(1, int(counts.max()) + 1):
+        m = (counts >= t).astype(np.float32)
+        both += m @ m.T
+    out[np.ix_(told, told)] = both
+    return out
+
+
+def narrowed(members: DataFrame, rows: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
+    """members with families of only those that may link by their sketches, directly or by others; no pair that links is parted.
+
+    Sketches, some thirty times smaller than texts, are what goes to all cells, so a family that a shared passage
+    chains together falls apart before any text is sent more than once.
+    """
+
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = _word_table()
+        for batch in chunks(batches, most=SIGNED_BYTES):
+            sets = [x for x in _shingle_sets(table, raw_texts(batch), words) if len(x)]
+            if sets:
+                k1, k2 = zip(*map(digest, sets), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array([sketch(x) for x in sets], pa.binary())], names=["k1", "k2", "sketch"])
+
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group, wanted in by_cell(batches):
+            n, node = group["n"].to_numpy(), group["node"].to_numpy()
+            both = most_common(group["sketch"].to_pylist(), n)
+            label = spanning(wanted & (100 * both >= percent * (n[:, None] + n[None, :] - both)))
+            some = np.flatnonzero(label != np.arange(len(label)))
+            if len(some):
+                yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(node[label[some]])], names=["a", "b"])
+
+    placed, cells = placed_in_cells(members, percent)
+    made = IdFilter(members, "id").keep(rows, "id", then=sketched, schema="k1 long, k2 long, sketch binary")
+    made = made.join(placed.drop("id", "copies"), ["k1", "k2"]).select("family", "class", "node", "n", "block", "sketch", F.explode(cells).alias("p"))
+    made = made.select("family", "p.*", "class", "node", "n", "block", "sketch").repartition(*_CELL).sortWithinPartitions(*_CELL, "node")
+    families = components(made.mapInArrow(lean(possible), "a long, b long"), "narrowed")
+    return members.drop("family").join(families.withColumnRenamed("root", "family"), "node")
+
+
 def verified(members: DataFrame, rows: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
-    """node, to, links: edges that span the components of the links within each pair of blocks, and numbers of rows linked.
+    """node, to, links: edges that span the components of the links within each cell, and numbers of rows linked.
 
     members: node, k1, k2, id (of a row with the set), family, n, copies (rows with the set).
     """
-    sizes = members.groupBy("family").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles"))
-    blocks = F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
-    placed = members.join(sizes.select("family", blocks.alias("blocks")), "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).drop("id", "n")
+    placed, cells = placed_in_cells(members, percent)
     # the set of a row tells whether it is a member's; ids only spare the others the trouble
-    texts = prepared(rows.select("id", "text", F.col("text").alias("words")), words, IdFilter(members, "id")).drop("id", "n").join(placed, ["k1", "k2"])
-    pairs = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, F.col("block")).alias("i"), F.greatest(j, F.col("block")).alias("j"))))
-    texts = texts.select("family", "node", "block", "copies", "words", pairs.alias("p")).select("family", F.col("p.i").alias("i"), F.col("p.j").alias("j"), "node", "block", "copies", F.coalesce("words", F.lit("")).alias("text"))
-    texts = texts.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "node")
+    texts = prepared(rows.select("id", "text", F.col("text").alias("words")), words, IdFilter(members, "id")).drop("id", "n").join(placed.drop("id", "n"), ["k1", "k2"])
+    texts = texts.select("family", "class", "node", "block", "copies", F.coalesce("words", F.lit("")).alias("text"), F.explode(cells).alias("p")).select("family", "p.*", "class", "node", "block", "copies", "text")
+    texts = texts.repartition(*_CELL).sortWithinPartitions(*_CELL, "node")
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _word_table()
-        for group in sorted_groups(batches, ["family", "i", "j"]):
-            node = group["node"].to_numpy()
-            once = np.flatnonzero(np.append(True, node[1:] != node[:-1]))  # rows with one set are one node
-            group, node = group.take(pa.array(once)), node[once]
-            block, copies = (group[c].to_numpy() for c in ("block", "copies"))
-            links = linked(list(_shingle_sets(table, raw_texts(group.combine_chunks().to_batches()[0]), words)), percent)
-            if group["i"][0].as_py() != group["j"][0].as_py():
-                links &= block[:, None] != block[None, :]
-            label = np.arange(len(node))
-            while True:
-                low = np.minimum(label, np.where(links, label[None, :], len(node)).min(axis=1))
-                low = low[low]
-                if (low == label).all():
-                    break
-                label = low
-            some = links.any(axis=1)
+        for group, wanted in by_cell(batches):
+            node, copies = group["node"].to_numpy(), group["copies"].to_numpy()
+            links = linked(list(_shingle_sets(table, raw_texts(group.to_batches()[0]), words)), percent) & wanted
+            label, some = spanning(links), links.any(axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(node[label][some]), pa.array((links @ copies)[some].astype(np.int64))], names=["node", "to", "links"])
 
     return texts.mapInArrow(lean(checked), "node long, to long, links long")
@@ -295,7 +386,8 @@ def components_of(rows: DataFrame, percent: int = PERCENT, words: int = WORDS) -
     narrow = keyed.select("id", "text")
     families = components(star_edges(narrow, IdFilter(sets, "id"), percent, words), "families")
     members = sets.drop("least").join(families.select(F.col("node").alias("k1"), F.col("root").alias("family")), "k1")
-    found = written(verified(written(members, "members"), narrow, percent, words), "links")
+    members = written(narrowed(written(members, "members"), narrow, percent, words), "narrowed")
+    found = written(verified(members, narrow, percent, words), "links")
     roots = components(found.select(F.col("node").alias("a"), F.col("to").alias("b")), "components")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     own = sets.join(roots, "node", "left").withColumn("group", F.coalesce("root", "node")).join(links, "node", "left")

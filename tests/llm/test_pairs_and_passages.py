@@ -69,6 +69,18 @@ def test_every_linking_pair_shares_a_signature():
                 assert len(np.intersect1d(scheme.signatures(a), scheme.signatures(b))), (n, len(b))
 
 
+def test_sketches_bound_what_sets_have_in_common():
+    r = np.random.default_rng(4)
+    for _ in range(60):
+        base = r.integers(0, 1 << 63, int(r.integers(1, 900))).astype(np.uint64)
+        sets = [np.unique(np.concatenate([r.permutation(base)[: int(r.integers(1, len(base) + 1))], r.integers(0, 1 << 63, int(r.integers(0, 60))).astype(np.uint64)])) for _ in range(6)]
+        n = np.array([len(x) for x in sets])
+        both = np.array([[len(np.intersect1d(x, y)) for y in sets] for x in sets])
+        told = [jaccard_join.sketch(x) if k else b"" for k, x in enumerate(sets)]
+        most = jaccard_join.most_common(told, n)
+        assert (most >= both).all() and (np.diag(most) == n).all()
+
+
 def test_blocks_of_a_family(documents, monkeypatch):
     texts = near_copies(7)
     whole = {(r.doc_id, r.component_id, r.n_links) for r in jaccard_join.jaccard_components(documents(texts)).collect()}
