@@ -16,7 +16,7 @@ import numpy as np
 from .common import Words
 
 END_ID = 1
-CACHED_WORDS, CACHED_PARTS = 700_000, 500_000
+CACHED_WORDS, CACHED_PARTS = 400_000, 300_000
 #: ASCII and Latin-1 letters, which lower-case alike everywhere, then plain marks.
 _PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,!?;:#*$%&|]*)")
 _ENCODERS: dict[str, "TextEncoder"] = {}
