@@ -126,7 +126,8 @@ def link_contained(keys: DataFrame, names: DataFrame) -> DataFrame:
     inside = within.join(named.select("n"), "n").select("t", "n")
     pieces = lambda c, z: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - z + 1, F.lit(1))), lambda p: F.substring(c, p, F.least(F.lit(z), F.length(c)))))
     around = []
-    for z in range(1, PIECE + 1):  # texts shorter than a piece are one of their own length
+    sizes = {r["z"] for r in bare.select(F.least(F.length("t"), F.lit(PIECE)).alias("z")).distinct().collect()}  # PIECE rows at most
+    for z in sorted(sizes):  # texts shorter than a piece are one of their own length
         mine = bare.where(F.length("t") == z) if z < PIECE else bare.where(F.length("t") >= PIECE)
         grams = named.where(F.length("n") >= z).select("n", "n1", F.explode(pieces("n", z)).alias("g"))
         wanted = mine.select("t", "t1", "bucket", F.explode(pieces("t", z)).alias("g"))
