@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard_join, language, packing, perplexity, quality_model, sharding, substring_dedup, surrogates, token_files
+from . import collocations, decontamination, hard_negatives, jaccard_join, language, odd_sketches, packing, perplexity, quality_model, sharding, substring_dedup, surrogates, token_files
 from .common import read_table
 from .oracles import ORACLE_SQL
 
@@ -54,6 +54,21 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, language.train(docs))
 
 
+def op11_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return odd_sketches.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh row's label is moved on; every hundredth row is an anchor."""
+    label = F.col("label").cast("long")
+    rows = read_table(spark, sf_dir, "embeddings").withColumn("label", F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label))
+    return hard_negatives.hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_sharding": op2_sharding,
@@ -65,6 +80,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_surrogates": op8_surrogates,
     "op9_perplexity": op9_perplexity,
     "op10_language": op10_language,
+    "op11_near_duplicates": op11_near_duplicates,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_collocations": op13_collocations,
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
