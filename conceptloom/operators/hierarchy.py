@@ -58,13 +58,13 @@ def with_unknown(codes: DataFrame, paths: DataFrame, edges: DataFrame, label: st
     return paths.unionByName(missing.select("code", F.array(F.concat(F.lit(label), "code")).alias("path")))
 
 
-def with_names(paths: DataFrame, names: DataFrame, label: str = "Unknown: ") -> DataFrame:
-    """paths with nodes (code, name); a node without a name is called by its label and code. names: code, name, one a code."""
-    rows = paths.withColumn("_path", F.col("path")).select("code", "_path", F.posexplode("path").alias("at", "node"))
+def with_names(paths: DataFrame, names: DataFrame, label: str = "Unknown: ", keep: tuple[str, ...] = ()) -> DataFrame:
+    """paths with nodes (code, name); a node without a name is called by its label and code. names: code, name, one a code. keep: further columns."""
+    rows = paths.withColumn("_path", F.col("path")).select("code", *keep, "_path", F.posexplode("path").alias("at", "node"))
     called = rows.join(names.select(F.col("code").alias("node"), "name"), "node", "left")
     step = F.struct("at", F.col("node").alias("code"), F.coalesce("name", F.concat(F.lit(label), "node")).alias("name"))
-    steps = called.groupBy("code", "_path").agg(F.array_sort(F.collect_list(step)).alias("s"))
-    return steps.select("code", F.transform("s", lambda x: F.struct(x["code"].alias("code"), x["name"].alias("name"))).alias("path"))
+    steps = called.groupBy("code", *keep, "_path").agg(F.array_sort(F.collect_list(step)).alias("s"))
+    return steps.select("code", *keep, F.transform("s", lambda x: F.struct(x["code"].alias("code"), x["name"].alias("name"))).alias("path"))
 
 
 #: What the first letters of tree numbers stand for.
@@ -138,8 +138,8 @@ def path_stats(paths: DataFrame, by: list[str]) -> DataFrame:
 
 
 def code_status(codes: DataFrame, paths: DataFrame, valid: Column, active: Column | None = None) -> DataFrame:
-    """codes (cui, code) with n_paths and status: error, inactive, not_found or success."""
-    n = paths.groupBy("code").agg(F.count("*").alias("n_paths"))
+    """codes (cui, code) with n_paths and status: error, inactive, not_found or success. paths: a row a path, or code and n_paths."""
+    n = paths if "n_paths" in paths.columns else paths.groupBy("code").agg(F.count("*").alias("n_paths"))
     status = F.when(~valid, "error")
     status = status.when(~active, "inactive") if active is not None else status
     rows = codes.join(n, "code", "left").withColumn("n_paths", F.coalesce("n_paths", F.lit(0)))

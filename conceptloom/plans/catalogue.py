@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codes, text
-from ..operators import concepts, datasets, hierarchy, mentions, statistics
+from ..operators import concepts, datasets, hierarchy, mentions, search, statistics, traversal
 from ..session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -458,6 +458,39 @@ def icd_exclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(code.alias("code")).distinct().where(~codes.icd_excluded(F.col("code")))
 
 
+# Search by words.
+
+_WORDS = "list_distinct(list_filter(regexp_split_to_array(lower(trim({0})), '[^a-z0-9]+'), lambda x: length(x) >= 3))"
+_SIZE = r"length(regexp_replace(lower(trim({0})), '[^\p{{L}}\p{{N}}]', '', 'g'))"
+_SEARCHED = f"""n AS (SELECT line_no, cui, {_SIZE.format("str")} AS z, {_WORDS.format("str")} AS w FROM names), a AS (SELECT id, {_SIZE.format("text")} AS z, {_WORDS.format("text")} AS w FROM asked),
+  b AS (SELECT a.id, a.t, a.z AS az, n.line_no, n.cui, n.z, count(*) AS shared FROM (SELECT id, id AS t, z, unnest(w) AS x FROM a) a JOIN (SELECT line_no, cui, z, unnest(w) AS x FROM n) n ON a.x = n.x GROUP BY ALL),
+  best AS (SELECT id, cui, line_no, CAST(shared AS INTEGER) AS shared FROM b QUALIFY row_number() OVER (PARTITION BY id ORDER BY shared DESC, abs(z - az), line_no) = 1)"""
+
+
+def _name_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of documents as names."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "str"))
+    return rows.select(F.concat(F.lit("C"), F.lpad((F.col("doc_id") % 500).cast("string"), 7, "0")).alias("cui"), F.lit("ENG").alias("lat"), "str", (F.col("doc_id") * 100000 + F.col("at")).alias("line_no"))
+
+
+@query(f"""WITH names AS (SELECT 'C' || lpad(CAST(doc_id % 500 AS VARCHAR), 7, '0') AS cui, unnest(string_split(text, chr(10))) AS str, doc_id * 100000 + unnest(range(0, len(string_split(text, chr(10))))) AS line_no FROM documents),
+  asked AS (SELECT item_id * 1000 + unnest(range(0, len(string_split(text, '.')))) AS id, unnest(string_split(text, '.')) AS text FROM benchmark), {_SEARCHED} SELECT * FROM best""")
+def word_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences of the benchmark among the lines of all documents."""
+    asked = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.split("text", r"\.")).alias("at", "text")).select((F.col("item_id") * 1000 + F.col("at")).alias("id"), "text")
+    return search.search_words(asked, search.WordIndex(_name_lines(spark, sf_dir)))
+
+
+@query(f"""WITH {ATOMS}, {MENTIONS}, names AS (SELECT cui, str, line_no FROM atoms WHERE lat = 'ENG'), asked AS (SELECT DISTINCT text AS id, text FROM mentions WHERE text <> ''), {_SEARCHED},
+  f AS (SELECT lower(trim(str)) AS name, list({{'cui': cui, 'y': ispref = 'Y', 'p': tty IN ('PT', 'PN', 'PF')}} ORDER BY line_no) AS l FROM atoms WHERE lat = 'ENG' GROUP BY 1),
+  x AS (SELECT name, list_reduce(l, lambda s, t: CASE WHEN (NOT s.y AND t.y) OR (NOT s.p AND t.p) THEN t ELSE s END).cui AS cui FROM f)
+  SELECT asked.text, coalesce(x.cui, best.cui) AS cui, CASE WHEN x.cui IS NOT NULL THEN 'exact_match' ELSE 'semantic_containment' END AS method FROM asked LEFT JOIN x ON lower(trim(asked.text)) = x.name LEFT JOIN best ON best.id = asked.id WHERE coalesce(x.cui, best.cui) IS NOT NULL""")
+def search_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact names first, then the search by words."""
+    texts = part_mentions(spark, sf_dir).where("text <> ''").select("text").distinct()
+    return search.link_by_search(texts, atoms(spark, sf_dir))
+
+
 # Hierarchies.
 
 EDGES = """e AS (SELECT DISTINCT 'P' || l_partkey AS child, 'S' || l_suppkey AS parent FROM lineitem UNION SELECT 'S' || s_suppkey, 'N' || s_nationkey FROM supplier UNION SELECT 'N' || n_nationkey, 'R' || n_regionkey FROM nation)"""
@@ -481,6 +514,10 @@ def _part_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy.walk_up(edges.where("child like 'P%'").select(F.col("child").alias("code")), edges, guard=False)
 
 
+def _part_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return traversal.path_counts(_edges(spark, sf_dir)).where("node like 'P%'").select(F.col("node").alias("code"), "length", "n")
+
+
 def shown(column: str = "path"):
     return F.array_join(column, " > ").alias("path")
 
@@ -515,25 +552,108 @@ def path_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("code", F.array_join(F.transform("path", lambda x: F.concat(x["code"], F.lit("="), x["name"])), " > ").alias("path")).distinct()
 
 
-_LOOP = "(VALUES ('a', 'b'), ('b', 'c'), ('c', 'a'), ('b', 'root'), ('d', 'd'), ('d', 'c'), ('x', 'y'), ('y', 'x'))"
+@query(f"""WITH RECURSIVE {EDGES}, o AS (SELECT child, parent, row_number() OVER (PARTITION BY child ORDER BY parent) AS pos FROM e), w(code, node, path, k) AS (SELECT DISTINCT child, child, child, '' FROM o WHERE child LIKE 'P%' UNION ALL
+  SELECT w.code, o.parent, o.parent || ' > ' || w.path, w.k || lpad(CAST(o.pos AS VARCHAR), 4, '0') FROM w JOIN o ON o.child = w.node)
+  SELECT code, CAST(row_number() OVER (PARTITION BY code ORDER BY k) AS INTEGER) AS rank, path FROM w WHERE node LIKE 'R%' QUALIFY rank <= 7""")
+def path_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first paths of each code by its parents in order, by counts."""
+    edges = _edges(spark, sf_dir)
+    return traversal.first_paths(edges.where("child like 'P%'").select(F.col("child").alias("code")), edges, 7).select("code", "rank", shown())
+
+
+# Suppliers in rings of four, of which some have nations too; some nations are missing in the vocabulary.
+
+_RINGS = """l AS (SELECT 'S' || s_suppkey AS child, 'S' || (s_suppkey - s_suppkey % 4 + (s_suppkey + 1) % 4) AS parent FROM supplier UNION SELECT 'S' || s_suppkey, 'N' || s_nationkey FROM supplier WHERE s_suppkey % 8 IN (0, 2)
+  UNION SELECT 'N' || n_nationkey, 'R' || n_regionkey FROM nation WHERE n_nationkey % 5 <> 0)"""
+_RINGED = f"{_RINGS}, m AS (SELECT * FROM l UNION SELECT 'P' || l_partkey, 'S' || l_suppkey FROM lineitem)"
+_NAMED = """named AS (SELECT 'P' || p_partkey AS code, p_name AS name FROM part UNION ALL SELECT 'S' || s_suppkey, s_name FROM supplier UNION ALL SELECT 'N' || n_nationkey, n_name FROM nation WHERE n_nationkey % 5 <> 0 UNION ALL SELECT 'R' || r_regionkey, r_name FROM region)"""
+
+
+def _rings(spark: SparkSession, sf_dir: str, parts: bool = False) -> DataFrame:
+    name = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string") if isinstance(c, str) else c.cast("string"))
+    link = lambda df, a, b: df.select(a.alias("child"), b.alias("parent"))
+    suppliers, k = table(spark, sf_dir, "supplier"), F.col("s_suppkey")
+    rows = (
+        link(suppliers, name("S", k), name("S", k - k % 4 + (k + 1) % 4))
+        .union(link(suppliers.where(F.expr("s_suppkey % 8 in (0, 2)")), name("S", k), name("N", "s_nationkey")))
+        .union(link(table(spark, sf_dir, "nation").where("n_nationkey % 5 <> 0"), name("N", "n_nationkey"), name("R", "n_regionkey")))
+    )
+    return (rows.union(link(table(spark, sf_dir, "lineitem"), name("P", "l_partkey"), name("S", "l_suppkey"))) if parts else rows).distinct()
+
+
+def _ring_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    called = lambda df, letter, key, c: df.select(F.concat(F.lit(letter), F.col(key).cast("string")).alias("code"), F.col(c).alias("name"))
+    of = lambda name: table(spark, sf_dir, name)
+    rows = called(of("part"), "P", "p_partkey", "p_name").union(called(of("supplier"), "S", "s_suppkey", "s_name"))
+    return rows.union(called(of("nation").where("n_nationkey % 5 <> 0"), "N", "n_nationkey", "n_name")).union(called(of("region"), "R", "r_regionkey", "r_name"))
+
 
+def _guarded(of: str, start: str = "true", parents: str = "true") -> str:
+    """Common table expressions: o, the numbered edges, and r, every way that passes no node twice, with its order."""
+    return f"""o AS (SELECT child, parent, row_number() OVER (PARTITION BY child ORDER BY parent) AS pos FROM {of} WHERE {parents}), r(code, node, path, seen, k) AS (SELECT DISTINCT child, child, child, '|' || child || '|', '' FROM o WHERE {start}
+  UNION ALL SELECT r.code, o.parent, o.parent || ' > ' || r.path, r.seen || o.parent || '|', r.k || lpad(CAST(o.pos AS VARCHAR), 4, '0') FROM r JOIN o ON o.child = r.node WHERE NOT contains(r.seen, '|' || o.parent || '|'))"""
 
-def _loop(spark: SparkSession) -> DataFrame:
-    return spark.sql(f"SELECT * FROM {_LOOP} AS e(child, parent)")
 
+_STUCK = "NOT EXISTS (SELECT 1 FROM o WHERE o.child = r.node AND NOT contains(r.seen, '|' || o.parent || '|'))"
 
-@query(f"""WITH RECURSIVE e(child, parent) AS (SELECT * FROM {_LOOP} AS v(c, p)), r(code, node, path, seen) AS (SELECT DISTINCT child, child, child, '|' || child || '|' FROM e
-  UNION ALL SELECT r.code, e.parent, e.parent || ' > ' || r.path, r.seen || e.parent || '|' FROM r JOIN e ON e.child = r.node WHERE NOT contains(r.seen, '|' || e.parent || '|'))
-  SELECT code, path FROM r LEFT JOIN e ON e.child = r.node WHERE e.child IS NULL""")
+
+@query(f"WITH RECURSIVE {_RINGS}, {_guarded('l')} SELECT code, path FROM r WHERE node NOT IN (SELECT child FROM o)")
 def path_cycle_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hierarchy.walk_up(_loop(spark).select(F.col("child").alias("code")), _loop(spark)).select("code", shown())
+    edges = _rings(spark, sf_dir)
+    return hierarchy.walk_up(edges.select(F.col("child").alias("code")), edges).select("code", shown())
 
 
-@query(f"""WITH RECURSIVE e(child, parent) AS (SELECT * FROM {_LOOP} AS v(c, p)), r(code, node, path, seen) AS (SELECT DISTINCT child, child, child, '|' || child || '|' FROM e
-  UNION ALL SELECT r.code, e.parent, e.parent || ' > ' || r.path, r.seen || e.parent || '|' FROM r JOIN e ON e.child = r.node WHERE NOT contains(r.seen, '|' || e.parent || '|'))
-  SELECT code, path FROM r WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.child = r.node AND NOT contains(r.seen, '|' || e.parent || '|'))""")
+@query(f"WITH RECURSIVE {_RINGS}, {_guarded('l')} SELECT code, path FROM r WHERE {_STUCK}")
 def path_root_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hierarchy.walk_up(_loop(spark).select(F.col("child").alias("code")), _loop(spark), root_fallback=True).select("code", shown())
+    edges = _rings(spark, sf_dir)
+    return hierarchy.walk_up(edges.select(F.col("child").alias("code")), edges, root_fallback=True).select("code", shown())
+
+
+def _named_sql(paths: str, label: str) -> str:
+    """Paths (code, rank, path) with names, and those of codes U.., which the vocabulary has not."""
+    return f"""{paths}, {_NAMED}, a AS (SELECT * FROM p UNION ALL SELECT 'U' || s_suppkey, 1, 'U' || s_suppkey FROM supplier), steps AS (SELECT code, rank, unnest(string_split(path, ' > ')) AS node, generate_subscripts(string_split(path, ' > '), 1) AS nth FROM a)
+  SELECT s.code, rank, string_agg(node || '=' || coalesce(name, '{label}' || node), ' > ' ORDER BY nth) AS path FROM steps s LEFT JOIN named ON s.node = named.code GROUP BY s.code, rank"""
+
+
+def _named_paths(spark: SparkSession, sf_dir: str, letters: str, most: int, label: str) -> DataFrame:
+    edges = _rings(spark, sf_dir, parts=True)
+    paths = traversal.bounded_paths(edges.where(f"left(child, 1) in ({letters})").select(F.col("child").alias("code")), edges, most)
+    unknown = table(spark, sf_dir, "supplier").select(F.concat(F.lit("U"), F.col("s_suppkey").cast("string")).alias("code"))
+    paths = hierarchy.with_unknown(unknown, paths.select("code", "path"), edges, "").withColumn("rank", F.lit(1)).where("code like 'U%'").select("code", "rank", "path").unionByName(paths)
+    rows = hierarchy.with_names(paths, _ring_names(spark, sf_dir), label, ("rank",))
+    return rows.select("code", "rank", F.array_join(F.transform("path", lambda x: F.concat(x["code"], F.lit("="), x["name"])), " > ").alias("path"))
+
+
+def _capped_sql(most: int, start: str) -> str:
+    return f"WITH RECURSIVE {_RINGED}, {_guarded('m', start)}, p AS (SELECT code, CAST(row_number() OVER (PARTITION BY code ORDER BY k) AS INTEGER) AS rank, path FROM r WHERE node NOT IN (SELECT child FROM o) QUALIFY rank <= {most})"
+
+
+@query(_named_sql(_capped_sql(5, "child LIKE 'P%'"), "Unknown NCI Concept "))
+def path_nci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At most five paths pass any node; codes that the vocabulary hasn't are a node of their own."""
+    return _named_paths(spark, sf_dir, "'P'", 5, "Unknown NCI Concept ")
+
+
+@query(_named_sql(_capped_sql(2, "true"), "Error: "))
+def path_loinc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At most two paths pass any node; nodes that can't be looked up are errors, and roots."""
+    return _named_paths(spark, sf_dir, "'P', 'S', 'N'", 2, "Error: ")
+
+
+@query(f"WITH RECURSIVE {_RINGED}, {_guarded('m', parents="parent IN (SELECT 'N' || n_nationkey FROM nation WHERE n_nationkey % 5 <> 0 UNION ALL SELECT 'S' || s_suppkey FROM supplier UNION ALL SELECT 'R' || r_regionkey FROM region)")} SELECT code, CAST(row_number() OVER (PARTITION BY code ORDER BY k) AS INTEGER) AS rank, path FROM r WHERE {_STUCK} QUALIFY rank <= 3")
+def path_lch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At most three paths pass any node; parents have to be known, and a node without a usable one is a root."""
+    edges = _rings(spark, sf_dir, parts=True).join(_ring_names(spark, sf_dir).select(F.col("code").alias("parent")), "parent", "left_semi")
+    return traversal.bounded_paths(edges.select(F.col("child").alias("code")), edges, 3, root_fallback=True).select("code", "rank", shown())
+
+
+@query(f"""WITH RECURSIVE {_RINGED}, o AS (SELECT child, parent, row_number() OVER (PARTITION BY child ORDER BY parent) AS pos FROM m), q AS (SELECT DISTINCT child AS code, child AS node, child AS path, 1 AS lvl, CAST(1 AS BIGINT) AS rk, CAST(59 AS BIGINT) AS rest FROM o WHERE child LIKE 'P%' UNION ALL
+  SELECT code, node, path, lvl, rk, rest - least(rest, many) FROM (SELECT q.code, o.parent AS node, o.parent || ' > ' || q.path AS path, q.lvl + 1 AS lvl, row_number() OVER (PARTITION BY q.code ORDER BY q.rk, o.pos) AS rk, q.rest, count(*) OVER (PARTITION BY q.code) AS many FROM q JOIN o ON o.child = q.node) WHERE rk <= rest)
+  SELECT code, CAST(row_number() OVER (PARTITION BY code ORDER BY lvl, rk) AS INTEGER) AS rank, path FROM q WHERE node NOT IN (SELECT child FROM o)""")
+def path_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixty ways of each code are followed, in the order of a queue; nothing else stops the rings."""
+    edges = _rings(spark, sf_dir, parts=True)
+    return traversal.expanded_paths(edges.where("child like 'P%'").select(F.col("child").alias("code")), edges, 60).select("code", "rank", shown())
 
 
 @query(f"""WITH RECURSIVE {EDGES}, c AS (SELECT 'P' || p_partkey AS code FROM part UNION SELECT 'U' || p_partkey FROM part), {_WALK}
@@ -577,14 +697,15 @@ def path_lineage_append(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE {EDGES}, {_WALK} SELECT code, path FROM (SELECT code, path, row_number() OVER (PARTITION BY code ORDER BY path) AS r FROM p WHERE depth <= 4) WHERE r <= 3")
 def path_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hierarchy.capped(_part_paths(spark, sf_dir), 3, 4).select("code", shown())
+    edges = _edges(spark, sf_dir)
+    return traversal.first_paths(edges.where("child like 'P%'").select(F.col("child").alias("code")), edges, 3, 4, root_first=True).select("code", shown())
 
 
 @query(f"""WITH RECURSIVE {EDGES}, {_WALK}, c AS (SELECT substr(code, length(code)) AS grp, code, count(*) AS n, sum(depth) AS nodes, min(depth) AS lo, max(depth) AS hi FROM p GROUP BY 1, 2)
   SELECT grp, count(*) AS codes, CAST(sum(n) AS BIGINT) AS total_paths, round(avg(n), 9) AS mean_paths, round(median(n), 9) AS median_paths, CAST(min(lo) AS BIGINT) AS min_length, CAST(max(hi) AS BIGINT) AS max_length, round(CAST(sum(nodes) AS DOUBLE) / sum(n), 9) AS mean_length FROM c GROUP BY grp""")
 def path_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = hierarchy.path_stats(_part_paths(spark, sf_dir).withColumn("grp", F.right("code", F.lit(1))), ["grp"])
-    whole, part = ("min_length", "max_length"), ("mean_paths", "median_paths", "mean_length")
+    out = traversal.counted_stats(_part_counts(spark, sf_dir).withColumn("grp", F.right("code", F.lit(1))), ["grp"])
+    whole, part = ("total_paths", "min_length", "max_length"), ("mean_paths", "median_paths", "mean_length")
     return out.withColumns({c: F.col(c).cast("long") for c in whole} | {c: F.round(c, 9) for c in part})
 
 
@@ -593,13 +714,14 @@ def path_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cui_code_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     cui = F.concat(F.lit("C"), F.lpad((F.col("p_partkey") % 50).cast("string"), 7, "0")).alias("cui")
     rows = table(spark, sf_dir, "part").select(cui, F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("code"), "p_size")
-    out = hierarchy.code_status(rows, _part_paths(spark, sf_dir), F.col("code").rlike("^P[0-9]+0$"), F.col("p_size") % 5 != 0)
+    counts = _part_counts(spark, sf_dir).groupBy("code").agg(F.sum("n").cast("long").alias("n_paths"))
+    out = hierarchy.code_status(rows, counts, F.col("code").rlike("^P[0-9]+0$"), F.col("p_size") % 5 != 0)
     return out.groupBy("cui", "status").agg(count("codes"), F.sum("n_paths").alias("paths"))
 
 
 @query(f"""WITH RECURSIVE {EDGES}, {_WALK}, n AS (SELECT code, count(*) AS n FROM p GROUP BY code) SELECT count(*) AS codes, CAST(sum(n) AS BIGINT) AS paths, round(avg(n), 9) AS mean FROM n""")
 def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = _part_paths(spark, sf_dir).groupBy("code").agg(F.count("*").alias("n"))
+    n = _part_counts(spark, sf_dir).groupBy("code").agg(F.sum("n").cast("long").alias("n"))
     return n.agg(count("codes"), F.sum("n").alias("paths"), F.round(F.avg("n"), 9).alias("mean"))
 
 

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cpus: int | str = 8, shuffle_partitions: int = 8, app: str = "conceptloom") -> SparkSession:
@@ -38,3 +39,13 @@ def cut_lineage(df: DataFrame, tag: str) -> DataFrame:
     path = f"{at.rstrip('/')}/conceptloom/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Rows of a small table that go to every executor; a larger one is joined by shuffles.
+BROADCAST_ROWS = 100_000
+
+
+def broadcast_if_small(df: DataFrame, tag: str) -> DataFrame:
+    """df, written, and marked to be broadcast if it has BROADCAST_ROWS rows or fewer."""
+    df = cut_lineage(df, tag)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
