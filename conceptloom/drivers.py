@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .operators import concepts, datasets, hierarchy, mentions, statistics
 from .session import cut_lineage
-from .sources import processed, sinks
+from .sources import processed, registry, sinks
 
 #: The fields of a written mention; what a mention lacks is ''.
 STANDARD = ("start", "end", "text", "native_id", "native_ontology_name", "cui", "umls_name", "semantic_type", "mapping_method")
@@ -22,11 +22,26 @@ STANDARD = ("start", "end", "text", "native_id", "native_ontology_name", "cui",
 
 @dataclass(frozen=True)
 class Corpus:
-    """A dataset's name, its spec of tries, and how its mentions are read: doc_id, split, doc_text, start, end, text and the spec's columns."""
+    """A dataset's name, its spec of tries, how its mentions are read (doc_id, split, doc_text, start, end, text and the spec's columns), and fields written beside the standard ones."""
 
     name: str
     spec: str
     read: Callable[[SparkSession], DataFrame]
+    extra: tuple[str, ...] = ()
+    keeps_split: bool = False
+
+
+def known_corpora(spark: SparkSession, data: str, names: Iterable[str] | None = None) -> list[Corpus]:
+    """The corpora that this package knows, read from their folders under `data`. One that needs a licence and isn't there is left out; any other has to be there."""
+    names = list(registry.CORPORA if names is None else names)
+    licensed = [n for n, d in registry.CORPORA.items() if d.licensed]
+    out = []
+    for name in names:
+        known = registry.CORPORA[name]
+        folder = f"{data.rstrip('/')}/{known.folder}"
+        if processed.must_have(spark, folder, name, licensed):
+            out.append(Corpus(name, name, lambda s, known=known, folder=folder: known.read(s, folder), known.extra, known.keeps_split))
+    return out
 
 
 def standard_mentions(rows: DataFrame, extra: Iterable[str] = ()) -> DataFrame:
@@ -52,23 +67,25 @@ def link_corpus(corpus: Corpus, spark: SparkSession, atoms: DataFrame, types: Da
     linked = linked.join(concepts.preferred_names(atoms).withColumnRenamed("name", "umls_name"), "cui", "left")
     linked = linked.join(concepts.first_types(types).withColumnRenamed("tui", "first_type"), "cui", "left")
     linked = linked.withColumn("semantic_type", F.when(F.coalesce("semantic_type", F.lit("")) != "", F.col("semantic_type")).otherwise(F.coalesce("first_type", F.lit(""))))
-    return standard_mentions(linked.drop("first_type"))
+    return standard_mentions(linked.drop("first_type"), corpus.extra)
 
 
 def crosswalk_of(linked: DataFrame, atoms: DataFrame) -> DataFrame:
-    """cui, sab, code, tty, term of every code of the concepts that a corpus has."""
-    used = linked.where(statistics.HAS_CUI).select("cui").distinct()
-    return concepts.term_types(concepts.usable(atoms).join(used, "cui", "left_semi"))
+    """cui, sab, code, tty, term of every code of the concepts that a corpus has, by English atoms of allowed sources."""
+    return concepts.crosswalk(atoms, linked.where(statistics.HAS_CUI).select("cui"))
 
 
 def process_corpora(spark: SparkSession, corpora: list[Corpus], atoms: DataFrame, types: DataFrame, out: str, suffix: str = "", most_documents: int | None = None) -> dict[str, int]:
-    """Links each corpus and writes documents, cross-walk files and statistics under out/name+suffix. Returns mentions by corpus."""
-    done = {}
+    """Links each corpus and writes documents, cross-walk files and statistics under out/name+suffix. Returns mentions by corpus.
+
+    Codes and names come from atoms of allowed sources alone.
+    """
+    done, atoms = {}, cut_lineage(concepts.usable(atoms), "atoms")
     for corpus in corpora:
         folder = f"{out.rstrip('/')}/{corpus.name}{suffix}"
         linked = cut_lineage(link_corpus(corpus, spark, atoms, types, most_documents), f"linked-{corpus.name}")
-        documents = mentions.to_documents(linked, ["doc_id", "split", "doc_text"], list(STANDARD), ["start", "end"]).withColumnRenamed("doc_text", "text")
-        sinks.documents_json(documents, f"{folder}/documents", by=("split",))
+        documents = mentions.to_documents(linked, ["doc_id", "split", "doc_text"], [*STANDARD, *corpus.extra], ["start", "end"]).withColumnRenamed("doc_text", "text")
+        sinks.documents_by_split(documents, f"{folder}/documents", corpus.name, corpus.keeps_split)
         sinks.crosswalk_files(crosswalk_of(linked, atoms), types, linked, corpus.name, f"{folder}/mappings")
         sinks.statistics_json(statistics.rates(statistics.basic(linked)), f"{folder}/statistics")
         done[corpus.name] = linked.count()
@@ -105,9 +122,10 @@ def extract_paths(spark: SparkSession, crosswalk: DataFrame, vocabularies: list[
     return statuses
 
 
-def summarise(spark: SparkSession, folder: str, names: list[str]) -> DataFrame:
-    """Statistics by dataset over processed corpora; datasets without a file are left out, and none at all raises."""
-    found = [processed.processed(spark, f"{folder.rstrip('/')}/{n}", n) for n in names]
+def summarise(spark: SparkSession, folder: str, names: list[str], suffix: str = "") -> DataFrame:
+    """Statistics by dataset over what process_corpora has written (or files that lie in the dataset's own folder); datasets without a file are left out, and none at all raises."""
+    places = lambda n: (f"{folder.rstrip('/')}/{n}{suffix}/documents", f"{folder.rstrip('/')}/{n}{suffix}")
+    found = [next((x for at in places(n) if (x := processed.processed(spark, at, n)) is not None), None) for n in names]
     found = [x for x in found if x is not None]
     if not found:
         raise FileNotFoundError(f"no processed corpus in {folder}")

@@ -22,16 +22,18 @@ EMPTY_CODES = ("nan", "NULL", "null", "")
 
 #: Sources whose atoms count, if no others are asked for.
 ALLOWED_SOURCES = (
-    "MSH SNOMEDCT_US RXNORM VANDF NDDF MTHSPL DRUGBANK NDFRT MMSL USPMG GS MTHMST NCBI OMIM HPO HGNC GO CHEBI MESH ICD10CM ICD9CM CPT HCPCS LOINC RADLEX FMA NCI MEDLINEPLUS UWDA "
-    "AIR BI CCC CCPSS CCS CDT CHV COSTAR CPM CSP CST CVX DXP HCDT HCPT HL7V2.5 HL7V3.0 ICPC LCH LCH_NW LNC MCM MDDB MDREX MEDX NEWT NIC NOC NUCCPT OMS PCDS PDQ PSY QMR RAM RCD SNMI "
-    "SNM SNOMED SOP SPN TKMT UMD WHO MDR"
-).split()
+    "MSH", "SNOMEDCT_US", "RXNORM", "VANDF", "NDDF", "MTHSPL", "DRUGBANK", "NDFRT", "MMSL", "USPMG", "GS", "MTHMST", "NCBI",
+    "OMIM", "HPO", "HGNC", "GO", "CHEBI", "MESH", "ICD10CM", "ICD9CM", "CPT", "HCPCS", "LOINC", "RADLEX", "FMA", "NCI",
+    "MEDLINEPLUS", "UWDA", "AIR", "BI", "CCC", "CCPSS", "CCS", "CDT", "CHV", "COSTAR", "CPM", "CSP", "CST", "CVX", "DXP", "HCDT",
+    "HCPT", "HL7V2.5", "HL7V3.0", "ICPC", "LCH", "LCH_NW", "LNC", "MCM", "MDDB", "MDREX", "MEDX", "NEWT", "NIC", "NOC", "NUCCPT",
+    "OMS", "PCDS", "PDQ", "PSY", "QMR", "RAM", "RCD", "SNMI", "SNM", "SNOMED", "SOP", "SPN", "TKMT", "UMD", "WHO", "MDR",
+)
 
 
-def usable(atoms: DataFrame, sources: list[str] | None = None) -> DataFrame:
-    """Atoms of allowed sources (of all, if none are told) with a code."""
+def usable(atoms: DataFrame, sources: tuple[str, ...] | list[str] | None = ALLOWED_SOURCES) -> DataFrame:
+    """Atoms of allowed sources (of all, if sources is None) with a code."""
     out = atoms.where(~F.col("code").isin(*EMPTY_CODES))
-    return out.where(F.col("sab").isin(*sources)) if sources else out
+    return out if sources is None else out.where(F.col("sab").isin(*sources))
 
 
 def code_index(atoms: DataFrame) -> DataFrame:
@@ -63,6 +65,11 @@ def term_types(atoms: DataFrame, keys: tuple[str, ...] = ("cui", "sab", "code"))
     return first.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "tty"))), lambda x: x["tty"]), "|").alias("tty"), F.max_by("term", "last").alias("term"))
 
 
+def crosswalk(atoms: DataFrame, used: DataFrame, sources: tuple[str, ...] | list[str] | None = ALLOWED_SOURCES) -> DataFrame:
+    """cui, sab, code, tty, term: codes of the concepts used (cui) by their English atoms of allowed sources."""
+    return term_types(usable(atoms, sources).where("lat = 'ENG'").join(used.select("cui").distinct(), "cui", "left_semi"))
+
+
 def top_term_types(crosswalk: DataFrame, k: int = 5) -> DataFrame:
     """Of each source, the k most frequent term types (of a joined list, each counts)."""
     counts = crosswalk.select("sab", F.explode(F.split("tty", r"\|")).alias("tty")).groupBy("sab", "tty").agg(F.count("*").alias("n"))

@@ -732,6 +732,18 @@ def vocab_alias_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return concepts.alias_lookup(atoms(spark, sf_dir).select("cui", "sab", "code"), aliases).select("vocab", "cui", "code")
 
 
+@query(f"""WITH {ATOMS}, told AS (SELECT cui, lat, CASE p_partkey % 5 WHEN 0 THEN 'MSH' WHEN 1 THEN 'SNOMEDCT_US' WHEN 2 THEN 'SCTSPA' WHEN 3 THEN 'MDRFRE' ELSE 'HL7V3.0' END AS sab, tty, CASE WHEN p_partkey % 11 = 0 THEN '' ELSE CAST(p_partkey % 900 AS VARCHAR) END AS code, str, line_no FROM atoms JOIN part ON line_no = p_partkey),
+  used AS (SELECT DISTINCT 'C' || lpad(CAST(l_partkey % 500 AS VARCHAR), 7, '0') AS cui FROM lineitem WHERE l_quantity > 30), k AS (SELECT * FROM told WHERE lat = 'ENG' AND sab IN ('MSH', 'SNOMEDCT_US', 'HL7V3.0') AND code <> '' AND cui IN (SELECT cui FROM used)),
+  g AS (SELECT cui, sab, code, tty, min(line_no) AS at FROM k GROUP BY ALL) SELECT cui, sab, code, string_agg(tty, '|' ORDER BY at) AS tty, (SELECT arg_max(str, line_no) FROM k WHERE k.cui = g.cui AND k.sab = g.sab AND k.code = g.code) AS term FROM g GROUP BY cui, sab, code""")
+def crosswalk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of the concepts that mentions have: by English atoms of allowed sources, foreign ones beside them."""
+    k = F.col("line_no")
+    sab = F.when(k % 5 == 0, "MSH").when(k % 5 == 1, "SNOMEDCT_US").when(k % 5 == 2, "SCTSPA").when(k % 5 == 3, "MDRFRE").otherwise("HL7V3.0")
+    told = atoms(spark, sf_dir).withColumns({"sab": sab, "code": F.when(k % 11 == 0, "").otherwise((k % 900).cast("string"))})
+    used = table(spark, sf_dir, "lineitem").where("l_quantity > 30").select(F.concat(F.lit("C"), F.lpad((F.col("l_partkey") % 500).cast("string"), 7, "0")).alias("cui"))
+    return concepts.crosswalk(told, used)
+
+
 @query(f"WITH {ATOMS} SELECT DISTINCT cui FROM atoms WHERE sab IN ('Brand#13', 'Brand#5')")
 def vocab_cui_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return concepts.usable(atoms(spark, sf_dir), ["Brand#13", "Brand#5"]).select("cui").distinct()

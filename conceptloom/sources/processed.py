@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,18 +13,24 @@ DOCUMENT = "doc_id string, text string, split string, mentions array<struct<" +
 SPLITS = ("", "_train", "_test", "_dev")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, in whatever store."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def processed(spark: SparkSession, folder: str, dataset: str) -> DataFrame | None:
-    """Documents of `<dataset>.jsonl` and its splits' files, those that are there, with `dataset` and `file`; None if none is."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    found = []
-    for suffix in SPLITS:
-        path = jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{dataset}{suffix}.jsonl")
-        if path.getFileSystem(conf).exists(path):
-            found.append(path.toString())
+    """Documents of `<dataset>.jsonl` and its splits' files, those that are there, with `dataset` and `file`; None if none is.
+
+    A file may be a folder of parts. A document that doesn't tell its split has its file's.
+    """
+    found = [path for suffix in SPLITS if exists(spark, path := f"{folder.rstrip('/')}/{dataset}{suffix}.jsonl")]
     if not found:
         return None
     rows = spark.read.schema(DOCUMENT).json(found).where("doc_id is not null or text is not null")
-    return rows.withColumn("dataset", F.lit(dataset)).withColumn("file", F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1))
+    rows = rows.withColumn("dataset", F.lit(dataset)).withColumn("file", F.regexp_extract(F.input_file_name(), r"([^/]+\.jsonl)", 1))
+    told = F.regexp_extract("file", r"_(train|test|dev)\.jsonl$", 1)
+    return rows.withColumn("split", F.coalesce("split", F.when(told != "", told).otherwise("unknown")))
 
 
 def mentions_of(documents: DataFrame) -> DataFrame:
@@ -65,9 +70,9 @@ class Versions:
         return self.override or self.own.get(vocabulary) or self.default
 
 
-def must_have(folder: str, dataset: str, licensed: list[str]) -> bool:
+def must_have(spark: SparkSession, folder: str, dataset: str, licensed: list[str]) -> bool:
     """Whether a dataset's folder is there. One that needs a licence may be absent and is skipped; any other raises."""
-    if os.path.isdir(folder):
+    if exists(spark, folder):
         return True
     if dataset in licensed:
         return False

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+from urllib.parse import quote, unquote
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +15,31 @@ def documents_json(documents: DataFrame, path: str, by: tuple[str, ...] = ("data
     documents.write.mode("overwrite").partitionBy(*[c for c in by if c in documents.columns]).json(path)
 
 
+def documents_by_split(documents: DataFrame, folder: str, name: str, keep_split: bool = False) -> None:
+    """`<name>_<split>.jsonl`, a folder of JSON lines a split; without a split, or unknown, `<name>.jsonl`.
+
+    All splits are written in one pass to a place of their own, and take their names when all of them are there; what
+    stood under these names goes then. keep_split: documents tell their split, and unknown is one by name.
+    """
+    spark = documents.sparkSession
+    made = f"{folder.rstrip('/')}/_{name}-{uuid.uuid4().hex}"
+    rows = documents.withColumn("_split", F.coalesce(F.when(F.col("split") != "", F.col("split")), F.lit("unknown")))
+    (rows if keep_split else rows.drop("split")).write.partitionBy("_split").json(made)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(made).getFileSystem(spark._jsc.hadoopConfiguration())
+    for old in fs.globStatus(path(f"{folder.rstrip('/')}/{name}*.jsonl")) or []:
+        if re.fullmatch(rf"{re.escape(name)}(_[^_/]*)?\.jsonl", old.getPath().getName()):
+            fs.delete(old.getPath(), True)
+    for part in fs.listStatus(path(made)):
+        if part.isDirectory():
+            split = unquote(part.getPath().getName().partition("=")[2])
+            split = quote(split, safe="")
+            own = f"{name}.jsonl" if split == "unknown" and not keep_split else f"{name}_{split}.jsonl"
+            if not fs.rename(part.getPath(), path(f"{folder.rstrip('/')}/{own}")):
+                raise OSError(f"{own} could not be written")
+    fs.delete(path(made), True)
+
+
 def crosswalk_json(codes: DataFrame, path: str) -> None:
     """A JSON line a concept: {cui, sources: {source: {code: {tty, term}}}}."""
     entry = F.struct("tty", "term")

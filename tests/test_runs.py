@@ -61,7 +61,9 @@ def test_a_corpus_is_linked_and_written(spark, frame, tmp_path):
     corpus = drivers.Corpus("small", "cdr", lambda spark: rows)
     out = str(tmp_path / "out")
     assert drivers.process_corpora(spark, [corpus], atoms, types, out, "_v1") == {"small": 3}
-    docs = spark.read.json(f"{out}/small_v1/documents")
+    docs = spark.read.json([f"{out}/small_v1/documents/small_{s}.jsonl" for s in ("train", "test")])
+    again = drivers.summarise(spark, out, ["small"], "_v1").first()
+    assert (again.documents, again.mentions, again.mapped) == (2, 3, 2)
     got = {(r.doc_id, m.text, m.cui, m.umls_name, m.semantic_type, m.mapping_method) for r in docs.collect() for m in r.mentions}
     assert got == {("1", "cold", "C0000001", "a cold", "T047", "native_id_mapping"), ("1", "fever", "C0000002", "fever", "T033", "exact_match"), ("2", "odd", "", "", "", "no_mapping")}
     at = f"{out}/small_v1/mappings/small_"
@@ -97,9 +99,9 @@ def test_processed_corpora(spark, put, tmp_path):
     assert (row.dataset, row.documents, row.mentions, row.spans, row.concepts, row.mapped, row.unmapped, row.mapping_rate) == ("x", 2, 4, 2, 1, 2, 2, 0.5)
     with pytest.raises(FileNotFoundError):
         drivers.summarise(spark, str(tmp_path / "d"), ["absent"])
-    assert not processed.must_have(str(tmp_path / "no"), "cadec", ["cadec"])
+    assert not processed.must_have(spark, str(tmp_path / "no"), "cadec", ["cadec"])
     with pytest.raises(FileNotFoundError):
-        processed.must_have(str(tmp_path / "no"), "cdr", ["cadec"])
+        processed.must_have(spark, str(tmp_path / "no"), "cdr", ["cadec"])
     groups = put("g.json", {"semantic_groups": {"DISO": {"name": "Disorders", "types": {"T047": {"name": "Disease"}}}}})
     assert [tuple(r) for r in processed.semantic_groups(spark, groups).collect()] == [("T047", "DISO", "Disorders", "Disease")]
     assert processed.vocabulary_list(put("v.json", {"vocabularies": [{"id": 2, "name": "B"}, {"id": 1, "name": "A"}]})) == ["A", "B"]
