@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -122,14 +123,21 @@ def extract_paths(spark: SparkSession, crosswalk: DataFrame, vocabularies: list[
     return statuses
 
 
-def summarise(spark: SparkSession, folder: str, names: list[str], suffix: str = "") -> DataFrame:
-    """Statistics by dataset over what process_corpora has written (or files that lie in the dataset's own folder); datasets without a file are left out, and none at all raises."""
+def read_processed(spark: SparkSession, folder: str, names: list[str], suffix: str = "") -> DataFrame:
+    """A row a mention of what process_corpora has written (or of files that lie in the dataset's own folder); datasets without a file are left out, and none at all raises."""
     places = lambda n: (f"{folder.rstrip('/')}/{n}{suffix}/documents", f"{folder.rstrip('/')}/{n}{suffix}")
     found = [next((x for at in places(n) if (x := processed.processed(spark, at, n)) is not None), None) for n in names]
     found = [x for x in found if x is not None]
     if not found:
         raise FileNotFoundError(f"no processed corpus in {folder}")
-    rows = found[0]
-    for x in found[1:]:
-        rows = rows.unionByName(x)
-    return statistics.rates(statistics.basic(processed.mentions_of(rows), ["dataset"]))
+    return processed.mentions_of(reduce(DataFrame.unionByName, found))
+
+
+def summarise(spark: SparkSession, folder: str, names: list[str], suffix: str = "") -> DataFrame:
+    """Statistics by dataset over processed corpora."""
+    return statistics.rates(statistics.basic(read_processed(spark, folder, names, suffix), ["dataset"]))
+
+
+def summarise_all(spark: SparkSession, folder: str, names: list[str], suffix: str = "") -> DataFrame:
+    """Statistics by dataset and, in a row of their own, of all datasets together."""
+    return statistics.rates(statistics.rollup(read_processed(spark, folder, names, suffix)))

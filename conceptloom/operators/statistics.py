@@ -29,6 +29,37 @@ def basic(mentions: DataFrame, by: list[str] | None = None) -> DataFrame:
     return out.select(*by, "documents", "mentions", F.coalesce("texts", F.lit(0)).alias("texts"), "spans", F.coalesce("concepts", F.lit(0)).alias("concepts"), "mapped", (F.col("mentions") - F.col("mapped")).alias("unmapped"))
 
 
+def rollup(mentions: DataFrame) -> DataFrame:
+    """basic() of each dataset and, with everything true and no dataset, of all of them together. mentions: dataset and the columns that basic() reads.
+
+    One look at the mentions: what they name (a document, a span, a text, a concept) is reduced to distinct
+    names by dataset, and these are counted by dataset and altogether at once, each name once. Documents
+    and spans of two datasets are never the same; texts and concepts may be.
+    """
+    word = lambda c: F.col(c).cast("string")
+    nothing = F.lit(None).cast("string")
+    own = mentions.withColumn("_cui", F.expr(f"case when {HAS_CUI} then cui end"))
+    named = lambda kind, there, *parts: F.when(there, F.struct(F.lit(kind).alias("kind"), *[p.alias(f"p{k}") for k, p in enumerate([*parts, *[nothing] * (4 - len(parts))])]))
+    doc = F.col("doc_id").isNotNull()
+    things = F.array(
+        named("documents", doc, word("dataset"), word("doc_id")),
+        named("spans", doc, word("dataset"), word("doc_id"), word("start"), word("end")),
+        named("texts", F.col("text").isNotNull(), word("text")),
+        named("concepts", F.col("_cui").isNotNull(), word("_cui")),
+        named("mentions", F.lit(True)),
+    )
+    each = own.select("dataset", F.col("_cui").isNotNull().cast("long").alias("k"), F.explode(F.array_compact(things)).alias("thing"))
+    each = each.groupBy("thing", "dataset").agg(F.count("*").alias("m"), F.sum("k").alias("k"))
+    # a name's datasets, of which the first counts it for all
+    listed = each.groupBy("thing").agg(F.collect_list(F.struct("dataset", "m", "k")).alias("d")).select(F.col("thing.kind").alias("kind"), F.posexplode("d").alias("at", "d"))
+    sets = listed.select("kind", "d.*", (F.col("at") == 0).cast("long").alias("new")).groupingSets([["kind", "dataset"], ["kind"]], "kind", "dataset")
+    counts = sets.agg(F.grouping("dataset").alias("all"), F.count("*").alias("n"), F.sum("new").alias("once"), F.sum("m").alias("m"), F.sum("k").alias("k"))
+    counts = counts.withColumn("distinct", F.when(F.col("all") == 1, F.col("once")).otherwise(F.col("n")))
+    of = lambda kind, c: F.coalesce(F.max(F.when(F.col("kind") == kind, F.col(c))), F.lit(0))
+    out = counts.groupBy("dataset", "all").agg(of("documents", "distinct").alias("documents"), of("mentions", "m").alias("mentions"), *[of(c, "distinct").alias(c) for c in ("texts", "spans", "concepts")], of("mentions", "k").alias("mapped"))
+    return out.select("dataset", (F.col("all") == 1).alias("everything"), "documents", "mentions", "texts", "spans", "concepts", "mapped", (F.col("mentions") - F.col("mapped")).alias("unmapped"))
+
+
 def nothing_said(mentions: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Numbers of mentions whose concept says that there is none, and of those without any concept."""
     less = F.lower(F.regexp_replace("cui", "_", "-")).isin("cui-less", "cuiless")

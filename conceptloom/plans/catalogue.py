@@ -734,7 +734,7 @@ def vocab_alias_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {ATOMS}, told AS (SELECT cui, lat, CASE p_partkey % 5 WHEN 0 THEN 'MSH' WHEN 1 THEN 'SNOMEDCT_US' WHEN 2 THEN 'SCTSPA' WHEN 3 THEN 'MDRFRE' ELSE 'HL7V3.0' END AS sab, tty, CASE WHEN p_partkey % 11 = 0 THEN '' ELSE CAST(p_partkey % 900 AS VARCHAR) END AS code, str, line_no FROM atoms JOIN part ON line_no = p_partkey),
   used AS (SELECT DISTINCT 'C' || lpad(CAST(l_partkey % 500 AS VARCHAR), 7, '0') AS cui FROM lineitem WHERE l_quantity > 30), k AS (SELECT * FROM told WHERE lat = 'ENG' AND sab IN ('MSH', 'SNOMEDCT_US', 'HL7V3.0') AND code <> '' AND cui IN (SELECT cui FROM used)),
-  g AS (SELECT cui, sab, code, tty, min(line_no) AS at FROM k GROUP BY ALL) SELECT cui, sab, code, string_agg(tty, '|' ORDER BY at) AS tty, (SELECT arg_max(str, line_no) FROM k WHERE k.cui = g.cui AND k.sab = g.sab AND k.code = g.code) AS term FROM g GROUP BY cui, sab, code""")
+  g AS (SELECT cui, sab, code, tty, min(line_no) AS first_at FROM k GROUP BY ALL) SELECT cui, sab, code, string_agg(tty, '|' ORDER BY first_at) AS tty, (SELECT arg_max(str, line_no) FROM k WHERE k.cui = g.cui AND k.sab = g.sab AND k.code = g.code) AS term FROM g GROUP BY cui, sab, code""")
 def crosswalk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Codes of the concepts that mentions have: by English atoms of allowed sources, foreign ones beside them."""
     k = F.col("line_no")
@@ -776,6 +776,17 @@ def doc_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statistics.basic(_lines(spark, sf_dir), ["dataset"])
 
 
+def _counted(key: str) -> str:
+    return f"""count(DISTINCT {key}doc_id)) AS documents, count(*) AS mentions, count(DISTINCT text) AS texts, count(DISTINCT {key}doc_id, start, stop)) AS spans, count(DISTINCT CASE WHEN {_HAS} THEN cui END) AS concepts,
+  count(*) FILTER (WHERE {_HAS}) AS mapped, count(*) FILTER (WHERE NOT ({_HAS})) AS unmapped FROM lines"""
+
+
+@query(f"WITH {_LINES} SELECT dataset, false AS everything, {_counted('(')} GROUP BY dataset UNION ALL SELECT NULL, true, {_counted('(dataset, ')}")
+def stats_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each dataset, and all of them at once."""
+    return statistics.rollup(_lines(spark, sf_dir))
+
+
 @query(f"WITH {_LINES}, {_BASIC} SELECT dataset, round(mapped / mentions, 9) AS mapping_rate, round(mentions / documents, 9) AS mentions_a_document, round(mapped / concepts, 9) AS mentions_a_concept FROM b")
 def doc_stats_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = statistics.rates(statistics.basic(_lines(spark, sf_dir), ["dataset"]))

@@ -4,26 +4,39 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..session import broadcast_if_small
+from .corpora import blocks
 
 #: Places of the fields in release rows, which end with a bar.
 ATOM_FIELDS = {"cui": 0, "lat": 1, "ispref": 6, "sab": 11, "tty": 12, "code": 13, "str": 14}
 TYPE_FIELDS = {"cui": 0, "tui": 1, "name": 3}
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """value and line_no, ascending in file order (with gaps) for one file that is read in order."""
-    return spark.read.text(path).select("value", F.monotonically_increasing_id().alias("line_no")).where("trim(value) <> ''")
+def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """value and line_no: lines numbered from 0 without gaps, files in order of their paths, however many files and splits there are.
+
+    The first pass counts the lines of each split of a file, and a sum over the splits before gives its
+    first number; within a split, rows come in order. Lines without text have a number, and go.
+    """
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    splits = rows.groupBy("file", "block").agg(F.count("*").alias("lines"), F.min("id").alias("first"))
+    before = F.sum("lines").over(Window.partitionBy("whole").orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1))
+    # a row a split, few beside the lines
+    starts = splits.withColumn("whole", F.lit(0)).select("file", "block", (F.coalesce(before, F.lit(0)) - F.col("first")).alias("shift"))
+    return rows.join(broadcast_if_small(starts, "splits"), ["file", "block"]).select("value", (F.col("id") + F.col("shift")).alias("line_no")).where("trim(value) <> ''")
 
 
 def atoms(spark: SparkSession, path: str) -> DataFrame:
     """cui, lat, ispref, sab, tty, code, str, line_no; rows of fewer than 15 fields go."""
-    rows = _lines(spark, path).select("line_no", F.split("value", r"\|").alias("f")).where(F.size("f") >= 15)
+    rows = numbered_lines(spark, path).select("line_no", F.split("value", r"\|").alias("f")).where(F.size("f") >= 15)
     return rows.select(*[F.col("f")[k].alias(c) for c, k in ATOM_FIELDS.items()], "line_no")
 
 
 def semantic_types(spark: SparkSession, path: str) -> DataFrame:
     """cui, tui, name, pos."""
-    rows = _lines(spark, path).select("line_no", F.split("value", r"\|").alias("f")).where(F.size("f") >= 4)
+    rows = numbered_lines(spark, path).select("line_no", F.split("value", r"\|").alias("f")).where(F.size("f") >= 4)
     return rows.select(*[F.col("f")[k].alias(c) for c, k in TYPE_FIELDS.items()], F.col("line_no").alias("pos"))
 
 
@@ -37,7 +50,7 @@ def descriptor_trees(spark: SparkSession, path: str) -> DataFrame:
 
 def obo(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Nodes (code, name) and edges (child, parent) of term stanzas; obsolete terms go."""
-    rows = spark.read.option("lineSep", "\n\n").text(path).where(F.trim("value").startswith("[Term]"))
+    rows = blocks(spark, path).select(F.array_join("lines", "\n").alias("value")).where(F.trim("value").startswith("[Term]"))
     get = lambda tag: F.regexp_extract("value", rf"(?m)^{tag}: *(.*)$", 1)
     rows = rows.where(~F.col("value").rlike(r"(?m)^is_obsolete: *true")).select(F.trim(get("id")).alias("code"), F.trim(get("name")).alias("name"), F.regexp_extract_all("value", F.lit(r"(?m)^is_a: *(\S+)"), 1).alias("parents"))
     return rows.select("code", "name"), rows.select(F.col("code").alias("child"), F.explode("parents").alias("parent"))

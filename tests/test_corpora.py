@@ -70,6 +70,8 @@ def test_nine_corpora(spark, put, release, tmp_path):
     assert done == {"cdr": 3, "ncbi": 3, "medmentions": 3, "cadec": 2, "cometa": 2, "adr": 1, "mantra": 2, "mimic": 1, "share": 1}
     rows = {r.dataset: r for r in drivers.summarise(spark, out, list(registry.CORPORA), "_v2").collect()}
     assert {n: (r.documents, r.mentions, r.mapped) for n, r in rows.items()} == {"cdr": (2, 3, 3), "ncbi": (2, 3, 2), "medmentions": (2, 3, 3), "cadec": (1, 2, 2), "cometa": (2, 2, 2), "adr": (1, 1, 1), "mantra": (2, 2, 2), "mimic": (1, 1, 1), "share": (1, 1, 1)}
+    whole = drivers.summarise_all(spark, out, list(registry.CORPORA), "_v2").where("everything").first()
+    assert (whole.documents, whole.mentions, whole.mapped, whole.concepts) == (14, 18, 17, 3)
     read = lambda name, split="": {(d.doc_id, m.text): m for d in spark.read.json(f"{out}/{name}_v2/documents/{name}{split}.jsonl").collect() for m in d.mentions}
     train = spark.read.json(f"{out}/cdr_v2/documents/cdr_train.jsonl").first()
     assert train.split == "train" and [(m.native_id, m.cui, m.mapping_method) for m in train.mentions] == [("D000100", "C0000001", "native_id_mapping"), ("D000999", "C0000001", "exact_match")]

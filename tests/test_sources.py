@@ -1,6 +1,7 @@
 """Readers on small hand-written files."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from conceptloom.operators import hierarchy
 from conceptloom.sources import corpora, sinks, vocabularies
@@ -107,3 +108,31 @@ def test_crosswalk_shapes(spark, folder, tmp_path):
     sinks.crosswalk_json(got.selectExpr("*", "'t' as term"), str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out")).count() == 1
     assert [sinks.folder_of(x) for x in ("SNOMEDCT_US", "MDR_V2", "GO", "LNC")] == ["snomed", "meddra", "go", "loinc"]
+
+
+def test_line_numbers_do_not_depend_on_files_and_splits(spark, folder, tmp_path):
+    row = lambda k: f"C{k % 7:07}|ENG|||||Y|||||MSH|PT|D{k}|name {k % 5}|||\n"
+    rows = [row(k) if k % 17 else "\n" for k in range(3000)]
+    one = folder("one/c.rrf", "".join(rows))
+    for k in range(200):
+        folder(f"many/part-{k:03}.rrf", "".join(rows[15 * k : 15 * k + 15]))
+    expected = {(f"D{k}", k) for k in range(3000) if k % 17}
+    seen = []
+    for path, size in ((one, "128m"), (one, "10k"), (str(tmp_path / "many"), "128m"), (str(tmp_path / "many"), "2k")):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            atoms = vocabularies.atoms(spark, path)
+            seen.append(atoms.rdd.getNumPartitions())
+            assert {(r.code, r.line_no) for r in atoms.collect()} == expected
+            first = {r.cui: r.line_no for r in atoms.groupBy("cui").agg(F.min("line_no").alias("line_no")).collect()}
+            assert first[f"C{0:07}"] == 7 and first[f"C{3:07}"] == 3
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert max(seen) > 10
+    assert vocabularies.atoms(spark, folder("none/c.rrf", "")).isEmpty()
+
+
+def test_stanzas_with_other_line_ends(spark, folder):
+    text = "[Term]\r\nid: GO:1\r\nname: root\r\n\r\n[Term]\r\nid: GO:2\r\nname: leaf\r\nis_a: GO:1 ! root\r\n"
+    nodes, edges = vocabularies.obo(spark, folder("a.obo", text))
+    assert {(r.code, r.name) for r in nodes.collect()} == {("GO:1", "root"), ("GO:2", "leaf")} and [tuple(r) for r in edges.collect()] == [("GO:2", "GO:1")]
