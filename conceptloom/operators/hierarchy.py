@@ -137,13 +137,13 @@ def path_stats(paths: DataFrame, by: list[str]) -> DataFrame:
     return per_code.groupBy(*by).agg(F.count("*").alias("codes"), F.sum("n").alias("total_paths"), F.avg("n").alias("mean_paths"), F.median("n").alias("median_paths"), F.min("lo").alias("min_length"), F.max("hi").alias("max_length"), (F.sum("nodes") / F.sum("n")).alias("mean_length"))
 
 
-def code_status(codes: DataFrame, paths: DataFrame, valid: Column, active: Column | None = None) -> DataFrame:
-    """codes (cui, code) with n_paths and status: error, inactive, not_found or success. paths: a row a path, or code and n_paths."""
+def code_status(codes: DataFrame, paths: DataFrame, valid: Column, active: Column | None = None, skipped: Column | None = None, invalid: str = "error", nothing: str = "not_found") -> DataFrame:
+    """codes (cui, code) with n_paths and status: skipped_mthu, `invalid`, inactive, `nothing` or success. paths: a row a path, or code and n_paths."""
     n = paths if "n_paths" in paths.columns else paths.groupBy("code").agg(F.count("*").alias("n_paths"))
-    status = F.when(~valid, "error")
+    status = F.when(~valid, invalid) if skipped is None else F.when(skipped, "skipped_mthu").when(~valid, invalid)
     status = status.when(~active, "inactive") if active is not None else status
     rows = codes.join(n, "code", "left").withColumn("n_paths", F.coalesce("n_paths", F.lit(0)))
-    return rows.withColumn("status", status.when(F.col("n_paths") == 0, "not_found").otherwise("success"))
+    return rows.withColumn("status", status.when(F.col("n_paths") == 0, nothing).otherwise("success"))
 
 
 def resume(todo: DataFrame, processed: DataFrame) -> DataFrame:

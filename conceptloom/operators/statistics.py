@@ -60,6 +60,20 @@ def rollup(mentions: DataFrame) -> DataFrame:
     return out.select("dataset", (F.col("all") == 1).alias("everything"), "documents", "mentions", "texts", "spans", "concepts", "mapped", (F.col("mentions") - F.col("mapped")).alias("unmapped"))
 
 
+def mapping_improvements(mentions: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Numbers of mentions with a concept that had no id (or one that says nothing), an id that says there is none, another concept's id, or no id at all.
+
+    mentions: native_id, cui.
+    """
+    native, found = F.coalesce(F.col("native_id"), F.lit("")), F.coalesce(F.col("cui"), F.lit("")) != ""
+    return mentions.groupBy(*(by or [])).agg(
+        F.count_if(found & native.isin("", "nan", "NULL", "null")).alias("originally_no_concept"),
+        F.count_if(found & F.upper(native).isin("CUI-LESS", "CUILESS", "CUI LESS")).alias("originally_cui_less"),
+        F.count_if(found & native.startswith("C") & (native != F.col("cui"))).alias("cui_validation_success"),
+        F.count_if(found & (native == "")).alias("fallback_success"),
+    )
+
+
 def nothing_said(mentions: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Numbers of mentions whose concept says that there is none, and of those without any concept."""
     less = F.lower(F.regexp_replace("cui", "_", "-")).isin("cui-less", "cuiless")
@@ -108,11 +122,20 @@ def vocabulary_statistics(status: DataFrame) -> DataFrame:
     out = status.groupBy("vocab").agg(
         F.count_distinct("cui").alias("concepts"), F.count("*").alias("codes"), F.count_if(found).alias("with_paths"), F.sum("n_paths").alias("paths"),
         F.avg(F.when(found, F.col("n_paths"))).alias("mean_paths"), F.stddev_pop(F.when(found, F.col("n_paths"))).alias("deviation"),
-        F.count_if(F.col("status") == "error").alias("errors"), F.count_if(F.col("status") == "not_found").alias("not_found"), F.count_if(F.col("status") == "inactive").alias("inactive"),
+        F.count_if(F.col("status").isin("error", "invalid")).alias("errors"), F.count_if(F.col("status").isin("not_found", "no_data")).alias("not_found"), F.count_if(F.col("status") == "inactive").alias("inactive"),
+        F.count_if(F.col("status") == "skipped_mthu").alias("skipped_mthu"),
     )
     return out.withColumn("coverage", F.coalesce(F.try_divide("with_paths", "codes"), F.lit(0.0)))
 
 
+def run_report(status: DataFrame) -> DataFrame:
+    """vocabulary_statistics() with rates: of concepts with paths, errors, and paths a concept."""
+    hit = status.groupBy("vocab", "cui").agg(F.max("n_paths").alias("n")).groupBy("vocab").agg(F.count_if(F.col("n") > 0).alias("concepts_with_paths"))
+    of = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    rows = vocabulary_statistics(status).join(hit, "vocab")
+    return rows.withColumns({"concept_success_rate": of("concepts_with_paths", "concepts"), "error_rate": of("errors", "codes"), "paths_a_concept": of("paths", "concepts")})
+
+
 def cleaning_report(rows: DataFrame, kind: str = "entity_type", start: str = "start") -> DataFrame:
     """Of each kind of mention how many were found again after cleaning (start 0 or more), how many not, and the percentage."""
     ok = F.coalesce(F.col(start) >= 0, F.lit(False))

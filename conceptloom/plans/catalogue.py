@@ -811,6 +811,18 @@ def mapping_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(statistics.mapping_source("specific", "general", "native", "cui").alias("source")).agg(count())
 
 
+@query("""WITH m AS (SELECT l_returnflag AS dataset, CASE l_linenumber % 6 WHEN 0 THEN 'CUI-less' WHEN 1 THEN 'nan' WHEN 2 THEN 'C' || l_partkey WHEN 3 THEN 'C' || l_suppkey WHEN 4 THEN NULL ELSE '' END AS native_id, CASE WHEN l_quantity > 40 THEN '' WHEN l_quantity > 38 THEN NULL ELSE 'C' || l_partkey END AS cui FROM lineitem)
+  SELECT dataset, count(*) FILTER (WHERE cui <> '' AND coalesce(native_id, '') IN ('', 'nan')) AS originally_no_concept, count(*) FILTER (WHERE cui <> '' AND native_id = 'CUI-less') AS originally_cui_less,
+  count(*) FILTER (WHERE cui <> '' AND native_id LIKE 'C%' AND native_id <> cui) AS cui_validation_success, count(*) FILTER (WHERE cui <> '' AND coalesce(native_id, '') = '') AS fallback_success FROM m GROUP BY dataset""")
+def mapping_improvements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What linking has mended, by dataset."""
+    k, coded = F.col("l_linenumber") % 6, lambda c: F.concat(F.lit("C"), F.col(c).cast("string"))
+    native = F.when(k == 0, "CUI-less").when(k == 1, "nan").when(k == 2, coded("l_partkey")).when(k == 3, coded("l_suppkey")).when(k == 4, F.lit(None)).otherwise("")
+    cui = F.when(F.col("l_quantity") > 40, "").when(F.col("l_quantity") > 38, F.lit(None)).otherwise(coded("l_partkey"))
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("dataset"), native.alias("native_id"), cui.alias("cui"))
+    return statistics.mapping_improvements(rows, ["dataset"])
+
+
 @query(f"""WITH {_SOURCE} SELECT count(*) FILTER (WHERE native = '' AND cui <> '') AS from_nothing, count(*) FILTER (WHERE native LIKE 'C%' AND cui <> '' AND native = cui) AS validated, count(*) FILTER (WHERE native LIKE 'C%' AND cui <> '' AND native <> cui) AS corrected, count(*) FILTER (WHERE cui = '') AS lost FROM s""")
 def improvements(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, s, k = F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"), F.col("l_linenumber")

@@ -9,6 +9,8 @@ from urllib.parse import quote, unquote
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .processed import exists
+
 
 def documents_json(documents: DataFrame, path: str, by: tuple[str, ...] = ("dataset", "split")) -> None:
     """JSON lines, a folder a dataset and split."""
@@ -88,10 +90,10 @@ def cleaned_texts(rows: DataFrame, path: str, kind: str = "text") -> None:
 
 def paths_of(spark, folder: str, vocabulary: str) -> DataFrame | None:
     """cui, code, path of a vocabulary that runs before have written; None if none has."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/paths")
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+    at = f"{folder.rstrip('/')}/paths"
+    if not exists(spark, f"{at}/vocab={vocabulary}"):
         return None
-    return spark.read.parquet(path.toString()).where(F.col("vocab") == vocabulary)
+    return spark.read.parquet(at).where(F.col("vocab") == vocabulary)
 
 
 def statistics_json(statistics: DataFrame, path: str) -> None:
@@ -99,6 +101,11 @@ def statistics_json(statistics: DataFrame, path: str) -> None:
     statistics.coalesce(1).write.mode("overwrite").json(path)
 
 
+def append_json(rows: DataFrame, path: str) -> None:
+    """A small report's rows, added to what is there."""
+    rows.coalesce(1).write.mode("append").json(path)
+
+
 def paths_table(paths: DataFrame, path: str, mode: str = "append") -> None:
     """Paths by vocabulary; runs that go on where one stopped append."""
     paths.write.mode(mode).partitionBy("vocab").parquet(path)

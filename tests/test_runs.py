@@ -91,6 +91,41 @@ def test_paths_resume_where_a_run_stopped(spark, frame, tmp_path):
     assert (stats.codes, stats.with_paths, stats.errors, stats.coverage) == (2, 0, 1, 0.0)
 
 
+def test_a_resumed_run_tells_the_same_as_one_run(spark, frame, tmp_path):
+    walk = frame([(f"C{k:07}", "LNC", c) for k, c in enumerate(["1000-1", "1000-2", "MTHU000001", "bad!", "LP0001-1", "9999-9"])], "cui string, sab string, code string")
+    edges = frame([("1000-1", "LP0001-1"), ("1000-2", "1000-1"), ("1000-2", "LP0001-1")], "child string, parent string")
+    aliases = frame([("LNC", "LNC", 0)], "vocab string, sab string, prio int")
+    vocabulary = drivers.known_vocabulary("LNC", edges)
+    whole, parts = str(tmp_path / "whole"), str(tmp_path / "parts")
+    drivers.extract_paths(spark, walk, [vocabulary], aliases, whole)
+    ledger = spark.read.json(f"{whole}/ledger").first()
+    assert (ledger.codes, ledger.success, ledger.errors, ledger.skipped_mthu, ledger.nothing, ledger.paths, ledger.nodes, ledger.longest, ledger.stopped) == (6, 4, 1, 1, 0, 5, 9, 3, False)
+    got = drivers.run_statistics(spark, whole).first()
+    assert (got.concepts, got.codes, got.with_paths, got.paths, got.errors, got.skipped_mthu, got.concepts_with_paths) == (6, 6, 4, 5, 1, 1, 4)
+    assert got.error_rate == pytest.approx(1 / 6) and got.paths_a_concept == pytest.approx(5 / 6)
+    # one error is too many: batches after it wait for another run
+    drivers.extract_paths(spark, walk, [vocabulary], aliases, parts, batches=3, most_errors=1)
+    first = spark.read.json(f"{parts}/ledger")
+    assert first.agg(F.max("stopped")).first()[0] == (first.count() < 3)
+    drivers.extract_paths(spark, walk, [vocabulary], aliases, parts)
+    assert drivers.run_statistics(spark, parts).collect() == drivers.run_statistics(spark, whole).collect()
+    assert [tuple(r) for r in spark.read.json(f"{parts}/statistics").collect()] == [tuple(r) for r in spark.read.json(f"{whole}/statistics").collect()]
+
+
+def test_vocabularies_go_up_their_own_ways(spark, frame):
+    pairs = frame([("b", "a"), ("c", "b"), ("c", "x"), ("l", "m"), ("m", "l")], "child string, parent string")
+    dag = frame([("b", "a"), ("c", "b"), ("c", "x")], "child string, parent string")
+    codes = frame([(c,) for c in "abclkz"], "code string")
+    nodes = frame([(c, c != "b") for c in "abclmk"], "code string, active boolean")
+    ways = lambda name, edges, nodes=None: sorted((r.code, ".".join(r.path)) for r in drivers.known_vocabulary(name, edges, nodes).paths(codes).collect())
+    up = [("a", "a"), ("b", "a.b"), ("c", "a.b.c"), ("c", "x.c")]
+    assert ways("GO", dag, nodes.select("code")) == [*up, ("k", "k"), ("l", "l")] and ways("HPO", dag) == up
+    assert ways("NCI_V2", pairs) == [*up, ("k", "k"), ("z", "z")]
+    assert ways("LCH_NW", pairs, nodes.select("code")) == [("a", "a"), ("b", "a.b"), ("c", "a.b.c"), ("k", "k"), ("l", "m.l"), ("z", "z")]
+    assert ways("SNOMEDCT_US", dag, nodes) == [("a", "a"), ("c", "a.b.c"), ("c", "x.c"), ("k", "k"), ("l", "l")]
+    assert drivers.known_vocabulary("SNOMEDCT_US_V2", dag).name == "SNOMEDCT_US_V2"
+
+
 def test_processed_corpora(spark, put, tmp_path):
     doc = {"doc_id": "1", "text": "cold", "split": "train", "mentions": [{"start": 0, "end": 4, "text": "cold", "cui": "C1"}, {"start": 0, "end": 4, "text": "cold", "cui": ""}]}
     put("d/x/x_train.jsonl", doc)
