@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import codes, text
 from ..operators import concepts, datasets, hierarchy, mentions, search, statistics, traversal
-from ..session import table
+from ..operators.service import ConceptService
+from ..session import shared_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -147,13 +148,13 @@ def _vocabulary(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
     return src, made, types
 
 
-def _dataset_mentions(spark: SparkSession, sf_dir: str, src: DataFrame) -> DataFrame:
-    rows, key = table(spark, sf_dir, "lineitem").join(src, F.col("l_partkey") == F.col("p_partkey")), (F.col("l_partkey") + 1000).cast("string")
+def _dataset_mentions(spark: SparkSession, sf_dir: str, src: DataFrame, lines: DataFrame | None = None) -> DataFrame:
+    rows, key = (table(spark, sf_dir, "lineitem") if lines is None else lines).join(src, F.col("l_partkey") == F.col("p_partkey")), (F.col("l_partkey") + 1000).cast("string")
     k, v = F.col("l_linenumber"), (F.col("l_linenumber") + F.col("l_suppkey")) % 5
     return rows.select(
         F.when(k % 4 == 0, F.upper(F.concat("p_name", F.lit(" "), "p_type"))).when(k % 4 == 1, F.col("p_name")).when(k % 4 == 2, F.concat(F.lit("zq "), "p_name")).otherwise("").alias("text"),
         F.when(v == 0, key).when(v == 1, F.concat(F.lit("00"), key, F.lit(".0"))).when(v == 2, F.concat(F.lit("C"), F.lpad((F.col("l_partkey") % 700).cast("string"), 7, "0"))).when(v == 3, "CONCEPT-LESS").otherwise("-1").alias("one"),
-        F.when(k % 3 == 0, (F.col("l_suppkey") + 1000).cast("string")).when(k % 3 == 1, F.concat(F.lit("D"), key)).otherwise("").alias("two"), "vocab",
+        F.when(k % 3 == 0, (F.col("l_suppkey") + 1000).cast("string")).when(k % 3 == 1, F.concat(F.lit("D"), key)).otherwise("").alias("two"), "vocab", *(["g"] if "g" in rows.columns else []),
     )
 
 
@@ -177,6 +178,39 @@ for _name, _tries in _TRIES_SQL.items():
     query(_dataset_sql(_tries))(_link_dataset(_name))
 
 
+def _candidates_sql() -> str:
+    """As for ncbi; every other mention (g) has candidates of two sources, which take the place of its own id."""
+    sql = _dataset_sql([("one", "'CONCEPT'"), ("two", "vocab"), ("two", "'MDR'"), ("one", "vocab")]).replace("one, two, vocab, text", "one, two, vocab, text, g").replace("vocab FROM lineitem JOIN src", "vocab, l_linenumber % 2 = 0 AS g FROM lineitem JOIN src")
+    for prio, held in ((10, "NOT g"), (20, "g"), (30, "g")):
+        head, tail = sql.split(f", {prio} AS prio", 1)
+        sql = head + f", {prio} AS prio" + tail.replace("FROM combos", f"FROM combos WHERE {held}", 1)
+    return sql.replace("r.one, r.two, r.vocab, r.text", "r.one, r.two, r.vocab, r.text, r.g")
+
+
+@query(_candidates_sql())
+def link_ncbi_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of mixed sources, in order, before the text."""
+    src, made, types = _vocabulary(spark, sf_dir)
+    lines = table(spark, sf_dir, "lineitem")
+    rows = _dataset_mentions(spark, sf_dir, src, lines.withColumn("g", F.col("l_linenumber") % 2 == 0))
+    pair = lambda sab, code: F.struct(sab.alias("sab"), F.col(code).alias("code"))
+    given = F.when(F.col("g"), F.array(pair(F.lit("MDR"), "two"), pair(F.col("vocab"), "one"))).otherwise(F.array().cast("array<struct<sab:string,code:string>>"))
+    rows = rows.select("text", F.col("one").alias("concept_id"), F.col("two").alias("native_id"), F.col("vocab").alias("native_ontology_name"), given.alias("candidates"))
+    out = datasets.link(rows, made, types, datasets.SPECS["ncbi"])
+    return out.groupBy("method", F.col("linked").alias("cui")).agg(count())
+
+
+_RETYPED = _dataset_sql(_TRIES_SQL["medmentions"])
+
+
+@query(_RETYPED[: _RETYPED.rindex("SELECT")] + "SELECT coalesce(f.method, 'no_mapping') AS method, coalesce(y.tui, 'T000') AS semantic_type, count(*) AS n FROM dm LEFT JOIN found f USING (one, two, vocab, text) LEFT JOIN types y ON y.cui = f.cui GROUP BY 1, 2")
+def link_medmentions_retyped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The linked concept's type takes the place of the corpus's, where it has one."""
+    src, made, types = _vocabulary(spark, sf_dir)
+    rows = _dataset_mentions(spark, sf_dir, src).select("text", F.col("one").alias("cui"), F.lit("T000").alias("semantic_type"))
+    return datasets.link(rows, made, types, datasets.SPECS["medmentions"]).groupBy("method", "semantic_type").agg(count())
+
+
 @query("""WITH k AS (SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN 'MSH' WHEN 1 THEN 'SNOMEDCT_US' ELSE 'MDR' END AS sab,
   CASE p_partkey % 3 WHEN 0 THEN 'D' || CAST(p_partkey AS VARCHAR) ELSE '00' || CAST(p_partkey AS VARCHAR) END AS code FROM part),
   i AS (SELECT CASE p_partkey % 3 WHEN 0 THEN 'MSH' WHEN 1 THEN 'SNOMEDCT_US' ELSE 'MDR' END AS sab, CAST(p_partkey AS VARCHAR) AS code, p_name AS cui FROM part WHERE p_partkey % 5 <> 0),
@@ -491,6 +525,27 @@ def search_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.link_by_search(texts, atoms(spark, sf_dir))
 
 
+_TYPED = "types AS (SELECT DISTINCT cui, 'T' || (CAST(right(cui, 2) AS INTEGER) % 30) AS tui, 0 AS pos FROM atoms WHERE right(cui, 1) <> '3' UNION SELECT cui, 'T9', 1 FROM atoms WHERE right(cui, 1) IN ('1', '3'))"
+
+
+def _service(spark: SparkSession, sf_dir: str) -> ConceptService:
+    made = atoms(spark, sf_dir)
+    cuis, last = made.select("cui").distinct(), F.right("cui", F.lit(1))
+    first = cuis.where(last != "3").select("cui", F.concat(F.lit("T"), (F.right("cui", F.lit(2)).cast("int") % 30).cast("string")).alias("tui"), F.lit(0).alias("pos"))
+    types = first.union(cuis.where(last.isin("1", "3")).select("cui", F.lit("T9"), F.lit(1)))
+    return ConceptService.build(made, types, shared_path(spark, "service"))
+
+
+@query(f"""WITH {ATOMS}, {_TYPED}, asked AS (SELECT DISTINCT 'C' || lpad(CAST(l_partkey % 700 AS VARCHAR), 7, '0') AS cui FROM lineitem), own AS (SELECT * FROM atoms WHERE cui IN (SELECT cui FROM asked)),
+  c AS (SELECT cui, string_agg(k, '|' ORDER BY k) AS codes FROM (SELECT DISTINCT cui, sab || ':' || code AS k FROM own) GROUP BY cui), y AS (SELECT cui, string_agg(tui, '|' ORDER BY pos, tui) AS types FROM (SELECT cui, tui, min(pos) AS pos FROM types GROUP BY ALL) GROUP BY cui),
+  n AS (SELECT cui, coalesce(arg_max(str, line_no) FILTER (WHERE lat = 'ENG' AND str <> ''), arg_min(str, line_no)) AS name FROM own GROUP BY cui)
+  SELECT asked.cui, n.cui IS NOT NULL AS valid, n.name, CASE WHEN n.cui IS NULL THEN '' ELSE coalesce(types, '') END AS types, coalesce(codes, '') AS codes FROM asked LEFT JOIN n USING (cui) LEFT JOIN y USING (cui) LEFT JOIN c USING (cui)""")
+def service_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the service tells of all concepts that mentions have, valid or not."""
+    asked = table(spark, sf_dir, "lineitem").select(F.lpad((F.col("l_partkey") % 700).cast("string"), 7, "0").alias("cui"))
+    return _service(spark, sf_dir).records(asked).select("cui", "valid", "name", F.array_join("types", "|").alias("types"), F.array_join("codes", "|").alias("codes"))
+
+
 # Hierarchies.
 
 EDGES = """e AS (SELECT DISTINCT 'P' || l_partkey AS child, 'S' || l_suppkey AS parent FROM lineitem UNION SELECT 'S' || s_suppkey, 'N' || s_nationkey FROM supplier UNION SELECT 'N' || n_nationkey, 'R' || n_regionkey FROM nation)"""

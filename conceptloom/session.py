@@ -27,18 +27,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut_lineage(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df to the folder that all executors share and reads it back; a folder of our own only where none is set."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, tag: str) -> str:
+    """A new place in the folder that all executors share; a folder of our own only where none is set."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not at:
         at = "file://" + tempfile.mkdtemp(prefix="conceptloom-")
         spark.sparkContext.setCheckpointDir(at)
-    path = f"{at.rstrip('/')}/conceptloom/{tag}-{uuid.uuid4().hex}"
+    return f"{at.rstrip('/')}/conceptloom/{tag}-{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame, tag: str) -> DataFrame:
+    """Writes df to the shared folder and reads it back."""
+    path = shared_path(df.sparkSession, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 #: Rows of a small table that go to every executor; a larger one is joined by shuffles.
