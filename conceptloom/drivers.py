@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .functions import codes as code_forms
 from .operators import concepts, datasets, hierarchy, mentions, statistics, traversal
-from .session import cut_lineage
+from .session import cut_lineage, scratch
 from .sources import processed, registry, sinks
 
 #: The fields of a written mention; what a mention lacks is ''.
@@ -61,13 +61,14 @@ def first_documents(rows: DataFrame, most: int | None, doc_id: str = "doc_id") -
     return rows.join(F.broadcast(rows.select(doc_id).distinct().orderBy(doc_id).limit(most)), doc_id, "left_semi")
 
 
-def link_corpus(corpus: Corpus, spark: SparkSession, atoms: DataFrame, types: DataFrame, most_documents: int | None = None) -> DataFrame:
+def link_corpus(corpus: Corpus, spark: SparkSession, atoms: DataFrame | concepts.Indexes, types: DataFrame, most_documents: int | None = None) -> DataFrame:
     """A corpus's mentions, linked, in standard form; umls_name is the concept's preferred name, semantic_type its first type unless the corpus tells one."""
+    index = concepts.Indexes.of(atoms)
     rows = first_documents(corpus.read(spark), most_documents)
     if "semantic_type" not in rows.columns:
         rows = rows.withColumn("semantic_type", F.lit(""))
-    linked = datasets.link(rows, atoms, types, datasets.SPECS[corpus.spec]).drop("cui").withColumnsRenamed({"linked": "cui", "method": "mapping_method"})
-    linked = linked.join(concepts.preferred_names(atoms).withColumnRenamed("name", "umls_name"), "cui", "left")
+    linked = datasets.link(rows, index, types, datasets.SPECS[corpus.spec]).drop("cui").withColumnsRenamed({"linked": "cui", "method": "mapping_method"})
+    linked = linked.join(concepts.preferred_names(index.atoms).withColumnRenamed("name", "umls_name"), "cui", "left")
     linked = linked.join(concepts.first_types(types).withColumnRenamed("tui", "first_type"), "cui", "left")
     linked = linked.withColumn("semantic_type", F.when(F.coalesce("semantic_type", F.lit("")) != "", F.col("semantic_type")).otherwise(F.coalesce("first_type", F.lit(""))))
     return standard_mentions(linked.drop("first_type"), corpus.extra)
@@ -81,17 +82,19 @@ def crosswalk_of(linked: DataFrame, atoms: DataFrame) -> DataFrame:
 def process_corpora(spark: SparkSession, corpora: list[Corpus], atoms: DataFrame, types: DataFrame, out: str, suffix: str = "", most_documents: int | None = None) -> dict[str, int]:
     """Links each corpus and writes documents, cross-walk files and statistics under out/name+suffix. Returns mentions by corpus.
 
-    Codes and names come from atoms of allowed sources alone.
+    Codes and names come from atoms of allowed sources alone; their indexes serve all corpora. A corpus's intermediate tables go when it is written.
     """
     done, atoms = {}, cut_lineage(concepts.usable(atoms), "atoms")
+    index = concepts.Indexes(atoms).ready()
     for corpus in corpora:
-        folder = f"{out.rstrip('/')}/{corpus.name}{suffix}"
-        linked = cut_lineage(link_corpus(corpus, spark, atoms, types, most_documents), f"linked-{corpus.name}")
-        documents = mentions.to_documents(linked, ["doc_id", "split", "doc_text"], [*STANDARD, *corpus.extra], ["start", "end"]).withColumnRenamed("doc_text", "text")
-        sinks.documents_by_split(documents, f"{folder}/documents", corpus.name, corpus.keeps_split)
-        sinks.crosswalk_files(crosswalk_of(linked, atoms), types, linked, corpus.name, f"{folder}/mappings")
-        sinks.statistics_json(statistics.rates(statistics.basic(linked)), f"{folder}/statistics")
-        done[corpus.name] = linked.count()
+        with scratch(spark):
+            folder = f"{out.rstrip('/')}/{corpus.name}{suffix}"
+            linked = cut_lineage(link_corpus(corpus, spark, index, types, most_documents), f"linked-{corpus.name}")
+            documents = mentions.to_documents(linked, ["doc_id", "split", "doc_text"], [*STANDARD, *corpus.extra], ["start", "end"]).withColumnRenamed("doc_text", "text")
+            sinks.documents_by_split(documents, f"{folder}/documents", corpus.name, corpus.keeps_split)
+            sinks.crosswalk_files(crosswalk_of(linked, atoms), types, linked, corpus.name, f"{folder}/mappings")
+            sinks.statistics_json(statistics.rates(statistics.basic(linked)), f"{folder}/statistics")
+            done[corpus.name] = linked.count()
     return done
 
 

@@ -6,7 +6,7 @@ last goes by line_no.
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -107,7 +107,52 @@ def link_names(keys: DataFrame, index: DataFrame) -> DataFrame:
 PIECE = 4
 
 
-def link_contained(keys: DataFrame, names: DataFrame) -> DataFrame:
+def contained_names(names: DataFrame) -> DataFrame:
+    """n, n1, cui, line_no, nt: normal forms of English names, their first letter, and the concept, line and words of the first name of each."""
+    named = names.where("lat = 'ENG'").select("cui", "line_no", alnum(F.col("str")).alias("n"), tokens(F.col("str")).alias("nt")).where("n <> ''")
+    # of one normal form the first line stands; the letters shared are the same for all its names
+    named = named.groupBy("n").agg(F.min_by(F.struct("cui", "line_no", "nt"), F.struct("line_no", "cui")).alias("x")).select("n", "x.*")
+    return named.withColumn("n1", F.substring("n", 1, 1))
+
+
+class Indexes:
+    """What the cascade looks texts and codes up in, of one release of atoms. keep: each index is written once and serves every call, as for a stream or several corpora."""
+
+    def __init__(self, atoms: DataFrame, keep: bool = True):
+        self.atoms, self.keep = atoms, keep
+
+    @classmethod
+    def of(cls, atoms: "DataFrame | Indexes") -> "Indexes":
+        return atoms if isinstance(atoms, cls) else cls(atoms, keep=False)
+
+    def _made(self, index: DataFrame, tag: str) -> DataFrame:
+        return cut_lineage(index, tag) if self.keep else index
+
+    @cached_property
+    def codes(self) -> DataFrame:
+        return self._made(code_index(self.atoms), "code-index")
+
+    @cached_property
+    def names(self) -> DataFrame:
+        return self._made(name_index(self.atoms), "name-index")
+
+    @cached_property
+    def preferred(self) -> DataFrame:
+        """name, preferred: the first concept that is called so."""
+        first = self.atoms.groupBy("cui").agg(F.min("line_no").alias("line_no")).join(preferred_names(self.atoms), "cui")
+        return self._made(first.groupBy(F.lower("name").alias("name")).agg(F.min_by("cui", "line_no").alias("preferred")), "preferred")
+
+    @cached_property
+    def contained(self) -> DataFrame:
+        return cut_lineage(contained_names(self.atoms), "names")
+
+    def ready(self) -> "Indexes":
+        """The same, with everything written."""
+        _ = self.codes, self.names, self.preferred, self.contained
+        return self
+
+
+def link_contained(keys: DataFrame, names: "DataFrame | Indexes") -> DataFrame:
     """id, cui of the best English name that contains a text, or that it contains.
 
     keys: id, text; names: cui, lat, str, line_no. Names with the text's first letter count, or
@@ -119,10 +164,7 @@ def link_contained(keys: DataFrame, names: DataFrame) -> DataFrame:
     by the rarest of its pieces of PIECE symbols; containment is then looked at.
     """
     texts = keys.select("id", alnum(F.col("text")).alias("t"), tokens(F.col("text")).alias("tt")).where("t <> ''")
-    named = names.where("lat = 'ENG'").select("cui", "line_no", alnum(F.col("str")).alias("n"), tokens(F.col("str")).alias("nt")).where("n <> ''")
-    # of one normal form the first line stands; the letters shared are the same for all its names
-    named = named.groupBy("n").agg(F.min_by(F.struct("cui", "line_no", "nt"), F.struct("line_no", "cui")).alias("x")).select("n", "x.*")
-    named = cut_lineage(named.withColumn("n1", F.substring("n", 1, 1)), "names")
+    named = Indexes.of(names).contained
     letters = named.select(F.col("n1").alias("t1"), F.lit(True).alias("bucket")).distinct()
     bare = texts.select("t").distinct().withColumn("t1", F.substring("t", 1, 1)).join(letters, "t1", "left").select("t", "t1", F.coalesce("bucket", F.lit(False)).alias("bucket"))
     bare = cut_lineage(bare, "texts")
@@ -149,30 +191,30 @@ def link_contained(keys: DataFrame, names: DataFrame) -> DataFrame:
     return rows.groupBy("id").agg(F.min_by("cui", score).alias("cui"))
 
 
-def link_texts(texts: DataFrame, atoms: DataFrame) -> DataFrame:
+def link_texts(texts: DataFrame, atoms: "DataFrame | Indexes") -> DataFrame:
     """text, cui, method of what has one: the name index, then preferred names, then containment. texts: text, distinct."""
     rows = texts.withColumn("name", folded(F.col("text"))).where("name <> ''")
-    first = atoms.groupBy("cui").agg(F.min("line_no").alias("line_no")).join(preferred_names(atoms), "cui")
-    preferred = first.groupBy(F.lower("name").alias("name")).agg(F.min_by("cui", "line_no").alias("preferred"))
-    seen = rows.join(name_index(atoms).withColumnRenamed("cui", "exact"), "name", "left").join(preferred, "name", "left")
+    index = Indexes.of(atoms)
+    seen = rows.join(index.names.withColumnRenamed("cui", "exact"), "name", "left").join(index.preferred, "name", "left")
     seen = cut_lineage(seen.select("text", F.coalesce("exact", "preferred").alias("exact")), "texts-by-name")
-    near = link_contained(seen.where("exact is null").select(F.col("text").alias("id"), "text"), atoms).select(F.col("id").alias("text"), F.col("cui").alias("near"))
+    near = link_contained(seen.where("exact is null").select(F.col("text").alias("id"), "text"), index).select(F.col("id").alias("text"), F.col("cui").alias("near"))
     method = F.when(F.col("exact").isNotNull(), "exact_match").otherwise("semantic_containment")
     return seen.join(near, "text", "left").select("text", F.coalesce("exact", "near").alias("cui"), method.alias("method")).where("cui is not null")
 
 
-def cascade(mentions: DataFrame, atoms: DataFrame) -> DataFrame:
+def cascade(mentions: DataFrame, atoms: "DataFrame | Indexes") -> DataFrame:
     """mentions (sab, code, text) with cui and method: native code in its normal form, exact name, containment, none.
 
     Distinct combinations are linked once and joined back; each step only sees
     what the steps before left.
     """
+    index = Indexes.of(atoms)
     keys = mentions.select("sab", "code", "text").distinct().withColumn("id", F.struct("sab", "code", "text"))
     usable_code = codes.cleaned(F.col("code"), cut_at_dot=True)
-    native = link_codes(keys.select("id", "sab", usable_code.alias("code")).where("code is not null"), code_index(atoms)).select("id", F.col("cui").alias("native"))
+    native = link_codes(keys.select("id", "sab", usable_code.alias("code")).where("code is not null"), index.codes).select("id", F.col("cui").alias("native"))
     # one row a distinct combination, read by the steps below instead of being computed for each
     seen = cut_lineage(keys.join(native, "id", "left").select("sab", "code", "text", "native"), "keys")
-    by_text = link_texts(seen.where("native is null and text <> ''").select("text").distinct(), atoms)
+    by_text = link_texts(seen.where("native is null and text <> ''").select("text").distinct(), index)
     found = seen.join(by_text, "text", "left").select("sab", "code", "text", F.coalesce("native", "cui").alias("cui"), F.when(F.col("native").isNotNull(), "native_id_mapping").otherwise(F.col("method")).alias("method"))
     return mentions.join(found, ["sab", "code", "text"], "left").withColumn("method", F.coalesce("method", F.lit("no_mapping")))
 

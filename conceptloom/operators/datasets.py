@@ -72,12 +72,13 @@ def code_keys(atoms: DataFrame, types: DataFrame) -> DataFrame:
     return concepts.code_index(atoms.where("sab not in ('UMLS', 'CONCEPT')")).unionByName(typed).unionByName(named)
 
 
-def link(mentions: DataFrame, atoms: DataFrame, types: DataFrame, spec: Spec) -> DataFrame:
+def link(mentions: DataFrame, atoms: DataFrame | concepts.Indexes, types: DataFrame, spec: Spec) -> DataFrame:
     """mentions with linked (concept or '') and method: native_id_mapping, exact_match, semantic_containment or no_mapping.
 
     Distinct combinations of the spec's columns are linked once and joined back. With
     `retype`, semantic_type becomes the linked concept's first type, if it has one.
     """
+    index = concepts.Indexes.of(atoms)
     combos = mentions.select(*spec.columns).distinct().withColumn("id", F.struct(*spec.columns))
     tries = F.flatten(F.array(*[_keys(F.col(spec.ontology) if s is None else F.lit(s), F.col(c), k) for k, (c, s) in enumerate(spec.tries)]))
     if spec.candidates:
@@ -86,9 +87,9 @@ def link(mentions: DataFrame, atoms: DataFrame, types: DataFrame, spec: Spec) ->
         own = F.filter(tries, lambda x: x["sab"] == CONCEPT)
         tries = F.when(F.size(spec.candidates) > 0, F.concat(own, given)).otherwise(tries)
     keys = combos.select("id", F.explode(tries).alias("t")).select("id", "t.prio", "t.sab", "t.code")
-    native = keys.join(code_keys(atoms, types), ["sab", "code"]).groupBy("id").agg(F.min_by("cui", "prio").alias("native"))
+    native = keys.join(code_keys(index.atoms, types), ["sab", "code"]).groupBy("id").agg(F.min_by("cui", "prio").alias("native"))
     seen = cut_lineage(combos.join(native, "id", "left").select("id", "text", "native"), "combos")
-    by_text = concepts.link_texts(seen.where("native is null and text <> '' and lower(text) <> 'nan'").select("text").distinct(), atoms)
+    by_text = concepts.link_texts(seen.where("native is null and text <> '' and lower(text) <> 'nan'").select("text").distinct(), index)
     found = seen.join(by_text, "text", "left").select("id", F.coalesce("native", "cui").alias("linked"), F.when(F.col("native").isNotNull(), "native_id_mapping").otherwise(F.coalesce("method", F.lit("no_mapping"))).alias("method"))
     out = mentions.withColumn("id", F.struct(*spec.columns)).join(found, "id", "left").drop("id")
     out = out.withColumn("linked", F.coalesce("linked", F.lit("")))

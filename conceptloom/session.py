@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,9 +40,26 @@ def shared_path(spark: SparkSession, tag: str) -> str:
     return f"{at.rstrip('/')}/conceptloom/{tag}-{uuid.uuid4().hex}"
 
 
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what cut_lineage wrote within it. Results have to be saved by then, or be read from what was written before."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def cut_lineage(df: DataFrame, tag: str) -> DataFrame:
     """Writes df to the shared folder and reads it back."""
     path = shared_path(df.sparkSession, tag)
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

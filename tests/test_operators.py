@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from conceptloom.functions import codes, text
+from conceptloom import session
 from conceptloom.operators import concepts, datasets, hierarchy
 from conceptloom.streaming.incremental import link_stream
 
@@ -122,10 +123,16 @@ def test_offsets_after_cleaning(spark, frame):
     assert got.c[got.s : got.s + 4] == "pain"
 
 
-def test_stream_links_batches(spark, frame, tmp_path):
+def test_stream_links_batches(spark, frame, tmp_path, monkeypatch):
     atoms = frame([("C0000001", "ENG", "Y", "MSH", "PT", "D100", "cold", 0)], ATOMS)
     source = str(tmp_path / "in")
     spark.createDataFrame([("MSH", "D100", ""), ("MSH", "", "COLD"), ("MSH", "", "zzz")], "sab string, code string, text string").write.parquet(source)
-    stream = spark.readStream.schema("sab string, code string, text string").parquet(source)
-    link_stream(stream, atoms, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    assert sorted(r.method for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["exact_match", "native_id_mapping", "no_mapping"]
+    spark.createDataFrame([("MSH", "", "a cold")], "sab string, code string, text string").write.mode("append").parquet(source)
+    stream = spark.readStream.schema("sab string, code string, text string").option("maxFilesPerTrigger", 1).parquet(source)
+    number = iter(range(1000))
+    monkeypatch.setattr(session, "shared_path", lambda spark, tag: f"file://{tmp_path}/shared/{tag}-{next(number)}")
+    index = concepts.Indexes(atoms).ready()
+    kept = sorted(p.name for p in (tmp_path / "shared").iterdir())
+    link_stream(stream, index, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    assert len(kept) == 4 and sorted(p.name for p in (tmp_path / "shared").iterdir()) == kept  # the indexes alone stay
+    assert sorted(r.method for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["exact_match", "native_id_mapping", "no_mapping", "semantic_containment"]
