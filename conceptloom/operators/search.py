@@ -24,13 +24,18 @@ PART_ROWS = 50_000
 
 
 class WordIndex:
-    """Names (cui, lat, str, line_no) by their words of three or more letters and digits; English ones count."""
+    """Names (cui, lat, str, line_no) by their words of three or more letters and digits; English ones count.
 
-    def __init__(self, names: DataFrame, part_rows: int | None = None):
+    words: the words (word) that will be asked for, if they are known beforehand; others then get no rows.
+    """
+
+    def __init__(self, names: DataFrame, part_rows: int | None = None, words: DataFrame | None = None):
         part_rows = PART_ROWS if part_rows is None else part_rows
         named = names.where("lat = 'ENG'").select("line_no", "cui", F.length(alnum(F.col("str"))).alias("size"), tokens(F.col("str")).alias("words")).where(F.size("words") > 0)
         self.names = cut_lineage(named, "names")
         rows = self.names.select("line_no", "size", F.explode("words").alias("word"))
+        if words is not None:
+            rows = rows.join(broadcast_if_small(words.select("word").distinct(), "asked-words"), "word", "left_semi")
         self.frequency = cut_lineage(rows.groupBy("word").agg(F.count("*").alias("df")), "frequency")
         heavy = self.frequency.where(F.col("df") > part_rows)
         self.parts = -(-(heavy.agg(F.max("df")).first()[0] or 0) // part_rows)
@@ -38,7 +43,12 @@ class WordIndex:
         rows = rows.withColumn("part", F.when(F.col("heavy"), F.pmod(F.xxhash64("line_no"), F.lit(max(1, self.parts)))).otherwise(0))
         self.rows = cut_lineage(rows.select("word", "part", "line_no", "size"), "postings")
         self.heavy = heavy.select("word")
-        self.first_lines = cut_lineage(rows.groupBy("word", "size").agg(F.min("line_no").alias("line_no")), "first-lines")
+        self.first_lines = cut_lineage(self.rows.groupBy("word", "size").agg(F.min("line_no").alias("line_no")), "first-lines")
+
+
+def words_of(texts: DataFrame) -> DataFrame:
+    """word: the words of texts, as an index knows them."""
+    return texts.select(F.explode(tokens(F.col("text"))).alias("word")).distinct()
 
 
 def search_words(texts: DataFrame, index: WordIndex) -> DataFrame:
@@ -84,6 +94,7 @@ def link_by_search(texts: DataFrame, atoms: DataFrame) -> DataFrame:
     """text, cui, method of what has one: the exact name, then the search by words. texts: text, distinct."""
     rows = texts.withColumn("name", folded(F.col("text"))).where("name <> ''")
     seen = cut_lineage(rows.join(name_index(atoms), "name", "left").select("text", "cui"), "texts-by-name")
-    near = search_words(seen.where("cui is null").select(F.col("text").alias("id"), "text"), WordIndex(atoms)).select(F.col("id").alias("text"), F.col("cui").alias("near"))
+    rest = seen.where("cui is null").select(F.col("text").alias("id"), "text")
+    near = search_words(rest, WordIndex(atoms, words=words_of(rest))).select(F.col("id").alias("text"), F.col("cui").alias("near"))
     method = F.when(F.col("cui").isNotNull(), "exact_match").otherwise("semantic_containment")
     return seen.join(near, "text", "left").select("text", F.coalesce("cui", "near").alias("cui"), method.alias("method")).where("cui is not null")

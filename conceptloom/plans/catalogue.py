@@ -512,7 +512,7 @@ def _name_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def word_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences of the benchmark among the lines of all documents."""
     asked = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.split("text", r"\.")).alias("at", "text")).select((F.col("item_id") * 1000 + F.col("at")).alias("id"), "text")
-    return search.search_words(asked, search.WordIndex(_name_lines(spark, sf_dir)))
+    return search.search_words(asked, search.WordIndex(_name_lines(spark, sf_dir), words=search.words_of(asked)))
 
 
 @query(f"""WITH {ATOMS}, {MENTIONS}, names AS (SELECT cui, str, line_no FROM atoms WHERE lat = 'ENG'), asked AS (SELECT DISTINCT text AS id, text FROM mentions WHERE text <> ''), {_SEARCHED},

@@ -149,6 +149,10 @@ def test_search_by_words(spark, frame, part_rows):
     atoms = frame(names, "cui string, lat string, str string, line_no int")
     got = search.search_words(frame(texts, "id int, text string"), search.WordIndex(atoms, part_rows)).collect()
     assert {tuple(x) for x in got} == expected and len(got) == len(expected) > 40
+    if part_rows == 3:
+        asked = frame(texts, "id int, text string")
+        some = search.search_words(asked, search.WordIndex(atoms, part_rows, search.words_of(asked))).collect()
+        assert {tuple(x) for x in some} == expected
     assert search.search_words(frame(texts, "id int, text string"), search.WordIndex(atoms.limit(0), part_rows)).isEmpty()
 
 
