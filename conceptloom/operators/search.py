@@ -60,7 +60,7 @@ def search_words(texts: DataFrame, index: WordIndex) -> DataFrame:
     asked = texts.select("id", F.length(alnum(F.col("text"))).alias("length"), F.array_sort(tokens(F.col("text"))).alias("words")).where(F.size("words") > 0)
     asked = cut_lineage(asked, "asked")
     # texts with the same words are one question
-    sets = cut_lineage(asked.select("words").distinct().withColumn("set", F.monotonically_increasing_id()), "sets")
+    sets = broadcast_if_small(cut_lineage(asked.select("words").distinct().withColumn("set", F.monotonically_increasing_id()), "sets"), "sets")
     probes = sets.select("set", F.explode("words").alias("word")).join(index.frequency, "word")
     nth = Window.partitionBy("set").orderBy("df", "word")
     probes = probes.withColumn("nth", F.row_number().over(nth)).withColumn("many", F.count("*").over(Window.partitionBy("set")))
@@ -73,7 +73,7 @@ def search_words(texts: DataFrame, index: WordIndex) -> DataFrame:
     # the words before `lo` have been probed: names without them share many - lo at most
     while longest - lo >= 2:
         open_ = probes.join(best, "set", "left").withColumn("shared", F.coalesce("shared", F.lit(0))).where(F.col("many") - lo >= F.greatest("shared", F.lit(2)))
-        now = open_.where((F.col("nth") > lo) & (F.col("nth") <= lo + width))
+        now = broadcast_if_small(open_.where((F.col("nth") > lo) & (F.col("nth") <= lo + width)).select("set", "word", "part", "shared"), "now")
         found = now.join(index.rows, ["word", "part"]).select("set", "line_no", "shared").distinct()
         found = found.join(index.names.select("line_no", "size", F.col("words").alias("_words")), "line_no").join(sets, "set")
         found = found.withColumn("_shared", F.size(F.array_intersect("words", "_words"))).where(F.col("_shared") >= F.greatest("shared", F.lit(2)))
