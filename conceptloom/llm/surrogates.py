@@ -14,10 +14,14 @@ kinds have formats of fixed size; should clashes cease to decline, as when a for
 surrogate left, an error is raised. None ever share a surrogate.
 
 Fixed formats: e-mail addresses keep the shape of the local part and lie under
-example; phone numbers keep country code and grouping; IPv4 addresses are IPv4
-addresses; card numbers keep the first digit, grouping and the Luhn check;
-access keys and secrets keep prefix, length and alphabet; names after a title
-keep title, gender of the given name, script and case.
+example; phone numbers keep country code and grouping; IP addresses stay
+addresses of their version; card numbers keep the first digit, grouping and the
+Luhn check; social security numbers stay possible ones; IBANs keep country, grouping
+and check digits; access keys, tokens, private keys and secrets keep prefix, length and
+alphabet; names keep titles, initials, gender of the given name, script and case.
+
+A name is found behind a title, or where a common given name comes before another
+capitalised word. Other names without a title are not found.
 """
 
 from __future__ import annotations
@@ -30,40 +34,74 @@ from pyspark.sql import functions as F
 
 from .common import spare_names, written
 
-KINDS = ("email", "phone", "ip", "card", "key", "secret", "name")
+KINDS = ("email", "phone", "ssn", "ip", "card", "iban", "key", "private_key", "secret", "name")
 
-#: Titles by gender, and syllables of surrogate names by script.
+#: Titles by gender (u: of either), common given names by gender, and syllables of surrogate names by script.
 TITLES = {
-    "m": ("Mr", "Herr", "Monsieur", "Señor", "Господин", "Κύριος"),
-    "f": ("Mrs", "Ms", "Miss", "Frau", "Madame", "Señora", "Госпожа", "Κυρία"),
+    "m": ("Mr", "Mister", "Sir", "Herr", "Monsieur", "Señor", "Господин", "Κύριος"),
+    "f": ("Mrs", "Ms", "Miss", "Madam", "Frau", "Madame", "Señora", "Госпожа", "Κυρία"),
+    "u": ("Dr", "Doctor", "Prof", "Professor", "Docteur", "Professeur", "Доктор", "Профессор"),
+}
+GIVEN = {
+    "m": (
+        "James John Robert Michael William David Richard Joseph Thomas Charles Daniel Matthew Anthony Andrew Paul Joshua Kenneth Kevin Brian George Edward Peter Henry Jack Oliver Harry "
+        "Hans Klaus Jürgen Wolfgang Stefan Andreas Heinz Matthias Sebastian Lukas Jean Pierre Michel Jacques François Antoine Nicolas Julien José Juan Carlos Luis Miguel Pedro Pablo Javier Diego "
+        "Иван Сергей Александр Дмитрий Алексей Андрей Михаил Николай Владимир Павел Γιώργος Γιάννης Νίκος Κώστας Δημήτρης"
+    ).split(),
+    "f": (
+        "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Lisa Nancy Margaret Sandra Ashley Emily Michelle Laura Jane Anna Emma Olivia Sophia Alice Julia Helen "
+        "Ursula Monika Petra Sabine Heike Katharina Claudia Christine Marie Sophie Isabelle Nathalie Camille Hélène Françoise María Carmen Isabel Lucía Elena Marta Pilar Ana "
+        "Мария Анна Елена Ольга Наталья Татьяна Ирина Светлана Екатерина Μαρία Ελένη Κατερίνα Σοφία Άννα"
+    ).split(),
 }
 SYLLABLES = {
     "latin": "ba be bo da de do fa fe fo ga go ha he ka ke ko la le lo ma me mo na ne no pa pe po ra re ro sa se so ta te to va ve wi".split(),
     "cyrillic": "ба бе бо ва ве во га го да де до за зо ка ко ла ле ло ма ме мо на не но па по ра ре ро са се со та те то".split(),
     "greek": "βα βε βο γα γο δα δε δο κα κε κο λα λε λο μα με μο να νε νο πα πε πο ρα ρε ρο σα σε σο τα τε το".split(),
 }
-ENDINGS = {"latin": {"m": "n", "f": "a", "s": "rd"}, "cyrillic": {"m": "н", "f": "я", "s": "ров"}, "greek": {"m": "ς", "f": "η", "s": "ου"}}
+ENDINGS = {"latin": {"m": "n", "f": "a", "u": "i", "s": "rd"}, "cyrillic": {"m": "н", "f": "я", "u": "и", "s": "ров"}, "greek": {"m": "ς", "f": "η", "u": "ι", "s": "ου"}}
+#: Calling codes of one and two digits (others have three), labels of secrets, prefixes of access tokens.
+CALLING = "1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3}"
+LABELS = "token|password|passwd|passphrase|pwd|secret|api[_-]?key|access[_-]?key|secret[_-]?key"
+PREFIXES = "gh[pousr]_|github_pat_|glpat-|xox[abprs]-|[sr]k_live_|[sr]k_test_|AIza"
 
 _TITLE = "|".join(x for group in TITLES.values() for t in group for x in (t, t.upper()))
+_GIVEN = "|".join(x for group in GIVEN.values() for x in group)
 #: Entities of no fixed length are taken to their end. Quantifiers are possessive and an address starts where its run of symbols does
 #: (or where the last entity ended), so that time is linear in the text.
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
-    "phone": r"(?:\+[0-9]{1,3} ?)?\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}\b",
+    "private_key": r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s\\]*+(?:-----END [A-Z ]{0,30}PRIVATE KEY-----)?+",
+    "phone": (
+        r"(?:\+[0-9]{1,3} ?)?\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}\b"
+        r"|(?<![0-9A-Za-z])\+(?=(?:[ .()-]{0,2}[0-9]){7,15}+(?![0-9]))[1-9](?:[ .-]?[0-9]|[ .-]?\([0-9]{1,4}\)){6,14}+"
+        r"|(?<![0-9A-Za-z.+-])[2-9][0-9]{2}(?:-[0-9]{3}-|\.[0-9]{3}\.| [0-9]{3}[ -])[0-9]{4}(?![0-9A-Za-z-])"
+    ),
+    "ssn": r"(?<![0-9A-Za-z-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9A-Za-z-])",
     "ip": r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b",
+    "ip6": (
+        r"(?<![0-9A-Za-z:.])(?=[A-Fa-f:]*+[0-9])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}"
+        r"|[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5}::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?+)(?![0-9A-Za-z:])"
+    ),
     "card": r"\b[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}\b",
+    "iban": r"\b[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}(?: ?(?=[A-Z]{0,3}[0-9])[A-Z0-9]{4}){1,6}(?: ?(?=[A-Z]{0,2}[0-9])[A-Z0-9]{1,3})?\b",
     "key": r"\bAKIA[A-Z0-9]{16}\b",
-    "secret": r"\b(?:token|password|passwd|secret|api_key)[ ]?[=:][ ]?[\"']?[A-Za-z0-9_+/-]{12,}+(?:\.[A-Za-z0-9_+/-]++)*+",
-    "name": rf"\b(?:{_TITLE})\.? \p{{Lu}}\p{{L}}++(?: \p{{Lu}}\p{{L}}++)*+",
+    "token": rf"(?<![A-Za-z0-9])(?:{PREFIXES})[A-Za-z0-9_-]{{16,}}+",
+    # behind a colon or a blank a value has a digit, since prose has colons
+    "secret": (
+        rf"(?<![A-Za-z0-9])(?i:{LABELS})(?:[\"']?[ \t]{{0,4}}=[ \t]{{0,4}}[\"']?(?:(?=[A-Za-z0-9_+/-]{{12}})|(?=[A-Za-z_+/-]*+[0-9])(?=[A-Za-z0-9_+/-]{{8}}))"
+        r"|[\"']?[ \t]{0,4}:[ \t]{0,4}[\"']?(?=[A-Za-z_+/-]*+[0-9])(?=[A-Za-z0-9_+/-]{8}))[A-Za-z0-9_+/-]++(?:\.[A-Za-z0-9_+/-]++)*+"
+        r"|(?<![A-Za-z0-9])(?i:bearer) (?=[A-Za-z_+/.-]*+[0-9])(?=[A-Za-z0-9_+/.-]{16})[A-Za-z0-9_+/-]++(?:\.[A-Za-z0-9_+/-]++)*+"
+    ),
+    "name": rf"\b(?=\p{{Lu}})(?:(?:{_TITLE})\.? (?:(?:{_TITLE})\.? )*+(?:\p{{Lu}}\. )*+\p{{Lu}}\p{{L}}++|(?:{_GIVEN}) (?:\p{{Lu}}\. )*+\p{{Lu}}\p{{L}}++)(?: (?:\p{{Lu}}\. )*+\p{{Lu}}\p{{L}}++)*+",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A text without any of these holds no entity.
-HINT = rf"[0-9@]|AKIA|token|passw|secret|api_key|{_TITLE}"
+HINT = rf"[0-9@]|AKIA|-----BEGIN|(?i:{LABELS}) ?[\"']?[ \t]*=|(?:{PREFIXES})|\b(?=\p{{Lu}})(?:{_TITLE}|{_GIVEN})[. ]"
 #: Entities that drew again are looked up in a literal map up to this number, beyond it by a join.
 LITERAL_REDRAWS = 2_000
 #: Rounds without a decline of clashes that tell that a format is used up; from the attempt LONGER on secrets get longer.
 STUCK, LONGER = 32, 8
-_EDGE = r"^[ \"']+"
 
 
 def _quoted(x: str) -> str:
@@ -71,16 +109,27 @@ def _quoted(x: str) -> str:
 
 
 def kind_sql(v: str) -> str:
-    return f"""case when {v} like '%@%' then 'email' when {v} rlike '^[+(]' then 'phone' when {v} rlike '^[0-9]{{1,3}}\\\\.' then 'ip'
+    return f"""case when {v} like '-----BEGIN%' then 'private_key' when {v} like '%@%' then 'email' when {v} rlike '^[+(]' then 'phone'
+        when {v} rlike '^[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}$' then 'ssn' when {v} rlike '^[0-9]{{1,3}}(\\\\.[0-9]{{1,3}}){{3}}$' then 'ip'
+        when {v} rlike '^[0-9A-Fa-f]{{1,4}}:' then 'ip' when {v} rlike '^[0-9]{{3}}[-. ][0-9]{{3}}[-. ][0-9]{{4}}$' then 'phone'
         when {v} rlike '^[0-9]' then 'card' when {v} rlike '^AKIA[A-Z0-9]{{16}}$' then 'key'
-        when {v} rlike '^(token|password|passwd|secret|api_key) ?[=:]' then 'secret' else 'name' end"""
+        when {v} rlike {_quoted(f"^(?:{PREFIXES})")} then 'secret' when {v} rlike {_quoted(rf"^(?i:(?:{LABELS})[\"']?[ \t]*[=:]|bearer )")} then 'secret'
+        when {v} rlike '^[A-Z]{{2}}[0-9]{{2}}' then 'iban' else 'name' end"""
 
 
 def norm_sql(v: str, kind: str) -> str:
-    """What makes two mentions the same entity."""
-    return f"""case {kind} when 'email' then lower({v}) when 'phone' then right(regexp_replace({v}, '[^0-9]', ''), 10)
-        when 'card' then regexp_replace({v}, '[^0-9]', '') when 'secret' then regexp_extract({v}, '([A-Za-z0-9_+/.-]+)$', 1)
-        when 'name' then lower(regexp_replace({v}, '^\\\\S+ ', '')) else {v} end"""
+    """What makes two mentions the same entity. A phone number's country code 1 doesn't count."""
+    digits = f"regexp_replace({v}, '[^0-9]', '')"
+    secret = rf"([A-Za-z0-9_+/.-]+)$"
+    return f"""case {kind} when 'email' then lower({v}) when 'phone' then case when {v} like '+1%' then right({digits}, greatest(length({digits}) - 1, 0)) else {digits} end
+        when 'card' then {digits} when 'iban' then regexp_replace({v}, ' ', '') when 'private_key' then md5(regexp_replace(regexp_replace({v}, '-----[A-Z ]+-----', ''), '[^A-Za-z0-9+/=]|\\\\\\\\n', ''))
+        when 'secret' then regexp_replace(regexp_extract({v}, '{secret}', 1), {_quoted(f"^(?:{PREFIXES})")}, '')
+        when 'ip' then lower({v}) when 'name' then lower(substring({v}, length({_front(v)}) + 1)) else {v} end"""
+
+
+def _front(v: str) -> str:
+    """The titles of a name."""
+    return f"regexp_extract({v}, {_quoted(rf'^(?:(?:{_TITLE})\.? )*')}, 0)"
 
 
 def _byte(h: str, i: str) -> str:
@@ -131,15 +180,24 @@ def _name_word(word: str, gender: str, key: str, attempt: str, digits: int) -> s
     return f"transform(transform(array(named_struct('h', {h})), y -> named_struct('n', {made})), z -> {cased})[0]"
 
 
+def _mod97(text: str) -> str:
+    return f"aggregate(split({text}, ''), 0, (s, c) -> case when c = '' then s when c rlike '[0-9]' then (s * 10 + cast(c as int)) % 97 else (s * 100 + ascii(c) - 55) % 97 end)"
+
+
 def _name_parts(v: str) -> str:
-    """The words of a name after its title, each with its kind: name-m or name-f for given names, name-s for the last one."""
-    titles = ", ".join(_quoted(t) for t in TITLES["m"])
-    gender = f"case when initcap(regexp_replace(substring_index({v}, ' ', 1), '[.]$', '')) in ({titles}) then 'name-m' else 'name-f' end"
-    return f"transform(array(slice(split({v}, ' '), 2, length({v}))), ws -> transform(ws, (w, k) -> named_struct('kind', case when k = size(ws) - 1 then 'name-s' else {gender} end, 'norm', lower(w), 'v', w)))[0]"
+    """The words of a name after its titles, each with its kind: name-m, name-f or name-u for given names, name-s for the last one."""
+    of = lambda words: ", ".join(_quoted(w) for w in words)
+    title = f"initcap(regexp_replace(substring_index({v}, ' ', 1), '[.]$', ''))"
+    known = f"initcap(ws[0]) in ({of(GIVEN['m'])}) then 'name-m' when initcap(ws[0]) in ({of(GIVEN['f'])})"
+    gender = f"case when {title} in ({of(TITLES['m'])}) then 'name-m' when {title} in ({of(TITLES['f'])}) then 'name-f' when {known} then 'name-f' else 'name-u' end"
+    return f"transform(array(split(substring({v}, length({_front(v)}) + 1), ' ')), ws -> transform(ws, (w, k) -> named_struct('kind', case when k = size(ws) - 1 then 'name-s' else {gender} end, 'norm', lower(w), 'v', w)))[0]"
+
+
+_INITIAL = r"rlike '^\\p{Lu}[.]$'"
 
 
 def surrogate_sql(v: str, kind: str, norm: str, h: str, attempt: str, key: str, digits: int = 128, attempts: Callable[[str, str], str] | None = None) -> str:
-    """The surrogate of a mention with hash `h`, in the mention's own format. Cards that fail the Luhn check and impossible addresses stay.
+    """The surrogate of a mention with hash `h`, in the mention's own format. Cards and IBANs that fail their check and impossible addresses stay.
 
     attempts: from kind and normal form of a name's word its attempt; without it `v` may be a single word of a name.
     """
@@ -147,12 +205,26 @@ def surrogate_sql(v: str, kind: str, norm: str, h: str, attempt: str, key: str,
     front = f"regexp_extract({domain}, '^(.*[.])?[^.]+[.][^.]+$', 1)"
     label = f"case when {attempt} > 0 then concat('m', substring({h}, 65, least(2 * {attempt}, 60)), '.') else '' end"
     email = f"concat({_like(local, h)}, '@', {_like(front, h, 19)}, {label}, 'example.', substring_index({domain}, '.', -1))"
-    ten = _digits(h, 10)
-    gap = f"case when {v} like '%) %' then ') ' else ')' end"
-    phone = f"concat(substring_index({v}, '(', 1), '(', left({ten}, 3), {gap}, substring({ten}, 4, 3), '-', right({ten}, 4))"
+    # digits by their number of followers, so that a number has the same ones in every format; a calling code stays
+    kept = f"length(regexp_extract({v}, '^[+]({CALLING})', 1))"
+    after = f"length(regexp_replace(substring({v}, i + 2), '[^0-9]', ''))"
+    before = f"length(regexp_replace(left({v}, i), '[^0-9]', ''))"
+    phone = f"array_join(transform(split({v}, ''), (c, i) -> case when c rlike '[0-9]' and {before} >= {kept} then cast({_byte(h, after)} % 10 as string) else c end), '')"
+    two = lambda k: f"(256 * {_byte(h, str(k))} + {_byte(h, str(k + 1))})"
+    ssn = f"concat(lpad({two(0)} % 665 + 1, 3, '0'), '-', lpad({_byte(h, '2')} % 99 + 1, 2, '0'), '-', lpad({two(3)} % 9999 + 1, 4, '0'))"
+    hexa = lambda letters: f"substring('{letters}', {_byte(h, 'i')} % 16 + 1, 1)"
+    ip6 = f"array_join(transform(split({v}, ''), (c, i) -> case when c = ':' then c when {v} = upper({v}) then {hexa('0123456789ABCDEF')} else {hexa('0123456789abcdef')} end), '')"
+    body = _like(f"substring({norm}, 5)", h)
+    account = f"transform(transform(array({body}), b -> named_struct('b', b, 'm', {_mod97(f"concat(b, left({norm}, 2), '00')")})), y -> concat(left({norm}, 2), lpad(98 - y.m, 2, '0'), y.b))"
+    spaced = f"transform({account}, d -> array_join(transform(split({v}, ''), (c, i) -> case when c = ' ' then c else substring(d, length(replace(left({v}, i + 1), ' ', '')), 1) end), ''))[0]"
+    iban = f"case when {_mod97(f'concat(substring({norm}, 5), left({norm}, 4))')} <> 1 then {v} else {spaced} end"
+    head, tail = f"regexp_extract({v}, '^-----[A-Z ]+-----', 0)", f"regexp_extract({v}, '(-----END[A-Z ]+-----)?$', 0)"
+    inner = f"regexp_replace(substring({v}, length({head}) + 1, length({v}) - length({head}) - length({tail})), '\\\\\\\\n', '\\n')"
+    private = f"concat({head}, {_like(inner, h, cased=True)}, {tail})"
     octets = "concat_ws('.', " + ", ".join(f"cast({_byte(h, str(3 * k))} % 254 + 1 as string)" for k in range(4)) + ")"
-    ip = f"case when exists(split({v}, '[.]'), o -> cast(o as int) > 255) then {v} else {octets} end"
+    ip4 = f"case when exists(split({v}, '[.]'), o -> cast(o as int) > 255) then {v} else {octets} end"
     fifteen = f"concat(left({norm}, 1), {_digits(h, 14)})"
+    ip = f"case when {v} like '%:%' then {ip6} else {ip4} end"
     sep = f"case when {v} like '%-%' then '-' when {v} like '% %' then ' ' else '' end"
     grouped = f"transform(array(concat({fifteen}, {_luhn(fifteen)})), d -> concat_ws({sep}, substring(d, 1, 4), substring(d, 5, 4), substring(d, 9, 4), substring(d, 13, 4)))[0]"
     card = f"case when right({norm}, 1) <> {_luhn(norm)} then {v} else {grouped} end"
@@ -162,8 +234,8 @@ def surrogate_sql(v: str, kind: str, norm: str, h: str, attempt: str, key: str,
         name = _name_word(v, f"right({kind}, 1)", key, attempt, digits)
     else:
         again = f"transform({_name_parts(v)}, y -> named_struct('kind', y.kind, 'v', y.v, 'a', {attempts('y.kind', 'y.norm')}))"
-        name = f"concat(substring_index({v}, ' ', 1), ' ', array_join(transform({again}, w -> {_name_word('w.v', 'right(w.kind, 1)', key, 'w.a', digits)}), ' '))"
-    return f"case {kind} when 'email' then {email} when 'phone' then {phone} when 'ip' then {ip} when 'card' then {card} when 'key' then {access} when 'secret' then {secret} else {name} end"
+        name = f"concat({_front(v)}, array_join(transform({again}, w -> case when w.v {_INITIAL} then w.v else {_name_word('w.v', 'right(w.kind, 1)', key, 'w.a', digits)} end), ' '))"
+    return f"case {kind} when 'email' then {email} when 'phone' then {phone} when 'ssn' then {ssn} when 'ip' then {ip} when 'card' then {card} when 'iban' then {iban} when 'private_key' then {private} when 'key' then {access} when 'secret' then {secret} else {name} end"
 
 
 def _mentions(text: str) -> str:
@@ -174,7 +246,7 @@ def _mentions(text: str) -> str:
 
 def entities_sql(text: str) -> str:
     """An array of (kind, norm, v) of a text's entities; a name is one for each of its words."""
-    return f"flatten(transform({_mentions(text)}, x -> case when x.kind = 'name' then {_name_parts('x.v')} else array(named_struct('kind', x.kind, 'norm', x.norm, 'v', x.v)) end))"
+    return f"flatten(transform({_mentions(text)}, x -> case when x.kind = 'name' then filter({_name_parts('x.v')}, y -> not y.v {_INITIAL}) else array(named_struct('kind', x.kind, 'norm', x.norm, 'v', x.v)) end))"
 
 
 def redraws(docs: DataFrame, key: str, text: str = "text", digits: int = 128) -> DataFrame:
@@ -191,8 +263,8 @@ def redraws(docs: DataFrame, key: str, text: str = "text", digits: int = 128) ->
     one = f"transform(array(named_struct('v', v, 'kind', kind, 'norm', norm, 'a', attempt, 'h', {_hash(key, 'kind', 'norm', 'attempt', digits)})), x -> {surrogate_sql('x.v', 'x.kind', 'x.norm', 'x.h', 'x.a', key, digits)})"
     norm = f"case when kind like 'name-%' then lower(x) else {norm_sql('x', 'kind')} end"
     real = entities.select("kind", F.col("norm").alias("s"))
-    # what is left as it is takes no part: impossible addresses, cards without their check digit, marks only
-    left = (F.col("s") == F.col("norm")) & (F.col("kind").isin("ip", "card") | ~F.col("norm").rlike(r"[\p{L}0-9]"))
+    # what is left as it is takes no part: impossible addresses, cards and IBANs that fail their check, marks only
+    left = (F.col("s") == F.col("norm")) & (F.col("kind").isin("ip", "card", "iban") | ~F.col("norm").rlike(r"[\p{L}0-9]"))
     active, given, moved, attempt, last, stuck = entities, [], [], 0, None, 0
     while True:
         drawn = active.withColumn("attempt", F.lit(attempt)).withColumn("s", F.expr(f"transform({one}, x -> {norm})[0]")).where(~left)
