@@ -3,6 +3,7 @@
 import re
 import zlib
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -81,24 +82,24 @@ def test_base_counts(documents, corpus):
     assert perplexity.quality_rules(documents([]).limit(0)).isEmpty()
 
 
-def symbols_of(text):
-    """The n-gram that ends at each predicted symbol of a text."""
+def symbols_of(text, shape=str):
+    """The n-gram that ends at each predicted symbol of a text, or of the kinds of its symbols."""
     out, tail, n = [], perplexity.START, perplexity.ORDER
     for word in text.split():
         for piece in perplexity.pieces(word):
-            w = piece + perplexity.GAP
+            w = shape(piece) + perplexity.GAP
             for k in range(len(w)):
                 if k >= perplexity.REACH:
                     out.append((perplexity.GAP + w[: k + 1])[-n:])
         w = word + perplexity.GAP
-        out += [(tail + w[: k + 1])[-n:] for k in range(min(perplexity.REACH, len(w)))]
+        out += [shape(tail + w[: k + 1])[-n:] for k in range(min(perplexity.REACH, len(w)))]
         tail = (perplexity.GAP + word)[-perplexity.REACH :] + perplexity.GAP
     return out
 
 
-def plain_kneser_ney(texts, order):
+def plain_kneser_ney(texts, order, shape=str):
     """Probabilities of a plain, recursive model."""
-    top = Counter(g for t in texts for g in symbols_of(t))
+    top = Counter(g for t in texts for g in symbols_of(t, shape))
     counts = {order: Counter({g: c for g, c in top.items() if len(g) == order})}
     for n in range(order - 1, 0, -1):
         counts[n] = Counter(g[1:] for g in counts[n + 1])
@@ -114,12 +115,17 @@ def plain_kneser_ney(texts, order):
         return out
 
     d = {n: discounts(n) for n in counts}
+    after = {}
+    for n in counts:
+        for g, c in counts[n].items():
+            after.setdefault(g[:-1], {})[g] = c
 
+    @lru_cache(None)
     def p(gram):
         n = len(gram)
         if n == 0:
             return 1 / (len(counts[1]) + 1)
-        own = {g: c for g, c in counts[n].items() if g[:-1] == gram[:-1]}
+        own = after.get(gram[:-1])
         if not own:
             return p(gram[1:])
         total = sum(own.values())
@@ -141,6 +147,42 @@ def test_kneser_ney_equals_a_plain_model(documents):
         assert abs(r._logp - sum(np.log(p(g)) for g in grams)) < 1e-3, tests[r.doc_id]
 
 
+def plain_kind(c):
+    return c if c in (perplexity.START, perplexity.GAP) else "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdecimal() else c if c.isascii() else "?"
+
+
+def plain_kinds(text):
+    out = ""
+    for c in map(plain_kind, text):
+        if not (c in "Aa0" and len(out) > 1 and out[-1] in "Aa0" and out[-2] in "Aa0"):
+            out += c
+    return out
+
+
+def test_kept_by_brute_force(frame, corpus):
+    """Every verdict of the table: base rules, two plain models a language over all texts, medians and bands, in plain Python."""
+    rows = [(int(r.doc_id), r.text, r.lang) for r in corpus.itertuples()]
+    rows += [(10_000 + k, t, "en") for k, t in enumerate([None, "", "a b c", "one two three four five six seven eight nine ten 4" + "7" * 90, " | ".join("onea two".split() * 9)])]
+    got = {r.doc_id: r for r in perplexity.quality_rules(frame(rows, "doc_id long, text string, lang string")).collect()}
+    off = {}
+    for lang in {r[2] for r in rows}:
+        texts = {i: t or "" for i, t, x in rows if x == lang}
+        fine = [i for i in texts if not got[i].base_failed]
+        for shape in (str, plain_kinds):
+            p = plain_kneser_ney(list(texts.values()), perplexity.ORDER, shape)
+            n = {i: len(texts[i].split()) for i in fine}
+            nats = {i: -sum(np.log(p(g)) for g in symbols_of(texts[i], shape)) / n[i] for i in fine}
+            middle = np.median(list(nats.values()))
+            wide = 1.4826 * np.median([abs(nats[i] - middle) * n[i] ** 0.5 for i in fine])
+            for i in fine:
+                band = perplexity.DEVIATIONS * max(wide / n[i] ** 0.5, perplexity.FLOOR) + (perplexity.SPARE / n[i] if shape is plain_kinds else 0)
+                off.setdefault(i, []).append(abs(nats[i] - middle) - band)
+    assert len(off) > 100 and {i for i in got if got[i].base_failed} == set(got) - set(off)
+    sure = {i: max(x) < 0 for i, x in off.items() if min(map(abs, x)) > 0.01}
+    assert len(sure) > 0.95 * len(off) and not all(sure.values())
+    assert {i: got[i].kept for i in sure} == sure
+
+
 def test_order_of_words_counts(documents):
     r = np.random.default_rng(5)
     texts = [" ".join(["dar", "eko", "ilm", "nup"][k % 4] for k in range(s, s + 60)) for s in r.integers(0, 4, 40)]
@@ -152,7 +194,7 @@ def test_order_of_words_counts(documents):
 
 def test_scores_by_join_equal_scores_by_arrays(documents, corpus):
     docs = documents([*corpus.text.head(25), "", None, "q" * 100])
-    of = lambda most: {r.doc_id: (r._words, r._predicted, round(r._logp, 2), r._kept) for r in perplexity.judged(docs, broadcast_entries=most).collect()}
+    of = lambda most: {r.doc_id: (r._words, r._predicted, round(r._logp, 5), round(r._shaped, 5), r._kept) for r in perplexity.judged(docs, broadcast_entries=most).collect()}
     assert of(10**9) == of(0)
 
 
