@@ -95,7 +95,8 @@ PATTERNS = {
     ),
     "name": rf"\b(?=\p{{Lu}})(?:(?:{_TITLE})\.? (?:(?:{_TITLE})\.? )*+(?:\p{{Lu}}\. )*+\p{{Lu}}\p{{L}}++|(?:{_GIVEN}) (?:\p{{Lu}}\. )*+\p{{Lu}}\p{{L}}++)(?: (?:\p{{Lu}}\. )*+\p{{Lu}}\p{{L}}++)*+",
 }
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: Behind a small letter only a bracket or a dash can begin an entity, or what follows another one; so most places are passed by at once.
+ANY = r"(?:\G|(?<![a-z])|(?=[(-]))(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
 #: A text without any of these holds no entity.
 HINT = rf"[0-9@]|AKIA|-----BEGIN|(?i:{LABELS}) ?[\"']?[ \t]*=|(?:{PREFIXES})|\b(?=\p{{Lu}})(?:{_TITLE}|{_GIVEN})[. ]"
 #: Entities that drew again are looked up in a literal map up to this number, beyond it by a join.
