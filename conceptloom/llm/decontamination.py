@@ -1,7 +1,7 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Passages are windows of words, weighted by TF-IDF over hashed terms and projected
-to a latent space that a randomised SVD of sample passages gives. Each
+to a latent space that a randomised decomposition of all documents gives. Each
 benchmark item is held against all windows of about its own length. The longest
 common subsequence of words covers most of a verbatim copy. A paraphrase has
 less of it: the candidate search must find it, so a window of the region, as long as
@@ -12,8 +12,9 @@ Neither kind is looked for where it can't be: a match lacks at most a share of t
 item's words, so of its rarest words a region must hold a certain number. This
 leaves out no match, whatever its cosine.
 
-Document frequencies cover all documents. The SVD is fitted on a bounded sample,
-the SAMPLE_DOCS rows with the smallest hashes and the items themselves.
+Document frequencies cover all documents, and the latent space all documents and items: one
+pass counts and multiplies their terms with a random matrix, of which the leading
+directions follow (Nystrom's method).
 Benchmark items are the query set: they go out in blocks of ITEM_BLOCK, each of
 which meets all windows of all documents.
 """
@@ -30,10 +31,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from .common import chunks, hash_sample, lean, raw_texts, sums, word_hashes, Words, written
+from .common import chunks, lean, raw_texts, sums, word_hashes, Words, written
 
-TERMS, RANK, EXTRA, POWER = 8192, 64, 8, 2
-SAMPLE_DOCS, SAMPLE_WINDOW, ITEM_BLOCK = 500, 32, 4096
+TERMS, RANK, EXTRA = 8192, 64, 8
+ITEM_BLOCK = 4096
 VERBATIM, PARAPHRASE, ANSWER, ANSWER_WORDS = 0.8, 0.6, 0.75, 8
 #: The cosine that the window of a paraphrase has to its item.
 COSINE = 0.4
@@ -53,63 +54,80 @@ def _bin(h: np.ndarray) -> np.ndarray:
     return ((h >> np.uint64(40)) % np.uint64(RATE_BINS)).astype(np.int64)
 
 
-def document_frequencies(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, int, np.ndarray]:
-    """Of each hashed term, the number of documents that have it; the number of documents; of each bin of hashes its share of all words."""
+#: Parts of the product that tasks send to be added up, and texts multiplied at once.
+_PARTS, _AT_ONCE = 64, 256
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, total = Words(lambda new: (x := _describe(new)) | {"bin": _bin(x["h"])}), np.zeros(TERMS + 1 + RATE_BINS, np.int64)
-        for batch in chunks(batches):
-            ids, ends = table.indices([t.split() for t in raw_texts(batch)])
-            total[TERMS] += batch.num_rows
-            if len(ids):
-                row = np.repeat(np.arange(batch.num_rows), np.diff(ends))
-                seen = np.zeros((batch.num_rows, TERMS), bool)
-                seen[row, table.columns["term"][ids]] = True
-                total[:TERMS] += seen.sum(axis=0)
-                total[TERMS + 1 :] += np.bincount(table.columns["bin"][ids], minlength=RATE_BINS)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["term", "n"])
 
-    rows = docs.select(F.col(text).alias("text")).mapInArrow(lean(counted), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # TERMS + 1 + RATE_BINS rows at most
-    out = np.zeros(TERMS + 1 + RATE_BINS, np.int64)
-    out[rows["term"].to_numpy()] = rows["n"].to_numpy()
-    return out[:TERMS], int(out[TERMS]), out[TERMS + 1 :] / max(1, out[TERMS + 1 :].sum())
+def _random_terms() -> np.ndarray:
+    return np.random.default_rng(7).standard_normal((TERMS, RANK + EXTRA)).astype(np.float32)
 
 
-def fit_latent(docs: DataFrame, items: DataFrame, idf: np.ndarray, doc_id: str = "doc_id", text: str = "text") -> np.ndarray:
-    """Right singular vectors (TERMS x RANK) of the sample's TF-IDF passages, by subspace iteration over tasks' partial products."""
-    sample = hash_sample(docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("i"), F.col(text).alias("text")), SAMPLE_DOCS).select("text")
-    sample = written(sample.unionByName(items.select("text")), "svd-sample").coalesce(8)
+@dataclass
+class Statistics:
+    """Of each hashed term the number of documents that have it; documents; of each bin of hashes its share of all words; the product of _latent."""
 
-    def product(q: np.ndarray) -> np.ndarray:
-        """A'A q over all passages."""
+    df: np.ndarray
+    documents: int
+    rates: np.ndarray
+    product: np.ndarray
 
-        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            table, out = Words(_describe), np.zeros_like(q)
-            for batch in chunks(batches, most=1 << 18):
-                ids, ends = table.indices([t.split() for t in raw_texts(batch)])
-                if not len(ids):
-                    continue
-                term = table.columns["term"][ids].astype(np.int64)
-                inside = np.arange(len(ids)) - np.repeat(ends[:-1], np.diff(ends))
-                first = np.flatnonzero(inside % SAMPLE_WINDOW == 0)
-                row = np.cumsum(inside % SAMPLE_WINDOW == 0) - 1
-                for a in range(0, len(first), 256):
-                    mine = (row >= a) & (row < a + 256)
-                    dense = np.bincount((row[mine] - a) * TERMS + term[mine], minlength=256 * TERMS).reshape(256, TERMS) * idf
-                    dense /= np.maximum(np.linalg.norm(dense, axis=1, keepdims=True), 1e-12)
-                    dense = dense.astype(np.float32)
-                    out += dense.T @ (dense @ q)
-            yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["x"])
-
-        rows = sample.mapInArrow(lean(part), "x binary").collect()  # eight at most
-        return sum((np.frombuffer(r["x"], np.float32).reshape(q.shape) for r in rows), np.zeros_like(q))
-
-    q = np.random.default_rng(7).standard_normal((TERMS, RANK + EXTRA)).astype(np.float32)
-    for _ in range(POWER):
-        q = np.linalg.qr(product(q))[0].astype(np.float32)
-    value, vector = np.linalg.eigh(q.T @ product(q))
-    return (q @ vector[:, ::-1][:, :RANK]).astype(np.float32)
+
+def statistics(docs: DataFrame, items: DataFrame, text: str = "text") -> Statistics:
+    """Counts over all documents, and the product C'C x over all documents and items, in one pass.
+
+    A row of C has a text's distinct terms, divided by the root of their number; x is random.
+    """
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, total = Words(lambda new: (x := _describe(new)) | {"bin": _bin(x["h"])}), np.zeros(TERMS + 1 + RATE_BINS, np.int64)
+        x = _random_terms()
+        product = np.zeros_like(x)
+        for batch in chunks(batches):
+            ids, ends = table.indices([t.lower().split() for t in raw_texts(batch)])
+            own = np.asarray(batch.column(1))
+            total[TERMS] += own.sum()
+            row = np.repeat(np.arange(batch.num_rows), np.diff(ends))
+            if len(ids):
+                term = table.columns["term"][ids]
+                total[TERMS + 1 :] += np.bincount(table.columns["bin"][ids[own[row]]], minlength=RATE_BINS)
+            for a in range(0, batch.num_rows if len(ids) else 0, _AT_ONCE):
+                b = min(batch.num_rows, a + _AT_ONCE)
+                seen = np.zeros((b - a, TERMS), np.float32)
+                seen[row[ends[a] : ends[b]] - a, term[ends[a] : ends[b]]] = 1
+                total[:TERMS] += (own[a:b].astype(np.float32) @ seen).astype(np.int64)
+                product += seen.T @ (seen @ x / np.maximum(seen.sum(axis=1, keepdims=True), 1))
+        at = np.flatnonzero(total)
+        parts = [p.tobytes() for p in np.split(product, _PARTS)]
+        yield pa.RecordBatch.from_arrays([pa.array([*range(_PARTS), *[None] * len(at)], pa.int32()), pa.array(parts + [None] * len(at), pa.binary()), pa.array([None] * _PARTS + at.tolist(), pa.int64()), pa.array([0] * _PARTS + total[at].tolist(), pa.int64())], names=["part", "product", "term", "n"])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                held[part] = held.get(part, 0.0) + np.frombuffer(raw, np.float32).astype(np.float64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([v.tobytes() for v in held.values()], pa.binary())], names=["part", "product"])
+
+    rows = docs.select(F.col(text).alias("text"), F.lit(True).alias("own")).unionByName(items.select("text", F.lit(False).alias("own")))
+    rows = written(rows.mapInArrow(lean(counted), "part int, product binary, term long, n long"), "statistics")
+    counts = rows.where("term is not null").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # TERMS + 1 + RATE_BINS rows at most
+    total, product = np.zeros(TERMS + 1 + RATE_BINS, np.int64), np.zeros((TERMS, RANK + EXTRA))
+    total[counts["term"].to_numpy()] = counts["n"].to_numpy()
+    sums_ = rows.where("part is not null").select("part", "product").repartition("part").mapInArrow(lean(added), "part int, product binary").toArrow()  # _PARTS rows
+    size = TERMS // _PARTS
+    for part, raw in zip(sums_["part"].to_pylist(), sums_["product"].to_pylist(), strict=True):
+        product[part * size : (part + 1) * size] = np.frombuffer(raw, np.float64).reshape(size, -1)
+    return Statistics(total[:TERMS], int(total[TERMS]), total[TERMS + 1 :] / max(1, total[TERMS + 1 :].sum()), product)
+
+
+def latent(product: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Leading right singular vectors (TERMS x RANK at most) of C with its columns weighted by idf, from C'C x for a random x.
+
+    With D the weights and K = D C'C D, K (x / idf) = D C'C x, so the weights need not be known when texts are read.
+    """
+    value, vector = np.linalg.eigh(_random_terms().astype(np.float64).T @ product)
+    some = value > 1e-9 * max(1e-9, value[-1])
+    half = idf[:, None] * product @ (vector[:, some] / np.sqrt(value[some]))
+    return np.linalg.svd(half, full_matrices=False)[0][:, :RANK].astype(np.float32)
 
 
 @dataclass
@@ -252,7 +270,7 @@ def find(queries: Queries, table: Words, texts: list[bytes]) -> list[tuple[int,
 
     table: from queries.table().
     """
-    ids, ends = table.indices([t.split() for t in texts])
+    ids, ends = table.indices([t.lower().split() for t in texts])
     if not len(ids) or not queries.words:
         return []
     code, n = table.columns["code"][ids], np.diff(ends)
@@ -314,12 +332,11 @@ def query_blocks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     n = items.count()
     blocks = max(1, -(-n // ITEM_BLOCK))
     items = items.withColumn("b", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
-    df, total, rates = document_frequencies(docs, text)
-    idf = np.log((1 + total) / (1 + df)) + 0.1
-    sample = items.orderBy(F.xxhash64("item_id", "text")).limit(ITEM_BLOCK)
-    weights = fit_latent(docs, sample, idf, doc_id, text) * idf[:, None].astype(np.float32)
+    known = statistics(docs, items, text)
+    idf = np.log((1 + known.documents) / (1 + known.df)) + 0.1
+    weights = latent(known.product, idf) * idf[:, None].astype(np.float32)
     for b in range(blocks):
-        yield prepare_queries([(r["item_id"], r["text"], r["answer"]) for r in items.where(F.col("b") == b).collect()], weights, idf, rates)
+        yield prepare_queries([(r["item_id"], r["text"], r["answer"]) for r in items.where(F.col("b") == b).collect()], weights, idf, known.rates)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -282,6 +282,28 @@ def test_recall_of_planted_paraphrases(spark, sf, frame, corpus):
     assert len(found & planted) >= 0.9 * len(planted)
 
 
+def test_the_latent_space_is_of_all_documents_and_items(frame):
+    """Counts and the space equal those of plain matrices over 900 texts and an item; topics lie apart."""
+    r, d = np.random.default_rng(4), decontamination
+    texts = [" ".join(f"t{k % 3}w{j}" for j in r.integers(0, 30, 40)) for k in range(900)] + ["", None]
+    bench = frame([(1, " ".join(f"t1w{j}" for j in range(12)))], "item_id long, text string")
+    got = d.statistics(frame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string"), bench)
+    rows = np.zeros((902, d.TERMS))
+    for k, t in enumerate([*texts[:901], " ".join(f"t1w{j}" for j in range(12))]):
+        own = np.unique(d._describe(t.encode().split())["term"])
+        rows[k, own] = 1
+    assert got.documents == 902 and got.df.tolist() == rows[:901].sum(axis=0).tolist() and abs(got.rates.sum() - 1) < 1e-9
+    rows /= np.sqrt(np.maximum(rows.sum(axis=1, keepdims=True), 1))
+    assert np.allclose(got.product, rows.T @ (rows @ d._random_terms()), atol=1e-2)
+    idf = np.log((1 + got.documents) / (1 + got.df)) + 0.1
+    space = d.latent(got.product, idf)
+    topic = [(space[d._describe([f"t{k}w{j}".encode() for j in range(30)])["term"]] * 1.0).sum(axis=0) for k in range(3)]
+    cosine = lambda a, b: a @ b / np.linalg.norm(a) / np.linalg.norm(b)
+    assert max(abs(cosine(topic[a], topic[b])) for a, b in ((0, 1), (0, 2), (1, 2))) < 0.5
+    exact = np.linalg.svd(rows * idf, full_matrices=False)[2][:3]
+    assert np.linalg.norm(space.T @ exact.T, axis=0).min() > 0.98
+
+
 def test_leaks_of_repeated_rows_long_texts_and_named_items(frame):
     item = " ".join(f"q{k}" for k in range(30))
     long = "filler " * 120_000 + item + " filler" * 100
