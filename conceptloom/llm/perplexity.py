@@ -6,8 +6,8 @@ of words counts. Spark counts the corpus: each task counts its distinct words an
 its distinct joints (the last symbols of a word and the first ones of the next), whose
 sums give the n-gram counts. Continuation counts, discounts and back-off weights
 follow by grouping and joining n-gram tables. The model is kept as arrays sorted
-by a 64-bit hash of language and n-gram. Words of more than PIECE characters count
-as pieces.
+by a 64-bit hash of language and n-gram. A word of any length is counted and scored whole;
+where Spark counts a long one's n-grams it looks at stretches of PIECE symbols and the ones before them.
 
 Each language has a second such model, over the kinds of the same symbols (letters of
 either case, digits, each ASCII mark by itself, other marks), so marks in unusual places
@@ -28,7 +28,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checked_broadcast, chunks, lean, mix, raw_texts, row_keys, spare_names, without_rows, Words, written
@@ -70,8 +70,31 @@ def kinds(text: str) -> str:
     return _RUN.sub(r"\1", text.translate(_KINDS))
 
 
+def kinds_of(texts: list[str]) -> list[str]:
+    """The kinds of texts without line breaks, all at once."""
+    return kinds("\n".join(texts)).split("\n") if texts else []
+
+
 def pieces(word: str) -> list[str]:
-    return [word] if len(word) <= PIECE else [word[k : k + PIECE] for k in range(0, len(word), PIECE)]
+    """The parts of a word whose symbols are predicted apart from each other: one, whatever its length."""
+    return [word]
+
+
+def _stretches(w: Column) -> Column:
+    """Of symbols w stretches of PIECE, each with ORDER - 1 symbols more behind it, so every n-gram lies in one and its last symbol is predicted once."""
+    return F.when(F.length(w) <= PIECE + ORDER - 1, F.array(w)).otherwise(F.regexp_extract_all(w, F.lit(f"(?s)(?=(.{{1,{PIECE + ORDER - 1}}})).{{1,{PIECE}}}"), F.lit(1)))
+
+
+class _Numbers(dict):
+    """Of the first or last bytes of ASCII words the number of their beginning or ending."""
+
+    def __init__(self, number):
+        super().__init__()
+        self.number = number
+
+    def __missing__(self, part: bytes) -> int:
+        self[part] = self.number(part.decode())
+        return self[part]
 
 
 class Ends:
@@ -80,14 +103,19 @@ class Ends:
     def __init__(self):
         self.heads: dict[str, int] = {}
         self.tails: dict[str, int] = {START: 0}
+        self.first, self.last = _Numbers(self._head), _Numbers(self._tail)
+
+    def _head(self, x: str) -> int:
+        return self.heads.setdefault((x[:REACH] + GAP)[:REACH], len(self.heads))
+
+    def _tail(self, x: str) -> int:
+        return self.tails.setdefault((GAP + x[-REACH:])[-REACH:] + GAP, len(self.tails))
 
     def describe(self, words: list[bytes]) -> dict[str, np.ndarray]:
-        head, tail = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
-        for k, w in enumerate(words):
-            x = w.decode("utf-8", "replace")
-            head[k] = self.heads.setdefault((x[:REACH] + GAP)[:REACH], len(self.heads))
-            tail[k] = self.tails.setdefault((GAP + x[-REACH:])[-REACH:] + GAP, len(self.tails))
-        return {"head": head, "tail": tail}
+        first, last = self.first, self.last
+        head = [first[w[:REACH]] if w.isascii() else self._head(w.decode("utf-8", "replace")) for w in words]
+        tail = [last[w[-REACH:]] if w.isascii() else self._tail(w.decode("utf-8", "replace")) for w in words]
+        return {"head": np.array(head, np.int64), "tail": np.array(tail, np.int64)}
 
     @staticmethod
     def joints(table: Words, ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -105,7 +133,7 @@ class Ends:
 
     def kinds(self, joints: np.ndarray) -> tuple[list[str], np.ndarray]:
         """The kinds of joints, each once, and of each joint its place among them."""
-        of = [list(map(kinds, x)) for x in (self.tails, self.heads)]
+        of = [kinds_of(list(x)) for x in (self.tails, self.heads)]
         names = [list(dict.fromkeys(x)) for x in of]
         tail, head = (np.array(list(map({v: k for k, v in enumerate(n)}.get, x)), np.int64) for x, n in zip(of, names, strict=True))
         distinct, at = np.unique((tail[joints >> 32] << 32) + head[joints & 0xFFFFFFFF], return_inverse=True)
@@ -113,19 +141,17 @@ class Ends:
 
 
 def count_words(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """lang, joint (boolean), word, n: every word (or piece) and every joint of every text, counted. A null language is ''."""
+    """lang, joint (boolean), word, n: every word and every joint of every text, counted. A null language is ''."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, tuple[Ends, Words, list]] = {}
 
         def rows(name: str) -> Iterator[pa.RecordBatch]:
             ends, table, (words, joints, n) = held[name]
-            cut: Counter = Counter()
-            for word, k in zip(table, words[: len(table)].tolist(), strict=True):
-                if k:
-                    for piece in pieces(word.decode("utf-8", "replace")):
-                        cut[piece] += k
-            for joint, part, values in ((False, list(cut), list(cut.values())), (True, ends.strings(joints), n.tolist())):
+            seen = np.flatnonzero(words[: len(table)])
+            every = list(table)
+            whole = [every[k].decode("utf-8", "replace") for k in seen.tolist()]
+            for joint, part, values in ((False, whole, words[seen].tolist()), (True, ends.strings(joints), n.tolist())):
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(part), pa.string()), pa.array([joint] * len(part), pa.bool_()), pa.array(part, pa.string()), pa.array(values, pa.int64())], names=["lang", "joint", "word", "n"])
 
         for batch in chunks(batches, most=_CHUNK):
@@ -158,8 +184,9 @@ def count_kinds(words: DataFrame) -> DataFrame:
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
         for batch in batches:
-            for lang, joint, word, n in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                held[lang + OF_KINDS, joint, kinds(word)] += n
+            langs, joints, words, n = (batch.column(k).to_pylist() for k in range(4))
+            for lang, joint, word, k in zip(langs, joints, kinds_of(words), n, strict=True):
+                held[lang + OF_KINDS, joint, word] += k
             if len(held) > _COUNTED:
                 yield rows(held)
                 held.clear()
@@ -180,8 +207,13 @@ def _padded(units: DataFrame) -> DataFrame:
 
 def count_grams(words: DataFrame, order: int = ORDER) -> DataFrame:
     """lang, gram, n: for each predicted symbol of a word or a joint the n-gram that ends there, shorter at a text's start."""
-    places = F.when(F.length("w") >= F.col("first"), F.sequence(F.col("first"), F.length("w")))
-    grams = F.transform(places, lambda p: F.substring(F.col("w"), F.greatest(p - (order - 1), F.lit(1)), F.least(p, F.lit(order))))
+
+    def ending(w: Column) -> Column:
+        places = F.when(F.length(w) >= F.col("first"), F.sequence(F.col("first"), F.length(w))).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda p: F.substring(w, F.greatest(p - (order - 1), F.lit(1)), F.least(p, F.lit(order))))
+
+    w = F.col("w")
+    grams = F.when(F.length(w) <= PIECE + ORDER - 1, ending(w)).otherwise(F.flatten(F.transform(_stretches(w), ending)))
     return _padded(words).select("lang", "n", F.explode(grams).alias("gram")).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
@@ -309,19 +341,14 @@ class HashArrays:
 
     def describe(self, lang: str, words: list[bytes]) -> dict[str, np.ndarray]:
         """Log probability of words without their joints, that of their kinds, and number of symbols."""
-        texts, owner, symbols = [], [], np.zeros(len(words), np.int64)
-        for k, w in enumerate(words):
-            for piece in pieces(w.decode("utf-8", "replace")):
-                texts.append(f"{GAP}{piece}{GAP}")
-                owner.append(k)
-                symbols[k] += len(piece) + 1
-        owner = np.array(owner, np.int64)
+        texts = [f"{GAP}{w.decode('utf-8', 'replace')}{GAP}" for w in words]
+        symbols = np.fromiter(map(len, texts), np.int64, len(texts)) - 1
         found = self.score(lang, texts, np.full(len(texts), REACH + 1))
-        shapes = list(map(kinds, texts))
+        shapes = kinds_of(texts)
         number = {x: k for k, x in enumerate(dict.fromkeys(shapes))}
         alike = self.score(lang + OF_KINDS, list(number), np.full(len(number), REACH + 1))
         shaped = alike[np.array(list(map(number.get, shapes)), np.int64)]
-        return {"logp": np.bincount(owner, found, len(words)), "shaped": np.bincount(owner, shaped, len(words)), "symbols": symbols}
+        return {"logp": found, "shaped": shaped, "symbols": symbols}
 
     def joints(self, lang: str, ends: Ends, joints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Log probability of the first symbols of words after the words before them, and that of their kinds."""
@@ -344,9 +371,10 @@ def base_counts(text: bytes, words: list[bytes], ids: np.ndarray) -> tuple[int,
         for k in range(REPEAT_WINDOW):
             h = (h ^ w[k : k + n]) * np.uint64(0x9FB21C651E98DF25)
             h ^= h >> np.uint64(29)
-        _, inverse, counts = np.unique(h, return_inverse=True, return_counts=True)
-        twice = counts[inverse] > 1
-        if twice.any():
+        ordered = np.sort(h)
+        again = ordered[1:][ordered[1:] == ordered[:-1]]
+        if len(again):
+            twice = np.isin(h, again)
             edge = np.zeros(len(ids) + 1, np.int64)
             starts = np.flatnonzero(twice)
             np.add.at(edge, starts, 1)
@@ -408,14 +436,15 @@ def measure_by_join(docs: DataFrame, words: DataFrame, model: DataFrame, text: s
     model = model.where(~_kinds_only())
     base = written(base.withColumn("_lang", F.coalesce(F.col(lang).cast("string"), F.lit(""))), "measured")
     places = F.when(F.length("w") >= F.col("first"), F.sequence(F.col("first"), F.length("w")))
-    tries = _padded(words).select("lang", "joint", "word", "w", F.explode(places).alias("p"))
-    tries = tries.select("lang", "joint", "word", "p", "w", F.explode(F.sequence(F.lit(1), F.least(F.col("p"), F.lit(order)))).alias("k"))
-    tries = tries.select("lang", "joint", "word", "p", "k", F.expr("substring(w, p - k + 1, k)").alias("g"), F.expr("substring(w, p - k + 1, k - 1)").alias("h"))
+    tries = _padded(words).select("lang", "joint", "word", "first", F.posexplode(_stretches(F.col("w"))).alias("part", "w"))
+    tries = tries.select("lang", "joint", "word", "part", "w", F.explode(places).alias("p"))
+    tries = tries.select("lang", "joint", "word", "part", "p", "w", F.explode(F.sequence(F.lit(1), F.least(F.col("p"), F.lit(order)))).alias("k"))
+    tries = tries.select("lang", "joint", "word", "part", "p", "k", F.expr("substring(w, p - k + 1, k)").alias("g"), F.expr("substring(w, p - k + 1, k - 1)").alias("h"))
     known = model.where("not context").select("lang", F.col("gram").alias("g"), F.col("value").alias("logp"))
     weights = model.where("context").select("lang", F.col("gram").alias("h"), F.col("value").alias("bow"))
     tries = tries.join(known, ["lang", "g"], "left").join(weights, ["lang", "h"], "left")
     # the longest known n-gram counts, with the weights of all longer contexts; weights of none: the unknown symbol
-    places = tries.groupBy("lang", "joint", "word", "p").agg(F.max(F.when(F.col("logp").isNotNull(), F.struct("k", "logp"))).alias("best"), F.collect_list(F.struct("k", F.coalesce("bow", F.lit(0.0)).alias("bow"))).alias("all"))
+    places = tries.groupBy("lang", "joint", "word", "part", "p").agg(F.max(F.when(F.col("logp").isNotNull(), F.struct("k", "logp"))).alias("best"), F.collect_list(F.struct("k", F.coalesce("bow", F.lit(0.0)).alias("bow"))).alias("all"))
     value = F.coalesce(F.col("best.logp").cast("double"), F.lit(0.0)) + F.aggregate(F.filter("all", lambda x: x["k"] > F.coalesce(F.col("best.k"), F.lit(0))), F.lit(0.0), lambda s, x: s + x["bow"])
     scores = places.groupBy("lang", "joint", "word").agg(F.sum(value).alias("logp"))
 
@@ -427,8 +456,7 @@ def measure_by_join(docs: DataFrame, words: DataFrame, model: DataFrame, text: s
                 cut: Counter = Counter()
                 split = raw.split()
                 for word, n in Counter(split).items():
-                    for piece in pieces(word.decode("utf-8", "replace")):
-                        cut[False, piece] += n
+                    cut[False, word.decode("utf-8", "replace")] += n
                 ids, bounds = table.indices([split])
                 found, n = np.unique(Ends.joints(table, ids, bounds), return_counts=True)
                 cut.update({(True, x): k for x, k in zip(ends.strings(found), n.tolist(), strict=True)})

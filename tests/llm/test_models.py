@@ -198,6 +198,22 @@ def test_scores_by_join_equal_scores_by_arrays(documents, corpus):
     assert of(10**9) == of(0)
 
 
+def test_long_words_are_counted_and_scored_whole(documents):
+    """Every symbol of a word of any length is predicted, with the symbols before it."""
+    r = np.random.default_rng(8)
+    words = ["".join(r.choice(list("abé\U0001F600#"), n)) for n in (30, 31, 32, 33, 34, 35, 36, 63, 64, 65, 66, 67, 300)]
+    docs, whole, order = documents([*words, "ab"]), [], perplexity.ORDER
+    for w in [*words, "ab"]:
+        w = perplexity.GAP + w + perplexity.GAP
+        whole += [w[k + 1 - order : k + 1] for k in range(order - 1, len(w))]
+    grams = perplexity.count_grams(perplexity.count_words(docs).where("not joint"))
+    assert {x.gram: x.n for x in grams.collect()} == Counter(whole)
+    rows = {x.doc_id: x for x in perplexity.judged(docs).collect()}
+    assert [rows[k]._predicted for k in range(len(words))] == [len(w) + 1 for w in words]
+    joined = {x.doc_id: x for x in perplexity.judged(docs, broadcast_entries=0).collect()}
+    assert {k: round(x._logp, 5) for k, x in rows.items()} == {k: round(x._logp, 5) for k, x in joined.items()}
+
+
 def test_gram_hashes_tell_languages_apart():
     codes = np.array([1, 2, 3, 4], np.uint64)
     a, b = (perplexity.gram_hash(codes, np.array([3, 4]), 2, perplexity.lang_seed(x)) for x in ("en", "de"))
