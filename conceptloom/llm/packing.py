@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks, lean, ranked, raw_texts, written
-from .tokens import END_ID, encoder, tokenizer_path
+from .tokens import ENCODED_BYTES, END_ID, encoder, tokenizer_path
 
 SEQUENCE = 2048
 
@@ -78,7 +78,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = SEQUEN
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, end = encoder(path), np.array([END_ID], "<u4").tobytes()
-        for batch in chunks(batches):
+        for batch in chunks(batches, most=ENCODED_BYTES):
             rows: list[tuple] = []
             for key, ids in zip(batch.column(0).to_pylist(), coder.encode(raw_texts(batch)), strict=True):
                 ids += end

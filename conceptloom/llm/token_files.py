@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import chunks, lean, raw_texts, shared_dir
-from .tokens import END_ID, encoder, tokenizer_path
+from .tokens import ENCODED_BYTES, END_ID, encoder, tokenizer_path
 
 MAGIC, VERSION, HEAD = 0x3842534C54434F4E, 1, 7
 BLOCK = 4096
@@ -194,7 +194,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
             keys, counts, held, seq, before, total = [], [], [], seq + 1, before + total, 0
             return out
 
-        for batch in chunks(batches):
+        for batch in chunks(batches, most=ENCODED_BYTES):
             for key, ids in zip(batch.column(0).to_pylist(), coder.encode(raw_texts(batch)), strict=True):
                 keys.append(NO_ID if key is None else key)
                 counts.append(len(ids) // 4 + 1)

@@ -3,22 +3,29 @@
 The tokenizer turns white space into word breaks before anything else, so the
 ids of a text are those of its white-space-separated words in turn. A word of
 letters with plain marks at its end is split there first, which the tokenizer's
-own pattern does as well.
+own pattern does as well; so a word is two parts, of which the second may be empty.
+Letters of ASCII texts are lower-cased beforehand, as the tokenizer would.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from itertools import chain
 
 import numpy as np
 
 from .common import Words
 
 END_ID = 1
-CACHED_WORDS, CACHED_PARTS = 400_000, 300_000
+CACHED_WORDS, CACHED_PARTS = 450_000, 320_000
+#: Bytes of text that are encoded together.
+ENCODED_BYTES = 1 << 20
+#: Parts that are encoded as one text.
+_JOINED = 256
 #: ASCII and Latin-1 letters, which lower-case alike everywhere, then plain marks.
-_PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,!?;:#*$%&|]*)")
+_MARKS = b".,!?;:#*$%&|"
+_LETTERS = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 _ENCODERS: dict[str, "TextEncoder"] = {}
 
 
@@ -35,51 +42,101 @@ def encoder(path: str) -> "TextEncoder":
     return _ENCODERS[path]
 
 
+class _Parts(dict):
+    """Parts of words to running numbers; new ones are gathered, those of letters or marks alone and others."""
+
+    def __init__(self):
+        super().__init__({b"": 0})
+        self.plain: list[bytes] = []
+        self.other: list[bytes] = []
+
+    def number(self, part: bytes, plain: bool) -> int:
+        at = self.get(part)
+        if at is None:
+            at = self[part] = len(self)
+            (self.plain if plain else self.other).append(part)
+        return at
+
+
 class TextEncoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words = Words(self._learn, CACHED_WORDS)
-        self.parts: dict[bytes, bytes] = {}
-        self.ids = np.zeros(1 << 16, "<u4")
-        self.used = 0
+        vocabulary = self.tokenizer.get_vocab()
+        #: ids that end a run of letters or marks, if the tokenizer marks ends
+        self.ending = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ending[[v for k, v in vocabulary.items() if k.endswith("</w>")]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self.words, self.parts = Words(self._learn, 1 << 62), _Parts()
+        self.first, self.count = np.zeros(1 << 10, np.int64), np.zeros(1 << 10, np.int64)
+        self.ids, self.used = np.zeros(1 << 16, "<u4"), 0
 
     def _learn(self, words: list[bytes]) -> dict[str, np.ndarray]:
-        """Where the ids of new words are in self.ids."""
-        if not self.words.filled:
-            self.used = 0
-        if len(self.parts) > CACHED_PARTS:
-            self.parts.clear()
-        split, need = [], set()
+        """The two parts of new words; ids of new parts go into self.ids."""
+        head, tail = [], []
+        number, at_letters = self.parts.number, _LETTERS.fullmatch
         for w in words:
-            m = _PLAIN.fullmatch(w)
-            split.append([x for x in (m[1].decode().lower().encode(), m[2]) if x] if m else [w])
-            need.update(split[-1])
-        need = list(need - self.parts.keys())
-        if need:
-            got = self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in need], add_special_tokens=False)
-            self.parts.update((x, np.array(e.ids, dtype="<u4").tobytes()) for x, e in zip(need, got, strict=True))
-        coded = [b"".join([self.parts[x] for x in parts]) for parts in split]
-        count = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
-        first = self.used + np.cumsum(count) - count
-        new = np.frombuffer(b"".join(coded), "<u4")
-        if self.used + len(new) > len(self.ids):
-            grown = np.zeros(2 * (self.used + len(new)), "<u4")
+            x = w.rstrip(_MARKS)
+            if x.isalpha():
+                head.append(number(x.lower(), True))
+                tail.append(number(w[len(x) :], True))
+            elif not x:
+                head.append(number(w, True))
+                tail.append(0)
+            elif at_letters(x):
+                head.append(number(x.decode().lower().encode(), False))
+                tail.append(number(w[len(x) :], True))
+            else:
+                head.append(number(w, False))
+                tail.append(0)
+        self._encode_parts()
+        return {"parts": np.stack([np.array(head, np.int32), np.array(tail, np.int32)], axis=1)}
+
+    def _encode_parts(self) -> None:
+        plain, other = self.parts.plain, self.parts.other
+        self.parts.plain, self.parts.other = [], []
+        if plain:
+            texts = [b" ".join(plain[k : k + _JOINED]).decode() for k in range(0, len(plain), _JOINED)]
+            got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            ids = np.fromiter(chain.from_iterable(got), "<u4", sum(map(len, got)))
+            ends = np.flatnonzero(self.ending[ids]) + 1
+            if len(ends) == len(plain) and ends[-1] == len(ids):
+                self._keep(plain, ids, np.diff(ends, prepend=0))
+            else:  # ends are not marked as expected: one by one
+                other = [*plain, *other]
+        if other:
+            got = [e.ids for e in self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in other], add_special_tokens=False)]
+            count = np.fromiter(map(len, got), np.int64, len(got))
+            self._keep(other, np.fromiter(chain.from_iterable(got), "<u4", int(count.sum())), count)
+
+    def _keep(self, parts: list[bytes], ids: np.ndarray, count: np.ndarray) -> None:
+        at = np.fromiter(map(self.parts.__getitem__, parts), np.int64, len(parts))
+        if len(self.parts) > len(self.first):
+            more = np.zeros(2 * len(self.parts) - len(self.first), np.int64)
+            self.first, self.count = np.concatenate([self.first, more]), np.concatenate([self.count, more])
+        self.first[at], self.count[at] = self.used + np.cumsum(count) - count, count
+        if self.used + len(ids) > len(self.ids):
+            grown = np.zeros(2 * (self.used + len(ids)), "<u4")
             grown[: self.used] = self.ids[: self.used]
             self.ids = grown
-        self.ids[self.used : self.used + len(new)] = new
-        self.used += len(new)
-        return {"first": first, "count": count}
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text, without an end id, as bytes of little-endian uint32."""
-        at, ends = self.words.indices([x.split() for x in texts])
+        if len(self.words) > CACHED_WORDS or len(self.parts) > CACHED_PARTS:
+            self._forget()
+        # names of special tokens, which begin with <, are matched before letters are lower-cased
+        at, ends = self.words.indices([(x.lower() if x.isascii() and b"<" not in x else x).split() for x in texts])
         if not len(at):
             return [b""] * len(texts)
-        first, count = self.words.columns["first"][at], self.words.columns["count"][at]
+        parts = self.words.columns["parts"][at].ravel()
+        first, count = self.first[parts], self.count[parts]
         stop = np.concatenate([np.zeros(1, np.int64), np.cumsum(count)])
         raw = memoryview(self.ids[np.repeat(first - stop[:-1], count) + np.arange(stop[-1])].tobytes())
-        cuts = (4 * stop[ends]).tolist()
+        cuts = (4 * stop[2 * ends]).tolist()
         return [bytes(raw[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]

@@ -95,3 +95,12 @@ def test_histogram_packing_places_every_piece_once(counts):
 def test_hot_length_is_packed_densely():
     slots = packing.pack_histogram({100: 1_000_000, 3: 7}, 2048)
     assert slots.sequences == 50_000
+
+
+def test_words_that_differ_by_case_or_marks_are_encoded_once():
+    coder = tokens.TextEncoder(tokens.tokenizer_path())
+    odd = ["The the THE the. The...", "don't 're 'S A's <|endoftext|> <|ENDOFTEXT|> x<|endoftext|>y", "\u0130I h\u0331 H\u0331 \u212a \xc9...\xc0\xc9,", "\x1c a\x1cb \x85 ~ ^^ a_b 12.5", "", " .,!? "]
+    assert [np.frombuffer(x, "<u4").tolist() for x in coder.encode([x.encode() for x in odd])] == [coder.tokenizer.encode(x, add_special_tokens=False).ids for x in odd]
+    coder = tokens.TextEncoder(tokens.tokenizer_path())
+    coder.encode([odd[0].encode()])
+    assert len(coder.words) == 3 and set(coder.parts) == {b"", b"the", b".", b"..."}
