@@ -11,8 +11,8 @@ the coincidences that small segments bring. Segments of at most one shingle say
 little; each band has some segments to spare, so that sets with no more of
 these than that need not index them.
 
-Sets that share a signature, directly or by others, form a family; every linked
-pair lies within a family. Families are cut into classes of size so wide that sets
+Sets that share a signature form a family; every linked pair lies within one. A set is in
+several families, but families are not chained together, which would join much of a large table. Families are cut into classes of size so wide that sets
 that link lie in one class or in neighbouring ones, and classes into blocks of bounded
 size. First sketches of the sets in the blocks of a class and of the next are compared, which
 bound from above what two sets have in common, and families are narrowed to sets that may link;
@@ -24,7 +24,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,8 @@ BAND = 1.4
 STRICT_PERCENT, STRICT_RISK, LOOSE_RISK = 88, 60.0, 2.0
 #: A family is verified in blocks of so many documents or shingles at most (a document is never divided).
 BLOCK_DOCS, BLOCK_SHINGLES = 1024, 1 << 20
+#: The same for sketches; sketches that meet all others at once, and cells whose pairs go out together.
+SKETCHED_DOCS, SKETCHED_SHINGLES, AT_ONCE, PAIRED = 4096, 1 << 24, 256, 1000
 #: Bytes of text whose signatures are held at once, and words whose hashes are kept.
 SIGNED_BYTES, KEPT_WORDS = 1 << 20, 150_000
 
@@ -165,56 +168,54 @@ def _shingle_sets(table: Words, texts: list[bytes], words: int) -> Iterator[np.n
         yield shingle_set(h[a:b], words)
 
 
-def star_edges(rows: DataFrame, known: IdFilter, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
-    """a, b: of the sets (by the first half of their digests) that share a signature, each with the smallest.
+def shared_groups(rows: DataFrame, known: IdFilter, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
+    """family, a: the sets (by the first half of their digests) that share a signature; groups of the same sets are one family.
 
-    rows: id, text; those count whose id is known.
-
-    Sets that meet in one chunk of text are joined there, and the smallest stands for
-    them, so a signature that very many share is a row a chunk; the rest are dealt
-    by signature, once.
+    rows: id, text; those count whose id is known. Signatures are dealt once, and a group that spans batches is held as two numbers a set.
     """
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, scheme = _word_table(), Scheme(percent)
         for batch in chunks(batches, most=SIGNED_BYTES):
-            sets = [x for x in _shingle_sets(table, raw_texts(batch), words) if len(x)]
+            sets = {digest(x)[0]: x for x in _shingle_sets(table, raw_texts(batch), words) if len(x)}
             if not sets:
                 continue
-            node = np.array([digest(x)[0] for x in sets], np.int64)
-            found = [scheme.signatures(x) for x in sets]
-            s, owner = np.concatenate(found), np.repeat(node, [len(x) for x in found])
-            order = np.lexsort((owner, s))
-            s, owner = s[order], owner[order]
-            new = np.ones(len(s), bool)
-            new[1:] = s[1:] != s[:-1]
-            low = owner[new][np.cumsum(new) - 1] if len(s) else owner
-            pairs = np.unique(np.stack([owner[owner != low], low[owner != low]]), axis=1)
-            n = int(new.sum())
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([s[new].view(np.int64), pairs[0]])), pa.array(np.concatenate([owner[new], pairs[0]])), pa.array(np.concatenate([np.zeros(n, np.int64), pairs[1]]), mask=np.arange(n + pairs.shape[1]) < n)], names=["s", "a", "b"])
-
-    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, least = None, 0
+            found = [scheme.signatures(x) for x in sets.values()]
+            node = np.repeat(np.fromiter(sets, np.int64, len(sets)), [len(x) for x in found])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(node)], names=["s", "a"])
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []  # of the signature that may go on
         for batch in batches:
-            edge = np.asarray(batch.column(2).is_valid())
-            s, a = batch.column(0).to_numpy()[~edge], batch.column(1).to_numpy()[~edge]
-            known = batch.filter(pa.array(edge)).select(["a", "b"])
-            if known.num_rows:
-                yield known
+            s, a = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             if not len(s):
                 continue
-            new = np.ones(len(s), bool)
-            new[1:] = s[1:] != s[:-1]
-            first = a[new]
-            if last == s[0]:
-                first[0] = least
-            low = first[np.cumsum(new) - 1]
-            last, least = s[-1], low[-1]
-            pairs = np.unique(np.stack([a[a != low], low[a != low]]), axis=1)
-            if pairs.shape[1]:
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
-
-    return known.keep(rows, "id", then=signed, schema="s long, a long, b long").repartition("s").sortWithinPartitions("s", "a").mapInArrow(lean(joined), "a long, b long")
+            if s[0] == s[-1] and (not held or held[0][0][0] == s[0]):
+                held.append((s, a))
+                continue
+            upto = int(np.searchsorted(s, s[-1]))
+            done = [*held, (s[:upto], a[:upto])]
+            held = [(s[upto:], a[upto:])]
+            yield _families(*map(np.concatenate, zip(*done, strict=True)))
+        if held:
+            yield _families(*map(np.concatenate, zip(*held, strict=True)))
+
+    dealt = known.keep(rows, "id", then=signed, schema="s long, a long").repartition("s").sortWithinPartitions("s", "a")
+    return dealt.mapInArrow(lean(gathered), "family long, a long").distinct()
+
+
+def _families(s: np.ndarray, a: np.ndarray) -> pa.RecordBatch:
+    """family, a: of sorted signatures the sets of each that has two or more; a family's name is made of its sets alone."""
+    new = np.append(True, (s[1:] != s[:-1]) | (a[1:] != a[:-1]))[: len(s)]
+    s, a = s[new], a[new]
+    starts = np.flatnonzero(np.append(True, s[1:] != s[:-1])[: len(s)])
+    size = np.diff(np.append(starts, len(s)))
+    name = mix(np.add.reduceat(mix(a.view(np.uint64)), starts) + size.astype(np.uint64)) if len(s) else np.zeros(0, np.uint64)
+    at = np.unique(name, return_index=True)[1]
+    at = at[size[at] > 1]
+    size = size[at]
+    rows = np.repeat(starts[at] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+    return pa.RecordBatch.from_arrays([pa.array(np.repeat(name[at].view(np.int64), size)), pa.array(a[rows])], names=["family", "a"])
 
 
 def common_counts(sets: list[np.ndarray], width: int = 4096) -> np.ndarray:
@@ -245,13 +246,13 @@ def linked(sets: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
     return out
 
 
-def placed_in_cells(members: DataFrame, percent: int) -> tuple[DataFrame, Column]:
+def placed_in_cells(members: DataFrame, percent: int, block_docs: int | None = None, block_shingles: int | None = None) -> tuple[DataFrame, Column]:
     """members with their family's class of size and block, and the cells that they go to: pairs of blocks of one class, or of it and the next."""
     # sizes of sets that link have a ratio of at most 100 / percent; a little more leaves room for rounding
     width = 1.0001 * math.log(100 / percent)
     members = members.withColumn("class", F.floor(F.log("n") / width).cast("int"))
     sizes = members.groupBy("family", "class").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles"))
-    blocks = F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    blocks = F.greatest(F.ceil(F.col("docs") / (block_docs or BLOCK_DOCS)), F.ceil(F.col("shingles") / (block_shingles or BLOCK_SHINGLES))).cast("int")
     sizes = written(sizes.select("family", "class", blocks.alias("blocks")), "classes")
     beside = lambda by, name: sizes.select("family", (F.col("class") + by).alias("class"), F.col("blocks").alias(name))
     sizes = sizes.join(beside(-1, "above"), ["family", "class"], "left").join(beside(1, "below"), ["family", "class"], "left")
@@ -300,27 +301,86 @@ def sketch(shingles: np.ndarray) -> bytes:
     return count.astype(np.uint8).tobytes() if count.max() < 256 else b""
 
 
-def most_common(sketches: list[bytes], n: np.ndarray) -> np.ndarray:
-    """For all pairs a number of common shingles that they can't exceed: no bin has more in common than the smaller of its numbers."""
-    out = np.minimum(n[:, None], n[None, :]).astype(np.float32)
-    told = [k for k, x in enumerate(sketches) if x]
-    if not told:
+def most_common(sketches: list[bytes], n: np.ndarray, own: np.ndarray | slice = slice(None)) -> np.ndarray:
+    """For pairs of those of `own` with all, a number of common shingles that they can't exceed: no bin has more in common than the smaller of its numbers."""
+    out = np.minimum(n[own, None], n[None, :]).astype(np.float32)
+    told = np.array([k for k, x in enumerate(sketches) if x], np.int64)
+    if not len(told):
         return out
     bins = min(len(sketches[k]) for k in told)
     counts = np.array([np.frombuffer(sketches[k], np.uint8).reshape(-1, bins).sum(axis=0, dtype=np.int64) for k in told])
-    both = np.zeros((len(told), len(told)), np.float32)
-    for t in range(1, int(counts.max()) + 1):
-        m = (counts >= t).astype(np.float32)
-        both += m @ m.T
-    out[np.ix_(told, told)] = both
+    place = np.full(len(n), -1)
+    place[told] = np.arange(len(told))
+    rows = np.flatnonzero(place[own] >= 0)
+    few = counts[place[own][rows]]
+    both = np.zeros((len(rows), len(told)), np.float32)
+    for t in range(1, int(few.max(initial=0)) + 1):
+        both += (few >= t).astype(np.float32) @ (counts >= t).astype(np.float32).T
+    out[np.ix_(rows, told)] = both
     return out
 
 
+def possible_groups(sketches: list[bytes], n: np.ndarray, side: np.ndarray, percent: int, most: int = AT_ONCE) -> np.ndarray:
+    """Of each set the smallest place that links lead to that sketches allow, between sides or, if there is but one, between all.
+
+    Pairs that others join already are not compared: `most` sets at a time meet all that are left, those of the smallest groups
+    first, until what is left is one group. So many near copies take few comparisons.
+    """
+    label, left = np.arange(len(n)), np.arange(len(n))
+    split = bool((side != side[0]).any())
+    while len(left) > 1:
+        size = np.bincount(label[left], minlength=len(n))[label[left]]
+        if size[0] == len(left):
+            break
+        chosen = np.argsort(size, kind="stable")
+        chosen = chosen[:: max(1, len(chosen) // most)][:most] if size.max() == 1 else chosen[:most]
+        both = most_common([sketches[k] for k in left], n[left], chosen)
+        hit = 100 * both >= percent * (n[left][chosen][:, None] + n[left][None, :] - both)
+        if split:
+            hit &= side[left][chosen][:, None] != side[left][None, :]
+        i, j = np.nonzero(hit)
+        i, j = left[chosen[i]], left[j]
+        while True:
+            low, now = np.minimum(label[i], label[j]), label.copy()
+            np.minimum.at(now, label[i], low)
+            np.minimum.at(now, label[j], low)
+            while (now[now] != now).any():
+                now = now[now]
+            now = now[label]
+            if (now == label).all():
+                break
+            label = now
+        left = np.delete(left, chosen)
+    return label
+
+
+def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]]:
+    """node, n, sketches and sides of each cell, nodes once each; rows are sorted by cell and node."""
+    held = None
+    for batch in chain(batches, [None]):
+        parts = [x for x in (held, batch) if x is not None and x.num_rows]
+        if not parts:
+            continue
+        rows = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+        key = [rows.column(rows.schema.get_field_index(c)).to_numpy() for c in _CELL]
+        new = np.append(True, reduce(np.logical_or, [c[1:] != c[:-1] for c in key]))[: rows.num_rows]
+        cuts = np.append(np.flatnonzero(new), rows.num_rows)
+        if batch is not None:  # the last cell may go on
+            held, cuts = rows.slice(cuts[-2]), cuts[:-1]
+        node, n, block, class_ = (rows.column(rows.schema.get_field_index(c)).to_numpy() for c in ("node", "n", "block", "class"))
+        sketches = rows.column(rows.schema.get_field_index("sketch")).to_pylist()
+        upper, i, j = key[2], key[3], key[4]
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            at = a + np.flatnonzero(np.append(True, node[a + 1 : b] != node[a : b - 1]))  # rows with one set are one node
+            side = class_[at] if upper[a] else block[at] if i[a] != j[a] else np.zeros(len(at), np.int64)
+            yield node[at], n[at], [sketches[k] for k in at.tolist()], side
+
+
 def narrowed(members: DataFrame, rows: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
-    """members with families of only those that may link by their sketches, directly or by others; no pair that links is parted.
+    """members, once each, with families of only those that may link by their sketches, directly or by others; no pair that links is parted.
 
-    Sketches, some thirty times smaller than texts, are what goes to all cells, so a family that a shared passage
-    chains together falls apart before any text is sent more than once.
+    members: a row a set and family that it is in. Sketches, some thirty times smaller than texts, are what goes to all cells, so
+    sets that merely share a passage are parted before any text is sent more than once.
     """
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -332,20 +392,24 @@ def narrowed(members: DataFrame, rows: DataFrame, percent: int = PERCENT, words:
                 yield pa.RecordBatch.from_arrays([pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array([sketch(x) for x in sets], pa.binary())], names=["k1", "k2", "sketch"])
 
     def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group, wanted in by_cell(batches):
-            n, node = group["n"].to_numpy(), group["node"].to_numpy()
-            both = most_common(group["sketch"].to_pylist(), n)
-            label = spanning(wanted & (100 * both >= percent * (n[:, None] + n[None, :] - both)))
+        pairs: list[np.ndarray] = []
+        for node, n, sketches, side in cells(batches):
+            label = possible_groups(sketches, n, side, percent)
             some = np.flatnonzero(label != np.arange(len(label)))
             if len(some):
-                yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(node[label[some]])], names=["a", "b"])
-
-    placed, cells = placed_in_cells(members, percent)
-    made = IdFilter(members, "id").keep(rows, "id", then=sketched, schema="k1 long, k2 long, sketch binary")
-    made = made.join(placed.drop("id", "copies"), ["k1", "k2"]).select("family", "class", "node", "n", "block", "sketch", F.explode(cells).alias("p"))
+                pairs.append(np.stack([node[some], node[label[some]]]))
+            if len(pairs) >= PAIRED:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.unique(np.concatenate(pairs, axis=1), axis=1)], names=["a", "b"])
+                pairs = []
+        if pairs:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.unique(np.concatenate(pairs, axis=1), axis=1)], names=["a", "b"])
+
+    placed, at = placed_in_cells(members, percent, SKETCHED_DOCS, SKETCHED_SHINGLES)
+    made = IdFilter(members.select("id").distinct(), "id").keep(rows, "id", then=sketched, schema="k1 long, k2 long, sketch binary")
+    made = made.join(placed.drop("id", "copies"), ["k1", "k2"]).select("family", "class", "node", "n", "block", "sketch", F.explode(at).alias("p"))
     made = made.select("family", "p.*", "class", "node", "n", "block", "sketch").repartition(*_CELL).sortWithinPartitions(*_CELL, "node")
     families = components(made.mapInArrow(lean(possible), "a long, b long"), "narrowed")
-    return members.drop("family").join(families.withColumnRenamed("root", "family"), "node")
+    return members.drop("family").distinct().join(families.withColumnRenamed("root", "family"), "node")
 
 
 def verified(members: DataFrame, rows: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
@@ -384,8 +448,8 @@ def components_of(rows: DataFrame, percent: int = PERCENT, words: int = WORDS) -
     sets = written(sets.withColumn("node", F.monotonically_increasing_id()), "nodes")
     # some copies pass as well; they lead to their own family
     narrow = keyed.select("id", "text")
-    families = components(star_edges(narrow, IdFilter(sets, "id"), percent, words), "families")
-    members = sets.drop("least").join(families.select(F.col("node").alias("k1"), F.col("root").alias("family")), "k1")
+    families = shared_groups(narrow, IdFilter(sets, "id"), percent, words)
+    members = sets.drop("least").join(families.withColumnRenamed("a", "k1"), "k1")
     members = written(narrowed(written(members, "members"), narrow, percent, words), "narrowed")
     found = written(verified(members, narrow, percent, words), "links")
     roots = components(found.select(F.col("node").alias("a"), F.col("to").alias("b")), "components")

@@ -88,6 +88,32 @@ def test_blocks_of_a_family(documents, monkeypatch):
     assert {(r.doc_id, r.component_id, r.n_links) for r in jaccard_join.jaccard_components(documents(texts)).collect()} == whole
 
 
+def test_groups_are_not_chained(frame):
+    """Each text shares half its words with the next: none links, and no group may grow with their number."""
+    r = random.Random(11)
+    parts = [[f"w{r.randrange(10**9)}" for _ in range(60)] for _ in range(61)]
+    texts = [" ".join(parts[k] + parts[k + 1]) for k in range(60)]
+    rows = frame([(k, t) for k, t in enumerate(texts)], "id long, text string")
+    known = jaccard_join.IdFilter(rows, "id")
+    groups = Counter(x.family for x in jaccard_join.shared_groups(rows, known, 80, 5).collect())
+    assert groups and max(groups.values()) <= 3
+
+
+@pytest.mark.parametrize("sides", [1, 2])
+def test_possible_groups(sides):
+    r = np.random.default_rng(3)
+    bases = [r.integers(0, 1 << 63, 200).astype(np.uint64) for _ in range(9)]
+    sets = [np.unique(np.concatenate([bases[int(r.integers(0, 9)) // (1 + k % 3)][: int(r.integers(150, 201))], r.integers(0, 1 << 63, int(r.integers(0, 40))).astype(np.uint64)])) for k in range(90)]
+    n, side = np.array([len(x) for x in sets]), r.integers(0, sides, 90)
+    told = [jaccard_join.sketch(x) if k % 10 else b"" for k, x in enumerate(sets)]
+    both = jaccard_join.most_common(told, n)
+    hit = 100 * both >= 80 * (n[:, None] + n[None, :] - both)
+    hit &= side[:, None] != side[None, :] if sides > 1 else ~np.eye(90, dtype=bool)
+    want = jaccard_join.spanning(hit)
+    for most in (1, 7, 90, 256):
+        assert np.array_equal(jaccard_join.possible_groups(told, n, side, 80, most), want)
+
+
 def test_keep_one(frame):
     schema = "doc_id long, text string, _a string, keep string, n int, `k1` long, id string"
     rows = [
