@@ -43,18 +43,15 @@ def encoder(path: str) -> "TextEncoder":
 
 
 class _Parts(dict):
-    """Parts of words to running numbers; new ones are gathered, those of letters or marks alone and others."""
+    """Parts of words to running numbers; new ones are gathered."""
 
     def __init__(self):
         super().__init__({b"": 0})
-        self.plain: list[bytes] = []
-        self.other: list[bytes] = []
-
-    def number(self, part: bytes, plain: bool) -> int:
-        at = self.get(part)
-        if at is None:
-            at = self[part] = len(self)
-            (self.plain if plain else self.other).append(part)
+        self.new: list[bytes] = []
+
+    def __missing__(self, part: bytes) -> int:
+        at = self[part] = len(self)
+        self.new.append(part)
         return at
 
 
@@ -77,44 +74,47 @@ class TextEncoder:
 
     def _learn(self, words: list[bytes]) -> dict[str, np.ndarray]:
         """The two parts of new words; ids of new parts go into self.ids."""
-        head, tail = [], []
-        number, at_letters = self.parts.number, _LETTERS.fullmatch
-        for w in words:
-            x = w.rstrip(_MARKS)
+        at_letters, n = _LETTERS.fullmatch, len(words)
+        head = [w.rstrip(_MARKS) for w in words]
+        for k, (w, x) in enumerate(zip(words, head, strict=True)):
             if x.isalpha():
-                head.append(number(x.lower(), True))
-                tail.append(number(w[len(x) :], True))
-            elif not x:
-                head.append(number(w, True))
-                tail.append(0)
-            elif at_letters(x):
-                head.append(number(x.decode().lower().encode(), False))
-                tail.append(number(w[len(x) :], True))
+                head[k] = x.lower()
+            elif x and at_letters(x):
+                head[k] = x.decode().lower().encode()
             else:
-                head.append(number(w, False))
-                tail.append(0)
+                head[k] = w
+        size = np.fromiter(map(len, words), np.int64, n) - np.fromiter(map(len, head), np.int64, n)
+        parts, number = np.zeros((n, 2), np.int32), self.parts.__getitem__
+        parts[:, 0] = np.fromiter(map(number, head), np.int32, n)
+        marked = np.flatnonzero(size)
+        parts[marked, 1] = np.fromiter((number(words[k][-c:]) for k, c in zip(marked.tolist(), size[marked].tolist(), strict=True)), np.int32, len(marked))
         self._encode_parts()
-        return {"parts": np.stack([np.array(head, np.int32), np.array(tail, np.int32)], axis=1)}
+        return {"parts": parts}
 
     def _encode_parts(self) -> None:
-        plain, other = self.parts.plain, self.parts.other
-        self.parts.plain, self.parts.other = [], []
-        if plain:
-            texts = [b" ".join(plain[k : k + _JOINED]).decode() for k in range(0, len(plain), _JOINED)]
+        new, self.parts.new = self.parts.new, []
+        # letters or marks alone, letters that are not ASCII, and others, which go one by one
+        kinds: tuple[list[int], list[int], list[int]] = ([], [], [])
+        for k, x in enumerate(new):
+            kinds[0 if x.isalpha() or not x.rstrip(_MARKS) else 1 if _LETTERS.fullmatch(x) else 2].append(k)
+        base, alone = len(self.parts) - len(new), kinds[2]
+        for at in kinds[:2]:
+            if not at:
+                continue
+            texts = [b" ".join([new[k] for k in at[a : a + _JOINED]]).decode() for a in range(0, len(at), _JOINED)]
             got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
             ids = np.fromiter(chain.from_iterable(got), "<u4", sum(map(len, got)))
             ends = np.flatnonzero(self.ending[ids]) + 1
-            if len(ends) == len(plain) and ends[-1] == len(ids):
-                self._keep(plain, ids, np.diff(ends, prepend=0))
+            if len(ends) == len(at) and ends[-1] == len(ids):
+                self._keep(base + np.array(at), ids, np.diff(ends, prepend=0))
             else:  # ends are not marked as expected: one by one
-                other = [*plain, *other]
-        if other:
-            got = [e.ids for e in self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in other], add_special_tokens=False)]
+                alone = [*alone, *at]
+        if alone:
+            got = [e.ids for e in self.tokenizer.encode_batch_fast([new[k].decode("utf-8", "replace") for k in alone], add_special_tokens=False)]
             count = np.fromiter(map(len, got), np.int64, len(got))
-            self._keep(other, np.fromiter(chain.from_iterable(got), "<u4", int(count.sum())), count)
+            self._keep(base + np.array(alone), np.fromiter(chain.from_iterable(got), "<u4", int(count.sum())), count)
 
-    def _keep(self, parts: list[bytes], ids: np.ndarray, count: np.ndarray) -> None:
-        at = np.fromiter(map(self.parts.__getitem__, parts), np.int64, len(parts))
+    def _keep(self, at: np.ndarray, ids: np.ndarray, count: np.ndarray) -> None:
         if len(self.parts) > len(self.first):
             more = np.zeros(2 * len(self.parts) - len(self.first), np.int64)
             self.first, self.count = np.concatenate([self.first, more]), np.concatenate([self.count, more])

@@ -104,3 +104,25 @@ def test_words_that_differ_by_case_or_marks_are_encoded_once():
     coder = tokens.TextEncoder(tokens.tokenizer_path())
     coder.encode([odd[0].encode()])
     assert len(coder.words) == 3 and set(coder.parts) == {b"", b"the", b".", b"..."}
+
+
+def test_accented_words_are_encoded_together():
+    """Each by itself takes the tokenizer twice as long."""
+    from conceptloom.llm import tokens
+
+    words = [f"é{a}{b}ñà{'.' * (k % 2)}" for k, (a, b) in enumerate((a, b) for a in "abcdefghij" for b in "klmnopqrst")]
+    coder, asked = tokens.TextEncoder(tokens.tokenizer_path()), []
+
+    class Told:
+        def __init__(self, tokenizer):
+            self.tokenizer = tokenizer
+
+        def encode_batch_fast(self, texts, **options):
+            asked.extend(texts)
+            return self.tokenizer.encode_batch_fast(texts, **options)
+
+    whole = coder.tokenizer
+    coder.tokenizer = Told(whole)
+    text = " ".join([*words, "plain", "Straße!", "<unk>", "a1É", "日本"])
+    assert np.frombuffer(coder.encode([text.encode()])[0], "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+    assert len(asked) < 10
