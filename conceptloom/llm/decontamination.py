@@ -56,6 +56,8 @@ def _bin(h: np.ndarray) -> np.ndarray:
 
 #: Parts of the product that tasks send to be added up, and texts multiplied at once.
 _PARTS, _AT_ONCE = 64, 256
+#: Bytes of text counted together.
+COUNTED_BYTES = 1 << 20
 
 
 def _random_terms() -> np.ndarray:
@@ -82,7 +84,7 @@ def statistics(docs: DataFrame, items: DataFrame, text: str = "text") -> Statist
         table, total = Words(lambda new: (x := _describe(new)) | {"bin": _bin(x["h"])}), np.zeros(TERMS + 1 + RATE_BINS, np.int64)
         x = _random_terms()
         product = np.zeros_like(x)
-        for batch in chunks(batches):
+        for batch in chunks(batches, most=COUNTED_BYTES):
             ids, ends = table.indices([t.lower().split() for t in raw_texts(batch)])
             own = np.asarray(batch.column(1))
             total[TERMS] += own.sum()
