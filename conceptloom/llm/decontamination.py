@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from .common import chunks, lean, raw_texts, sums, word_hashes, Words, written
+from .common import CHUNK_BYTES, chunks, lean, raw_texts, sums, word_hashes, Words, written
 
 TERMS, RANK, EXTRA = 8192, 64, 8
 ITEM_BLOCK = 4096
@@ -56,8 +56,8 @@ def _bin(h: np.ndarray) -> np.ndarray:
 
 #: Parts of the product that tasks send to be added up, and texts multiplied at once.
 _PARTS, _AT_ONCE = 64, 256
-#: Bytes of text counted together.
-COUNTED_BYTES = 1 << 20
+#: Bytes of text counted together where executors are already full of what came before; it takes longer.
+FEW_BYTES = 1 << 20
 
 
 def _random_terms() -> np.ndarray:
@@ -74,7 +74,7 @@ class Statistics:
     product: np.ndarray
 
 
-def statistics(docs: DataFrame, items: DataFrame, text: str = "text") -> Statistics:
+def statistics(docs: DataFrame, items: DataFrame, text: str = "text", most: int = CHUNK_BYTES) -> Statistics:
     """Counts over all documents, and the product C'C x over all documents and items, in one pass.
 
     A row of C has a text's distinct terms, divided by the root of their number; x is random.
@@ -84,7 +84,7 @@ def statistics(docs: DataFrame, items: DataFrame, text: str = "text") -> Statist
         table, total = Words(lambda new: (x := _describe(new)) | {"bin": _bin(x["h"])}), np.zeros(TERMS + 1 + RATE_BINS, np.int64)
         x = _random_terms()
         product = np.zeros_like(x)
-        for batch in chunks(batches, most=COUNTED_BYTES):
+        for batch in chunks(batches, most=most):
             ids, ends = table.indices([t.lower().split() for t in raw_texts(batch)])
             own = np.asarray(batch.column(1))
             total[TERMS] += own.sum()
@@ -327,14 +327,14 @@ def _nearest(queries: Queries, item: int, terms: np.ndarray) -> float:
     return float((x @ queries.vectors[item] / np.maximum(np.linalg.norm(x, axis=1), 1e-12)).max())
 
 
-def query_blocks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Iterator[Queries]:
+def query_blocks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", most: int = CHUNK_BYTES) -> Iterator[Queries]:
     """The benchmark's items in blocks, each ready to be sent to all tasks. Items that are the same are one; an item_id may be of any type."""
     answer = F.col("answer").cast("string") if "answer" in benchmark.columns else F.lit(None).cast("string")
     items = benchmark.where(F.col("text").isNotNull()).select("item_id", "text", answer.alias("answer")).distinct()
     n = items.count()
     blocks = max(1, -(-n // ITEM_BLOCK))
     items = items.withColumn("b", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
-    known = statistics(docs, items, text)
+    known = statistics(docs, items, text, most)
     idf = np.log((1 + known.documents) / (1 + known.df)) + 0.1
     weights = latent(known.product, idf) * idf[:, None].astype(np.float32)
     for b in range(blocks):
@@ -375,7 +375,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     stands; an empty table or benchmark drops nothing. No column name is taken.
     """
     out = docs
-    for queries in query_blocks(docs, benchmark):
+    for queries in query_blocks(docs, benchmark, most=FEW_BYTES):
         held = docs.sparkSession.sparkContext.broadcast(queries)
 
         def clean(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
