@@ -88,7 +88,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = SEQUEN
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), types, strict=False)], names=[n for n, _ in types])
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(lean(cut), schema)
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(lean(cut, keeps=True), schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = SEQUENCE, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:

@@ -205,7 +205,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
         if keys:
             yield flush()
 
-    rows.mapInArrow(lean(encoded), "part int, seq int, until long, payload binary").write.option("compression", "none").parquet(path)
+    rows.mapInArrow(lean(encoded, keeps=True), "part int, seq int, until long, payload binary").write.option("compression", "none").parquet(path)
 
 
 def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:

@@ -15,7 +15,7 @@ from itertools import chain
 
 import numpy as np
 
-from .common import Words
+from .common import kept, Words
 
 END_ID = 1
 CACHED_WORDS, CACHED_PARTS = 450_000, 320_000
@@ -26,7 +26,6 @@ _JOINED = 256
 #: ASCII and Latin-1 letters, which lower-case alike everywhere, then plain marks.
 _MARKS = b".,!?;:#*$%&|"
 _LETTERS = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
-_ENCODERS: dict[str, "TextEncoder"] = {}
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -36,10 +35,8 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 def encoder(path: str) -> "TextEncoder":
-    """The worker's encoder, kept from task to task with its words."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = TextEncoder(path)
-    return _ENCODERS[path]
+    """The worker's encoder, kept with its words from one encoding task to the next."""
+    return kept(f"encoder {path}", lambda: TextEncoder(path))
 
 
 class _Parts(dict):

@@ -126,3 +126,29 @@ def test_accented_words_are_encoded_together():
     text = " ".join([*words, "plain", "Straße!", "<unk>", "a1É", "日本"])
     assert np.frombuffer(coder.encode([text.encode()])[0], "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
     assert len(asked) < 10
+
+
+def test_a_worker_gives_its_encoder_back_before_it_does_anything_else(spark):
+    """Kept on, its words fill an executor that goes on to near duplicates."""
+    import gc
+
+    import pyarrow as pa
+
+    from conceptloom.llm.common import lean
+    from conceptloom.llm.tokens import encoder, TextEncoder, tokenizer_path
+
+    path = tokenizer_path()
+
+    def encoded(batches):
+        for batch in batches:
+            coder = encoder(path)
+            coder.encode([b"some words"])
+            yield pa.RecordBatch.from_arrays([pa.array([len(coder.words)] * batch.num_rows, pa.int64())], names=["n"])
+
+    def held(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([sum(isinstance(x, TextEncoder) for x in gc.get_objects())] * batch.num_rows, pa.int64())], names=["n"])
+
+    rows = spark.range(8).repartition(2)
+    for task, keeps, n in ((encoded, True, 2), (held, True, 1), (held, False, 0)):
+        assert {r["n"] for r in rows.mapInArrow(lean(task, keeps), "n long").collect()} == {n}
