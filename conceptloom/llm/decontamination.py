@@ -23,6 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -45,8 +46,13 @@ RATE_BINS = 1 << 15
 _MARKS = bytes(x for x in range(33, 127) if not chr(x).isalnum())
 
 
+def _bare(words: list[bytes]) -> list[bytes]:
+    """Words without marks, in lower case; one of marks alone is left as it is."""
+    return [w.lower().translate(None, _MARKS) or w for w in words]
+
+
 def _describe(words: list[bytes]) -> dict[str, np.ndarray]:
-    h = word_hashes([w.lower().translate(None, _MARKS) or w for w in words])
+    h = word_hashes(_bare(words))
     return {"h": h, "term": ((h >> np.uint64(20)) % np.uint64(TERMS)).astype(np.int32)}
 
 
@@ -141,6 +147,7 @@ class Queries:
     answers: list[np.ndarray]  # codes
     vectors: np.ndarray
     vocabulary: np.ndarray  # hashes of all words of items and answers, in order; any other word is one beyond
+    forms: dict[bytes, int]  # the words of items and answers, without marks, and their codes
     rare: list[np.ndarray]  # of each item the codes of its rarest words, each once
     least: np.ndarray  # of each item how many occurrences of its rarest words a matching region has
     weights: np.ndarray  # of each term its latent vector times its idf
@@ -149,14 +156,9 @@ class Queries:
         at = np.minimum(np.searchsorted(self.vocabulary, hashes), max(0, len(self.vocabulary) - 1))
         return np.where(self.vocabulary[at] == hashes, at, len(self.vocabulary)) if len(self.vocabulary) else np.zeros(len(hashes), np.int64)
 
-    def table(self) -> Words:
-        """A word table with the codes of words."""
-
-        def describe(new: list[bytes]) -> dict[str, np.ndarray]:
-            own = _describe(new)
-            return {"term": own["term"], "code": self.coded(own["h"]).astype(np.int32)}
-
-        return Words(describe)
+    def table(self) -> dict[bytes, int]:
+        """The codes of words, without marks."""
+        return self.forms
 
 
 def window_length(words: int) -> int:
@@ -194,8 +196,11 @@ def prepare_queries(rows: list, weights: np.ndarray, idf: np.ndarray, rates: np.
     rates = np.full(RATE_BINS, 1e-3) if rates is None else rates
     vectors = sums(weights[term].astype(np.float64), ends)
     vectors = (vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)).astype(np.float32)
-    given = [_describe((r[2] or "").encode().split())["h"] for r in rows]
-    out = Queries([r[0] for r in rows], [], [], vectors, np.unique(np.concatenate([h, *given])), [], np.zeros(len(rows), np.int64), weights)
+    answers = [(r[2] or "").encode().split() for r in rows]
+    given = [_describe(a)["h"] for a in answers]
+    out = Queries([r[0] for r in rows], [], [], vectors, np.unique(np.concatenate([h, *given])), {}, [], np.zeros(len(rows), np.int64), weights)
+    forms = list(dict.fromkeys(_bare([*table, *chain.from_iterable(answers)])))
+    out.forms.update(zip(forms, out.coded(word_hashes(forms)).tolist(), strict=True))
     for k, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
         own = out.coded(h[a:b])
         out.words.append(own)
@@ -247,6 +252,18 @@ def common_subsequences(pattern: np.ndarray, codes: np.ndarray, low: np.ndarray,
     return out
 
 
+def _holding(pattern: np.ndarray, codes: np.ndarray, low: np.ndarray, high: np.ndarray, size: int, least: float) -> np.ndarray:
+    """Which codes[low:high] have `least` of the pattern's words at any places; a common subsequence is no longer than what they have."""
+    own, many = np.unique(pattern, return_counts=True)
+    place = np.full(size, -1, np.int32)
+    place[own] = np.arange(len(own))
+    n = high - low
+    at = place[codes[np.repeat(low - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]]
+    region = np.repeat(np.arange(len(n)), n)[at >= 0]
+    found = np.bincount(region * len(own) + at[at >= 0], minlength=len(n) * len(own)).reshape(len(n), -1)
+    return np.flatnonzero(np.minimum(found, many).sum(axis=1) >= least - 1e-6)
+
+
 def _windows(p: np.ndarray, least: int, length: int, row: np.ndarray, inside: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, low block, high block) of the regions of windows that hold `least` of the places p or more, and a few others.
 
@@ -267,15 +284,30 @@ def _windows(p: np.ndarray, least: int, length: int, row: np.ndarray, inside: np
     return r, np.maximum(start - margin, 0), np.minimum(np.minimum(start + length, blocks[r]) + margin, blocks[r])
 
 
-def find(queries: Queries, table: Words, texts: list[bytes]) -> list[tuple[int, int, float, float]]:
+def _coded(words: list[bytes], table: dict[bytes, int], other: int) -> np.ndarray:
+    """Codes of lower-case words; most are in the table as they are or, without a mark, not in it at all."""
+    code = np.fromiter(map(table.get, words, repeat(other)), np.int32, len(words))
+    unknown = np.flatnonzero(code == other)
+    plain = np.fromiter(map(bytes.isalnum, map(words.__getitem__, unknown.tolist())), bool, len(unknown))
+    marked = unknown[~plain]
+    if len(marked):
+        bare = b"\n".join(map(words.__getitem__, marked.tolist())).translate(None, _MARKS).split(b"\n")
+        code[marked] = np.fromiter(map(table.get, bare, repeat(other)), np.int32, len(marked))
+    return code
+
+
+def find(queries: Queries, table: dict[bytes, int], texts: list[bytes]) -> list[tuple[int, int, float, float]]:
     """(row, item number, share of the item in the common subsequence, cosine) of verified matches.
 
     table: from queries.table().
     """
-    ids, ends = table.indices([t.lower().split() for t in texts])
-    if not len(ids) or not queries.words:
+    lists = [t.lower().split() for t in texts]
+    n = np.fromiter(map(len, lists), np.int64, len(lists))
+    ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(n)])
+    if not ends[-1] or not queries.words:
         return []
-    code, n = table.columns["code"][ids], np.diff(ends)
+    words = list(chain.from_iterable(lists))
+    code = _coded(words, table, len(queries.vocabulary))
     blocks = -(-n // STEP)
     size = len(queries.vocabulary) + 1
     # places of rare words by code; texts lie so far apart that no region reaches from one to another
@@ -301,14 +333,16 @@ def find(queries: Queries, table: Words, texts: list[bytes]) -> list[tuple[int,
         row = np.searchsorted(ends[:-1] + np.arange(len(n)) * gap, p, "right") - 1
         row, low, high = _windows(p, least, length, row, p - row * gap - ends[row], blocks)
         low, high = ends[row] + low * STEP, np.minimum(ends[row] + high * STEP, ends[row + 1])
-        share = common_subsequences(pattern, code, low, high, size) / len(pattern)
+        share = np.zeros(len(low))
+        some = _holding(pattern, code, low, high, size, PARAPHRASE * len(pattern))
+        share[some] = common_subsequences(pattern, code, low[some], high[some], size) / len(pattern)
         ok = np.flatnonzero(share >= PARAPHRASE)
         done = set()
         for w in ok[np.argsort(-share[ok], kind="stable")].tolist():
             r = int(row[w])
             if r in done:
                 continue
-            cosine = _nearest(queries, item, table.columns["term"][ids[low[w] : high[w]]])
+            cosine = _nearest(queries, item, _describe(words[low[w] : high[w]])["term"])
             if share[w] < VERBATIM:
                 answer = queries.answers[item]
                 if cosine < COSINE or common_subsequences(answer, code, low[w : w + 1], high[w : w + 1], size)[0] < ANSWER * len(answer):

@@ -370,3 +370,19 @@ def test_a_leak_beside_heavy_words_is_found():
         text = " ".join(["heavy"] * 30 + words + ["heavy"] * 30)
         found = decontamination.find(queries, queries.table(), [text.encode(), ("heavy other " * 50).encode(), b""])
         assert [(x[0], x[1]) for x in found] == [(0, 0)] and found[0][2] == pytest.approx(kind) and found[0][3] >= decontamination.COSINE
+
+
+def test_words_that_no_item_has_are_not_hashed(monkeypatch):
+    """Hashing every new word of a corpus, and comparing regions that lack an item's words, took most of the time of this step."""
+    item = " ".join(f"w{k}" for k in range(40)) + " w1 -- w2"
+    weights = np.ones((decontamination.TERMS, 4), np.float32)
+    queries = decontamination.prepare_queries([(1, item, None)], weights, np.ones(decontamination.TERMS))
+    hashed, compared, hashes, common = [], [], decontamination.word_hashes, decontamination.common_subsequences
+    monkeypatch.setattr(decontamination, "word_hashes", lambda words: hashed.extend(words) or hashes(words))
+    monkeypatch.setattr(decontamination, "common_subsequences", lambda pattern, codes, low, *more: compared.extend(low) or common(pattern, codes, low, *more))
+    other = [f"x{k}, y{k} {k}." for k in range(3000)]
+    copied = " ".join([*other[:9], item.upper().replace("W5 ", "(W5), "), *other[9:]])
+    few = " ".join(["w1 w2 w1 w2"] * 100)  # enough of the rarest words, but few of the item's
+    found = decontamination.find(queries, queries.table(), [copied.encode(), " ".join(other).encode(), few.encode()])
+    assert [(r, k, share) for r, k, share, _ in found] == [(0, 0, 1.0)]
+    assert len(hashed) < 300 and len(compared) < 20
