@@ -174,6 +174,44 @@ def test_collocations(frame, monkeypatch, most_words, top):
     assert collocations.collocations(docs.limit(0)).isEmpty()
 
 
+def test_rare_phrases_are_not_counted_by_words(frame, monkeypatch):
+    r = random.Random(6)
+    texts = [" ".join(r.choice("abcdefghijkl") for _ in range(300)) for _ in range(8)] + ["new york city, " * 12]
+    docs = frame([(t, "en") for t in texts], "text string, lang string")
+    counted, count = [], collocations.phrase_counts
+
+    def counts(*args):
+        counted.append(count(*args).where("phrase like '% % %'").count())
+        return count(*args)
+
+    monkeypatch.setattr(collocations, "phrase_counts", counts)
+    expected = phrases([(t, "en") for t in texts])
+    assert len(expected) > 100
+    assert sorted(map(tuple, collocations.collocations(docs).collect())) == expected
+    assert counted[-1] < 50  # of some 1,300 kinds of three words whose pairs are frequent
+
+
+@pytest.mark.parametrize("least", [7, 300])
+def test_hashes_sent_in_parts(frame, monkeypatch, least):
+    monkeypatch.setattr(collocations, "SENT_HASHES", 4)
+    monkeypatch.setattr(collocations, "MET_HASHES", 4)
+    rows = [("a b c d, " * (k + 1) + f"x{k} y z", "en" if k % 2 else "de") for k in range(40)]
+    docs = frame(rows, "text string, lang string")
+    assert sorted(map(tuple, collocations.collocations(docs, least).collect())) == phrases(rows, least)
+
+
+def test_hashes_move_as_differences():
+    r = np.random.default_rng(3)
+    for n, group_bits in ((0, 4), (1, 4), (300, 7), (1 << 20, 7)):
+        rows = r.integers(0, 1 << collocations.HASH_BITS, n) << 8 | r.integers(1, 9, n)
+        found, numbers = collocations.summed(np.concatenate([rows, rows[: n // 2]]), 10)
+        sent = list(collocations.gaps(found, numbers, group_bits))
+        assert np.array_equal(np.concatenate([found[:0], *(collocations.hashes_of(g, x, group_bits) for g, x, _ in sent)]), found)
+        assert b"".join(x for _, _, x in sent) == numbers.astype(np.uint8).tobytes()
+        assert set(found.tolist()) == {x >> 8 for x in rows.tolist()} and numbers.max(initial=0) <= 10
+    assert sum(len(x) for _, x, _ in sent) < 3 * len(found)
+
+
 def test_products_beyond_64_bits(spark):
     big = 4_000_000_000_000
     rows = spark.createDataFrame([("en", "x y", big - 1)], "lang string, phrase string, a long")
